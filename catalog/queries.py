@@ -234,8 +234,7 @@ def page_forms(spark, sf):
 
 @query
 def nofollow_pages(spark, sf):
-    meta = P.page_meta(derived(spark, sf, D.MARKET_PAGES))
-    return meta.where(RC.is_nofollow(F.col("robots_meta"))).select("page_id", "robots_meta")
+    return RC.nofollow_pages(derived(spark, sf, D.MARKET_PAGES)).select("page_id", "robots_meta")
 
 
 @query

@@ -68,3 +68,13 @@ def explode_items(df: DataFrame, keep: list[str], items: str, pos: str = "ord",
     whole array a second time.
     """
     return df.select(*keep, F.posexplode_outer(items).alias(pos, item)).where(F.col(pos).isNotNull())
+
+
+def keep_if(df: DataFrame, condition: Column) -> DataFrame:
+    """Rows where a condition on an expensive computed column holds.
+
+    A plain filter would be pushed below the projection and compute the column
+    twice; a test on a generated column stays where it is written.
+    """
+    marked = df.select("*", F.explode_outer(F.when(condition, F.array(F.lit(True)))).alias("keep_row"))
+    return marked.where("keep_row").drop("keep_row")

@@ -69,10 +69,8 @@ def _remove_dot_segments(path: Column) -> Column:
     return F.when(path.rlike(_DOT_SEGMENT), let(F.split(path, "/"), resolve)).otherwise(path)
 
 
-def base_parts(base: Column | None) -> Column:
-    """What resolving needs from a canonical base URL; null when there is none."""
-    if base is None:
-        base = F.lit(None).cast("string")
+def base_parts(base: Column) -> Column:
+    """What resolving needs from a canonical base URL; all null for a null one."""
     path = F.regexp_extract(base, r"\Ahttps?://[^/?#]*([^?#]*)", 1)
     return F.struct(
         F.substring_index(base, ":", 1).alias("scheme"),
@@ -98,35 +96,30 @@ def _split_reference(text: Column) -> Column:
     )
 
 
-def _absolute(parts: Column, base: Column) -> Column:
-    """Scheme, authority, path and query of a split reference against a base."""
+def _absolute(parts: Column, base: Column | None) -> Column:
+    """Scheme, authority, path and query of a split reference, against a base if any."""
     scheme = F.lower(F.regexp_extract(parts["head"], r"\A([A-Za-z][A-Za-z0-9+.-]*):", 1))
 
-    def place(p: Column) -> Column:
-        after = F.when(
-            p["scheme"] == "", p["head"]
-        ).otherwise(F.substr(p["head"], F.length(p["scheme"]) + 2))
-        return let(
-            F.struct(p["scheme"].alias("scheme"), after.alias("rest"), p["query"].alias("query")),
-            resolve,
-        )
-
-    def resolve(p: Column) -> Column:
-        rest, query = p["rest"], p["query"]
-        own_host = F.startswith(rest, F.lit("//")) | (
-            (p["scheme"] != "") & (base["scheme"].isNull() | (p["scheme"] != base["scheme"]))
-        )
+    def hosted(scheme: Column, rest: Column, query: Column) -> Column:
         bare = F.ltrim(rest, F.lit("/"))
         authority = F.substring_index(bare, "/", 1)
-        hosted = let(
+        return let(
             F.struct(bare.alias("bare"), authority.alias("authority")),
             lambda a: F.struct(
-                F.when(p["scheme"] == "", base["scheme"]).otherwise(p["scheme"]).alias("scheme"),
+                scheme.alias("scheme"),
                 a["authority"].alias("authority"),
                 F.substr(a["bare"], F.length(a["authority"]) + 1).alias("path"),
                 query.alias("query"),
             ),
         )
+
+    def resolve(p: Column) -> Column:
+        rest, query = p["rest"], p["query"]
+        if base is None:
+            return F.when(p["scheme"].isin("http", "https"), hosted(p["scheme"], rest, query))
+        own_host = F.startswith(rest, F.lit("//")) | (
+            (p["scheme"] != "") & (base["scheme"].isNull() | (p["scheme"] != base["scheme"]))
+        )
         relative = F.struct(
             base["scheme"].alias("scheme"),
             base["authority"].alias("authority"),
@@ -139,11 +132,21 @@ def _absolute(parts: Column, base: Column) -> Column:
         usable = p["scheme"].isin("", "http", "https") & (
             (p["scheme"] != "") | base["scheme"].isNotNull()
         )
-        return F.when(usable & own_host, hosted).when(usable, relative)
+        known = F.when(p["scheme"] == "", base["scheme"]).otherwise(p["scheme"])
+        return F.when(usable & own_host, hosted(known, rest, query)).when(usable, relative)
 
     return let(
-        F.struct(scheme.alias("scheme"), parts["head"].alias("head"), parts["query"].alias("query")),
-        place,
+        scheme,
+        lambda s: let(
+            F.struct(
+                s.alias("scheme"),
+                F.when(s == "", parts["head"])
+                .otherwise(F.substr(parts["head"], F.length(s) + 2))
+                .alias("rest"),
+                parts["query"].alias("query"),
+            ),
+            resolve,
+        ),
     )
 
 
@@ -192,7 +195,7 @@ def _serialize(u: Column) -> Column:
     )
 
 
-def canonical_against(raw: Column, base: Column) -> Column:
+def canonical_against(raw: Column, base: Column | None) -> Column:
     """Canonical form of ``raw`` against a :func:`base_parts` struct, or null."""
 
     def full(text: Column) -> Column:
@@ -201,15 +204,16 @@ def canonical_against(raw: Column, base: Column) -> Column:
             (text != "") & ~F.startswith(text, F.lit("#")), let(resolved, _serialize)
         )
 
-    return let(
-        trim_wide(raw),
-        lambda t: F.when(t.rlike(_PLAIN_ABSOLUTE), t)
-        .when(
-            base["scheme"].isNotNull() & t.rlike(_PLAIN_ROOTED),
-            F.concat(base["scheme"], F.lit("://"), base["authority"], t),
-        )
-        .otherwise(full(t)),
-    )
+    def shortest(text: Column) -> Column:
+        plain = F.when(text.rlike(_PLAIN_ABSOLUTE), text)
+        if base is not None:
+            plain = plain.when(
+                base["scheme"].isNotNull() & text.rlike(_PLAIN_ROOTED),
+                F.concat(base["scheme"], F.lit("://"), base["authority"], text),
+            )
+        return plain.otherwise(full(text))
+
+    return let(trim_wide(raw), shortest)
 
 
 def canonical_url(raw: Column, base: Column | None = None) -> Column:
@@ -219,6 +223,8 @@ def canonical_url(raw: Column, base: Column | None = None) -> Column:
     lower-cased, default ports go, dot segments are resolved, unsafe characters
     are percent-encoded.
     """
+    if base is None:
+        return canonical_against(raw, None)
     return let(base_parts(base), lambda b: canonical_against(raw, b))
 
 

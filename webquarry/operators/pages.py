@@ -32,14 +32,16 @@ def page_tags(pages: DataFrame) -> DataFrame:
 
     ``base`` is the first ``base[href]`` resolved against the page, else the page.
     """
-    final = F.col("final_url") if "final_url" in pages.columns else F.lit(None).cast("string")
+    page_url = canonical_url(F.col("url"))
+    if "final_url" in pages.columns:
+        page_url = F.coalesce(canonical_url(F.col("final_url")), page_url)
     tags = F.transform(
         M.start_tags(M.without_raw_text(F.col("html"))),
         lambda t: F.struct(M.tag_name(t).alias("name"), t.alias("text")),
     )
     tagged = pages.withColumns(
         {
-            "page_url": F.coalesce(canonical_url(final), canonical_url(F.col("url"))),
+            "page_url": page_url,
             "tags": tags,
         }
     )

@@ -39,6 +39,7 @@ _PHONE = rf"(?:tel:)?\+[0-9][0-9{SPACE_CLASS}().-]{{6,16}}[0-9]"
 _COMMENT = r"(?s)<!--(.*?)-->"
 _ENDPOINT = "(?i)" + ENDPOINT_PATTERN.format(s=SPACE_CLASS)
 _NONE = "array<string>"
+_SECRETS = "array<struct<type:string,value:string>>"
 
 
 def _all_matches(text: Column, pattern: str, group: int = 0, needs: str = "") -> Column:
@@ -96,21 +97,31 @@ def secrets_column(text: Column, extra: tuple[tuple[str, str], ...] = ()) -> Col
         )
         for label, flags, pattern, needs in SECRET_PATTERNS
     ] + [(label, pattern, 0, "") for label, pattern in extra]
+    def labelled(label: str):
+        return lambda v: F.struct(F.lit(label).alias("type"), v.alias("value"))
+
     per_pattern = F.array(
         *[
-            F.transform(
-                _all_matches(text, pattern, group, needs),
-                lambda v, name=label: F.struct(F.lit(name).alias("type"), v.alias("value")),
-            )
+            F.transform(_all_matches(text, pattern, group, needs), labelled(label))
             for label, pattern, group, needs in patterns
         ]
-    )
-    return F.aggregate(
+    ).cast(f"array<{_SECRETS}>")
+
+    def capped(found: Column) -> Column:
+        return F.aggregate(
+            found,
+            F.array().cast(_SECRETS),
+            lambda taken, new: F.concat(
+                taken,
+                F.slice(new, 1, F.greatest(F.lit(SECRETS_PER_PAGE) - F.size(taken), F.lit(1))),
+            ).cast(_SECRETS),
+        )
+
+    return let(
         per_pattern,
-        F.array().cast("array<struct<type:string,value:string>>"),
-        lambda taken, found: F.concat(
-            taken,
-            F.slice(found, 1, F.greatest(F.lit(SECRETS_PER_PAGE) - F.size(taken), F.lit(1))),
+        lambda found: let(
+            F.flatten(found),
+            lambda every: F.when(F.size(every) <= SECRETS_PER_PAGE, every).otherwise(capped(found)),
         ),
     )
 

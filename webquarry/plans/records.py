@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webquarry.config import CrawlConfig
-from webquarry.functions.expr import let
+from webquarry.functions.expr import keep_if, let
 from webquarry.functions.urls import hostname, in_scope, registrable_domain
 from webquarry.operators import pages as P
 from webquarry.operators import recon as R
@@ -19,6 +19,12 @@ def is_nofollow(robots_meta: Column, respect: bool = True) -> Column:
     return F.coalesce(robots_meta, F.lit("")).rlike("(?i)nofollow")
 
 
+def nofollow_pages(pages: DataFrame) -> DataFrame:
+    """Pages whose robots meta tag tells crawlers to keep no links."""
+    meta = P.parse_pages(pages, ("meta",)).select("page_id", "page_url", "meta.robots_meta")
+    return keep_if(meta, is_nofollow(F.col("robots_meta")))
+
+
 def followed_links(links: Column, robots_meta: Column, seed: Column, config: CrawlConfig) -> Column:
     """In-scope links of a page; a nofollow page keeps none."""
     kept = let(seed, lambda s: F.filter(links, lambda u: in_scope(u, s, config.scope)))
@@ -100,7 +106,7 @@ def link_graph(records: DataFrame) -> DataFrame:
 
 
 def forms_by_page(records: DataFrame) -> DataFrame:
-    return records.where(F.size("forms") > 0).select(
+    return keep_if(records, F.size("forms") > 0).select(
         F.coalesce("finalUrl", "url").alias("page"), "forms"
     )
 

@@ -116,7 +116,7 @@ def rule_regex(path: Column) -> Column:
 def rule_matches(target: Column, path: Column) -> Column:
     """Plain rules are prefixes; only wildcard rules pay for a pattern."""
     return F.when(path == "", False).when(
-        path.rlike(r"\*|\$\z"), target.rlike(rule_regex(path))
+        path.rlike(r"\*|\$\z"), F.rlike(target, rule_regex(path))
     ).otherwise(F.startswith(target, path))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webquarry.fixed_values import SITEMAP_MAX_DEPTH, SITEMAP_URLS_PER_SEED
-from webquarry.functions.expr import explode_items
+from webquarry.functions.expr import explode_items, keep_if
 from webquarry.functions.urls import canonical_url, host_with_port, in_scope, origin, passes_patterns
 
 _LOC = r"(?i)<loc>\s*([^<\s]+)\s*</loc>"
@@ -84,7 +84,7 @@ def sitemap_urls(
         F.col("sitemap").alias("parent"),
     )
     url = canonical_url(F.col("loc"))
-    wanted = leaves.withColumn("url", url).where(F.col("url").isNotNull())
+    wanted = keep_if(leaves.withColumn("url", url), F.col("url").isNotNull())
     if first_seed is not None:
         wanted = wanted.where(in_scope(F.col("url"), F.lit(first_seed), scope))
     wanted = wanted.where(passes_patterns(F.col("loc"), include, exclude))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webquarry.functions.expr import keep_if
 from webquarry.functions.urls import canonical_url, hostname
 from webquarry.operators import pages as P
 from webquarry.operators import recon as R
@@ -28,8 +29,10 @@ def read_stream(spark: SparkSession, folder: str, schema: str, glob: str = "*.pa
 def first_seen_urls(snapshots: DataFrame, time: str, delay: str = "1 hour") -> DataFrame:
     """Canonical URLs as they first appear; repeats inside the watermark are dropped."""
     return (
-        snapshots.withColumn("canonical", canonical_url(F.col("url")))
-        .where(F.col("canonical").isNotNull())
+        keep_if(
+            snapshots.withColumn("canonical", canonical_url(F.col("url"))),
+            F.col("canonical").isNotNull(),
+        )
         .withWatermark(time, delay)
         .dropDuplicatesWithinWatermark(["canonical"])
     )
