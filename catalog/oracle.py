@@ -569,7 +569,7 @@ ORACLE["retry_plan"] = Q.with_ctes(
 ORACLE["polite_schedule"] = Q.with_ctes(
     [
         *LOG,
-        "a AS (SELECT host, event_id AS id, epoch_ms(ts) AS at_ms FROM log)",
+        "a AS (SELECT host, event_id AS id, epoch_us(ts) // 1000 AS at_ms FROM log)",
         "b AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY at_ms, id) AS r FROM a)",
         "c AS (SELECT *, max(at_ms - r * 4000000) OVER (PARTITION BY host ORDER BY r) + r * 4000000 AS start_ms FROM b)",
     ],

@@ -92,49 +92,28 @@ def extension_paths(stored: DataFrame, order: str) -> DataFrame:
     """Add ``path`` in the by-type layout, ``assets/<ext>/<name>``, free of clashes.
 
     The first file of a case-insensitive path keeps the plain name, later ones
-    carry their URL's hash.  Firsts are found by partial aggregation and joined
-    back on (path, order): that key is unique, so a name shared by a third of
-    all files does not pile up in one task.
+    carry their URL's hash after two underscores; plain names never contain two
+    in a row, so the two kinds cannot meet.  Firsts are found by partial
+    aggregation and joined back on (path, order): that key is unique, so a name
+    shared by a third of all files does not pile up in one task.
     """
     named = stored.withColumn(
         "folder", FL.type_folder(F.col("url"), F.col("content_type"), F.col("sniffed"))
     ).withColumn("name", FL.file_name(F.col("url"), F.col("folder")))
     keyed = named.withColumn("taken_key", F.lower(F.concat("folder", F.lit("/"), "name")))
-    hashed = keyed.withColumn("hashed_name", FL.disambiguated_name(F.col("name"), F.col("url")))
-
-    def firsts(rows: DataFrame) -> DataFrame:
-        return (
-            rows.groupBy("taken_key")
-            .agg(F.min(order).alias(order))
-            .select("taken_key", order, F.lit(True).alias("is_first"))
-        )
-
-    marked = hashed.join(firsts(hashed), ["taken_key", order], "left")
-    # A hashed name can itself be the plain name of a later file.
-    hashed_keys = (
-        marked.where(F.col("is_first").isNull())
-        .where(F.lower("hashed_name").rlike(r"__[0-9a-f]{8}(?:\.[^./]*)?\z"))
-        .select(
-            F.lower(F.concat("folder", F.lit("/"), "hashed_name")).alias("taken_key"),
-            F.col(order).alias("since"),
-        )
-        .groupBy("taken_key")
-        .agg(F.min("since").alias("since"))
+    firsts = (
+        keyed.groupBy("taken_key")
+        .agg(F.min(order).alias(order))
+        .withColumn("is_first", F.lit(True))
+    )
+    final = F.when(F.col("is_first"), F.col("name")).otherwise(
+        FL.disambiguated_name(F.col("name"), F.col("url"))
+    )
+    return (
+        keyed.join(firsts, ["taken_key", order], "left")
+        .withColumn("path", F.concat(F.lit("assets/"), F.col("folder"), F.lit("/"), final))
+        .select(*stored.columns, "path")
     )
-    looks_hashed = F.col("taken_key").rlike(r"__[0-9a-f]{8}(?:\.[^./]*)?\z")
-    plain = marked.where(~looks_hashed).withColumn("since", F.lit(None).cast(stored.schema[order].dataType))
-    suspect = marked.where(looks_hashed).join(hashed_keys, "taken_key", "left")
-    settled = plain.unionByName(suspect)
-    keeps = F.col("is_first") & (F.col("since").isNull() | (F.col("since") > F.col(order)))
-    return settled.withColumn(
-        "path",
-        F.concat(
-            F.lit("assets/"),
-            F.col("folder"),
-            F.lit("/"),
-            F.when(keeps, F.col("name")).otherwise(F.col("hashed_name")),
-        ),
-    ).select(*stored.columns, "path")
 
 
 def downloads_by_type(outcomes: DataFrame) -> DataFrame:

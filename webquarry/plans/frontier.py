@@ -1,24 +1,25 @@
 """Frontier expansion: a breadth-first crawl over a table of page snapshots.
 
-The driver loops over levels, never over rows.  Snapshots are partitioned by URL
-once and kept that way; a level costs one shuffle of its own candidate links
-plus one of the URLs seen so far.  Every level is cut off at reliable storage,
-so a lost executor costs a task, not the run.
+The driver loops over levels, never over rows.  Snapshots are written once,
+bucketed by URL; so is every level.  Joining a level with the snapshots, and
+removing what earlier levels have seen, then shuffles neither of them: a level
+costs the shuffles of its own new URLs.  Written levels also cut the lineage at
+shared storage, so a lost executor costs a task, not the run.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webquarry.config import CrawlConfig
 from webquarry.functions.expr import explode_items
 from webquarry.functions.urls import in_scope, passes_patterns
 from webquarry.operators.skew import join_one_per_key
-from webquarry.session import durable
+from webquarry.session import UrlTables
 from webquarry.sources.robots import robots_allowed
 
-VISIT_COLUMNS = ("url", "depth", "parent", "place", "disposition")
+MAX_SEEN_TABLES = 8
 
 
 def first_seed_of(seeds: DataFrame) -> str:
@@ -42,78 +43,119 @@ def expand_frontier(
     ``place`` is the chain of link positions from the seed: within a level its
     order is the crawl order, so no level is ever sorted.
     """
-    spark = seeds.sparkSession
+    tables = UrlTables(seeds.sparkSession, "url")
+    try:
+        return _expand(tables, seeds, snapshots, config, robots)
+    finally:
+        tables.forget()
+
+
+def _expand(
+    tables: UrlTables,
+    seeds: DataFrame,
+    snapshots: DataFrame,
+    config: CrawlConfig,
+    robots: DataFrame | None,
+) -> DataFrame:
     first_seed = F.lit(first_seed_of(seeds))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    stored = durable(snapshots.select("url", "links").repartition(parts, "url"))
-    level = durable(
+    stored = tables.write(tables.spread(snapshots.select("url", "links")))
+    found = (
         seeds.groupBy("url")
-        .agg(F.min_by(F.struct("parent", "ord"), "ord").alias("s"))
-        .select("url", F.col("s.parent").alias("parent"), F.array(F.col("s.ord").cast("int")).alias("place"))
+        .agg(F.min_by("parent", "ord").alias("parent"), F.min("ord").alias("ord"))
+        .select("url", "parent", F.array(F.col("ord").cast("int")).alias("place"))
     )
-    visits, seen, depth, crawled = None, level.select("url"), 0, 0
+    visits: DataFrame | None = None
+    seen: list[DataFrame] = []
+    depth = crawled = 0
     while True:
-        if robots is not None and config.respect_robots:
-            checked = robots_allowed(level, robots)
-        else:
-            checked = level.withColumn("allowed", F.lit(True))
-        fetched = checked.join(stored, "url", "left").withColumn(
-            "disposition",
-            F.when(~F.col("allowed"), "robots").when(F.col("links").isNull(), "error").otherwise("page"),
-        )
-        visited = durable(fetched.select("url", "parent", "place", "disposition", "links"))
-        spent = False
+        level = tables.write(_dispositions(tables, found, stored, config, robots))
+        last, pages = None, 0
         if config.max_pages:
-            is_page = visited.where(F.col("disposition") == "page")
-            found = is_page.count()
-            if crawled + found >= config.max_pages:
-                spent = True
-                last = (
-                    is_page.select("place")
-                    .orderBy("place")
-                    .limit(config.max_pages - crawled)
-                    .agg(F.max("place").alias("place"))
-                    .first()["place"]
-                )
-                cut = F.array(*[F.lit(n) for n in last])
-                visited = visited.withColumn(
-                    "disposition",
-                    F.when(F.col("place") > cut, "queued").otherwise(F.col("disposition")),
-                )
-            crawled += found
-        done = visited.select("url", F.lit(depth).alias("depth"), "parent", "place", "disposition")
-        visits = done if visits is None else visits.unionByName(done)
-        if config.max_depth and depth + 1 > config.max_depth:
+            of_pages = level.where(F.col("disposition") == "page").select("place")
+            pages = of_pages.count()
+            if crawled + pages >= config.max_pages:
+                first = of_pages.orderBy("place").limit(config.max_pages - crawled)
+                last = first.agg(F.max("place").alias("place")).first()["place"]
+        visited = level
+        if last is not None:
+            beyond = F.col("place") > F.array(*[F.lit(n) for n in last])
+            visited = level.withColumn(
+                "disposition", F.when(beyond, "queued").otherwise(F.col("disposition"))
+            )
+        crawled += pages
+        visits = _add(visits, visited, depth)
+        seen = _remember(tables, seen, level.select("url"))
+        if level.isEmpty() or (config.max_depth and depth + 1 > config.max_depth):
             return visits
-        links = explode_items(
-            visited.where(F.col("disposition") == "page").withColumnsRenamed(
-                {"url": "page", "place": "from"}
-            ),
-            ["page", "from"],
-            "links",
-            "n",
-            "url",
-        )
-        wanted = links.where(
-            in_scope(F.col("url"), first_seed, config.scope)
-            & passes_patterns(F.col("url"), config.include_patterns, config.exclude_patterns)
-        ).withColumn("place", F.concat("from", F.array("n")))
-        # A target linked from everywhere is reduced before it is shuffled.
-        level = durable(
-            wanted.groupBy("url")
-            .agg(F.min_by("page", "place").alias("parent"), F.min("place").alias("place"))
-            .join(seen, "url", "left_anti")
-        )
+        found = _next_level(visited, stored, seen, first_seed, config)
         depth += 1
-        if level.isEmpty():
-            return visits
-        if spent:
-            return visits.unionByName(
-                level.select(
-                    "url", F.lit(depth).alias("depth"), "parent", "place", F.lit("queued").alias("disposition")
-                )
-            )
-        seen = seen.unionByName(level.select("url"))
+        if last is not None:
+            return _add(visits, found.withColumn("disposition", F.lit("queued")), depth)
+
+
+def _add(visits: DataFrame | None, level: DataFrame, depth: int) -> DataFrame:
+    rows = level.select("url", F.lit(depth).alias("depth"), "parent", "place", "disposition")
+    return rows if visits is None else visits.unionByName(rows)
+
+
+def _remember(tables: UrlTables, seen: list[DataFrame], level: DataFrame) -> list[DataFrame]:
+    """Seen URLs as a short list of bucketed tables; long lists are merged into one."""
+    if len(seen) < MAX_SEEN_TABLES:
+        return [*seen, level]
+    merged = level
+    for earlier in seen:
+        merged = merged.unionByName(earlier)
+    return [tables.write(tables.spread(merged))]
+
+
+def _dispositions(
+    tables: UrlTables,
+    found: DataFrame,
+    stored: DataFrame,
+    config: CrawlConfig,
+    robots: DataFrame | None,
+) -> DataFrame:
+    if robots is not None and config.respect_robots:
+        checked = robots_allowed(found, robots)
+    else:
+        checked = found.withColumn("allowed", F.lit(True))
+    present = stored.select("url", F.lit(True).alias("present"))
+    return tables.spread(checked).join(present, "url", "left").select(
+        "url",
+        "parent",
+        "place",
+        F.when(~F.col("allowed"), "robots")
+        .when(F.col("present"), "page")
+        .otherwise("error")
+        .alias("disposition"),
+    )
+
+
+def _next_level(
+    visited: DataFrame,
+    stored: DataFrame,
+    seen: list[DataFrame],
+    first_seed: Column,
+    config: CrawlConfig,
+) -> DataFrame:
+    """Unseen targets of a level's pages with their first parent and place."""
+    pages = visited.where(F.col("disposition") == "page").select("url", "place")
+    links = explode_items(
+        pages.join(stored, "url").withColumnsRenamed({"url": "page", "place": "from"}),
+        ["page", "from"],
+        "links",
+        "n",
+        "url",
+    )
+    wanted = links.where(
+        in_scope(F.col("url"), first_seed, config.scope)
+        & passes_patterns(F.col("url"), config.include_patterns, config.exclude_patterns)
+    ).withColumn("place", F.concat("from", F.array("n")))
+    # Partial aggregation reduces a target linked from everywhere before it is shuffled.
+    new = wanted.groupBy("url").agg(F.min_by("page", "place").alias("parent"), F.min("place").alias("place"))
+    for urls in seen:
+        new = new.join(urls, "url", "left_anti")
+    return new
 
 
 def crawl_order(visits: DataFrame) -> DataFrame:
