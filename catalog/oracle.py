@@ -201,7 +201,7 @@ _BLANKED = f"""SELECT page_id, url, CASE WHEN page_id % 38 = 0 THEN '' ELSE html
 _endpoint = "(?i)" + ENDPOINT_PATTERN.format(s=SPACE_CLASS)
 _tech = " UNION ALL ".join(
     f"SELECT page_id, {10 + i} AS o, {lit(name)} AS t FROM clean WHERE regexp_matches(html, {lit('(?i)' + p)})"
-    for i, (p, name) in enumerate(TECH_SIGNATURES)
+    for i, (p, name, _) in enumerate(TECH_SIGNATURES)
 )
 
 
@@ -294,7 +294,7 @@ def recon_chain(src: str) -> list[str]:
             i=i,
             t=lit(label),
             l=_matches(
-                ("(?i)" if flags else "") + pattern.format(e=r"\b", s=SPACE_CLASS), 1 if "([" in pattern else 0
+                ("(?i)" if flags else "") + pattern.format(b=r"\b", e=r"\b", s=SPACE_CLASS), 1 if "([" in pattern else 0
             ),
             s=src,
         )

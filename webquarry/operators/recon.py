@@ -30,9 +30,11 @@ from webquarry.fixed_values import (
     SPACE_CLASS,
     TECH_SIGNATURES,
     WORD_EDGE,
+    WORD_OPEN,
 )
 from webquarry.functions.expr import explode_items, let, squeeze_spaces, trim_wide, utf16_length
 from webquarry.functions.urls import hostname
+from webquarry.session import durable
 
 _EMAIL = WORD_EDGE + EMAIL_BODY + WORD_EDGE
 _PHONE = rf"(?:tel:)?\+[0-9][0-9{SPACE_CLASS}().-]{{6,16}}[0-9]"
@@ -42,16 +44,26 @@ _NONE = "array<string>"
 _SECRETS = "array<struct<type:string,value:string>>"
 
 
-def _all_matches(text: Column, pattern: str, group: int = 0, needs: str = "") -> Column:
-    """Matches of a pattern; ``needs`` is a literal every match contains.
+def _mentions(text: Column, literals: tuple[str, ...]) -> Column:
+    found = F.contains(text, F.lit(literals[0]))
+    for literal in literals[1:]:
+        found = found | F.contains(text, F.lit(literal))
+    return found
 
-    Looking for the literal first is a byte search and skips the pattern on the
+
+def _all_matches(
+    text: Column, pattern: str, group: int = 0, needs: tuple[str, ...] = (), lowered: Column | None = None
+) -> Column:
+    """Matches of a pattern; every match contains one of the literals ``needs``.
+
+    Looking for the literals first is a byte search and skips the pattern on the
     pages that cannot match, which is nearly all of them for most patterns.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     if not needs:
         return found
-    return F.when(F.contains(text, F.lit(needs)), found).otherwise(F.array().cast(_NONE))
+    searched = text if lowered is None else lowered
+    return F.when(_mentions(searched, needs), found).otherwise(F.array().cast(_NONE))
 
 
 def guarded(html: Column) -> Column:
@@ -62,7 +74,7 @@ def guarded(html: Column) -> Column:
 
 
 def emails_column(text: Column) -> Column:
-    lowered = F.transform(_all_matches(text, _EMAIL, needs="@"), F.lower)
+    lowered = F.transform(_all_matches(text, _EMAIL, needs=("@",)), F.lower)
     return F.array_distinct(
         F.filter(
             lowered,
@@ -76,7 +88,7 @@ def emails_column(text: Column) -> Column:
 def phones_column(text: Column) -> Column:
     return F.array_distinct(
         F.transform(
-            _all_matches(text, _PHONE, needs="+"),
+            _all_matches(text, _PHONE, needs=("+",)),
             lambda m: trim_wide(F.regexp_replace(m, r"\Atel:", "")),
         )
     )
@@ -91,21 +103,27 @@ def secrets_column(text: Column, extra: tuple[tuple[str, str], ...] = ()) -> Col
     patterns = [
         (
             label,
-            ("(?i)" if flags else "") + pattern.format(e=WORD_EDGE, s=SPACE_CLASS),
+            ("(?i)" if flags else "") + pattern.format(b=WORD_OPEN, e=WORD_EDGE, s=SPACE_CLASS),
             1 if "([" in pattern else 0,
-            "" if flags else needs,
+            needs,
+            bool(flags),
         )
         for label, flags, pattern, needs in SECRET_PATTERNS
-    ] + [(label, pattern, 0, "") for label, pattern in extra]
+    ] + [(label, pattern, 0, (), False) for label, pattern in extra]
+
     def labelled(label: str):
         return lambda v: F.struct(F.lit(label).alias("type"), v.alias("value"))
 
-    per_pattern = F.array(
-        *[
-            F.transform(_all_matches(text, pattern, group, needs), labelled(label))
-            for label, pattern, group, needs in patterns
-        ]
-    ).cast(f"array<{_SECRETS}>")
+    def per_pattern(lowered: Column) -> Column:
+        return F.array(
+            *[
+                F.transform(
+                    _all_matches(text, pattern, group, needs, lowered if any_case else None),
+                    labelled(label),
+                )
+                for label, pattern, group, needs, any_case in patterns
+            ]
+        ).cast(f"array<{_SECRETS}>")
 
     def capped(found: Column) -> Column:
         return F.aggregate(
@@ -118,7 +136,7 @@ def secrets_column(text: Column, extra: tuple[tuple[str, str], ...] = ()) -> Col
         )
 
     return let(
-        per_pattern,
+        let(F.lower(text), per_pattern),
         lambda found: let(
             F.flatten(found),
             lambda every: F.when(F.size(every) <= SECRETS_PER_PAGE, every).otherwise(capped(found)),
@@ -134,7 +152,7 @@ def endpoints_column(text: Column) -> Column:
 
 def comments_column(text: Column) -> Column:
     tidy = F.transform(
-        _all_matches(text, _COMMENT, 1, needs="<!--"), lambda c: squeeze_spaces(trim_wide(c))
+        _all_matches(text, _COMMENT, 1, needs=("<!--",)), lambda c: squeeze_spaces(trim_wide(c))
     )
     return F.slice(
         F.filter(
@@ -253,12 +271,16 @@ def distinct_findings(rows: DataFrame) -> DataFrame:
     )
 
 
-def run_findings(rows: DataFrame) -> DataFrame:
+def run_findings(rows: DataFrame, stored: bool = False) -> DataFrame:
     """Findings a run keeps: distinct kinds, and the caps on the unbounded ones.
 
     Every cap is a top list in crawl order: each task keeps at most the cap, so
-    nothing is sorted globally.
+    nothing is sorted globally.  Findings are small beside the pages they come
+    from, so they are stored once instead of reading the pages per kind; say
+    ``stored`` when they already are a table.
     """
+    if not stored:
+        rows = durable(rows)
     first = distinct_findings(rows)
     kept = first.where(F.col("kind") != "endpoint").select(
         "kind", F.lit(None).cast("string").alias("subtype"), "value", "page_url", "first_seen"
@@ -359,18 +381,24 @@ def tech_column(
     headers: Column, generator: Column, html: Column, extra: tuple[tuple[str, str], ...] = ()
 ) -> Column:
     """Technologies named by headers, the generator tag and page signatures."""
-    labels = [
+    named = [
         F.concat(F.lit("Server: "), header(headers, "server")),
         F.concat(F.lit("X-Powered-By: "), header(headers, "x-powered-by")),
         F.concat(F.lit("ASP.NET "), header(headers, "x-aspnet-version")),
         header(headers, "x-generator"),
         F.when(header(headers, "cf-ray").isNotNull(), "Cloudflare"),
         F.nullif(generator, F.lit("")),
-    ] + [
-        F.when(html.rlike(f"(?i){pattern}"), F.lit(name))
-        for pattern, name in TECH_SIGNATURES + tuple(extra)
     ]
-    return F.array_distinct(F.array_compact(F.array(*labels)))
+
+    def signed(lowered: Column) -> Column:
+        known = [
+            F.when(_mentions(lowered, needs) & html.rlike(f"(?i){pattern}"), F.lit(name))
+            for pattern, name, needs in TECH_SIGNATURES
+        ]
+        own = [F.when(html.rlike(f"(?i){pattern}"), F.lit(name)) for pattern, name in extra]
+        return F.array(*named, *known, *own)
+
+    return F.array_distinct(F.array_compact(let(F.lower(html), signed)))
 
 
 def security_audit(pages: DataFrame, extra: tuple[tuple[str, str], ...] = ()) -> DataFrame:

@@ -132,8 +132,12 @@ def page_counts(records: DataFrame) -> DataFrame:
     )
 
 
+def _requested_host() -> Column:
+    return F.lower(F.regexp_extract("url", r"(?i)\Ahttps?://(?:[^/?#@]*@)?([^/?#]*)", 1))
+
+
 def hosts_seen(records: DataFrame) -> DataFrame:
-    return records.select(F.regexp_extract("url", r"(?i)\Ahttps?://(?:[^/?#@]*@)?([^/?#]*)", 1).alias("host")).distinct()
+    return records.select(_requested_host().alias("host")).distinct()
 
 
 def crawl_stats(
@@ -204,13 +208,17 @@ def _sum_rows(parts: list[DataFrame]) -> DataFrame:
 
 def run_summary(records: DataFrame, kept_findings: DataFrame) -> DataFrame:
     """Hosts, bytes and finding counts of a run, one row."""
-    hosts = hosts_seen(records).agg(F.count("*").alias("hosts"))
-    totals = records.agg(
-        F.count("*").alias("crawled"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("totalBytes")
+    by_host = records.groupBy(_requested_host().alias("host")).agg(
+        F.count("*").alias("pages"), F.sum("bytes").alias("bytes")
+    )
+    totals = by_host.agg(
+        F.coalesce(F.sum("pages"), F.lit(0)).alias("crawled"),
+        F.coalesce(F.sum("bytes"), F.lit(0)).alias("totalBytes"),
+        F.count("*").alias("hosts"),
     )
     kinds = ("email", "phone", "social", "endpoint", "secret", "comment")
     counts = kept_findings.agg(*[F.count_if(F.col("kind") == k).alias(f"{k}s") for k in kinds])
-    return _sum_rows([totals, hosts, counts])
+    return _sum_rows([totals, counts])
 
 
 def host_overview(pages: DataFrame) -> DataFrame:

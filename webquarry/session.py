@@ -53,6 +53,15 @@ def new_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def durable(df: DataFrame) -> DataFrame:
+    """Compute once, keep on shared storage, forget the lineage."""
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)
+
+
 class UrlTables:
     """Tables written to the shared folder, bucketed and sorted by one key.
 
