@@ -78,8 +78,10 @@ _CANDIDATES = [
 ]
 ORACLE["sitemap_candidates"] = Q.with_ctes(_CANDIDATES, "SELECT seed_no, sitemap FROM cand")
 _LOC = "(?i)<loc>\\s*([^<\\s]+)\\s*</loc>"
-ORACLE["sitemap_urls"] = Q.with_ctes(
-    [
+
+def sitemap_chain(dropped: str = "") -> list[str]:
+    """CTE ``added`` (seed_no, c, place, url, parent); ``dropped`` names a URL already queued."""
+    return [
         *_CANDIDATES,
         Q.source("sm", D.SITEMAPS),
         f"ent AS (SELECT url AS sitemap, regexp_matches(xml, '(?i)<sitemapindex') AS idx, unnest(regexp_extract_all(xml, {lit(_LOC)}, 1)) AS loc, generate_subscripts(regexp_extract_all(xml, {lit(_LOC)}, 1), 1) - 1 AS n FROM sm)",
@@ -91,13 +93,15 @@ ORACLE["sitemap_urls"] = Q.with_ctes(
         "reached AS (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3)",
         "leaf AS (SELECT seed_no, c, sitemap AS parent, loc AS raw, NULL::VARCHAR AS base, list_append(place, n::INTEGER) AS place FROM reached JOIN ent USING (sitemap) WHERE NOT idx)",
         *Q.canonical("lc", "leaf"),
-        f"want AS (SELECT * FROM lc WHERE canon IS NOT NULL AND {Q.domain(Q.host('canon'))} = 'example.com')",
-        "fst AS (SELECT canon AS url, arg_min({'s': seed_no, 'c': c, 'p': parent}, (seed_no, c, place)) AS f FROM want GROUP BY canon)",
+        f"want AS (SELECT * FROM lc WHERE canon IS NOT NULL AND {Q.domain(Q.host('canon'))} = 'example.com' AND canon <> {lit(dropped)})",
+        "fst AS (SELECT canon AS url, arg_min({'s': seed_no, 'c': c, 'p': parent, 'l': place}, (seed_no, c, place)) AS f FROM want GROUP BY canon)",
         "cnt AS (SELECT f.s AS s, f.c AS c, count(*) AS n FROM fst GROUP BY ALL)",
         "keep AS (SELECT s, c FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY s ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS e FROM cnt) WHERE e <= 5000)",
-    ],
-    "SELECT f.s AS seed_no, url, f.p AS parent FROM fst JOIN keep ON keep.s = f.s AND keep.c = f.c",
-)
+        "added AS (SELECT f.s AS seed_no, f.c AS c, f.l AS place, url, f.p AS parent FROM fst JOIN keep ON keep.s = f.s AND keep.c = f.c)",
+    ]
+
+
+ORACLE["sitemap_urls"] = Q.with_ctes(sitemap_chain(), "SELECT seed_no, url, parent FROM added")
 ORACLE["header_map"] = Q.with_ctes(
     [
         Q.source("src", D.HEADER_BLOCKS),
@@ -437,15 +441,19 @@ ORACLE["host_delay"] = Q.with_ctes(
 _LEVELS = 4
 
 
-def frontier_chain() -> list[str]:
+def frontier_chain(sitemaps: bool = False) -> list[str]:
+    start = "SELECT 'https://h5.example.com/p/5' AS url, NULL::VARCHAR AS parent, 1 AS rank, '0' AS place"
+    if sitemaps:
+        start += " UNION ALL SELECT url, parent, 1 + row_number() OVER (ORDER BY seed_no, c, place), '' FROM added"
     ctes = [
-        *ROBOTS_LINES,
+        *(sitemap_chain("https://h5.example.com/p/5") if sitemaps else ROBOTS_LINES),
         *EDGES,
         "site AS MATERIALIZED (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY min(ord)) - 1 AS n FROM edges GROUP BY src, dst)",
         "hasp AS (SELECT DISTINCT src FROM site)",
-        "u AS (SELECT dst AS url FROM edges UNION SELECT src FROM edges UNION SELECT 'https://h5.example.com/p/5')",
+        "u AS (SELECT dst AS url FROM edges UNION SELECT src FROM edges UNION SELECT 'https://h5.example.com/p/5'"
+        + (" UNION SELECT url FROM added)" if sitemaps else ")"),
         *allowed_chain("u"),
-        "v0 AS (SELECT 'https://h5.example.com/p/5' AS url, NULL::VARCHAR AS parent, 1 AS rank, '0' AS place)",
+        f"v0 AS MATERIALIZED ({start})",
     ]
     for k in range(_LEVELS + 1):
         ctes.append(
@@ -468,6 +476,7 @@ def frontier_chain() -> list[str]:
 
 FRONTIER = frontier_chain()
 ORACLE["frontier_bfs"] = Q.with_ctes(FRONTIER, "SELECT url, depth, parent, disposition FROM visits")
+ORACLE["frontier_from_sitemaps"] = Q.with_ctes(frontier_chain(True), "SELECT url, depth, parent, disposition FROM visits")
 ORACLE["crawl_order"] = Q.with_ctes(FRONTIER, "SELECT url, depth, place FROM visits")
 ORACLE["page_budget"] = Q.with_ctes(
     [

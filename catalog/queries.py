@@ -521,6 +521,16 @@ def page_budget(spark, sf):
     return visits.select("url", "depth", "disposition")
 
 
+@query
+def frontier_from_sitemaps(spark, sf):
+    lines = RB.robots_lines(derived(spark, sf, D.ROBOTS))
+    candidates = SM.sitemap_candidates(derived(spark, sf, D.SEEDS), RB.robots_sitemaps(lines))
+    listed = SM.sitemap_urls(candidates, derived(spark, sf, D.SITEMAPS), SEED, "subdomain", seeds=_start(spark, sf))
+    start = SM.seeds_with_sitemaps(_start(spark, sf), listed)
+    visits = FR.expand_frontier(start, _site(spark, sf), RUN, RB.robots_groups(lines, AGENT))
+    return visits.select("url", "depth", "parent", "disposition")
+
+
 @query
 def known_links(spark, sf):
     seen = _visits(spark, sf).select("url")

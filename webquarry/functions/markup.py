@@ -31,14 +31,18 @@ def without_raw_text(html: Column) -> Column:
     return F.regexp_replace(html, RAW_REGION, "$1")
 
 
-def raw_regions(html: Column, element: str) -> Column:
-    """Whole raw-text elements of one name, in document order."""
+def raw_regions(html: Column) -> Column:
+    """Title and style elements with their text, in document order."""
     return F.filter(
         F.regexp_extract_all(html, F.lit(RAW_REGION), F.lit(0)),
-        lambda r: r.rlike(rf"(?i)\A<{element}[\s/>]"),
+        lambda r: r.rlike(r"(?i)\A<(?:title|style)[\s/>]"),
     )
 
 
+def regions_of(regions: Column, element: str) -> Column:
+    return F.filter(regions, lambda r: r.rlike(rf"(?i)\A<{element}[\s/>]"))
+
+
 def region_text(region: Column) -> Column:
     """Content of a raw-text element returned by :func:`raw_regions`."""
     return F.regexp_extract(

@@ -89,7 +89,7 @@ def retry_plan(log: DataFrame, max_retries: int = 2) -> DataFrame:
 
 
 def polite_schedule(
-    requests: DataFrame, delays: DataFrame, bucket_ms: int = 3_600_000
+    requests: DataFrame, delays: DataFrame, bucket_ms: int = 60_000
 ) -> DataFrame:
     """When each request may start if a host is asked at most once per delay.
 

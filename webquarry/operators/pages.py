@@ -14,7 +14,6 @@ from webquarry.fixed_values import FORMS_PER_PAGE, SPACE_CLASS
 from webquarry.functions import markup as M
 from webquarry.functions.expr import distinct_by_first, explode_items, let, trim_wide
 from webquarry.functions.urls import base_parts, canonical_against, canonical_url, category
-from webquarry.schemas import FORM
 
 CSS_URL = rf"""(?i)url\([{SPACE_CLASS}]*['"]?([^'")]+)['"]?[{SPACE_CLASS}]*\)"""
 _CONTROL = r"(?is)<(?:input|select|textarea|button)(?=[\s/>])" + M._ATTRS + ">"
@@ -28,30 +27,33 @@ def _named(tags: Column, *names: str) -> Column:
 
 
 def page_tags(pages: DataFrame) -> DataFrame:
-    """Add ``page_url``, ``tags`` and ``base`` to snapshots with ``url, html``.
+    """Add ``page_url, markup, regions, tags, base`` to snapshots with ``url, html``.
 
-    ``base`` is the first ``base[href]`` resolved against the page, else the page.
+    ``markup`` is the HTML without raw text, ``regions`` the raw-text elements;
+    each is one pass over the page, shared by whatever needs it.  ``base`` is the
+    first ``base[href]`` resolved against the page, else the page.
     """
     page_url = canonical_url(F.col("url"))
     if "final_url" in pages.columns:
         page_url = F.coalesce(canonical_url(F.col("final_url")), page_url)
-    tags = F.transform(
-        M.start_tags(M.without_raw_text(F.col("html"))),
-        lambda t: F.struct(M.tag_name(t).alias("name"), t.alias("text")),
-    )
-    tagged = pages.withColumns(
+    split = pages.withColumns(
         {
             "page_url": page_url,
-            "tags": tags,
+            "markup": M.without_raw_text(F.col("html")),
+            "regions": M.raw_regions(F.col("html")),
         }
     )
+    tags = F.transform(
+        M.start_tags(F.col("markup")),
+        lambda t: F.struct(M.tag_name(t).alias("name"), t.alias("text")),
+    )
     first_base = F.get(
         F.filter(
             F.col("tags"), lambda t: (t["name"] == "base") & M.has_attribute(t["text"], "href")
         ),
         F.lit(0),
     )["text"]
-    return tagged.withColumn(
+    return split.withColumn("tags", tags).withColumn(
         "base",
         F.coalesce(
             F.when(
@@ -109,7 +111,7 @@ def _candidates(raws: Column, via: str, fixed: str | None, fallback: str | None)
     return F.transform(raws, lambda r: _candidate(r, via, fixed, fallback))
 
 
-def asset_candidates(tags: Column, html: Column) -> Column:
+def asset_candidates(tags: Column, regions: Column) -> Column:
     """Raw asset references of a page in rule order, then document order."""
 
     def image(t: Column) -> Column:
@@ -158,14 +160,9 @@ def asset_candidates(tags: Column, html: Column) -> Column:
         _named(tags, "script"),
         lambda t: _candidate(M.attribute(t["text"], "src"), "script", "scripts", None),
     )
-    sheets = F.when(
-        F.exists(tags, lambda t: t["name"] == "style"),
-        F.flatten(
-            F.transform(
-                M.raw_regions(html, "style"), lambda r: css_urls_column(M.region_text(r))
-            )
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+    sheets = F.flatten(
+        F.transform(M.regions_of(regions, "style"), lambda r: css_urls_column(M.region_text(r)))
+    )
     inline = F.flatten(
         F.transform(
             F.filter(tags, lambda t: F.contains(F.lower(t["text"]), F.lit("style"))),
@@ -184,7 +181,7 @@ def asset_candidates(tags: Column, html: Column) -> Column:
     )
 
 
-def assets_column(tags: Column, html: Column, base: Column) -> Column:
+def assets_column(tags: Column, regions: Column, base: Column) -> Column:
     """Assets of a page, ``array<struct<url,type,via>>``, first writer of a URL wins."""
 
     def typed(c: Column, parts: Column) -> Column:
@@ -199,14 +196,14 @@ def assets_column(tags: Column, html: Column, base: Column) -> Column:
 
     resolved = let(
         base_parts(base),
-        lambda parts: F.transform(asset_candidates(tags, html), lambda c: typed(c, parts)),
+        lambda parts: F.transform(asset_candidates(tags, regions), lambda c: typed(c, parts)),
     )
     return distinct_by_first(
         F.filter(resolved, lambda a: a["type"].isNotNull()), "url", ["url", "type", "via"]
     )
 
 
-def meta_column(tags: Column, html: Column, base: Column) -> Column:
+def meta_column(tags: Column, regions: Column, base: Column) -> Column:
     """The ten metadata fields; missing text is '', a missing canonical is null."""
     metas = F.transform(
         _named(tags, "meta"),
@@ -229,7 +226,7 @@ def meta_column(tags: Column, html: Column, base: Column) -> Column:
         def prop(name: str) -> Column:
             return first_text(m, lambda x: x["property"] == name, "content")
 
-        title = F.get(M.raw_regions(html, "title"), F.lit(0))
+        title = F.get(M.regions_of(regions, "title"), F.lit(0))
         canonical = F.get(
             F.filter(
                 _named(tags, "link"),
@@ -256,7 +253,7 @@ def meta_column(tags: Column, html: Column, base: Column) -> Column:
     return let(metas, build)
 
 
-def forms_column(html: Column, base: Column) -> Column:
+def forms_column(markup: Column, base: Column) -> Column:
     """Forms with their named controls, at most the first hundred of a page."""
 
     def control(tag: Column) -> Column:
@@ -283,23 +280,20 @@ def forms_column(html: Column, base: Column) -> Column:
         )
 
     blocks = F.slice(
-        F.regexp_extract_all(M.without_raw_text(html), F.lit(_FORM), F.lit(0)), 1, FORMS_PER_PAGE
+        F.regexp_extract_all(markup, F.lit(_FORM), F.lit(0)), 1, FORMS_PER_PAGE
     )
-    return F.when(
-        html.rlike(r"(?i)<form[\s/>]"),
-        let(base_parts(base), lambda parts: F.transform(blocks, lambda b: form(b, parts))),
-    ).otherwise(F.array().cast(f"array<{FORM}>"))
+    return let(base_parts(base), lambda parts: F.transform(blocks, lambda b: form(b, parts)))
 
 
 def parse_pages(pages: DataFrame, parts: tuple[str, ...] = ("meta", "links", "assets", "forms")) -> DataFrame:
     """Add ``page_url, base`` and the asked parts of each page as nested columns."""
     tagged = page_tags(pages)
-    tags, html, base = F.col("tags"), F.col("html"), F.col("base")
+    tags, regions, base = F.col("tags"), F.col("regions"), F.col("base")
     builders = {
-        "meta": lambda: meta_column(tags, html, base),
+        "meta": lambda: meta_column(tags, regions, base),
         "links": lambda: links_column(tags, base),
-        "assets": lambda: assets_column(tags, html, base),
-        "forms": lambda: forms_column(html, base),
+        "assets": lambda: assets_column(tags, regions, base),
+        "forms": lambda: forms_column(F.col("markup"), base),
     }
     return tagged.withColumns({part: builders[part]() for part in parts})
 
@@ -361,7 +355,7 @@ def css_urls(pages: DataFrame) -> DataFrame:
     """Resolved CSS ``url()`` references: style blocks, then style attributes."""
     blocks = F.flatten(
         F.transform(
-            M.raw_regions(F.col("html"), "style"), lambda r: css_urls_column(M.region_text(r))
+            M.regions_of(F.col("regions"), "style"), lambda r: css_urls_column(M.region_text(r))
         )
     )
     inline = F.flatten(

@@ -256,22 +256,25 @@ def social_links(pages: DataFrame) -> DataFrame:
     return explode_items(found, ["page_id"], "items", item="url")
 
 
-def distinct_findings(rows: DataFrame) -> DataFrame:
+def distinct_findings(rows: DataFrame, order: tuple[str, ...] = ("page_id", "ord")) -> DataFrame:
     """Emails, phones, socials and endpoints once per run, with the first page.
 
-    Partial aggregation keeps a value found on every page from piling up in one task.
+    ``order`` names the columns that give the crawl order.  Partial aggregation
+    keeps a value found on every page from piling up in one task.
     """
     return (
         rows.where(F.col("kind").isin("email", "phone", "social", "endpoint"))
         .groupBy("kind", "value")
         .agg(
-            F.min_by("page_url", F.struct("page_id", "ord")).alias("page_url"),
-            F.min(F.struct("page_id", "ord")).alias("first_seen"),
+            F.min_by("page_url", F.struct(*order)).alias("page_url"),
+            F.min(F.struct(*order)).alias("first_seen"),
         )
     )
 
 
-def run_findings(rows: DataFrame, stored: bool = False) -> DataFrame:
+def run_findings(
+    rows: DataFrame, stored: bool = False, order: tuple[str, ...] = ("page_id", "ord")
+) -> DataFrame:
     """Findings a run keeps: distinct kinds, and the caps on the unbounded ones.
 
     Every cap is a top list in crawl order: each task keeps at most the cap, so
@@ -281,7 +284,7 @@ def run_findings(rows: DataFrame, stored: bool = False) -> DataFrame:
     """
     if not stored:
         rows = durable(rows)
-    first = distinct_findings(rows)
+    first = distinct_findings(rows, order)
     kept = first.where(F.col("kind") != "endpoint").select(
         "kind", F.lit(None).cast("string").alias("subtype"), "value", "page_url", "first_seen"
     )
@@ -289,7 +292,7 @@ def run_findings(rows: DataFrame, stored: bool = False) -> DataFrame:
         first.where(F.col("kind") == "endpoint").orderBy("first_seen").limit(ENDPOINTS_PER_RUN)
     ).select("kind", F.lit(None).cast("string").alias("subtype"), "value", "page_url", "first_seen")
     every = rows.select(
-        "kind", "subtype", "value", "page_url", F.struct("page_id", "ord").alias("first_seen")
+        "kind", "subtype", "value", "page_url", F.struct(*order).alias("first_seen")
     )
     secrets = every.where(F.col("kind") == "secret").orderBy("first_seen").limit(SECRETS_PER_RUN)
     comments = every.where(F.col("kind") == "comment").orderBy("first_seen").limit(COMMENTS_PER_RUN)

@@ -16,7 +16,7 @@ from webquarry.config import CrawlConfig
 from webquarry.functions.expr import explode_items
 from webquarry.functions.urls import in_scope, passes_patterns
 from webquarry.operators.skew import join_one_per_key
-from webquarry.session import UrlTables
+from webquarry.session import UrlTables, durable
 from webquarry.sources.robots import robots_allowed
 
 MAX_SEEN_TABLES = 8
@@ -24,7 +24,7 @@ MAX_SEEN_TABLES = 8
 
 def first_seed_of(seeds: DataFrame) -> str:
     """The seed every scope test is relative to."""
-    return seeds.orderBy("ord").first()["url"]
+    return seeds.orderBy("place" if "place" in seeds.columns else "ord").first()["url"]
 
 
 def expand_frontier(
@@ -35,10 +35,11 @@ def expand_frontier(
 ) -> DataFrame:
     """Visits ``url, depth, parent, place, disposition``.
 
-    ``seeds`` has ``url, ord, parent``; ``snapshots`` one row per requested URL,
-    ``url, links``; ``robots`` the groups of :func:`robots_groups`.  A visit is a
-    ``page`` (snapshot present), an ``error`` (none), ``robots`` (disallowed) or
-    ``queued`` (left over when the page budget ran out).
+    ``seeds`` has ``url, parent`` and ``ord``, or ``place`` where sitemaps were
+    added; ``snapshots`` has one row per requested URL, ``url, links``; ``robots``
+    the groups of :func:`robots_groups`.  A visit is a ``page`` (snapshot present),
+    an ``error`` (none), ``robots`` (disallowed) or ``queued`` (left over when the
+    page budget ran out).
 
     ``place`` is the chain of link positions from the seed: within a level its
     order is the crawl order, so no level is ever sorted.
@@ -58,11 +59,13 @@ def _expand(
     robots: DataFrame | None,
 ) -> DataFrame:
     first_seed = F.lit(first_seed_of(seeds))
+    if robots is not None:
+        robots = durable(robots.select("host", "rules"))
     stored = tables.write(tables.spread(snapshots.select("url", "links")))
-    found = (
-        seeds.groupBy("url")
-        .agg(F.min_by("parent", "ord").alias("parent"), F.min("ord").alias("ord"))
-        .select("url", "parent", F.array(F.col("ord").cast("int")).alias("place"))
+    if "place" not in seeds.columns:
+        seeds = seeds.withColumn("place", F.array(F.col("ord").cast("int")))
+    found = seeds.groupBy("url").agg(
+        F.min_by("parent", "place").alias("parent"), F.min("place").alias("place")
     )
     visits: DataFrame | None = None
     seen: list[DataFrame] = []

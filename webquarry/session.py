@@ -54,12 +54,13 @@ def new_folder(spark: SparkSession, purpose: str) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Compute once, keep on shared storage, forget the lineage."""
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    """Compute once into a table on shared storage and go on from that table.
+
+    Later reads prune columns, know their size and carry no lineage.
+    """
+    path = new_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class UrlTables:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from webquarry.fixed_values import SITEMAP_MAX_DEPTH, SITEMAP_URLS_PER_SEED
 from webquarry.functions.expr import explode_items, keep_if
 from webquarry.functions.urls import canonical_url, host_with_port, in_scope, origin, passes_patterns
+from webquarry.operators.skew import join_one_per_key
 
 _LOC = r"(?i)<loc>\s*([^<\s]+)\s*</loc>"
 
@@ -105,5 +106,23 @@ def sitemap_urls(
     read = added.withColumn("earlier", F.coalesce(earlier, F.lit(0))).where(
         F.col("earlier") <= SITEMAP_URLS_PER_SEED
     )
-    # Candidates are few; only their keys are joined back.
-    return first.join(read.select("seed_no", "candidate_no"), ["seed_no", "candidate_no"])
+    key = F.concat_ws("/", "seed_no", "candidate_no").alias("candidate")
+    # One sitemap may hold most URLs, so the mark goes back over a salted join.
+    return join_one_per_key(
+        first.select("*", key), read.select(key), "candidate", how="inner"
+    ).drop("candidate")
+
+
+def seeds_with_sitemaps(seeds: DataFrame, listed: DataFrame) -> DataFrame:
+    """Frontier seeds ``url, parent, place``: the seeds, then what their sitemaps list."""
+    own = seeds.select(
+        "url", F.col("parent").cast("string").alias("parent"), F.array(F.lit(0), F.col("ord").cast("int")).alias("place")
+    )
+    found = listed.select(
+        "url",
+        "parent",
+        F.concat(
+            F.array(F.lit(1), F.col("seed_no").cast("int"), F.col("candidate_no").cast("int")), "place"
+        ).alias("place"),
+    )
+    return own.unionByName(found)
