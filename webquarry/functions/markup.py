@@ -1,7 +1,7 @@
-"""HTML as column expressions: raw-text regions, start tags, attributes.
+"""HTML as column expressions: tokens, start tags, attributes.
 
-A page is read with one left-to-right pattern per question, so a page costs a
-few linear passes and no shuffle.  Repeats are possessive: Java then matches
+A page is read by one left-to-right pattern, so it costs one linear pass and no
+shuffle.  Repeats are possessive: Java then matches
 them in a loop instead of recursing, and long attributes cannot exhaust the
 stack.
 """
@@ -18,45 +18,64 @@ _ATTRS = rf"(?:[\s/]++|{_ATTR})*+"
 _RAW_ELEMENTS = "script|style|title|textarea|iframe|xmp|noembed|noframes"
 _END_OF_NAME = r"(?=[\s/>])"
 
-# Comments, and elements whose content is text; group 1 is such an element's start tag.
-RAW_REGION = (
-    r"(?is)<!--(?:-?>|.*?(?:-->|--!>|\z))"
-    rf"|(<({_RAW_ELEMENTS}){_END_OF_NAME}{_ATTRS}>).*?(?:</\2{_END_OF_NAME}[^>]*>|\z)"
-)
-START_TAG = rf"<[A-Za-z][^\s/>]*+{_ATTRS}>"
 
 
-def without_raw_text(html: Column) -> Column:
-    """HTML without comments and without the content of raw-text elements."""
-    return F.regexp_replace(html, RAW_REGION, "$1")
+def token_pattern(names: tuple[str, ...] = ()) -> str:
+    """One left-to-right pattern for a page's tokens.
+
+    A token is a comment, a raw-text element with its text, the end of a form, or
+    a start tag; ``names`` limits the start tags to those asked for.  Comments and
+    raw-text elements are always taken whole, so markup inside them is skipped.
+    """
+    name = f"(?:{'|'.join(names)}){_END_OF_NAME}" if names else r"[a-z][^\s/>]*+"
+    return (
+        r"(?is)<(?:!--(?:-?>|.*?(?:-->|--!>|\z))"
+        rf"|({_RAW_ELEMENTS}){_END_OF_NAME}{_ATTRS}>.*?(?:</\1{_END_OF_NAME}[^>]*>|\z)"
+        rf"|/form{_END_OF_NAME}[^>]*>"
+        rf"|{name}{_ATTRS}>)"
+    )
 
 
-def raw_regions(html: Column) -> Column:
-    """Title and style elements with their text, in document order."""
+def tokens(html: Column, names: tuple[str, ...] = ()) -> Column:
+    """Raw-text elements, form ends and start tags of a page in document order."""
     return F.filter(
-        F.regexp_extract_all(html, F.lit(RAW_REGION), F.lit(0)),
-        lambda r: r.rlike(r"(?i)\A<(?:title|style)[\s/>]"),
+        F.regexp_extract_all(html, F.lit(token_pattern(names)), F.lit(0)),
+        lambda t: ~F.startswith(t, F.lit("<!")),
     )
 
 
-def regions_of(regions: Column, element: str) -> Column:
-    return F.filter(regions, lambda r: r.rlike(rf"(?i)\A<{element}[\s/>]"))
+def tag_name(token: Column) -> Column:
+    return F.lower(F.regexp_extract(token, r"\A<(/?[A-Za-z][^\s/>]*)", 1))
 
 
-def region_text(region: Column) -> Column:
-    """Content of a raw-text element returned by :func:`raw_regions`."""
-    return F.regexp_extract(
-        region, rf"(?is)\A<[a-z]++{_ATTRS}>(.*?)(?:</[a-z]++{_END_OF_NAME}[^>]*>)?\z", 1
-    )
+def tags_of(found: Column) -> Column:
+    """Tokens as ``array<struct<name,text>>``; raw-text elements lose their text."""
 
+    def tag(token: Column) -> Column:
+        return let(
+            tag_name(token),
+            lambda name: F.struct(
+                name.alias("name"),
+                F.when(
+                    name.isin(*_RAW_ELEMENTS.split("|")),
+                    F.regexp_extract(token, rf"\A<[A-Za-z]++{_ATTRS}>", 0),
+                )
+                .otherwise(token)
+                .alias("text"),
+            ),
+        )
 
-def start_tags(markup: Column) -> Column:
-    """Start tags as text, in document order; expects :func:`without_raw_text`."""
-    return F.regexp_extract_all(markup, F.lit(START_TAG), F.lit(0))
+    return F.transform(found, tag)
 
 
-def tag_name(tag: Column) -> Column:
-    return F.lower(F.regexp_extract(tag, r"\A<([A-Za-z][^\s/>]*)", 1))
+def texts_of(found: Column, element: str) -> Column:
+    """Text of every raw-text element of one name among the tokens."""
+    return F.transform(
+        F.filter(found, lambda t: t.rlike(rf"(?i)\A<{element}[\s/>]")),
+        lambda t: F.regexp_extract(
+            t, rf"(?is)\A<[a-z]++{_ATTRS}>(.*?)(?:</[a-z]++{_END_OF_NAME}[^>]*>)?\z", 1
+        ),
+    )
 
 
 def decode_entities(text: Column) -> Column:

@@ -26,34 +26,34 @@ def _named(tags: Column, *names: str) -> Column:
     return F.filter(tags, lambda t: t["name"].isin(*names))
 
 
-def page_tags(pages: DataFrame) -> DataFrame:
-    """Add ``page_url, markup, regions, tags, base`` to snapshots with ``url, html``.
+# Start tags each part of a page needs; an asset can sit in any tag's style attribute.
+_NEEDED = {
+    "links": ("a", "frame"),
+    "meta": ("meta", "link", "html"),
+    "forms": ("form", "input", "select", "button"),
+}
 
-    ``markup`` is the HTML without raw text, ``regions`` the raw-text elements;
-    each is one pass over the page, shared by whatever needs it.  ``base`` is the
-    first ``base[href]`` resolved against the page, else the page.
+
+def page_tags(pages: DataFrame, names: tuple[str, ...] = ()) -> DataFrame:
+    """Add ``page_url, tokens, tags, base`` to snapshots with ``url, html``.
+
+    ``tokens`` is the page's one pass over its HTML, shared by whatever needs it;
+    ``names`` limits the start tags.  ``base`` is the first ``base[href]``
+    resolved against the page, else the page.
     """
     page_url = canonical_url(F.col("url"))
     if "final_url" in pages.columns:
         page_url = F.coalesce(canonical_url(F.col("final_url")), page_url)
-    split = pages.withColumns(
-        {
-            "page_url": page_url,
-            "markup": M.without_raw_text(F.col("html")),
-            "regions": M.raw_regions(F.col("html")),
-        }
-    )
-    tags = F.transform(
-        M.start_tags(F.col("markup")),
-        lambda t: F.struct(M.tag_name(t).alias("name"), t.alias("text")),
-    )
+    if names:
+        names = (*names, "base")
+    read = pages.withColumns({"page_url": page_url, "tokens": M.tokens(F.col("html"), names)})
     first_base = F.get(
         F.filter(
             F.col("tags"), lambda t: (t["name"] == "base") & M.has_attribute(t["text"], "href")
         ),
         F.lit(0),
     )["text"]
-    return split.withColumn("tags", tags).withColumn(
+    return read.withColumn("tags", M.tags_of(F.col("tokens"))).withColumn(
         "base",
         F.coalesce(
             F.when(
@@ -111,7 +111,7 @@ def _candidates(raws: Column, via: str, fixed: str | None, fallback: str | None)
     return F.transform(raws, lambda r: _candidate(r, via, fixed, fallback))
 
 
-def asset_candidates(tags: Column, regions: Column) -> Column:
+def asset_candidates(tags: Column, tokens: Column) -> Column:
     """Raw asset references of a page in rule order, then document order."""
 
     def image(t: Column) -> Column:
@@ -161,7 +161,7 @@ def asset_candidates(tags: Column, regions: Column) -> Column:
         lambda t: _candidate(M.attribute(t["text"], "src"), "script", "scripts", None),
     )
     sheets = F.flatten(
-        F.transform(M.regions_of(regions, "style"), lambda r: css_urls_column(M.region_text(r)))
+        F.transform(M.texts_of(tokens, "style"), css_urls_column)
     )
     inline = F.flatten(
         F.transform(
@@ -181,7 +181,7 @@ def asset_candidates(tags: Column, regions: Column) -> Column:
     )
 
 
-def assets_column(tags: Column, regions: Column, base: Column) -> Column:
+def assets_column(tags: Column, tokens: Column, base: Column) -> Column:
     """Assets of a page, ``array<struct<url,type,via>>``, first writer of a URL wins."""
 
     def typed(c: Column, parts: Column) -> Column:
@@ -196,14 +196,14 @@ def assets_column(tags: Column, regions: Column, base: Column) -> Column:
 
     resolved = let(
         base_parts(base),
-        lambda parts: F.transform(asset_candidates(tags, regions), lambda c: typed(c, parts)),
+        lambda parts: F.transform(asset_candidates(tags, tokens), lambda c: typed(c, parts)),
     )
     return distinct_by_first(
         F.filter(resolved, lambda a: a["type"].isNotNull()), "url", ["url", "type", "via"]
     )
 
 
-def meta_column(tags: Column, regions: Column, base: Column) -> Column:
+def meta_column(tags: Column, tokens: Column, base: Column) -> Column:
     """The ten metadata fields; missing text is '', a missing canonical is null."""
     metas = F.transform(
         _named(tags, "meta"),
@@ -226,7 +226,7 @@ def meta_column(tags: Column, regions: Column, base: Column) -> Column:
         def prop(name: str) -> Column:
             return first_text(m, lambda x: x["property"] == name, "content")
 
-        title = F.get(M.regions_of(regions, "title"), F.lit(0))
+        title = F.get(M.texts_of(tokens, "title"), F.lit(0))
         canonical = F.get(
             F.filter(
                 _named(tags, "link"),
@@ -236,7 +236,7 @@ def meta_column(tags: Column, regions: Column, base: Column) -> Column:
         )["text"]
         root = F.get(_named(tags, "html"), F.lit(0))["text"]
         return F.struct(
-            trim_wide(F.coalesce(M.decode_entities(M.region_text(title)), F.lit(""))).alias("title"),
+            trim_wide(F.coalesce(M.decode_entities(title), F.lit(""))).alias("title"),
             F.coalesce(
                 F.nullif(named("description"), F.lit("")), prop("og:description")
             ).alias("description"),
@@ -253,7 +253,7 @@ def meta_column(tags: Column, regions: Column, base: Column) -> Column:
     return let(metas, build)
 
 
-def forms_column(markup: Column, base: Column) -> Column:
+def forms_column(tags: Column, base: Column) -> Column:
     """Forms with their named controls, at most the first hundred of a page."""
 
     def control(tag: Column) -> Column:
@@ -279,34 +279,36 @@ def forms_column(markup: Column, base: Column) -> Column:
             ).alias("inputs"),
         )
 
-    blocks = F.slice(
-        F.regexp_extract_all(markup, F.lit(_FORM), F.lit(0)), 1, FORMS_PER_PAGE
-    )
+    # Form tags and controls alone, in document order, are a small text to cut up.
+    related = _named(tags, "form", "/form", "input", "select", "textarea", "button")
+    skeleton = F.array_join(F.transform(related, lambda t: t["text"]), "")
+    blocks = F.slice(F.regexp_extract_all(skeleton, F.lit(_FORM), F.lit(0)), 1, FORMS_PER_PAGE)
     return let(base_parts(base), lambda parts: F.transform(blocks, lambda b: form(b, parts)))
 
 
 def parse_pages(pages: DataFrame, parts: tuple[str, ...] = ("meta", "links", "assets", "forms")) -> DataFrame:
     """Add ``page_url, base`` and the asked parts of each page as nested columns."""
-    tagged = page_tags(pages)
-    tags, regions, base = F.col("tags"), F.col("regions"), F.col("base")
+    names = () if "assets" in parts else tuple(n for part in parts for n in _NEEDED[part])
+    tagged = page_tags(pages, names)
+    tags, tokens, base = F.col("tags"), F.col("tokens"), F.col("base")
     builders = {
-        "meta": lambda: meta_column(tags, regions, base),
+        "meta": lambda: meta_column(tags, tokens, base),
         "links": lambda: links_column(tags, base),
-        "assets": lambda: assets_column(tags, regions, base),
-        "forms": lambda: forms_column(F.col("markup"), base),
+        "assets": lambda: assets_column(tags, tokens, base),
+        "forms": lambda: forms_column(tags, base),
     }
     return tagged.withColumns({part: builders[part]() for part in parts})
 
 
 def html_tags(pages: DataFrame) -> DataFrame:
     """One row per start tag: ``page_id, ord, tag, attrs``."""
-    tags = M.start_tags(M.without_raw_text(F.col("html")))
-    rows = explode_items(pages.select("page_id", tags.alias("tags")), ["page_id"], "tags", item="text")
+    tags = F.filter(M.tags_of(M.tokens(F.col("html"))), lambda t: t["name"] != "/form")
+    rows = explode_items(pages.select("page_id", tags.alias("tags")), ["page_id"], "tags")
     return rows.select(
         "page_id",
         "ord",
-        M.tag_name(F.col("text")).alias("tag"),
-        M.attributes(F.col("text")).alias("attrs"),
+        F.col("item.name").alias("tag"),
+        M.attributes(F.col("item.text")).alias("attrs"),
     )
 
 
@@ -347,17 +349,15 @@ def srcset_urls(pages: DataFrame) -> DataFrame:
             ),
         )
     )
-    found = page_tags(pages).withColumn("urls", _canonical_all(raws, F.col("base")))
+    found = page_tags(pages, ("img", "source")).withColumn(
+        "urls", _canonical_all(raws, F.col("base"))
+    )
     return explode_items(found, ["page_id"], "urls", item="url")
 
 
 def css_urls(pages: DataFrame) -> DataFrame:
     """Resolved CSS ``url()`` references: style blocks, then style attributes."""
-    blocks = F.flatten(
-        F.transform(
-            M.regions_of(F.col("regions"), "style"), lambda r: css_urls_column(M.region_text(r))
-        )
-    )
+    blocks = F.flatten(F.transform(M.texts_of(F.col("tokens"), "style"), css_urls_column))
     inline = F.flatten(
         F.transform(F.col("tags"), lambda t: css_urls_column(M.attribute(t["text"], "style")))
     )
