@@ -95,8 +95,7 @@ SECRET_PATTERNS = (
      r"{b}aws_secret_access_key[\"'{s}:=]{{1,4}}[\"']([0-9A-Za-z/+=]{{40}})[\"']",
      ("aws_secret_access_key",)),
     ("Google API Key", "", r"{b}AIza[0-9A-Za-z\-_]{{35}}{e}", ("AIza",)),
-    ("Slack Token", "", r"{b}xox[baprs]-[0-9A-Za-z-]{{10,48}}{e}",
-     ("xoxb-", "xoxa-", "xoxp-", "xoxr-", "xoxs-")),
+    ("Slack Token", "", r"{b}xox[baprs]-[0-9A-Za-z-]{{10,48}}{e}", ("xox",)),
     ("GitHub Token", "", r"{b}gh[pousr]_[0-9A-Za-z]{{36,255}}{e}",
      ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     ("Stripe Key", "", r"{b}sk_(?:live|test)_[0-9A-Za-z]{{16,99}}{e}", ("sk_live_", "sk_test_")),
