@@ -638,3 +638,15 @@ ORACLE["stream_host_rate"] = Q.with_ctes(
     LOG,
     "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, host, count(*) AS requests FROM log GROUP BY ALL",
 )
+
+# Positions are 32-bit in Spark arrays; give them the same type here.
+for _column, _names in {
+    "ord": (
+        "seeds", "bad_seeds", "html_tags", "page_links", "market_links", "stream_links", "page_assets", "srcset_urls",
+        "css_urls", "emails", "phones", "document_contacts", "secrets", "endpoints", "comments", "social_links",
+    ),
+    "line": ("robots_rules",),
+    "form_no": ("page_forms",),
+}.items():
+    for _name in _names:
+        ORACLE[_name] = f"SELECT * REPLACE (CAST({_column} AS INTEGER) AS {_column}) FROM (\n{ORACLE[_name]}\n)"

@@ -44,7 +44,7 @@ def sniff_type(content: Column) -> Column:
             .when(magic("504B0[357]"), "zip")
             .when(magic("1F8B"), "gzip")
             .when(magic(".{8}66747970.{8}"), "mp4")
-            .when(text("<svg") | (text(r"<\?xml") & F.contains(h["text"], F.lit("<svg"))), "svg")
+            .when(text("<svg") | (text(r"<\?xml") & h["text"].contains("<svg")), "svg")
             .when(text(r"<\?xml"), "xml")
             .when(text("<!doctype html", "<html", "<head", "<body"), "html")
             .otherwise("")
@@ -99,7 +99,7 @@ def percent_decode(path: Column) -> Column:
     return F.when(~path.rlike("%(?![0-9A-Fa-f]{2})"), let(
         decoded,
         lambda d: F.when(
-            ~F.contains(d, F.lit("�")) | path.rlike("(?i)�|%EF%BF%BD"), d
+            ~d.contains("�") | path.rlike("(?i)�|%EF%BF%BD"), d
         ),
     ))
 
@@ -109,7 +109,7 @@ def mirror_path(url: Column, index_name: Column | str = "index.html") -> Column:
     index = F.lit(index_name) if isinstance(index_name, str) else index_name
 
     def place(path: Column) -> Column:
-        full = F.when(F.endswith(path, F.lit("/")) | (path == ""), F.concat(path, index)).otherwise(path)
+        full = F.when(path.endswith("/") | (path == ""), F.concat(path, index)).otherwise(path)
         names = F.transform(
             F.filter(F.split(full, "/"), lambda s: s != ""), lambda s: safe_name(s, "seg")
         )

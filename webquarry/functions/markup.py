@@ -40,7 +40,7 @@ def tokens(html: Column, names: tuple[str, ...] = ()) -> Column:
     """Raw-text elements, form ends and start tags of a page in document order."""
     return F.filter(
         F.regexp_extract_all(html, F.lit(token_pattern(names)), F.lit(0)),
-        lambda t: ~F.startswith(t, F.lit("<!")),
+        lambda t: ~t.startswith("<!"),
     )
 
 
@@ -86,12 +86,12 @@ def decode_entities(text: Column) -> Column:
         ("&amp;", "&"),
     ):
         decoded = F.replace(decoded, F.lit(entity), F.lit(char))
-    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
+    return F.when(text.contains("&"), decoded).otherwise(text)
 
 
 def _unquote(value: Column) -> Column:
     return F.when(
-        F.startswith(value, F.lit('"')) | F.startswith(value, F.lit("'")),
+        value.startswith('"') | value.startswith("'"),
         F.substr(value, F.lit(2), F.length(value) - 2),
     ).otherwise(value)
 

@@ -117,14 +117,14 @@ def _absolute(parts: Column, base: Column | None) -> Column:
         rest, query = p["rest"], p["query"]
         if base is None:
             return F.when(p["scheme"].isin("http", "https"), hosted(p["scheme"], rest, query))
-        own_host = F.startswith(rest, F.lit("//")) | (
+        own_host = rest.startswith("//") | (
             (p["scheme"] != "") & (base["scheme"].isNull() | (p["scheme"] != base["scheme"]))
         )
         relative = F.struct(
             base["scheme"].alias("scheme"),
             base["authority"].alias("authority"),
             F.when(rest == "", base["path"])
-            .when(F.startswith(rest, F.lit("/")), rest)
+            .when(rest.startswith("/"), rest)
             .otherwise(F.concat(base["dir"], rest))
             .alias("path"),
             F.when((rest == "") & (query == ""), base["query"]).otherwise(query).alias("query"),
@@ -201,7 +201,7 @@ def canonical_against(raw: Column, base: Column | None) -> Column:
     def full(text: Column) -> Column:
         resolved = let(_split_reference(text), lambda parts: _absolute(parts, base))
         return F.when(
-            (text != "") & ~F.startswith(text, F.lit("#")), let(resolved, _serialize)
+            (text != "") & ~text.startswith("#"), let(resolved, _serialize)
         )
 
     def shortest(text: Column) -> Column:

@@ -141,12 +141,12 @@ def asset_candidates(tags: Column, tokens: Column) -> Column:
 
     def linked(t: Column) -> Column:
         def typed(rel: Column) -> Column:
-            early = F.contains(rel, F.lit("preload")) | F.contains(rel, F.lit("prefetch"))
+            early = rel.contains("preload") | rel.contains("prefetch")
             return F.struct(
                 M.attribute(t["text"], "href").alias("raw"),
                 F.lit("link").alias("via"),
-                F.when(F.contains(rel, F.lit("stylesheet")), "styles")
-                .when(F.contains(rel, F.lit("icon")), "images")
+                F.when(rel.contains("stylesheet"), "styles")
+                .when(rel.contains("icon"), "images")
                 .alias("fixed"),
                 F.when(early, "other").alias("fallback"),
             )

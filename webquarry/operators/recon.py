@@ -45,9 +45,9 @@ _SECRETS = "array<struct<type:string,value:string>>"
 
 
 def _mentions(text: Column, literals: tuple[str, ...]) -> Column:
-    found = F.contains(text, F.lit(literals[0]))
+    found = text.contains(literals[0])
     for literal in literals[1:]:
-        found = found | F.contains(text, F.lit(literal))
+        found = found | text.contains(literal)
     return found
 
 

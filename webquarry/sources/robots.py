@@ -109,7 +109,7 @@ def rule_regex(path: Column) -> Column:
     return F.concat(
         F.lit(r"\A"),
         F.replace(escaped, F.lit("*"), F.lit(".*")),
-        F.when(F.endswith(path, F.lit("$")), F.lit(r"\z")).otherwise(F.lit("")),
+        F.when(path.endswith("$"), F.lit(r"\z")).otherwise(F.lit("")),
     )
 
 

@@ -9,6 +9,7 @@ from webquarry.fixed_values import SITEMAP_MAX_DEPTH, SITEMAP_URLS_PER_SEED
 from webquarry.functions.expr import explode_items, keep_if
 from webquarry.functions.urls import canonical_url, host_with_port, in_scope, origin, passes_patterns
 from webquarry.operators.skew import join_one_per_key
+from webquarry.session import durable
 
 _LOC = r"(?i)<loc>\s*([^<\s]+)\s*</loc>"
 
@@ -59,16 +60,20 @@ def sitemap_urls(
     earlier ones have added more than the limit.
     """
     entries = sitemap_entries(sitemaps)
-    indexes = entries.where("is_index").drop("is_index")
+    indexes = durable(entries.where("is_index").drop("is_index"))
     level = candidates.select(
         "seed_no", "candidate_no", "sitemap", F.array().cast("array<int>").alias("place")
     )
+    # Each level is stored, so the next one and the final union start from a table.
+    level = durable(level)
     reached = level
     for _ in range(SITEMAP_MAX_DEPTH):
         found = explode_items(
             level.join(indexes, "sitemap"), ["seed_no", "candidate_no", "place"], "locs", "n", "sitemap"
         )
-        level = found.withColumn("place", F.concat("place", F.array("n"))).drop("n")
+        level = durable(found.withColumn("place", F.concat("place", F.array("n"))).drop("n"))
+        if level.isEmpty():
+            break
         reached = reached.unionByName(level)
     # Index files are few; the URL lists are joined once, after all levels are known.
     leaves = explode_items(
@@ -92,7 +97,7 @@ def sitemap_urls(
     if seeds is not None:
         wanted = wanted.join(seeds.select("url").distinct(), "url", "left_anti")
     order = F.struct("seed_no", "candidate_no", "place")
-    first = (
+    first = durable(
         wanted.groupBy("url")
         .agg(F.min_by(F.struct("seed_no", "candidate_no", "parent", "place"), order).alias("f"))
         .select("url", "f.*")
