@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from webquarry.fixed_values import BINARY_CATEGORIES, CONTENT_TYPE_EXTENSIONS, SPACE_CLASS, SPACES
 from webquarry.functions.expr import let
-from webquarry.functions.urls import extension, extension_of_name, hostname, pathname, search
+from webquarry.functions.urls import extension, hostname, pathname, search
 
 
 def extension_of_content_type(content_type: Column) -> Column:
@@ -192,10 +192,3 @@ def disambiguated_name(name: Column, url: Column) -> Column:
             F.lit("__"), fnv1a_hex(url), d,
         ),
     )
-
-
-__all__ = [
-    "disambiguated_name", "extension_of_content_type", "extension_of_name", "file_name",
-    "fnv1a_hex", "is_html_as_file", "mirror_path", "percent_decode", "real_extension",
-    "safe_name", "sniff_type", "type_folder", "with_missing_extension",
-]

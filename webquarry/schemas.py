@@ -1,4 +1,4 @@
-"""Column lists of the tables the jobs exchange."""
+"""The schema of a page snapshot, the one table every job starts from."""
 
 from __future__ import annotations
 
@@ -7,11 +7,3 @@ SNAPSHOT = (
     "headers map<string,string>, html string, rendered_with string, escalated boolean, "
     "error string, fetched_at timestamp, took_ms long"
 )
-META_FIELDS = (
-    "title", "description", "canonical", "lang", "og_title", "og_type", "og_image", "robots_meta",
-    "generator", "charset",
-)
-META = "struct<" + ",".join(f"{name}:string" for name in META_FIELDS) + ">"
-ASSET = "struct<url:string,type:string,via:string>"
-FORM = "struct<action:string,method:string,inputs:array<struct<name:string,type:string>>>"
-FINDING = "struct<ord:int,kind:string,subtype:string,value:string>"
