@@ -1,0 +1,124 @@
+import random
+from collections import defaultdict
+
+from webquarry.llm import html, licences, urltree
+
+PAGE = """<!DOCTYPE html><html><head><title>t</title><script>if (a<b) x("</p>")</script></head><body>
+<header><h2>Site name</h2></header><nav><ul><li><a href="/a">One</a></li><li>Two</li></ul></nav>
+<div class="cookie-notice">We use cookies, lots of them, on every page. Accept.</div>
+<div id="sidebar"><p>Read also: many other things, and more of them.</p></div>
+<article class="post"><h1>The &eacute;lan</h1><p><b>First  line,\n with a&#32;break.<br>Same block.<p>Second &amp;lt; one.</p>
+<div class="share"><a href="x">Share</a></div><!-- ad --><ul><li>Item<li>Other</ul><aside>Side note.</aside></article>
+<section id="comments"><p>Great article, thanks a lot!</p></section><form><label>Mail</label><input></form>
+<footer>&copy; someone</footer></body></html>"""
+
+
+def test_main_text_of_an_article():
+    assert html.main_text(PAGE) == "The élan\nFirst line, with a break. Same block.\nSecond &lt; one.\nItem\nOther"
+
+
+def test_main_text_without_an_article():
+    body = "".join(f"<p>Sentence number {i}, with some words, and a full stop.</p>" for i in range(8))
+    page = f"<body><div class=menu><a>Home</a></div><table><tr><td><a>x</a><td><a>y</a></table><div><h1>Head</h1>{body}</div><div><a>next</a></div></body>"
+    lines = html.main_text(page).split("\n")
+    assert lines[0] == "Head" and len(lines) == 9 and lines[-1].startswith("Sentence number 7")
+
+
+def test_odd_pages():
+    for page in ("", "   ", "<", "<p", "<article", "</p></div>", "<script>x", "<!-- x", "<p class='x", "&", "<a b=\"" * 50):
+        assert isinstance(html.main_text(page), str)
+    assert html.main_text("plain words") == "plain words"
+    assert html.main_text("<nav>only a menu</nav>") == ""
+    assert html.main_text("<article><p>cut &am") == "cut &am"
+    deep = "<div>" * 500 + "text here." + "</div>" * 500
+    assert html.main_text(deep) == "text here."
+
+
+def test_long_page_is_linear():
+    page = "<article>" + "<p>Some words, and more.</p>" * 40_000 + "<a b=x " * 20_000
+    assert html.main_text(page).count("\n") == 39_999
+
+
+def test_extraction_keeps_every_row(spark):
+    rows = [(1, "u", PAGE, 5), (1, "u", PAGE, 5), (None, None, None, None), (2, "v", "", 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")
+    got = html.extract_main_text(pages).collect()
+    assert len(got) == 4 and all(r["n_chars"] == len(r["text"]) for r in got)
+    assert sorted(r["text"] != "" for r in got) == [False, False, True, True]
+    assert html.extract_main_text(pages.where("false")).count() == 0
+
+
+RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
+
+
+def slow_split(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    at = min([rest.index(c) for c in "/?#" if c in rest], default=len(rest))
+    host, path = rest[:at], rest[at:]
+    path = path[: min([path.index(c) for c in "?#" if c in path], default=len(path))]
+    return "".join(c.lower() if c.isascii() else c for c in host), path
+
+
+def slow_rule(host, path):
+    best = None
+    for action, rule in RULES:
+        name, start = rule.split("/", 1)[0], "/" + rule.split("/", 1)[1]
+        if (host == name or host.endswith("." + name)) and path.startswith(start) and (best is None or len(rule) > len(best[1])):
+            best = (action, rule)
+    return best
+
+
+URLS = [
+    None, "", "no scheme", "http://", "http://EXAMPLE.com/en/x?a#b", "https://www.example.com/en/", "http://a.example.com/en", "x://y://z/q",
+    "http://b.net/es/1#top", "http://b.net/fr/1", "http://b.net/de/1", "http://notexample.com/en/", "http://com", "http://com/", "http://ÄB.net/Fr/",
+    "http://h.org?x/y", "http://h.org#f/", "http://h.org/a//b/", "http://h.org/a\nb/c",
+]
+
+
+def test_split_and_rules_against_plain_code(spark):
+    rows = [(i, u, None, "r") for i, u in enumerate(URLS)] + [(None, URLS[4], 1, "r"), (0, None, None, "r")]
+    urls = spark.createDataFrame(rows, "page_id long, url string, bad int, rule string")
+    got = urltree.judge_urls(urls, RULES).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r["id"] is not None:
+            host, path = slow_split(URLS[r["id"]])
+            rule = slow_rule(host, path)
+            assert (r["host"], r["path"]) == (host, path)
+            assert r["rule"] == (rule and rule[1]) and (not rule or r["verdict"] == rule[0])
+            assert r["verdict"] in ("allow", "block")
+    assert urltree.judge_urls(urls.where("false"), RULES).count() == 0
+
+
+def test_templates_learn_bad_branches(spark):
+    pick = random.Random(4)
+    rows = []
+    for i in range(1500):
+        branch = pick.choice(["tag", "news", "blog", "item"])
+        bad = (pick.random() < 0.9) if branch == "tag" else (pick.random() < 0.1)
+        rows.append((i, f"https://h.org/{branch}/{i}.html", int(bad) if pick.random() < 0.5 else None))
+    rows += [(2000 + i, f"https://other.org/tag/{i}", None) for i in range(50)]
+    got = urltree.judge_urls(spark.createDataFrame(rows, "page_id long, url string, bad int")).collect()
+    verdicts = defaultdict(set)
+    for r in got:
+        verdicts[(r["host"], r["path"].split("/")[1])].add((r["verdict"], r["template"]))
+    # The bad branch stays apart, the others are alike and end in one template.
+    assert verdicts[("h.org", "tag")] == {("block", "/tag/*")}
+    assert verdicts[("h.org", "news")] == verdicts[("h.org", "blog")] == verdicts[("h.org", "item")] == {("allow", "/blog|item|news/*")}
+    assert {v for v, _ in verdicts[("other.org", "tag")]} == {"allow"}
+
+
+def test_licences_are_found_in_any_spelling(spark):
+    mit = dict(licences.KNOWN)["MIT"]
+    odd = "Copyright (c) 2020 A. Person\nAll Rights Reserved.\n\n" + mit.replace("sublicense", "SUB-LICENCE").replace(",", " ;").upper()
+    rows = [(1, mit, "d"), (2, odd, "d"), (3, mit + " more", "d"), (4, None, "d"), (5, "", "d"), (6, "Copyright 2020 X", "d"), (2, odd, "d"), (None, mit, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest string")
+    got = licences.scan(docs, licences.known_licences(spark)).collect()
+    assert len(got) == len(rows)
+    found = sorted((r["id"] or 0, r["license_id"]) for r in got if r["is_license"])
+    assert found == [(0, "MIT"), (1, "MIT"), (2, "MIT"), (2, "MIT")]
+    assert licences.scan(docs.where("false"), licences.known_licences(spark)).count() == 0
+    own = spark.createDataFrame([("X", "my licence"), ("E", "")], "license_id string, text string")
+    assert [r["license_id"] for r in licences.scan(spark.createDataFrame([(1, "My License!")], "doc_id long, text string"), own).collect()] == ["X"]

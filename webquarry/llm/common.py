@@ -32,8 +32,11 @@ def with_row_id(docs: DataFrame) -> DataFrame:
     """``docs`` and two columns that tell its rows apart, equal whenever the rows are read again.
 
     A file scan knows the file and the position of each row.  Any other input
-    has no lasting order, so it is stored once and numbered there.
+    has no lasting order, so it is stored once and numbered there.  Rows that
+    are numbered already are left as they are.
     """
+    if set(ROW) <= set(docs.columns):
+        return docs
     plan = docs._jdf.queryExecution().analyzed().getClass().getSimpleName()
     if plan == "LogicalRelation" and "_metadata" not in docs.columns:
         return docs.select(
@@ -54,12 +57,15 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def filled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The batches with rows; an empty one has no column types to give back."""
+    return (b for b in batches if not b.empty)
+
+
 def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Regroup sorted batches so that no group of equal ``keys`` is split between two of them."""
     held: list[pd.DataFrame] = []
-    for batch in batches:
-        if batch.empty:
-            continue
+    for batch in filled(batches):
         last = batch[keys].iloc[-1]
         tail = (batch[keys] == last).all(axis=1).to_numpy()
         cut = len(batch) - int(tail[::-1].cumprod().sum())

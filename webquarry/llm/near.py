@@ -10,9 +10,10 @@ holds the fingerprints that agree on some bits.
 
 * Up to radius 3 the shards are exact.  Fingerprints that differ in at most r bits
   agree on one of r + 1 bands, so every link lies inside some shard.
-* For a wider radius, ``tables`` samples of ``sample_bits`` bits each are taken.  Two
-  fingerprints whose share of differing bits is p meet with probability
-  ``1 - (1 - (1 - p) ** sample_bits) ** tables``.
+* For a wider radius, samples of bits are taken.  Their width follows from the number
+  of fingerprints, so that an average shard stays small, and their number from
+  the ``recall`` asked for at the radius: fingerprints whose share of differing
+  bits is p meet in a sample of k bits with probability ``(1 - p) ** k``.
 
 A shard with more than ``tree_rows`` fingerprints is sharded again on further bits.
 In every shard a BK-tree is built, children keyed by their distance to the
@@ -22,6 +23,7 @@ it as one tie per fingerprint, which keeps its components without listing pairs.
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Iterator
 
@@ -31,13 +33,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webquarry.llm.common import ROW, text_of, whole_groups, with_row_id
+from webquarry.llm.common import ROW, filled, text_of, whole_groups, with_row_id
 from webquarry.llm.graph import components
 from webquarry.session import durable
 
 SEED = 42
 LEVELS = 4
 BLOCK = 1 << 15
+SHARD_ROWS = 16
 
 
 def lanes_of(text: str, words_per_shingle: int, lanes: int) -> list[int]:
@@ -73,7 +76,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words_per_shingle:
     columns = ["id", *keep]
 
     def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in filled(batches):
             prints = ["".join(f"{x:016x}" for x in lanes_of(t, words_per_shingle, lanes)) for t in batch["text"]]
             yield batch[columns].assign(print=prints)
 
@@ -151,11 +154,9 @@ def shard_rows(level: int, bits: int, radius: int, tables: int, sample_bits: int
     """A function of batches that puts every fingerprint into its shards of one level."""
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if batch.empty:
-                continue
-            raw = np.array([bytes.fromhex(x) for x in batch["print"]], dtype=f"S{bits // 8}")
-            grid = np.unpackbits(np.frombuffer(raw.tobytes(), np.uint8).reshape(len(batch), -1), axis=1)
+        for batch in filled(batches):
+            raw = b"".join(batch["code"])
+            grid = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(batch), -1), axis=1)
             for path, at in batch.groupby("path").indices.items():
                 choices = bit_choices(bits, radius, tables, sample_bits, level, int(path))
                 part = batch.iloc[at]
@@ -168,7 +169,7 @@ def shard_rows(level: int, bits: int, radius: int, tables: int, sample_bits: int
                         {
                             "path": np.int64(path * len(choices) + j),
                             "shard": mixed.view(np.int64),
-                            "print": part["print"].to_numpy(),
+                            "code": part["code"].to_numpy(),
                             "node": part["node"].to_numpy(),
                         }
                     )
@@ -183,38 +184,42 @@ def tree_links(radius: int):
         for batch in whole_groups(batches, ["path", "shard"]):
             shards = batch[["path", "shard"]].to_numpy()
             cuts = np.flatnonzero((shards[1:] != shards[:-1]).any(axis=1)) + 1
-            codes = [int(x, 16) for x in batch["print"]]
+            codes = [int.from_bytes(x) for x in batch["code"]]
             nodes = batch["node"].tolist()
             ties: list[tuple[int, int]] = []
             for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)], strict=True):
                 if e - s > 1:
                     ties += shard_links(codes[s:e], nodes[s:e], radius)
-            yield pd.DataFrame(sorted(set(ties)), columns=["a", "b"], dtype="int64")
+            if ties:
+                yield pd.DataFrame(sorted(set(ties)), columns=["a", "b"])
 
     return search
 
 
-def print_links(nodes: DataFrame, bits: int, radius: int, tables: int, sample_bits: int, tree_rows: int) -> DataFrame:
+def sampling(count: int, bits: int, radius: int, recall: float) -> tuple[int, int]:
+    """Number and width of the bit samples for ``count`` fingerprints."""
+    width = max(1, min(bits, math.ceil(math.log2(max(2, count / SHARD_ROWS)))))
+    meet = (1 - radius / bits) ** width
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet))), width
+
+
+def print_links(nodes: DataFrame, bits: int, radius: int, recall: float, tree_rows: int) -> DataFrame:
     """Ties between the nodes of distinct fingerprints ``print, node``."""
-    spark = nodes.sparkSession
-    rows = nodes.select(F.lit(0).cast("long").alias("path"), F.lit(0).cast("long").alias("shard"), "print", "node")
+    tables, width = sampling(nodes.count(), bits, radius, recall) if radius > 3 else (0, 0)
+    rows = nodes.select(F.lit(0).cast("long").alias("path"), F.lit(0).cast("long").alias("shard"), F.unhex("print").alias("code"), "node")
+    keys = ["path", "shard"]
     found = None
     for level in range(LEVELS):
-        placed = rows.mapInPandas(
-            shard_rows(level, bits, radius, tables, sample_bits), "path long, shard long, print string, node long"
-        )
-        sizes = placed.groupBy("path", "shard").agg(F.count("*").alias("n")).where("n > 1")
-        last = level == LEVELS - 1
-        sized = durable(placed.join(sizes, ["path", "shard"]))
-        small = (sized if last else sized.where(F.col("n") <= tree_rows)).drop("n")
-        ties = durable(
-            small.repartition("path", "shard").sortWithinPartitions("path", "shard").mapInPandas(tree_links(radius), "a long, b long")
-        )
+        placed = rows.mapInPandas(shard_rows(level, bits, radius, tables, width), "path long, shard long, code binary, node long")
+        hot = durable(placed.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > tree_rows).select(*keys))
+        done = level == LEVELS - 1 or hot.isEmpty()
+        ready = placed if done else placed.join(hot, keys, "left_anti")
+        ties = durable(ready.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(tree_links(radius), "a long, b long"))
         found = ties if found is None else found.union(ties)
-        rows = sized.where(F.col("n") > tree_rows).drop("n")
-        if last or rows.isEmpty():
+        if done:
             return found
-    return found if found is not None else spark.createDataFrame([], "a long, b long")
+        rows = durable(placed.join(hot, keys, "left_semi"))
+    return found
 
 
 def near_groups(
@@ -224,8 +229,7 @@ def near_groups(
     words_per_shingle: int = 3,
     lanes: int = 1,
     radius: int = 2,
-    tables: int = 30,
-    sample_bits: int = 16,
+    recall: float = 0.95,
     tree_rows: int = 2048,
 ) -> DataFrame:
     """One row per row of ``docs``: ``id, fingerprint, component_id, group_size, kept`` and the row id.
@@ -235,7 +239,8 @@ def near_groups(
     if no row of it has one.  One row of each component is kept: the one with
     the smallest id, and of repeated rows the first.  Null and empty texts have
     the fingerprint zero and link like any other.  An empty table gives an
-    empty result; other columns of ``docs`` are not read.
+    empty result; other columns of ``docs`` are not read.  ``recall`` counts for
+    a radius above 3 only, and for pairs at the radius; closer ones meet more often.
     """
     marked = durable(fingerprints(with_row_id(docs), id_col, text_col, words_per_shingle, lanes))
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), *ROW)
@@ -243,7 +248,7 @@ def near_groups(
     heads = durable(
         marked.groupBy("print").agg(F.min(order).alias("head"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id())
     )
-    ties = print_links(heads.select("print", "node"), 64 * lanes, radius, tables, sample_bits, tree_rows)
+    ties = print_links(heads.select("print", "node"), 64 * lanes, radius, recall, tree_rows)
     tied = heads.join(components(ties), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = tied.groupBy("component").agg(F.min("head").alias("least"), F.sum("copies").alias("group_size"))
     named = tied.join(least, "component").select("print", "least", "group_size")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webquarry.llm import exact, near
+from webquarry.llm import cascade, exact, html, kneser, licences, mixing, near, packing, toxicity, urltree
 from webquarry.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,113 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"))
+    return packed.select(F.col("id").alias("doc_id"), "size", "piece", "pieces", "piece_size", "bin_id", "bin_place", "bin_used")
+
+
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = kneser.quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select(F.col("id").alias("doc_id"), "lang", "n_chars", "perplexity", "threshold", "kept")
+
+
+RULES = (
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+)
+
+
+@query
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = urltree.labelled_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    return urltree.judge_urls(labelled, RULES).withColumnRenamed("id", "page_id")
+
+
+@query
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), cap=3)
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "rate", "copies")
+
+
+@query
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(table(spark, sf_dir, "documents"), licences.known_licences(spark))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def _duck(step: str, text: str, new: str) -> str:
+    return f"regexp_replace({text}, '{step}', '{new}', 'g')"
+
+
+def _licence_sql() -> str:
+    """The canonical form of the licence scan, once for the documents and once for the known texts."""
+    quote = lambda x: x.replace("'", "''")
+    body = _duck(licences.COPYRIGHT_LINE, "coalesce(text, '')", "\\n").replace("'\\n'", "chr(10)")
+    body = _duck(licences.NOT_WORD, f"lower({body})", " ")
+    body = f"' ' || replace(trim({body}, ' '), ' ', '  ') || ' '"
+    for written, kept in licences.SPELLINGS:
+        body = f"replace({body}, ' {written.replace(' ', '  ')} ', ' {kept.replace(' ', '  ')} ')"
+    form = f"sha256(replace(trim({body}, ' '), '  ', ' '))"
+    rows = ", ".join(f"('{name}', '{quote(text)}')" for name, text in licences.KNOWN)
+    return f"""
+WITH known AS (SELECT digest, min(license_id) AS license_id
+               FROM (SELECT license_id, {form} AS digest FROM (VALUES {rows}) AS k(license_id, text)) GROUP BY digest)
+SELECT doc_id, digest, license_id, license_id IS NOT NULL AS is_license
+FROM (SELECT doc_id, {form} AS digest FROM documents) LEFT JOIN known USING (digest)
+"""
+
+
+ORACLE["op6_licences"] = _licence_sql()
+
+
+@query
+def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = cascade.quality_cascade(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+ORACLE["op7_rules"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+                  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+           FROM documents),
+w AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS win
+      FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d)),
+c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM w),
+r AS (SELECT doc_id, count(DISTINCT j) AS n_repeat FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM c WHERE n > 1) GROUP BY doc_id),
+f AS (SELECT doc_id, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+             coalesce(n_repeat, 0) AS n_repeat_words, len(lines) AS n_lines,
+             length(regexp_replace(t, '[^A-Z]', '', 'g')) AS capitals, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS letters
+      FROM d LEFT JOIN r USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines
+            OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 2 * capitals > letters) AS kept
+FROM f
+"""
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    held_out = F.crc32(F.coalesce(F.col("id").cast("string"), F.lit(""))) % 5 == 0
+    judged = toxicity.toxicity(docs, model, with_spans=False)
+    return judged.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "score", "predicted", "n_toxic")
+
+
+@query
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 @query
 def op9_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents")).select(
