@@ -11,6 +11,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -23,7 +24,7 @@ HEADLINE = (
     "host_overview", "page_links", "page_titles", "page_assets", "page_forms", "page_records",
     "canonical_urls", "emails", "secrets", "endpoints", "run_caps", "tech_fingerprint",
     "robots_allowed", "frontier_bfs", "known_links", "asset_outcomes", "ext_paths",
-    "blocked_pages", "retry_plan", "polite_schedule", "stream_links",
+    "blocked_pages", "request_attempts", "host_gaps", "stream_links",
 )
 
 
@@ -40,6 +41,8 @@ def main() -> None:
             "spark.driver.memory": "16g",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
+            "spark.webquarry.readPartitions": cpus,
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="webquarry-bench-"),
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -30,7 +30,7 @@ FROM (SELECT o_orderkey, o_custkey,
 MARKET_PAGES = """
 SELECT p_partkey AS page_id,
   'https://s' || cast(p_partkey % 10 AS string) || '.example.com/dir/' || cast(p_partkey AS string) || '.html' AS url,
-  '<!doctype html><html lang="en"><head><title> ' || p_name || ' </title><meta name="description" content="' || p_type
+  '<!doctype html><html lang="en"><head><title> ' || p_name || ' Caf&eacute; &#8211; &amp;lt; x&#x2F;y </title><meta name="description" content="' || p_type
   || '"><meta property="og:type" content="product">'
   || CASE WHEN p_partkey % 11 = 0 THEN '<meta name="robots" content="noindex, NOFOLLOW">' ELSE '' END
   || CASE WHEN p_partkey % 9 = 0 THEN '<meta name="generator" content="WordPress 6.1">' ELSE '' END
@@ -41,7 +41,7 @@ SELECT p_partkey AS page_id,
   || cast(p_partkey % 50 AS string) || '">x</a><a title="a > b href=no" href="d' || cast(p_partkey % 4 AS string)
   || '.pdf?x=1&amp;y=2">d</a><a href=''https://twitter.com/b' || cast(p_partkey % 5 AS string)
   || '''>t</a><A HREF=/up/../q/é%20' || cast(p_partkey % 3 AS string)
-  || '>u</A><iframe src="/fr"><a href="/not-a-link"></iframe><img src="i.png" data-src="l.jpg" srcset="s1.png 1x, s2.png 2x"><video src="v.mp4" poster="p.jpg"></video><picture><source srcset="w.webp 2x" src="clip.webm"></picture><div style="background:url(''h.webp'')"></div><form action="/login" method="POST"><input name="u"><input name="pw" type="password"><button name="go">Go</button></form>'
+  || '>u</A><a href="?a=1&#038;b=2&copy=3&amp;lt;4">r</a><a href="/p&#x2F;q&eacute;">e</a><iframe src="/fr"><a href="/not-a-link"></iframe><img src="i.png" data-src="l.jpg" srcset="s1.png 1x, s2.png 2x"><video src="v.mp4" poster="p.jpg"></video><picture><source srcset="w.webp 2x" src="clip.webm"></picture><div style="background:url(''h.webp'')"></div><form action="/login" method="POST"><input name="u"><input name="pw" type="password"><button name="go">Go</button></form>'
   || CASE WHEN p_partkey % 3 = 0 THEN '<form><select name="s"></select><textarea name="t"><input name="no"></textarea><input></form>' ELSE '' END
   || CASE p_partkey % 7
     WHEN 0 THEN '<!-- TODO: drop the debug token <a href="/c"> -->'
@@ -99,6 +99,7 @@ SELECT p_partkey AS asset_id, 'https://c.example.com/' || cast(p_partkey % 9 AS
     WHEN 3 THEN '524946460000000057454250' WHEN 4 THEN '255044462D312E34' WHEN 5 THEN '504B0304' WHEN 6 THEN '1F8B0800'
     WHEN 7 THEN '3C21444F43545950452068746D6C3E' WHEN 8 THEN '3C73766720786D6C6E733D2278223E' ELSE '0102' END AS hex_bytes,
   CASE WHEN p_partkey % 17 = 0 THEN 404 ELSE 200 END AS http_status,
+  CASE WHEN p_partkey % 34 = 0 THEN 'ECONNRESET' WHEN p_partkey % 51 = 0 THEN '' END AS error,
   cast(p_size AS bigint) * 1000 AS declared_bytes
 FROM {part}
 """
@@ -118,15 +119,17 @@ SITEMAPS = """
 SELECT 'https://h' || cast(s_suppkey AS string) || '.example.com/sm.xml' AS url,
   CASE WHEN s_suppkey % 3 = 0 THEN '<sitemapindex><sitemap><loc>https://h' || cast(s_suppkey + 1 AS string)
     || '.example.com/sm.xml</loc></sitemap><sitemap><LOC> https://h' || cast(s_suppkey + 2 AS string)
-    || '.example.com/sm.xml </LOC></sitemap></sitemapindex>'
+    || '.example.com/sm.xml </LOC></sitemap>' || CASE WHEN s_suppkey % 15 <> 12 THEN '<sitemap><loc>https://h'
+    || cast(s_suppkey + 3 AS string) || '.example.com/sm.xml</loc></sitemap>' ELSE '' END || '</sitemapindex>'
   ELSE '<urlset><url><loc> https://h' || cast(s_suppkey AS string) || '.example.com/p/1 </loc></url><url><loc>https://H0.example.com/p/'
     || cast(s_suppkey % 7 AS string) || '#x</loc></url><url><loc>mailto:a@b.c</loc></url></urlset>' END AS xml
 FROM {supplier}
 """
 
 SEEDS = """
-SELECT s_suppkey AS seed_no, 'https://h' || cast(s_suppkey AS string) || '.example.com/p/' || cast(s_suppkey * 3 AS string) AS url
-FROM {supplier}
+SELECT s_suppkey + 1000000 * k AS seed_no, 'https://h' || cast(s_suppkey % (SELECT count(*) FROM {supplier}) AS string) || '.example.com/'
+  || CASE k WHEN 0 THEN 'p/' ELSE 'q/' END || cast(s_suppkey AS string) AS url
+FROM {supplier}, (SELECT 0 AS k UNION ALL SELECT 1 AS k) twice
 """
 
 SEED_LISTS = """

@@ -9,7 +9,8 @@ from webquarry.fixed_values import (
     BLOCKED_STATUSES,
     CHALLENGE_MARKERS,
     COMMENT_KEYWORDS,
-    EMAIL_BODY,
+    EMAIL_HOST,
+    EMAIL_LOCAL,
     EMAIL_REJECTED_ENDINGS,
     ENDPOINT_PATTERN,
     SECRET_PATTERNS,
@@ -79,8 +80,12 @@ _CANDIDATES = [
 ORACLE["sitemap_candidates"] = Q.with_ctes(_CANDIDATES, "SELECT seed_no, sitemap FROM cand")
 _LOC = "(?i)<loc>\\s*([^<\\s]+)\\s*</loc>"
 
-def sitemap_chain(dropped: str = "") -> list[str]:
-    """CTE ``added`` (seed_no, c, place, url, parent); ``dropped`` names a URL already queued."""
+_DEEPEST = 8  # longer than any chain of index files in the data
+
+
+def sitemap_chain(without_seeds: bool = False) -> list[str]:
+    """CTE ``added`` (seed_no, c, place, url, parent), with or without the seeds themselves."""
+    queued = "AND canon NOT IN (SELECT url FROM seeds)" if without_seeds else ""
     return [
         *_CANDIDATES,
         Q.source("sm", D.SITEMAPS),
@@ -88,16 +93,14 @@ def sitemap_chain(dropped: str = "") -> list[str]:
         "l0 AS (SELECT seed_no, c, sitemap, []::INTEGER[] AS place FROM cand)",
         *[
             f"l{k + 1} AS (SELECT seed_no, c, loc AS sitemap, list_append(place, n::INTEGER) AS place FROM l{k} JOIN ent USING (sitemap) WHERE idx)"
-            for k in range(3)
+            for k in range(_DEEPEST)
         ],
-        "reached AS (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3)",
+        "reached AS (" + " UNION ALL ".join(f"SELECT * FROM l{k}" for k in range(_DEEPEST + 1)) + ")",
         "leaf AS (SELECT seed_no, c, sitemap AS parent, loc AS raw, NULL::VARCHAR AS base, list_append(place, n::INTEGER) AS place FROM reached JOIN ent USING (sitemap) WHERE NOT idx)",
         *Q.canonical("lc", "leaf"),
-        f"want AS (SELECT * FROM lc WHERE canon IS NOT NULL AND {Q.domain(Q.host('canon'))} = 'example.com' AND canon <> {lit(dropped)})",
+        f"want AS (SELECT * FROM lc WHERE canon IS NOT NULL AND {Q.domain(Q.host('canon'))} = 'example.com' {queued})",
         "fst AS (SELECT canon AS url, arg_min({'s': seed_no, 'c': c, 'p': parent, 'l': place}, (seed_no, c, place)) AS f FROM want GROUP BY canon)",
-        "cnt AS (SELECT f.s AS s, f.c AS c, count(*) AS n FROM fst GROUP BY ALL)",
-        "keep AS (SELECT s, c FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY s ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS e FROM cnt) WHERE e <= 5000)",
-        "added AS (SELECT f.s AS seed_no, f.c AS c, f.l AS place, url, f.p AS parent FROM fst JOIN keep ON keep.s = f.s AND keep.c = f.c)",
+        "added AS (SELECT f.s AS seed_no, f.c AS c, f.l AS place, url, f.p AS parent FROM fst)",
     ]
 
 
@@ -227,7 +230,7 @@ RECORDS = [
         WHERE {Q.host('dst_url')} = {Q.host('page_url')} AND NOT contains(lower(robots_meta), 'nofollow') GROUP BY page_id)""",
     "files AS (SELECT page_id, array_to_string(list(type || ' ' || url ORDER BY ord), '|') AS assets, count(*)::INTEGER AS n FROM assets GROUP BY page_id)",
     "fms AS (SELECT page_id, count(*)::INTEGER AS n, array_to_string(list(action ORDER BY form_no), '|') AS actions FROM forms GROUP BY page_id)",
-    f"eps AS (SELECT page_id, least(len(list_distinct(regexp_extract_all(html, {lit(_endpoint)}, 1))), 800)::INTEGER AS n FROM clean)",
+    f"eps AS (SELECT page_id, len(list_distinct(regexp_extract_all(html, {lit(_endpoint)}, 1)))::INTEGER AS n FROM clean)",
     f"tec AS ({_distinct_tech('SELECT page_id, 5 AS o, generator AS t FROM meta UNION ALL ' + _tech)})",
     """records AS MATERIALIZED (SELECT m.page_id, c.url, m.page_url AS finalUrl, CASE WHEN m.page_id % 19 = 0 THEN 500 ELSE 200 END AS status,
         (m.page_id % 4)::INTEGER AS depth, strlen(c.html)::BIGINT AS bytes,
@@ -280,7 +283,7 @@ def _matches(pattern: str, group: int) -> str:
     return f"regexp_extract_all(html, {lit(pattern)}, {group})"
 
 
-_EMAIL = r"\b" + EMAIL_BODY + r"\b"
+_EMAIL = rf"\b[{EMAIL_LOCAL}]+@{EMAIL_HOST}\b"
 _PHONE = rf"(?:tel:)?\+[0-9][0-9{SPACE_CLASS}().-]{{6,16}}[0-9]"
 
 
@@ -307,13 +310,13 @@ def recon_chain(src: str) -> list[str]:
     return [
         ranked(
             "em", _matches(_EMAIL, 0), "lower(m)",
-            f"len(value) < 100 AND NOT regexp_matches(value, '{EMAIL_REJECTED_ENDINGS}$') AND NOT regexp_matches(value, '@[0-9]')",
+            f"NOT regexp_matches(value, '{EMAIL_REJECTED_ENDINGS}$') AND NOT regexp_matches(value, '@[0-9]')",
         ),
         ranked("ph", _matches(_PHONE, 0), trim("regexp_replace(m, '^tel:', '')"), "true"),
         ranked("ep", _matches(_endpoint, 1), "m", "true"),
         f"""cm AS (SELECT page_id, page_url, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS ord, value FROM
             (SELECT page_id, page_url, i, {tidy} AS value FROM (SELECT page_id, page_url, unnest({_matches('(?s)<!--(.*?)-->', 1)}) AS m,
-            generate_subscripts({_matches('(?s)<!--(.*?)-->', 1)}, 1) AS i FROM {src})) WHERE value <> '' AND len(value) <= 400
+            generate_subscripts({_matches('(?s)<!--(.*?)-->', 1)}, 1) AS i FROM {src})) WHERE value <> ''
             AND regexp_matches(value, {lit('(?i)(' + COMMENT_KEYWORDS + ')')}))""",
         f"se AS (SELECT page_id, page_url, subtype, value, row_number() OVER (PARTITION BY page_id ORDER BY p, k) - 1 AS ord FROM ({secret_rows}))",
     ]
@@ -333,8 +336,8 @@ ALL_FINDINGS = [
         UNION ALL SELECT page_id, page_url, 6, ord, 'comment', NULL, value FROM cm)""",
     f"fi AS MATERIALIZED (SELECT * REPLACE (CASE WHEN kind = 'secret' THEN {_mask('value')} ELSE value END AS value), value AS raw FROM fi0)",
     "df AS (SELECT kind, value, arg_min(page_url, (page_id, g, ord)) AS page_url, min((page_id, g, ord)) AS o FROM fi WHERE kind IN ('email', 'phone', 'endpoint') GROUP BY ALL)",
-    """kept AS MATERIALIZED (SELECT kind, NULL::VARCHAR AS subtype, value, page_url, o FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY o) AS n FROM df) WHERE kind <> 'endpoint' OR n <= 20000
-        UNION ALL SELECT kind, subtype, value, page_url, o FROM (SELECT *, (page_id, g, ord) AS o, row_number() OVER (PARTITION BY kind ORDER BY page_id, ord) AS n FROM fi WHERE kind IN ('secret', 'comment')) WHERE n <= 5000)""",
+    """kept AS MATERIALIZED (SELECT kind, NULL::VARCHAR AS subtype, value, page_url, o FROM df
+        UNION ALL SELECT kind, subtype, value, page_url, (page_id, g, ord) AS o FROM fi WHERE kind IN ('secret', 'comment'))""",
 ]
 ORACLE["emails"] = Q.with_ctes(INTEL, "SELECT page_id, ord, value AS email FROM em")
 ORACLE["phones"] = Q.with_ctes(INTEL, "SELECT page_id, ord, value AS phone FROM ph")
@@ -344,8 +347,8 @@ ORACLE["document_contacts"] = Q.with_ctes(
 )
 ORACLE["secrets"] = Q.with_ctes(INTEL, "SELECT page_id, ord, subtype AS type, sha256(value) AS value_hash FROM se")
 ORACLE["masked_secrets"] = Q.with_ctes(INTEL, f"SELECT page_id, subtype, {_mask('value')} AS value FROM se")
-ORACLE["endpoints"] = Q.with_ctes(INTEL, "SELECT page_id, ord, value AS endpoint FROM ep WHERE ord < 800")
-ORACLE["comments"] = Q.with_ctes(INTEL, "SELECT page_id, ord, value AS comment FROM cm WHERE ord < 150")
+ORACLE["endpoints"] = Q.with_ctes(INTEL, "SELECT page_id, ord, value AS endpoint FROM ep")
+ORACLE["comments"] = Q.with_ctes(INTEL, "SELECT page_id, ord, value AS comment FROM cm")
 ORACLE["social_links"] = Q.with_ctes(
     [*MARKET, *Q.links_chain()],
     f"""SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY ord) - 1 AS ord, dst_url AS url FROM links
@@ -360,13 +363,12 @@ ORACLE["page_intel_counts"] = Q.with_ctes(
     INTEL,
     """SELECT it.page_id, (SELECT count(*) FROM em WHERE em.page_id = it.page_id)::INTEGER AS emails,
     (SELECT count(*) FROM se WHERE se.page_id = it.page_id)::INTEGER AS secrets,
-    (SELECT count(*) FROM ep WHERE ep.page_id = it.page_id AND ord < 800)::INTEGER AS endpoints FROM it""",
+    (SELECT count(*) FROM ep WHERE ep.page_id = it.page_id)::INTEGER AS endpoints FROM it""",
 )
 ORACLE["run_caps"] = Q.with_ctes(ALL_FINDINGS, "SELECT kind, subtype, value, page_url, o[1] AS page_id FROM kept")
 ORACLE["capped_findings"] = Q.with_ctes(
     ALL_FINDINGS,
-    """SELECT kind, value, page_id FROM (SELECT kind, value, o[1] AS page_id, row_number() OVER (PARTITION BY o[1] ORDER BY o) AS n
-    FROM kept WHERE kind <> 'comment') WHERE n <= 200""",
+    "SELECT kind, value, o[1] AS page_id FROM kept WHERE kind <> 'comment'",
 )
 
 _HEADERS = {
@@ -439,18 +441,21 @@ ORACLE["host_delay"] = Q.with_ctes(
 # --- frontier ------------------------------------------------------------------------------------
 
 _LEVELS = 4
+_BUDGET = 150
 
 
 def frontier_chain(sitemaps: bool = False) -> list[str]:
-    start = "SELECT 'https://h5.example.com/p/5' AS url, NULL::VARCHAR AS parent, 1 AS rank, '0' AS place"
+    start = """SELECT url, NULL::VARCHAR AS parent, row_number() OVER (ORDER BY min(seed_no)) AS rank, min(seed_no)::VARCHAR AS place
+        FROM seeds GROUP BY url"""
     if sitemaps:
-        start += " UNION ALL SELECT url, parent, 1 + row_number() OVER (ORDER BY seed_no, c, place), '' FROM added"
+        start += """ UNION ALL SELECT url, parent, (SELECT count(DISTINCT url) FROM seeds) + row_number() OVER (ORDER BY seed_no, c, place), ''
+            FROM added"""
     ctes = [
-        *(sitemap_chain("https://h5.example.com/p/5") if sitemaps else ROBOTS_LINES),
+        *(sitemap_chain(True) if sitemaps else [*ROBOTS_LINES, Q.source("seeds", D.SEEDS)]),
         *EDGES,
         "site AS MATERIALIZED (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY min(ord)) - 1 AS n FROM edges GROUP BY src, dst)",
         "hasp AS (SELECT DISTINCT src FROM site)",
-        "u AS (SELECT dst AS url FROM edges UNION SELECT src FROM edges UNION SELECT 'https://h5.example.com/p/5'"
+        "u AS (SELECT dst AS url FROM edges UNION SELECT src FROM edges UNION SELECT url FROM seeds"
         + (" UNION SELECT url FROM added)" if sitemaps else ")"),
         *allowed_chain("u"),
         f"v0 AS MATERIALIZED ({start})",
@@ -481,7 +486,7 @@ ORACLE["crawl_order"] = Q.with_ctes(FRONTIER, "SELECT url, depth, place FROM vis
 ORACLE["page_budget"] = Q.with_ctes(
     [
         *FRONTIER,
-        "cut AS (SELECT max((depth, rank)) AS c FROM (SELECT depth, rank FROM visits WHERE disposition = 'page' ORDER BY depth, rank LIMIT 60))",
+        f"cut AS (SELECT max((depth, rank)) AS c FROM (SELECT depth, rank FROM visits WHERE disposition = 'page' ORDER BY depth, rank LIMIT {_BUDGET}))",
         "par AS (SELECT v.*, p.rank AS prank FROM visits v LEFT JOIN visits p ON p.url = v.parent)",
     ],
     """SELECT url, depth, CASE WHEN (depth, rank) > c THEN 'queued' ELSE disposition END AS disposition FROM par, cut
@@ -499,7 +504,7 @@ ORACLE["sniff_types"] = Q.with_ctes(PAY, "SELECT asset_id, sniffed FROM pay")
 PLAN = [
     *PAY,
     f"plan AS (SELECT url, arg_min(type, asset_id) AS type, min(asset_id) AS page_id FROM pay WHERE type IN ('images', 'documents', 'media', 'archives') AND NOT {Q.tracker('url')} GROUP BY url)",
-    "got AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY asset_id) AS n FROM pay WHERE asset_id % 11 <> 3) WHERE n = 1)",
+    "got AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY asset_id) AS n FROM pay WHERE asset_id IN (SELECT c_custkey FROM customer)) WHERE n = 1)",
 ]
 
 
@@ -510,7 +515,7 @@ def _outcomes(limit: int) -> str:
     return f"""outc AS MATERIALIZED (SELECT p.url, p.type, p.page_id, g.content_type, g.sniffed,
       CASE WHEN http_status = 200 AND {cap} declared_bytes > {limit} THEN 'skipped' WHEN http_status IS NULL OR http_status <> 200 THEN 'error'
         WHEN {cap} {size} > {limit} THEN 'skipped' WHEN {html} THEN 'skipped' ELSE 'ok' END AS status,
-      CASE WHEN http_status = 200 AND {cap} declared_bytes > {limit} THEN 'too-large' WHEN http_status IS NULL THEN 'http-0' WHEN http_status <> 200 THEN 'http-' || http_status
+      CASE WHEN http_status = 200 AND {cap} declared_bytes > {limit} THEN 'too-large' WHEN http_status IS NULL THEN 'http-0' WHEN http_status <> 200 THEN coalesce(nullif(g.error, ''), 'http-' || http_status)
         WHEN {cap} {size} > {limit} THEN 'too-large' WHEN {html} THEN 'not-a-file (server returned HTML)' END AS reason,
       CASE WHEN http_status = 200 AND {cap} declared_bytes > {limit} THEN declared_bytes WHEN http_status IS NULL OR http_status <> 200 THEN NULL
         WHEN {cap} {size} > {limit} THEN {size} WHEN {html} THEN NULL ELSE {size} END AS bytes
@@ -558,31 +563,24 @@ ORACLE["status_class"] = Q.with_ctes(
     "SELECT event_id, CASE status // 100 WHEN 2 THEN 'ok' WHEN 3 THEN 'warn' ELSE 'err' END AS status_class FROM log",
 )
 _ok = "(status BETWEEN 200 AND 299)"
-ORACLE["blocked_pages"] = Q.with_ctes(
-    LOG,
-    f"""SELECT event_id, status FROM log WHERE (NOT {_ok} AND status IN {(0, *BLOCKED_STATUSES)}) OR ({_ok} AND html <> '' AND
-    (len(html) < 600 OR {' OR '.join(f"contains(lower(html), {lit(m)})" for m in CHALLENGE_MARKERS)}))""",
-)
+_blocked = f"""(NOT {_ok} AND status IN {(0, *BLOCKED_STATUSES)}) OR ({_ok} AND html <> '' AND
+    (len(html) < 600 OR {' OR '.join(f"contains(lower(html), {lit(m)})" for m in CHALLENGE_MARKERS)}))"""
+ORACLE["blocked_pages"] = Q.with_ctes(LOG, f"SELECT event_id, status FROM log WHERE {_blocked}")
 ORACLE["crawl_errors"] = Q.with_ctes(
     LOG, f"SELECT url, 'HTTP ' || status AS message, 0 AS depth, ts FROM log WHERE NOT {_ok} AND html = ''"
 )
-ORACLE["retry_plan"] = Q.with_ctes(
-    [
-        *LOG,
-        f"a AS (SELECT *, attempt = 2 OR {_ok} OR html <> '' OR status NOT IN (0, 429, 500, 502, 503, 504) AS fin FROM log)",
-        "b AS (SELECT request, min(attempt) FILTER (fin) AS f, max(attempt) AS m FROM a GROUP BY request)",
-    ],
-    """SELECT request, coalesce(f, m) AS retries, status, CASE coalesce(f, m) WHEN 0 THEN 0 WHEN 1 THEN 500 ELSE 1500 END AS backoff_ms
-    FROM b JOIN log USING (request) WHERE attempt = coalesce(f, m)""",
+ORACLE["request_attempts"] = Q.with_ctes(
+    [*LOG, f"a AS (SELECT *, {_ok} OR html <> '' OR status NOT IN (0, 429, 500, 502, 503, 504) AS fin FROM log)"],
+    """SELECT request, count(*) AS attempts, arg_max(status, attempt) AS status,
+    coalesce(max(attempt) - min(attempt) FILTER (fin), 0)::BIGINT AS late FROM a GROUP BY request""",
 )
-ORACLE["polite_schedule"] = Q.with_ctes(
+ORACLE["host_gaps"] = Q.with_ctes(
     [
         *LOG,
-        "a AS (SELECT host, event_id AS id, epoch_us(ts) // 1000 AS at_ms FROM log)",
-        "b AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY at_ms, id) AS r FROM a)",
-        "c AS (SELECT *, max(at_ms - r * 4000000) OVER (PARTITION BY host ORDER BY r) + r * 4000000 AS start_ms FROM b)",
+        "a AS (SELECT host, epoch_us(ts) // 1000 AS at_ms FROM log)",
+        "b AS (SELECT *, at_ms - lag(at_ms) OVER (PARTITION BY host ORDER BY at_ms) AS gap FROM a)",
     ],
-    "SELECT host, id, at_ms, start_ms, start_ms - at_ms AS wait_ms FROM c",
+    "SELECT host, count(*) AS requests, min(gap) AS min_gap_ms, count(*) FILTER (gap < 60000) AS close_gaps FROM b GROUP BY host",
 )
 ORACLE["latest_rows"] = Q.with_ctes(
     LOG,
@@ -599,7 +597,7 @@ def _sub(name: str, what: str) -> str:
 _links_seen = Q.with_ctes(
     FRONTIER,
     f"""SELECT count(*) FILTER ({Q.domain(Q.host('s.dst'))} <> 'example.com') AS outside,
-    count(*) FILTER ({Q.domain(Q.host('s.dst'))} = 'example.com' AND v.depth < 4 AND regexp_matches(s.dst, '(?i)/p/[0-9]*9$') AND s.dst <> 'https://h5.example.com/p/5') AS refused
+    count(*) FILTER ({Q.domain(Q.host('s.dst'))} = 'example.com' AND v.depth < 4 AND regexp_matches(s.dst, '(?i)/p/[0-9]*9$') AND s.dst NOT IN (SELECT url FROM seeds)) AS refused
     FROM visits v JOIN site s ON s.src = v.url WHERE v.disposition = 'page'""",
 )
 _all_outcomes = Q.with_ctes([*PLAN, _outcomes(0)], "SELECT status, bytes FROM outc")
@@ -609,7 +607,7 @@ ORACLE["crawl_stats"] = f"""SELECT {_sub('page_records', 'count(*)')} AS crawled
   (SELECT count(*) FROM ({_all_outcomes}) WHERE status = 'ok') AS downloaded,
   (SELECT sum(bytes) FROM ({_all_outcomes}) WHERE status = 'ok')::BIGINT AS "downloadedBytes",
   {_sub('page_records', 'sum(bytes)')}::BIGINT AS "pageBytes",
-  {_sub('page_records', '''count(*) FILTER (ends_with("renderedWith", '+esc'))''')} AS escalated,
+  (SELECT count(*) FROM part WHERE p_partkey % 8 = 0) AS escalated,
   {_sub('frontier_bfs', '''count(*) FILTER (disposition = 'robots')''')} AS "blockedByRobots",
   (SELECT outside FROM ({_links_seen})) AS "outOfScope", (SELECT refused FROM ({_links_seen})) AS filtered,
   {_sub('page_records', 'sum(forms)')}::BIGINT AS forms,
@@ -617,22 +615,57 @@ ORACLE["crawl_stats"] = f"""SELECT {_sub('page_records', 'count(*)')} AS crawled
   (SELECT count(DISTINCT raw) FROM ({_secret_rows}) WHERE kind = 'email') AS emails"""
 _kept_kinds = {k: f"(SELECT count(*) FROM ({Q.with_ctes(ALL_FINDINGS, 'SELECT kind FROM kept')}) WHERE kind = '{k}')" for k in ("email", "phone", "social", "endpoint", "secret", "comment")}
 ORACLE["run_summary"] = (
-    f"SELECT {_sub('page_records', 'count(*)')} AS crawled, {_sub('page_records', 'sum(bytes)')}::BIGINT AS \"totalBytes\", "
+    f"SELECT {_sub('page_records', 'count(*)')} AS crawled, ({_sub('page_records', 'sum(bytes)')} + (SELECT sum(bytes) FROM ({_all_outcomes}) WHERE status = 'ok'))::BIGINT AS \"totalBytes\", "
     f"{_sub('hosts_seen', 'count(*)')} AS hosts, " + ", ".join(f"{v} AS {k}s" for k, v in _kept_kinds.items())
 )
 
+# --- sinks: what is written is read back -------------------------------------------------------------------
+
+ORACLE["sink_errors"] = "SELECT url, message, depth FROM (" + ORACLE["crawl_errors"] + ")"
+ORACLE["sink_assets_index"] = Q.with_ctes([*PLAN, _outcomes(0)], "SELECT url, type, bytes FROM outc WHERE status = 'ok'")
+ORACLE["sink_intel"] = Q.with_ctes(ALL_FINDINGS, "SELECT kind, value, page_url FROM fi")
+ORACLE["sink_security"] = ORACLE["security_audit"]
+ORACLE["sink_ndjson"] = Q.with_ctes(RECORDS, "SELECT page_id, url, title, nlinks AS links FROM records")
+ORACLE["sink_full_export"] = (
+    f"SELECT 'pages' AS part, count(*) AS n FROM ({ORACLE['page_records']}) UNION ALL SELECT 'errors', count(*) FROM ({ORACLE['crawl_errors']}) "
+    f"UNION ALL SELECT 'findings', count(*) FROM ({ORACLE['run_caps']}) UNION ALL SELECT 'assets', count(*) FROM ({ORACLE['asset_outcomes']})"
+)
+ORACLE["sink_csv"] = ORACLE["csv_rows"]
+ORACLE["json_text"] = Q.with_ctes(
+    RECORDS, """SELECT page_id, '{"url":"' || url || '","depth":' || depth || ',"bytes":' || bytes || '}' AS text FROM records"""
+)
+ORACLE["extra_patterns"] = Q.with_ctes(
+    INTEL,
+    """SELECT page_id, m AS value FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)todo[^<]{1,8}')) AS m FROM it)""",
+)
+ORACLE["asset_payloads"] = (
+    "SELECT url, strlen(html)::BIGINT AS declared_bytes, " + Q.sniff("upper(hex(encode(left(html, 64))))") + " AS sniffed FROM pages"
+)
+
 # --- streams ----------------------------------------------------------------------------------------------
 
 ORACLE["stream_dedup"] = Q.with_ctes(LOG, "SELECT DISTINCT url AS canonical FROM log")
+ORACLE["stream_assets"] = Q.with_ctes([*GIVEN, *Q.assets_chain()], "SELECT page_id, page_url, ord, url, type, via FROM assets")
+ORACLE["given_assets"] = ORACLE["stream_assets"]
+ORACLE["given_meta"] = Q.with_ctes([*GIVEN, *Q.meta_chain()], "SELECT * FROM meta")
+ORACLE["given_forms"] = Q.with_ctes([*GIVEN, *Q.forms_chain()], "SELECT page_id, form_no, action, method, inputs FROM forms")
+ORACLE["stream_records"] = Q.with_ctes(
+    [*GIVEN, *Q.links_chain(), *Q.meta_chain(),
+     f"""lk AS (SELECT page_id, count(*)::INTEGER AS n FROM links JOIN meta USING (page_id, page_url) WHERE {Q.host('dst_url')} = {Q.host('page_url')}
+         AND NOT contains(lower(robots_meta), 'nofollow') GROUP BY page_id)"""],
+    """SELECT m.page_id, c.url, strlen(c.html)::BIGINT AS bytes, m.title, coalesce(lk.n, 0) AS links
+    FROM meta m JOIN clean c USING (page_id) LEFT JOIN lk USING (page_id)""",
+)
 ORACLE["stream_findings"] = Q.with_ctes(
     ["it AS (SELECT page_id, '' AS page_url, html FROM pages)", *recon_chain("it")],
-    f"""SELECT DISTINCT 'email' AS kind, value FROM em UNION SELECT 'phone', value FROM ph UNION SELECT 'endpoint', value FROM ep WHERE ord < 800
-    UNION SELECT 'secret', {_mask('value')} FROM se UNION SELECT 'comment', value FROM cm WHERE ord < 150""",
+    f"""SELECT DISTINCT 'email' AS kind, value FROM em UNION SELECT 'phone', value FROM ph UNION SELECT 'endpoint', value FROM ep
+    UNION SELECT 'secret', {_mask('value')} FROM se UNION SELECT 'comment', value FROM cm""",
 )
 ORACLE["stream_stats"] = Q.with_ctes(
     LOG,
     f"""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) FILTER ({_ok} OR html <> '') AS crawled,
-    count(*) FILTER (NOT {_ok} AND html = '') AS errors, sum(strlen(html))::BIGINT AS page_bytes FROM log GROUP BY 1""",
+    count(*) FILTER (NOT {_ok} AND html = '') AS errors, sum(strlen(html))::BIGINT AS page_bytes, count(*) FILTER ({_blocked}) AS blocked
+    FROM log GROUP BY 1""",
 )
 ORACLE["stream_host_rate"] = Q.with_ctes(
     LOG,
@@ -643,10 +676,10 @@ ORACLE["stream_host_rate"] = Q.with_ctes(
 for _column, _names in {
     "ord": (
         "seeds", "bad_seeds", "html_tags", "page_links", "market_links", "stream_links", "page_assets", "srcset_urls",
-        "css_urls", "emails", "phones", "document_contacts", "secrets", "endpoints", "comments", "social_links",
+        "css_urls", "stream_assets", "given_assets", "emails", "phones", "document_contacts", "secrets", "endpoints", "comments", "social_links",
     ),
     "line": ("robots_rules",),
-    "form_no": ("page_forms",),
+    "form_no": ("page_forms", "given_forms"),
 }.items():
     for _name in _names:
         ORACLE[_name] = f"SELECT * REPLACE (CAST({_column} AS INTEGER) AS {_column}) FROM (\n{ORACLE[_name]}\n)"

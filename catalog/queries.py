@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from webquarry.operators import pages as P
 from webquarry.operators import recon as R
 from webquarry.plans import frontier as FR
 from webquarry.plans import records as RC
+from webquarry.session import new_folder
 from webquarry.sinks import exports as X
 from webquarry.sources import robots as RB
 from webquarry.sources import sitemaps as SM
@@ -99,7 +101,8 @@ def sitemap_urls(spark, sf):
 
 @query
 def asset_payloads(spark, sf):
-    return S.scan_payloads(spark, f"{sf}/").select("url", "declared_bytes", FL.sniff_type(F.col("content")).alias("sniffed"))
+    stored = S.payload_rows(table(spark, sf, "pages"), "url", "html")
+    return A.measured(stored).select("url", "declared_bytes", "sniffed")
 
 
 @query
@@ -215,6 +218,21 @@ def page_assets(spark, sf):
     return P.page_assets(derived(spark, sf, D.MARKET_PAGES))
 
 
+@query
+def given_assets(spark, sf):
+    return P.page_assets(table(spark, sf, "pages"))
+
+
+@query
+def given_meta(spark, sf):
+    return P.page_meta(table(spark, sf, "pages"))
+
+
+@query
+def given_forms(spark, sf):
+    return _flat_forms(P.page_forms(table(spark, sf, "pages")))
+
+
 @query
 def srcset_urls(spark, sf):
     return P.srcset_urls(derived(spark, sf, D.MARKET_PAGES))
@@ -225,13 +243,16 @@ def css_urls(spark, sf):
     return P.css_urls(derived(spark, sf, D.MARKET_PAGES))
 
 
-@query
-def page_forms(spark, sf):
-    forms = P.page_forms(derived(spark, sf, D.MARKET_PAGES))
+def _flat_forms(forms):
     controls = F.transform("inputs", lambda i: F.concat(i["name"], F.lit(":"), i["type"]))
     return forms.select("page_id", "form_no", "action", "method", joined(controls).alias("inputs"))
 
 
+@query
+def page_forms(spark, sf):
+    return _flat_forms(P.page_forms(derived(spark, sf, D.MARKET_PAGES)))
+
+
 @query
 def nofollow_pages(spark, sf):
     return RC.nofollow_pages(derived(spark, sf, D.MARKET_PAGES)).select("page_id", "robots_meta")
@@ -496,8 +517,8 @@ def _site(spark, sf):
 
 
 def _start(spark, sf):
-    first = derived(spark, sf, D.SEEDS).where(F.col("seed_no") == 5)
-    return first.select(F.lit(SEED).alias("url"), F.lit(0).alias("ord"), F.lit(None).cast("string").alias("parent"))
+    every = derived(spark, sf, D.SEEDS)
+    return every.select("url", F.col("seed_no").alias("ord"), F.lit(None).cast("string").alias("parent"))
 
 
 def _visits(spark, sf, config=RUN):
@@ -517,7 +538,7 @@ def crawl_order(spark, sf):
 
 @query
 def page_budget(spark, sf):
-    visits = _visits(spark, sf, CrawlConfig(**{**RUN.__dict__, "max_pages": 60}))
+    visits = _visits(spark, sf, CrawlConfig(**{**RUN.__dict__, "max_pages": 150}))
     return visits.select("url", "depth", "disposition")
 
 
@@ -566,10 +587,11 @@ def _planned(spark, sf):
         ),
         ("images", "documents", "media", "archives"),
     )
-    # One payload per URL; every eleventh was never fetched.
+    # One payload per URL; what has no customer of its number was never fetched.
+    fetched = rows.join(table(spark, sf, "customer"), F.col("asset_id") == F.col("c_custkey"), "left_semi")
     payloads = A.first_writer(
-        rows.where("asset_id % 11 <> 3").select(
-            "url", "asset_id", "http_status", "content_type", "declared_bytes", "content"
+        A.measured(fetched).select(
+            "url", "asset_id", "http_status", "content_type", "declared_bytes", "error", "sniffed", "size"
         ),
         "url",
         ["asset_id"],
@@ -644,16 +666,14 @@ def crawl_errors(spark, sf):
 
 
 @query
-def retry_plan(spark, sf):
-    return L.retry_plan(_log(spark, sf))
+def request_attempts(spark, sf):
+    return L.request_attempts(_log(spark, sf))
 
 
 @query
-def polite_schedule(spark, sf):
-    at = (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long")
-    requests = _log(spark, sf).select("host", F.col("event_id").alias("id"), F.floor(at).alias("at_ms"))
-    delays = requests.select("host").distinct().withColumn("delay_ms", F.lit(4_000_000))
-    return L.polite_schedule(requests, delays)
+def host_gaps(spark, sf):
+    at = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000)
+    return L.host_gaps(_log(spark, sf).select("host", at.alias("at_ms")), close_ms=60_000)
 
 
 @query
@@ -677,12 +697,88 @@ def crawl_stats(spark, sf):
         _findings(spark, sf, masked=False),
         visits,
         FR.link_counters(visits, site, start, RUN),
+        _snapshots(spark, sf),
     )
 
 
 @query
 def run_summary(spark, sf):
-    return RC.run_summary(_records(spark, sf), R.run_findings(_findings(spark, sf, masked=False)))
+    plan, payloads = _planned(spark, sf)
+    kept = R.run_findings(_findings(spark, sf, masked=False))
+    return RC.run_summary(_records(spark, sf), kept, A.asset_outcomes(plan, payloads))
+
+
+# --- sinks: written to the shared folder and read back ---------------------------------------------
+
+
+def _read_back(spark, rows, write, read=None):
+    path = new_folder(spark, "sink")
+    write(rows, path)
+    return (read or spark.read.schema(rows.schema).json)(path)
+
+
+@query
+def sink_errors(spark, sf):
+    return _read_back(spark, L.crawl_errors(_log(spark, sf)).drop("ts"), X.write_json)
+
+
+@query
+def sink_assets_index(spark, sf):
+    plan, payloads = _planned(spark, sf)
+    stored = A.asset_outcomes(plan, payloads).where(F.col("status") == "ok").select("url", "type", "bytes")
+    return _read_back(spark, stored, X.write_json)
+
+
+@query
+def sink_intel(spark, sf):
+    return _read_back(spark, _findings(spark, sf).select("kind", "value", "page_url"), X.write_intel)
+
+
+@query
+def sink_security(spark, sf):
+    return _read_back(spark, security_audit(spark, sf), X.write_security)
+
+
+@query
+def sink_ndjson(spark, sf):
+    pages = _records(spark, sf).select("page_id", "url", F.col("meta.title").alias("title"), F.size("links").alias("links"))
+    return _read_back(spark, pages, lambda rows, path: X.export(rows, path, "ndjson"))
+
+
+@query
+def sink_csv(spark, sf):
+    rows = _records(spark, sf)
+    schema = RC.csv_rows(rows).schema
+
+    def read(path):
+        return spark.read.schema(schema).csv(path, header=True, quote='"', escape='"', emptyValue="", nullValue="\x00", multiLine=True)
+
+    return _read_back(spark, rows, X.write_csv, read)
+
+
+@query
+def sink_full_export(spark, sf):
+    path = new_folder(spark, "sink")
+    plan, payloads = _planned(spark, sf)
+    others = {
+        "errors": L.crawl_errors(_log(spark, sf)),
+        "findings": R.run_findings(_findings(spark, sf)),
+        "assets": A.asset_outcomes(plan, payloads),
+    }
+    X.export(_records(spark, sf), path, "json", others)
+    counts = [spark.read.text(f"{path}/{part}").agg(F.lit(part).alias("part"), F.count("*").alias("n")) for part in ("pages", *others)]
+    return reduce(DataFrame.unionByName, counts)
+
+
+@query
+def json_text(spark, sf):
+    return _records(spark, sf).select("page_id", F.to_json(F.struct("url", "depth", "bytes")).alias("text"))
+
+
+@query
+def extra_patterns(spark, sf):
+    rows = R.findings(_intel(spark, sf), extra_secrets=(("Own", "(?i)todo[^<]{1,8}"),), masked=False)
+    return rows.where(F.col("subtype") == "Own").select("page_id", "value")
 
 
 # --- streams -------------------------------------------------------------------------------------
@@ -702,6 +798,20 @@ def stream_links(spark, sf):
     return ST.drain(ST.arriving_links(ST.read_stream(spark, sf, _PAGE_SCHEMA, "pages.parquet")))
 
 
+@query
+def stream_assets(spark, sf):
+    return ST.drain(ST.arriving_assets(ST.read_stream(spark, sf, _PAGE_SCHEMA, "pages.parquet")))
+
+
+@query
+def stream_records(spark, sf):
+    pages = S.as_snapshots(ST.read_stream(spark, sf, _PAGE_SCHEMA, "pages.parquet")).withColumn("depth", F.lit(0))
+    records = ST.arriving_records(pages, CrawlConfig(scope="domain"))
+    return ST.drain(
+        records.select("page_id", "url", "bytes", F.col("meta.title").alias("title"), F.size("links").alias("links"))
+    )
+
+
 @query
 def stream_dedup(spark, sf):
     log = _stream_log(spark, sf)
@@ -716,14 +826,14 @@ def stream_findings(spark, sf):
 
 @query
 def stream_stats(spark, sf):
-    return ST.drain(ST.run_counters(_stream_log(spark, sf), "ts"), mode="complete").select(
-        F.col("window_start").cast("string").alias("window_start"), "crawled", "errors", "page_bytes"
+    return ST.drain(ST.run_counters(_stream_log(spark, sf), "ts"), keys=("window_start",)).select(
+        F.col("window_start").cast("string").alias("window_start"), "crawled", "errors", "page_bytes", "blocked"
     )
 
 
 @query
 def stream_host_rate(spark, sf):
-    return ST.drain(ST.host_rate(_stream_log(spark, sf), "ts"), mode="complete").select(
+    return ST.drain(ST.host_rate(_stream_log(spark, sf), "ts"), keys=("window_start", "host")).select(
         F.col("window_start").cast("string").alias("window_start"), "host", "requests"
     )
 

@@ -6,10 +6,13 @@ the array expressions the Spark jobs use, so that agreement means something.
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from catalog.derived import for_oracle
 from webquarry.fixed_values import (
     CATEGORY_EXTENSIONS,
     CONTENT_TYPE_EXTENSIONS,
+    CSS_URL,
     SPACE_CLASS,
     TRACKER_TOKENS,
     TWO_LABEL_SUFFIXES,
@@ -141,7 +144,8 @@ def safe(x: str) -> str:
     s = rf"""regexp_replace({x}, '[\\/:*?"<>|]+', '_', 'g')"""
     s = f"regexp_replace({s}, '[{SPACE_CLASS}]+', '_', 'g')"
     s = f"regexp_replace({s}, '_+', '_', 'g')"
-    return f"left(regexp_replace({s}, '^[._]+|[._]+$', '', 'g'), 180)"
+    s = f"regexp_replace({s}, '^[._]+|[._]+$', '', 'g')"
+    return f"CASE WHEN len({s}) > 180 THEN left({s}, 171) || '~' || {fnv(s)} ELSE {s} END"
 
 
 def sniff(hex_: str) -> str:
@@ -155,10 +159,20 @@ def sniff(hex_: str) -> str:
 # --- HTML ---------------------------------------------------------------------------------------
 
 
+#: The references by name that the data have.
+REFERENCES = ("amp", "lt", "gt", "quot", "nbsp", "apos", "copy", "middot", "eacute")
+
+
 def decode(x: str) -> str:
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        x = f"replace({x}, {lit(entity)}, {lit(char)})"
-    return x
+    parts = f"regexp_extract_all({x}, '&#[0-9]+;?|&#[xX][0-9A-Fa-f]+;?|&[A-Za-z][0-9A-Za-z]*;|[^&]+|&')"
+    digits = "string_split(lower(regexp_extract(p, '([0-9A-Fa-f]+);?$', 1)), '')"
+    base_16 = f"list_reduce(list_transform({digits}, lambda d: instr('0123456789abcdef', d) - 1), lambda a, b: a * 16 + b)"
+    named = " ".join(f"WHEN {lit('&' + n + ';')} THEN {lit(html5[n + ';'])}" for n in REFERENCES)
+    one = (
+        f"CASE WHEN regexp_matches(p, '^&#[xX]') THEN chr(({base_16})::INTEGER) WHEN regexp_matches(p, '^&#[0-9]') "
+        f"THEN chr(regexp_extract(p, '[0-9]+')::INTEGER) ELSE CASE p {named} ELSE p END END"
+    )
+    return f"CASE WHEN contains({x}, '&') THEN array_to_string(list_transform({parts}, lambda p: {one}), '') ELSE {x} END"
 
 
 def value_of(token: str) -> str:
@@ -205,9 +219,6 @@ def links_chain() -> list[str]:
     ]
 
 
-CSS_URL = rf"""(?i)url\([{SPACE_CLASS}]*['"]?([^'")]+)['"]?[{SPACE_CLASS}]*\)"""
-
-
 def exploded(select: str, items: str, name: str, pos: str) -> str:
     return f"SELECT {select}, unnest({items}) AS {name}, generate_subscripts({items}, 1) AS {pos}"
 
@@ -305,7 +316,7 @@ def forms_chain() -> list[str]:
     form = rf"<form(?:[\s/]{ATTRS})?>.*?(?:</form(?:[\s/][^>]*)?>|\z)"
     control = rf"<(?:input|select|textarea|button)(?:[\s/]{ATTRS})?>"
     return [
-        f"fm0 AS (SELECT page_id, unnest(l[:100]) AS block, generate_subscripts(l[:100], 1) - 1 AS form_no FROM (SELECT page_id, regexp_extract_all(txt, {lit(form)}, 0, 'is') AS l FROM clean))",
+        f"fm0 AS (SELECT page_id, unnest(l) AS block, generate_subscripts(l, 1) - 1 AS form_no FROM (SELECT page_id, regexp_extract_all(txt, {lit(form)}, 0, 'is') AS l FROM clean))",
         f"""fm1 AS (SELECT *, {tokens_of(f"regexp_extract(block, {lit('^<form' + ATTRS + '>')}, 0, 'is')")} AS tok,
             list_transform(regexp_extract_all(block, {lit(control)}, 0, 'is'), lambda c: {{'t': c, 'tok': {tokens_of('c')}}}) AS cs FROM fm0)""",
         f"""fm2 AS (SELECT page_id, form_no, {attr('action')} AS raw, lower(CASE WHEN {attr('method')} = '' THEN 'get' ELSE {attr('method')} END) AS method,

@@ -78,7 +78,10 @@ def test_mirror_paths(spark, url, want):
 
 
 def test_names_are_cut(spark):
-    assert len(one(spark, FL.safe_name(F.lit("a" * 300), "x"))) == 180
+    long = one(spark, FL.safe_name(F.lit("a" * 300), "x"))
+    assert long == "a" * 171 + "~" + fnv("a" * 300)
+    assert long != one(spark, FL.safe_name(F.lit("a" * 299 + "b"), "x"))
+    assert one(spark, FL.safe_name(F.lit("a" * 180), "x")) == "a" * 180
     assert one(spark, FL.safe_name(F.lit("._."), "x")) == "x"
 
 
@@ -119,6 +122,9 @@ def test_outcomes(spark):
          ("gone", 404, "", 1000, None), ("fine", 200, "", 4, bytearray(b"%PDF"))],
         "url string, http_status int, content_type string, declared_bytes long, content binary",
     )
+    named = payloads.withColumn("error", F.when(F.col("url") == "gone", "ETIMEDOUT").otherwise(""))
+    assert {r.url: r.reason for r in A.asset_outcomes(plan, named, 100).collect()}["gone"] == "ETIMEDOUT"
+    assert A.asset_outcomes(plan, A.measured(payloads), 100).exceptAll(A.asset_outcomes(plan, payloads, 100)).count() == 0
     got = {r.url: (r.status, r.reason, r.bytes) for r in A.asset_outcomes(plan, payloads, 100).collect()}
     assert got == {
         "html": ("skipped", "not-a-file (server returned HTML)", None), "svg": ("ok", None, 6), "page": ("ok", None, len(page)),

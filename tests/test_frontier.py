@@ -87,7 +87,7 @@ def test_levels_do_not_shuffle_snapshots_or_seen_urls(spark):
             "url", F.array(F.lit(0)).alias("place"), F.lit("page").alias("disposition")
         )
     )
-    seen = [level.select("url").hint("merge") for _ in range(3)]
+    seen = level.select("url").hint("merge")
     new = FR._next_level(level.hint("merge"), stored, seen, F.lit("x"), CrawlConfig(scope="all"))
     plan = new._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
@@ -96,12 +96,20 @@ def test_levels_do_not_shuffle_snapshots_or_seen_urls(spark):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("webquarry_")]
 
 
-def test_many_levels_are_merged(spark):
-    n = 24
+def test_a_long_chain(spark):
+    n = 40
     snapshots = spark.createDataFrame([(f"https://h.com/{i}", [f"https://h.com/{i + 1}"]) for i in range(n)], "url string, links array<string>")
     seeds = spark.createDataFrame([("https://h.com/0", 0, None)], "url string, ord int, parent string")
-    visits = FR.expand_frontier(seeds, snapshots, CrawlConfig(max_depth=0, max_pages=0))
+    visits = FR.expand_frontier(seeds, snapshots, CrawlConfig())
     assert sorted((r.depth, r.disposition) for r in visits.collect()) == [(i, "page") for i in range(n)] + [(n, "error")]
+    # However deep the crawl, its result is one scan.
+    assert visits._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+
+
+def test_the_budget_is_cut_without_a_single_sort(spark):
+    pages = spark.range(5000).select(F.array((F.col("id") * 7919 % 5000).cast("int"), F.lit(1)).alias("place")).repartition(7)
+    for n in (1, 2, 777, 4999, 5000):
+        assert FR._nth_place(pages, n) == [n - 1, 1]
 
 
 def test_known_links(spark):

@@ -19,29 +19,24 @@ from webquarry.sources import snapshots as S
 from webquarry.streaming import jobs as ST
 
 
-def test_polite_schedule_matches_the_sequential_rule(spark):
+def test_host_gaps_match_a_sorted_log(spark):
     rng = random.Random(3)
-    rows = [(rng.choice("aaab"), n, rng.randrange(0, 200_000)) for n in range(600)]
-    delays = {"a": 700, "b": 0}
-    got = L.polite_schedule(
-        spark.createDataFrame(rows, "host string, id int, at_ms long"),
-        spark.createDataFrame(list(delays.items()), "host string, delay_ms int"),
-        bucket_ms=10_000,
-    ).collect()
-    nexts, want = {}, {}
-    for host, n, at in sorted(rows, key=lambda r: (r[2], r[1])):
-        want[n] = max(at, nexts.get(host, 0))
-        nexts[host] = want[n] + delays[host]
-    assert {r.id: r.start_ms for r in got} == want
-    assert all(r.wait_ms == r.start_ms - r.at_ms for r in got)
-
-
-def test_retry_plan(spark):
+    rows = [(rng.choice("aaab"), rng.randrange(0, 900_000)) for _ in range(600)] + [("c", 5)]
+    got = L.host_gaps(spark.createDataFrame(rows, "host string, at_ms long"), close_ms=700, bucket_ms=10_000).collect()
+    want = {}
+    for host in "abc":
+        times = sorted(at for h, at in rows if h == host)
+        gaps = [b - a for a, b in zip(times, times[1:])]
+        want[host] = (len(times), min(gaps, default=None), sum(g < 700 for g in gaps))
+    assert {r.host: (r.requests, r.min_gap_ms, r.close_gaps) for r in got} == want
+
+
+def test_request_attempts(spark):
     log = [(1, 0, 503, ""), (1, 1, 200, "x"), (1, 2, 500, ""), (2, 0, 404, ""), (3, 0, 0, ""), (3, 1, 0, ""), (3, 2, 0, ""),
            (4, 0, 500, "body"), (5, 0, 429, "")]
-    got = L.retry_plan(spark.createDataFrame(log, "request int, attempt int, status int, html string"))
-    assert {r.request: (r.retries, r.status, r.backoff_ms) for r in got.collect()} == {
-        1: (1, 200, 500), 2: (0, 404, 0), 3: (2, 0, 1500), 4: (0, 500, 0), 5: (0, 429, 0),
+    got = L.request_attempts(spark.createDataFrame(log, "request int, attempt int, status int, html string"))
+    assert {r.request: (r.attempts, r.status, r.late) for r in got.collect()} == {
+        1: (3, 500, 1), 2: (1, 404, 0), 3: (3, 0, 0), 4: (1, 500, 0), 5: (1, 429, 0),
     }
 
 
@@ -59,11 +54,11 @@ def test_skewed_join_equals_the_plain_one(spark):
     )
     lookup = spark.createDataFrame([("hot", 1), ("3", 2), ("4", 3)], "k string, w int")
     for how in ("left", "inner"):
-        safe = skew.join_one_per_key(rows, lookup, "k", how, salts=8, min_rows=1000)
-        plain = rows.join(lookup, "k", how)
-        assert safe.count() == plain.count()
-        assert safe.select("k", "v", "w").exceptAll(plain.select("k", "v", "w")).count() == 0
-    assert [r.k for r in skew.hot_keys(rows, "k", 1000).collect()] == ["hot"]
+        for salts in (1, 8):
+            safe = skew.join_one_per_key(rows, lookup, "k", how, salts)
+            plain = rows.join(lookup, "k", how)
+            assert safe.count() == plain.count()
+            assert safe.select("k", "v", "w").exceptAll(plain.select("k", "v", "w")).count() == 0
 
 
 def test_header_map(spark):
@@ -72,6 +67,22 @@ def test_header_map(spark):
     assert got == {"server": "a", "x-a": "last"}
 
 
+def test_scan_lowers_header_names_and_gates_bodies(spark):
+    page = '<a href="/x">x</a> me@port.example'
+    rows = [(1, "https://port.example/", page, "text/html", {"Content-Security-Policy": "self", "SERVER": "b"}),
+            (2, "https://port.example/t", page, "text/plain", None), (3, "https://port.example/n", page, None, None)]
+    pages = S.as_snapshots(
+        spark.createDataFrame(rows, "page_id long, url string, html string, content_type string, headers map<string,string>")
+    ).withColumn("depth", F.lit(0)).withColumn("status", F.lit(200))
+    config = CrawlConfig(scope="all", extract_intel=True, audit_security=True)
+    records = {r.page_id: r for r in RC.page_records(pages, config).collect()}
+    assert "content-security-policy" not in records[1].security.missing and records[1].security.tech == ["Server: b"]
+    assert [len(records[i].links) for i in (1, 2, 3)] == [1, 0, 1]
+    assert [records[i].intel.emails for i in (1, 2, 3)] == [1, 0, 1]
+    assert all(r.bytes == len(page) for r in records.values())
+    assert {r.url: len(r.links) for r in RC.crawlable(pages, config).collect()}["https://port.example/t"] == 0
+
+
 def test_snapshots_get_every_column(spark, sf):
     snaps = S.scan_pages(spark, f"{sf}/pages.parquet")
     assert snaps.columns[0] == "page_id" and snaps.schema["headers"].dataType.simpleString() == "map<string,string>"
@@ -107,13 +118,14 @@ def test_results_are_written(spark, sf, tmp_path):
     lines = [x for f in Path(f"{out}/downloaded-files").glob("part-*") for x in f.read_text().splitlines()]
     assert lines == ["assets/i.png\t3"]
     for fmt in ("json", "ndjson", "csv"):
-        X.export(records, str(tmp_path / fmt), fmt)
+        X.export(records, str(tmp_path / fmt), fmt, {"errors": errors, "findings": findings})
+    assert len(read_json(tmp_path / "json/pages")) == 2 and len(read_json(tmp_path / "json/findings")) == findings.count() > 0
     assert len(read_json(tmp_path / "ndjson")) == 2
     rows = [r for f in sorted((tmp_path / "csv").glob("part-*.csv")) for r in csv.DictReader(f.open())]
     assert {r["title"] for r in rows} == {'x, "y"', ""} and rows[0]["linkCount"] in "01"
     text = "".join(f.read_text() for f in (tmp_path / "csv").glob("part-*.csv"))
     assert '"x, ""y"""' in text and "url,status,depth,title,contentType,bytes,linkCount,assetCount,renderedWith" in text
-    X.write_mirror(pages, str(tmp_path / "mirror"))
+    X.write_mirror(X.page_mirror(pages), str(tmp_path / "mirror"))
     assert spark.read.parquet(str(tmp_path / "mirror")).where("host = 'h.com'").count() == 2
 
 

@@ -120,6 +120,25 @@ def test_trackers_and_patterns(spark):
     assert len(split_list("/wiki/\nSpecial:")) == 2
     include = U.compile_patterns("/WIKI/")
     exclude = U.compile_patterns("special:, [broken")
+    # Java decides what a pattern is: its own forms count, those of other languages are text.
+    assert U.compile_patterns("(?<n>x)[0-9]\n(?P<n>x)\n[[]") == ("(?i)(?<n>x)[0-9]", "(?i)\\(\\?P<n>x\\)", "(?i)\\[\\[\\]")
     for url, want in [("https://h.com/wiki/A", True), ("https://h.com/wiki/Special:B", False),
                       ("https://h.com/x", False), ("https://h.com/wiki/[broken", False)]:
         assert one(spark, U.passes_patterns(F.lit(url), include, exclude)) is want
+
+
+def test_one_spelling_per_host(spark):
+    for raw, want in [
+        ("http://M\u00fcnchen.example/a", "http://xn--mnchen-3ya.example/a"),
+        ("http://xn--mnchen-3ya.example/a", "http://xn--mnchen-3ya.example/a"),
+        ("http://0x7f.1/", "http://127.0.0.1/"),
+        ("http://2130706433/x", "http://127.0.0.1/x"),
+        ("http://0177.0.0.01/", "http://127.0.0.1/"),
+        ("http://10.1.2.3:80/", "http://10.1.2.3/"),
+        ("http://1.2.3.256/", None),
+        ("http://1.256.3.4/", None),
+        ("http://09.1.1.1/", None),
+        ("http://4294967296/", None),
+        ("http://1.2.3.4.example/", "http://1.2.3.4.example/"),
+    ]:
+        assert one(spark, U.canonical_url(F.lit(raw))) == want, raw

@@ -1,4 +1,4 @@
-"""Run options that affect data."""
+"""Run options that affect data.  A limit of 0 means none."""
 
 from __future__ import annotations
 
@@ -16,8 +16,8 @@ def split_list(raw: str | None) -> list[str]:
 @dataclass(frozen=True)
 class CrawlConfig:
     scope: str = "domain"
-    max_depth: int = 5
-    max_pages: int = 500
+    max_depth: int = 0
+    max_pages: int = 0
     include_patterns: tuple[str, ...] = ()
     exclude_patterns: tuple[str, ...] = ()
     respect_robots: bool = True
@@ -30,8 +30,5 @@ class CrawlConfig:
     save_pages: bool = False
     extract_intel: bool = False
     audit_security: bool = False
-    delay_ms: int = 300
-    jitter: float = 0.0
-    max_retries: int = 2
     extra_secret_patterns: tuple[tuple[str, str], ...] = field(default=())
     extra_tech_signatures: tuple[tuple[str, str], ...] = field(default=())

@@ -73,9 +73,14 @@ SOCIAL_HOSTS = (
     "pinterest.com", "twitch.tv", "vimeo.com",
 )
 
+# --- fixed values: pages -----------------------------------------------------------
+
+CSS_URL = rf"""(?i)url\([{SPACE_CLASS}]*['"]?([^'")]+)['"]?[{SPACE_CLASS}]*\)"""
+
 # --- fixed values: recon ----------------------------------------------------------
 
-EMAIL_BODY = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,24}"
+EMAIL_LOCAL = "A-Za-z0-9._%+-"
+EMAIL_HOST = r"[A-Za-z0-9.-]+\.[A-Za-z]{2,24}"
 EMAIL_REJECTED_ENDINGS = r"\.(png|jpe?g|gif|webp|svg|css|js|woff2?|ttf)"
 COMMENT_KEYWORDS = (
     r"todo|fixme|hack|password|passwd|secret|api[_-]?key|token|bug|debug|deprecated|note:"
@@ -139,19 +144,6 @@ SECURITY_HEADERS = (
     "permissions-policy",
 )
 
-MAX_RECON_CHARS = 8 * 1024 * 1024
-SECRETS_PER_PAGE = 300
-ENDPOINTS_PER_PAGE = 800
-COMMENTS_PER_PAGE = 150
-COMMENT_MAX_CHARS = 400
-FORMS_PER_PAGE = 100
-ENDPOINTS_PER_RUN = 20_000
-SECRETS_PER_RUN = 5_000
-COMMENTS_PER_RUN = 5_000
-LIVE_ROWS_PER_PAGE = 200
-SITEMAP_URLS_PER_SEED = 5_000
-SITEMAP_MAX_DEPTH = 3
-
 # --- fixed values: fetching and files ------------------------------------------------
 
 BLOCKED_STATUSES = (401, 403, 406, 429, 503)
@@ -169,5 +161,3 @@ CHALLENGE_MARKERS = (
     "ddos protection by",
     "attention required",
 )
-CSV_COLUMNS = ("url", "status", "depth", "title", "contentType", "bytes", "linkCount", "assetCount",
-               "renderedWith")

@@ -85,12 +85,25 @@ def fnv1a_hex(text: Column) -> Column:
     return F.lpad(F.lower(F.hex(hashed)), 8, "0")
 
 
+MAX_NAME = 180
+
+
 def safe_name(text: Column, fallback: str) -> Column:
+    """A file name without unsafe characters.
+
+    File systems limit the length of a name; a longer one is cut and ends in the
+    hash of all of it, so two names stay two.
+    """
     cleaned = F.regexp_replace(text, r'[\\/:*?"<>|]+', "_")
     cleaned = F.regexp_replace(cleaned, f"[{SPACE_CLASS}]+", "_")
     cleaned = F.regexp_replace(cleaned, "_+", "_")
-    cleaned = F.substring(F.regexp_replace(cleaned, r"\A[._]+|[._]+\z", ""), 1, 180)
-    return F.when(cleaned == "", F.lit(fallback)).otherwise(cleaned)
+    cleaned = F.regexp_replace(cleaned, r"\A[._]+|[._]+\z", "")
+    return let(
+        cleaned,
+        lambda c: F.when(c == "", F.lit(fallback))
+        .when(F.length(c) > MAX_NAME, F.concat(F.substring(c, 1, MAX_NAME - 9), F.lit("~"), fnv1a_hex(c)))
+        .otherwise(c),
+    )
 
 
 def percent_decode(path: Column) -> Column:

@@ -8,15 +8,30 @@ stack.
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from webquarry.functions.expr import let
+from webquarry.functions.expr import distinct_by_first, let
 
 _ATTR = r"""[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+"""
 _ATTRS = rf"(?:[\s/]++|{_ATTR})*+"
 _RAW_ELEMENTS = "script|style|title|textarea|iframe|xmp|noembed|noframes"
 _END_OF_NAME = r"(?=[\s/>])"
+_START_TAG = rf"\A<[A-Za-z]++{_ATTRS}>"
+
+# Named references come from the standard table: those with a semicolon by name, the
+# old ones that also count without it as a pattern, longest first.
+_MARK = "\x01"
+_FREQUENT = ("amp;", "quot;", "lt;", "gt;", "nbsp;", "apos;", "copy;", "middot;")
+_NAMED = "".join(
+    f"{_MARK}{name}{html5[name]}" for name in (*_FREQUENT, *(n for n in html5 if n[-1] == ";" and n not in _FREQUENT))
+)
+_BARE = "|".join(sorted((n for n in html5 if n[-1] != ";"), key=lambda n: (-len(n), n)))
+_REFERENCES = r"&#[0-9]++;?|&#[xX][0-9A-Fa-f]++;?|&[A-Za-z][0-9A-Za-z]*+;|&(?:{bare}){end}|[^&]++|&"
+# What the standard reads for the code points 128 to 159.
+_C1 = "".join(bytes([c]).decode("cp1252", "replace").replace("\ufffd", chr(c)) for c in range(128, 160))
 
 
 
@@ -26,21 +41,24 @@ def token_pattern(names: tuple[str, ...] = ()) -> str:
     A token is a comment, a raw-text element with its text, the end of a form, or
     a start tag; ``names`` limits the start tags to those asked for.  Comments and
     raw-text elements are always taken whole, so markup inside them is skipped.
+    A tag that is never closed runs to the end of the page, so no part of a page
+    is read again for the next tag.
     """
     name = f"(?:{'|'.join(names)}){_END_OF_NAME}" if names else r"[a-z][^\s/>]*+"
     return (
         r"(?is)<(?:!--(?:-?>|.*?(?:-->|--!>|\z))"
-        rf"|({_RAW_ELEMENTS}){_END_OF_NAME}{_ATTRS}>.*?(?:</\1{_END_OF_NAME}[^>]*>|\z)"
-        rf"|/form{_END_OF_NAME}[^>]*>"
-        rf"|{name}{_ATTRS}>)"
+        rf"|({_RAW_ELEMENTS}){_END_OF_NAME}{_ATTRS}(?:>.*?(?:</\1{_END_OF_NAME}[^>]*+(?:>|\z)|\z)|\z)"
+        rf"|/form{_END_OF_NAME}[^>]*+(?:>|\z)"
+        rf"|{name}{_ATTRS}(?:>|\z))"
     )
 
 
 def tokens(html: Column, names: tuple[str, ...] = ()) -> Column:
     """Raw-text elements, form ends and start tags of a page in document order."""
+    raw = rf"(?i)\A<(?:{_RAW_ELEMENTS})[\s/>]"
     return F.filter(
         F.regexp_extract_all(html, F.lit(token_pattern(names)), F.lit(0)),
-        lambda t: ~t.startswith("<!"),
+        lambda t: ~t.startswith("<!") & (t.endswith(">") | (t.rlike(raw) & t.rlike(_START_TAG))),
     )
 
 
@@ -58,7 +76,7 @@ def tags_of(found: Column) -> Column:
                 name.alias("name"),
                 F.when(
                     name.isin(*_RAW_ELEMENTS.split("|")),
-                    F.regexp_extract(token, rf"\A<[A-Za-z]++{_ATTRS}>", 0),
+                    F.regexp_extract(token, _START_TAG, 0),
                 )
                 .otherwise(token)
                 .alias("text"),
@@ -73,20 +91,62 @@ def texts_of(found: Column, element: str) -> Column:
     return F.transform(
         F.filter(found, lambda t: t.rlike(rf"(?i)\A<{element}[\s/>]")),
         lambda t: F.regexp_extract(
-            t, rf"(?is)\A<[a-z]++{_ATTRS}>(.*?)(?:</[a-z]++{_END_OF_NAME}[^>]*>)?\z", 1
+            t, rf"(?is)\A<{element}{_ATTRS}>(.*?)(?:</{element}{_END_OF_NAME}[^>]*+>?)?\z", 1
         ),
     )
 
 
-def decode_entities(text: Column) -> Column:
-    """The six common entities; the ampersand last, so nothing decodes twice."""
-    decoded = text
-    for entity, char in (
-        ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "),
-        ("&amp;", "&"),
-    ):
-        decoded = F.replace(decoded, F.lit(entity), F.lit(char))
-    return F.when(text.contains("&"), decoded).otherwise(text)
+def _numbered(reference: Column) -> Column:
+    """The character of a reference by number; the standard's replacements for bad numbers."""
+    digits = F.regexp_extract(reference, r"\A&#[xX]?0*([0-9A-Fa-f]*)", 1)
+    base_16 = reference.rlike(r"\A&#[xX]")
+
+    def character(code: Column) -> Column:
+        wrong = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+        return (
+            F.when(wrong, "\ufffd")
+            .when(code.between(128, 159), F.substr(F.lit(_C1), code - 127, F.lit(1)))
+            .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        )
+
+    def number(d: Column) -> Column:
+        known = F.concat(F.lit("0"), d)
+        return F.when(
+            F.length(d) <= 7, F.when(base_16, F.conv(known, 16, 10)).otherwise(F.conv(known, 10, 10)).cast("int")
+        ).otherwise(0)
+
+    return let(let(digits, number), character)
+
+
+def _named(reference: Column) -> Column:
+    """The characters of a reference by name, or the reference as it is."""
+    name = F.concat(F.lit(_MARK), F.rtrim(F.substr(reference, F.lit(2)), F.lit(";")), F.lit(";"))
+    table = F.lit(_NAMED)
+    return let(
+        name,
+        lambda n: let(
+            F.instr(table, n),
+            lambda at: F.when(
+                at > 0, F.substring_index(F.substr(table, at + F.length(n), F.lit(4)), _MARK, 1)
+            ).otherwise(reference),
+        ),
+    )
+
+
+def decode_references(text: Column, in_attribute: bool = True) -> Column:
+    """Character references by number and by name, decoded in one pass from the left.
+
+    In an attribute an old name without its semicolon does not count before a
+    letter, a digit or ``=``, so query strings stay as they are.
+    """
+    pattern = _REFERENCES.format(bare=_BARE, end="(?![0-9A-Za-z=])" if in_attribute else "")
+    decoded = F.transform(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        lambda part: F.when(part.startswith("&#") & (F.length(part) > 2), _numbered(part))
+        .when(part.startswith("&") & (part != "&"), _named(part))
+        .otherwise(part),
+    )
+    return F.when(text.contains("&"), F.array_join(decoded, "")).otherwise(text)
 
 
 def _unquote(value: Column) -> Column:
@@ -102,7 +162,7 @@ def attribute(tag: Column, name: str) -> Column:
         rf"""(?i)\A<[a-z][^\s/>]*+(?:[\s/]++|(?!{name}(?:[\s/>=]|\z)){_ATTR})*+"""
         rf"""{name}\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)"""
     )
-    return let(F.regexp_extract(tag, pattern, 1), lambda v: decode_entities(_unquote(v)))
+    return let(F.regexp_extract(tag, pattern, 1), lambda v: decode_references(_unquote(v)))
 
 
 def has_attribute(tag: Column, name: str) -> Column:
@@ -121,14 +181,9 @@ def attributes(tag: Column) -> Column:
         ),
         lambda token: F.struct(
             F.lower(F.regexp_extract(token, r"\A[^\s/>][^\s/>=]*", 0)).alias("name"),
-            decode_entities(
+            decode_references(
                 _unquote(F.regexp_extract(token, r"(?s)\A[^\s/>][^\s/>=]*\s*=\s*(.*)\z", 1))
             ).alias("value"),
         ),
     )
-    return let(
-        pairs,
-        lambda p: F.filter(
-            p, lambda x, i: F.array_position(F.transform(p, lambda y: y["name"]), x["name"]) == i + 1
-        ),
-    )
+    return distinct_by_first(pairs, "name", ["name", "value"])

@@ -1,13 +1,14 @@
 """URL rules as column expressions: canonical form, parts, scope, category.
 
-Parsing follows the URL Standard for http and https.  Hosts are lower-cased but
-not converted to punycode, and number forms of IPv4 hosts are left alone.
+Parsing follows the URL Standard for http and https.  Hosts are lower-cased, names
+outside ASCII go to punycode, and number forms of IPv4 hosts to four decimals.
 """
 
 from __future__ import annotations
 
-import re
-
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -150,12 +151,57 @@ def _absolute(parts: Column, base: Column | None) -> Column:
     )
 
 
+_NUMBER = "(?:0x[0-9a-f]*|[0-9]+)"
+_IPV4 = rf"\A{_NUMBER}(?:\.{_NUMBER}){{0,3}}\.?\z"
+
+
+def _ipv4(host: Column) -> Column:
+    """One to four numbers, decimal, octal or hexadecimal, as four decimals; null out of range."""
+
+    def number(part: Column) -> Column:
+        digits = F.regexp_extract(part, r"\A(?:0x|0)?0*([0-9a-f]*)\z", 1)
+        known = F.concat(F.lit("0"), digits)
+        value = (
+            F.when(part.startswith("0x"), F.conv(known, 16, 10))
+            .when(part.rlike(r"\A0[0-7]+\z"), F.conv(known, 8, 10))
+            .when(~part.rlike(r"\A0[0-9]"), F.conv(known, 10, 10))
+        )
+        return F.when(F.length(digits) <= 12, value.cast("long"))
+
+    def joined(n: Column) -> Column:
+        last = F.element_at(n, -1)
+        high = F.aggregate(
+            F.slice(n, 1, F.size(n) - 1), F.lit(0).cast("long"), lambda a, x: F.when(x <= 255, a * 256 + x)
+        )
+        room = F.element_at(F.array(*[F.lit(256 ** (5 - k)).cast("long") for k in (1, 2, 3, 4)]), F.size(n))
+        address = F.when(last < room, high * room + last)
+        return let(
+            address,
+            lambda a: F.when(
+                a.isNotNull(),
+                F.concat_ws(".", *[F.shiftright(a, s).bitwiseAND(F.lit(255).cast("long")).cast("string") for s in (24, 16, 8, 0)]),
+            ),
+        )
+
+    return let(F.transform(F.split(F.rtrim(host, F.lit(".")), r"\."), number), joined)
+
+
+def _canonical_host(host: Column) -> Column:
+    """The one spelling of a lower-case host; empty for a host that is not valid."""
+    ascii_name = F.lower(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), host))
+    return (
+        F.when(host.rlike(r"[^\x00-\x7f]"), F.coalesce(ascii_name, F.lit("")))
+        .when(host.rlike(_IPV4), F.coalesce(_ipv4(host), F.lit("")))
+        .otherwise(host)
+    )
+
+
 def _serialize(u: Column) -> Column:
     """Canonical text of resolved parts, null when the host or port is invalid."""
     host_port = F.substring_index(u["authority"], "@", -1)
 
     def build(a: Column) -> Column:
-        host = F.lower(F.regexp_extract(a["host_port"], _HOST_PORT, 1))
+        host = let(F.lower(F.regexp_extract(a["host_port"], _HOST_PORT, 1)), _canonical_host)
         port = F.try_to_number(
             F.nullif(F.regexp_extract(a["host_port"], _HOST_PORT, 2), F.lit("")), F.lit("99999999")
         )
@@ -303,13 +349,14 @@ def is_tracker(url: Column) -> Column:
 
 
 def compile_patterns(raw: str | None) -> tuple[str, ...]:
-    """Case-insensitive regular expressions of a list; invalid ones match literally."""
+    """Case-insensitive regular expressions of a list; what the JVM cannot compile matches literally."""
+    patterns = SparkContext.getOrCreate()._jvm.java.util.regex.Pattern
     compiled = []
     for pattern in split_list(raw):
         try:
-            re.compile(pattern)
+            patterns.compile("(?i)" + pattern)
             compiled.append("(?i)" + pattern)
-        except re.error:
+        except (Py4JJavaError, IllegalArgumentException):
             compiled.append("(?i)" + escape_regex(pattern))
     return tuple(compiled)
 

@@ -36,15 +36,22 @@ def asset_plan(
     )
 
 
+def measured(payloads: DataFrame) -> DataFrame:
+    """Payloads with ``sniffed`` and ``size`` in place of their bytes, which need not travel on."""
+    facts = {"sniffed": FL.sniff_type(F.col("content")), "size": F.octet_length("content")}
+    return payloads.withColumns(facts).drop("content")
+
+
 def asset_outcomes(plan: DataFrame, payloads: DataFrame, max_bytes: int = 0) -> DataFrame:
     """What becomes of each planned asset: ``status, reason, bytes`` added.
 
-    ``payloads`` has ``url, status, content_type, declared_bytes, content``, one
-    row per URL; a planned asset without a payload is an error.
+    ``payloads`` has ``url, http_status, content_type, declared_bytes``, ``content`` or the
+    columns of :func:`measured`, and may have the ``error`` a failed fetch named, one row
+    per URL; a planned asset without a payload is an error.
     """
-    size = F.octet_length("content")
-    got = payloads.withColumn("sniffed", FL.sniff_type(F.col("content"))).withColumn("size", size)
-    joined = plan.join(got.drop("content"), "url", "left")
+    got = measured(payloads) if "content" in payloads.columns else payloads
+    stated = F.nullif(F.col("error"), F.lit("")) if "error" in got.columns else F.lit(None).cast("string")
+    joined = plan.join(got, "url", "left")
     declared = F.coalesce(F.col("declared_bytes"), F.lit(0))
     ok_status = F.coalesce(F.col("http_status").between(200, 299), F.lit(False))
     no_limit = F.lit(max_bytes == 0)
@@ -54,7 +61,9 @@ def asset_outcomes(plan: DataFrame, payloads: DataFrame, max_bytes: int = 0) ->
             ~ok_status | F.col("size").isNull(),
             F.struct(
                 F.lit("error"),
-                F.concat(F.lit("http-"), F.coalesce(F.col("http_status"), F.lit(0)).cast("string")),
+                F.coalesce(
+                    stated, F.concat(F.lit("http-"), F.coalesce(F.col("http_status"), F.lit(0)).cast("string"))
+                ),
                 F.lit(None).cast("long"),
             ),
         )

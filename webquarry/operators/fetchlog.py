@@ -1,4 +1,4 @@
-"""Jobs over fetch logs: page quality, retries, errors and politeness."""
+"""Jobs over fetch logs: page quality, attempts, errors and request rates."""
 
 from __future__ import annotations
 
@@ -12,7 +12,6 @@ from webquarry.fixed_values import (
     SHELL_PAGE_CHARS,
 )
 from webquarry.functions.expr import escape_regex, utf16_length
-from webquarry.operators.skew import join_one_per_key
 
 
 def is_ok(status: Column) -> Column:
@@ -60,72 +59,51 @@ def is_final_attempt(status: Column, html: Column) -> Column:
     return ~retryable | (F.coalesce(html, F.lit("")) != "")
 
 
-def retry_plan(log: DataFrame, max_retries: int = 2) -> DataFrame:
-    """Per request the attempt that ends it, the waits before it, and its result.
+def request_attempts(log: DataFrame) -> DataFrame:
+    """Per request of a log ``request, attempt, status, html``: attempts, the last status, waste.
 
-    ``log`` has ``request, attempt, status, html``.  One partial aggregation, no
-    window: a URL asked for a million times stays balanced.
+    ``late`` counts attempts made after one that needed no other.  One partial
+    aggregation, no window: a URL asked for a million times stays balanced.
     """
-    ends = is_final_attempt(F.col("status"), F.col("html")) | (F.col("attempt") == max_retries)
-    attempts = log.where(F.col("attempt") <= max_retries)
-    last = attempts.groupBy("request").agg(
-        F.min_by(
-            F.struct("attempt", "status"),
-            F.struct((~ends).cast("int").alias("open"), F.when(ends, F.col("attempt")).otherwise(-F.col("attempt"))),
-        ).alias("last")
-    )
-    waits = F.transform(
-        F.sequence(F.lit(0), F.lit(max_retries)),
-        lambda a: F.least(F.lit(8000), (F.lit(500) * F.pow(F.lit(2), a)).cast("int")),
-    )
-    return last.select(
-        "request",
-        F.col("last.attempt").alias("retries"),
-        F.col("last.status").alias("status"),
-        F.aggregate(
-            F.slice(waits, 1, F.col("last.attempt").cast("int")), F.lit(0), lambda s, w: s + w
-        ).alias("backoff_ms"),
+    done = is_final_attempt(F.col("status"), F.col("html"))
+    firsts = log.groupBy("request").agg(
+        F.count("*").alias("attempts"),
+        F.max_by("status", "attempt").alias("status"),
+        F.min(F.when(done, F.col("attempt"))).alias("settled"),
+        F.max("attempt").alias("last"),
     )
+    late = F.coalesce(F.col("last") - F.col("settled"), F.lit(0))
+    return firsts.select("request", "attempts", "status", late.cast("long").alias("late"))
 
 
-def polite_schedule(
-    requests: DataFrame, delays: DataFrame, bucket_ms: int = 60_000
-) -> DataFrame:
-    """When each request may start if a host is asked at most once per delay.
+def host_gaps(requests: DataFrame, close_ms: int = 1000, bucket_ms: int = 3_600_000) -> DataFrame:
+    """Per host of ``host, at_ms``: requests, the smallest gap, and gaps under ``close_ms``.
 
-    ``requests`` has ``host, id, at_ms``, ``delays`` has ``host, delay_ms``.  A
-    request starts at the later of its own time and the previous start plus the
-    delay, in the order (at_ms, id).  With r the rank in the host's order that is
-    ``max over earlier j of (at_j - r_j * delay) + r * delay``: a running count and
-    a running maximum.  Both are taken in two steps, inside time buckets and then
-    over one summary row per bucket, so a host with a third of all requests is
-    spread over as many tasks as it has busy buckets.
+    Gaps are taken inside time buckets and then between the buckets of a host, so
+    a host with a third of all requests is spread over its busy buckets.
     """
     bucketed = requests.withColumn("bucket", F.floor(F.col("at_ms") / bucket_ms))
-    inside = Window.partitionBy("host", "bucket").orderBy("at_ms", "id")
-    delay = F.coalesce(F.col("delay_ms"), F.lit(0)).cast("long")
-    known = join_one_per_key(bucketed, delays.select("host", "delay_ms"), "host").withColumn("delay", delay)
-    local = known.withColumn("i", F.row_number().over(inside) - 1).withColumn(
-        "peak", F.max(F.col("at_ms") - F.col("i") * F.col("delay")).over(inside)
+    gap = F.col("at_ms") - F.lag("at_ms").over(Window.partitionBy("host", "bucket").orderBy("at_ms"))
+    inside = (
+        bucketed.withColumn("gap", gap)
+        .groupBy("host", "bucket")
+        .agg(
+            F.count("*").alias("requests"),
+            F.min("gap").alias("gap"),
+            F.count_if(F.col("gap") < close_ms).alias("close"),
+            F.min("at_ms").alias("first"),
+            F.max("at_ms").alias("last"),
+        )
     )
-    across = Window.partitionBy("host").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    summary = (
-        local.groupBy("host", "bucket")
-        .agg(F.count("*").alias("n"), F.max("peak").alias("top"), F.first("delay").alias("d"))
-        .withColumn("before", F.coalesce(F.sum("n").over(across), F.lit(0)))
-        .withColumn("carried", F.max(F.col("top") - F.col("before") * F.col("d")).over(across))
-        .select("host", "bucket", "before", "carried")
-    )
-    start = F.greatest(
-        F.col("peak") - F.col("before") * F.col("delay"),
-        F.coalesce(F.col("carried"), F.lit(-(2**62))),
-    ) + (F.col("before") + F.col("i")) * F.col("delay")
-    return local.join(summary, ["host", "bucket"]).select(
-        "host",
-        "id",
-        "at_ms",
-        start.alias("start_ms"),
-        (start - F.col("at_ms")).alias("wait_ms"),
+    before = F.lag("last").over(Window.partitionBy("host").orderBy("bucket"))
+    return (
+        inside.withColumn("jump", F.col("first") - before)
+        .groupBy("host")
+        .agg(
+            F.sum("requests").alias("requests"),
+            F.least(F.min("gap"), F.min("jump")).alias("min_gap_ms"),
+            (F.sum("close") + F.count_if(F.col("jump") < close_ms)).alias("close_gaps"),
+        )
     )
 
 

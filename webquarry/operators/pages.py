@@ -10,15 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webquarry.fixed_values import FORMS_PER_PAGE, SPACE_CLASS
+from webquarry.fixed_values import CSS_URL, SPACE_CLASS
 from webquarry.functions import markup as M
 from webquarry.functions.expr import distinct_by_first, explode_items, let, trim_wide
 from webquarry.functions.urls import base_parts, canonical_against, canonical_url, category
 
-CSS_URL = rf"""(?i)url\([{SPACE_CLASS}]*['"]?([^'")]+)['"]?[{SPACE_CLASS}]*\)"""
 _CONTROL = r"(?is)<(?:input|select|textarea|button)(?=[\s/>])" + M._ATTRS + ">"
 _FORM = (
-    r"(?is)<form(?=[\s/>])" + M._ATTRS + r">.*?(?:</form(?=[\s/>])[^>]*>|\z)"
+    r"(?is)<form(?=[\s/>])" + M._ATTRS + r">.*?(?:</form(?=[\s/>])[^>]*+>|\z)"
 )
 
 
@@ -236,7 +235,7 @@ def meta_column(tags: Column, tokens: Column, base: Column) -> Column:
         )["text"]
         root = F.get(_named(tags, "html"), F.lit(0))["text"]
         return F.struct(
-            trim_wide(F.coalesce(M.decode_entities(title), F.lit(""))).alias("title"),
+            trim_wide(F.coalesce(M.decode_references(title, False), F.lit(""))).alias("title"),
             F.coalesce(
                 F.nullif(named("description"), F.lit("")), prop("og:description")
             ).alias("description"),
@@ -254,7 +253,7 @@ def meta_column(tags: Column, tokens: Column, base: Column) -> Column:
 
 
 def forms_column(tags: Column, base: Column) -> Column:
-    """Forms with their named controls, at most the first hundred of a page."""
+    """Forms with their named controls."""
 
     def control(tag: Column) -> Column:
         return F.struct(
@@ -282,7 +281,7 @@ def forms_column(tags: Column, base: Column) -> Column:
     # Form tags and controls alone, in document order, are a small text to cut up.
     related = _named(tags, "form", "/form", "input", "select", "textarea", "button")
     skeleton = F.array_join(F.transform(related, lambda t: t["text"]), "")
-    blocks = F.slice(F.regexp_extract_all(skeleton, F.lit(_FORM), F.lit(0)), 1, FORMS_PER_PAGE)
+    blocks = F.regexp_extract_all(skeleton, F.lit(_FORM), F.lit(0))
     return let(base_parts(base), lambda parts: F.transform(blocks, lambda b: form(b, parts)))
 
 

@@ -1,30 +1,21 @@
 """Passive recon over page text: contacts, secrets, endpoints, comments, headers.
 
-Per-page findings are arrays built inside the page's row; only run-wide
-distinct and run-wide caps shuffle, and those pre-aggregate or keep a bounded
-top list per task.
+Per-page findings are arrays built inside the page's row, whole and without
+caps; only run-wide distinct values shuffle, and those pre-aggregate.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webquarry.fixed_values import (
     COMMENT_KEYWORDS,
-    COMMENT_MAX_CHARS,
-    COMMENTS_PER_PAGE,
-    COMMENTS_PER_RUN,
-    EMAIL_BODY,
+    EMAIL_HOST,
+    EMAIL_LOCAL,
     EMAIL_REJECTED_ENDINGS,
     ENDPOINT_PATTERN,
-    ENDPOINTS_PER_PAGE,
-    ENDPOINTS_PER_RUN,
-    LIVE_ROWS_PER_PAGE,
-    MAX_RECON_CHARS,
     SECRET_PATTERNS,
-    SECRETS_PER_PAGE,
-    SECRETS_PER_RUN,
     SECURITY_HEADERS,
     SOCIAL_HOSTS,
     SPACE_CLASS,
@@ -32,11 +23,14 @@ from webquarry.fixed_values import (
     WORD_EDGE,
     WORD_OPEN,
 )
-from webquarry.functions.expr import explode_items, let, squeeze_spaces, trim_wide, utf16_length
+from webquarry.functions.expr import explode_items, let, squeeze_spaces, trim_wide
 from webquarry.functions.urls import hostname
-from webquarry.session import durable
 
-_EMAIL = WORD_EDGE + EMAIL_BODY + WORD_EDGE
+# A run of local characters is read once, from its first word character: it starts
+# after another character or where the last match ended, and gives nothing back.
+_EMAIL = (
+    rf"(?:\G|(?<![{EMAIL_LOCAL}]))[.%+-]*+([0-9A-Za-z_][{EMAIL_LOCAL}]*+@{EMAIL_HOST}{WORD_EDGE})"
+)
 _PHONE = rf"(?:tel:)?\+[0-9][0-9{SPACE_CLASS}().-]{{6,16}}[0-9]"
 _COMMENT = r"(?s)<!--(.*?)-->"
 _ENDPOINT = "(?i)" + ENDPOINT_PATTERN.format(s=SPACE_CLASS)
@@ -66,21 +60,12 @@ def _all_matches(
     return F.when(_mentions(searched, needs), found).otherwise(F.array().cast(_NONE))
 
 
-def guarded(html: Column) -> Column:
-    """Page text for recon; documents over 8 Mi characters are not searched."""
-    return F.when(
-        (F.octet_length(html) <= MAX_RECON_CHARS) | (utf16_length(html) <= MAX_RECON_CHARS), html
-    )
-
-
 def emails_column(text: Column) -> Column:
-    lowered = F.transform(_all_matches(text, _EMAIL, needs=("@",)), F.lower)
+    lowered = F.transform(_all_matches(text, _EMAIL, 1, needs=("@",)), F.lower)
     return F.array_distinct(
         F.filter(
             lowered,
-            lambda e: (F.length(e) < 100)
-            & ~e.rlike(rf"(?:{EMAIL_REJECTED_ENDINGS})\z")
-            & ~e.rlike("@[0-9]"),
+            lambda e: ~e.rlike(rf"(?:{EMAIL_REJECTED_ENDINGS})\z") & ~e.rlike("@[0-9]"),
         )
     )
 
@@ -95,11 +80,7 @@ def phones_column(text: Column) -> Column:
 
 
 def secrets_column(text: Column, extra: tuple[tuple[str, str], ...] = ()) -> Column:
-    """Secrets of a page, ``array<struct<type,value>>``, patterns in order.
-
-    The page cap is only looked at inside a pattern: once it is reached, every
-    later pattern with a match still adds exactly one.
-    """
+    """Secrets of a page, ``array<struct<type,value>>``, patterns in order."""
     patterns = [
         (
             label,
@@ -125,45 +106,18 @@ def secrets_column(text: Column, extra: tuple[tuple[str, str], ...] = ()) -> Col
             ]
         ).cast(f"array<{_SECRETS}>")
 
-    def capped(found: Column) -> Column:
-        return F.aggregate(
-            found,
-            F.array().cast(_SECRETS),
-            lambda taken, new: F.concat(
-                taken,
-                F.slice(new, 1, F.greatest(F.lit(SECRETS_PER_PAGE) - F.size(taken), F.lit(1))),
-            ).cast(_SECRETS),
-        )
-
-    return let(
-        let(F.lower(text), per_pattern),
-        lambda found: let(
-            F.flatten(found),
-            lambda every: F.when(F.size(every) <= SECRETS_PER_PAGE, every).otherwise(capped(found)),
-        ),
-    )
+    return let(F.lower(text), lambda lowered: F.flatten(per_pattern(lowered)))
 
 
 def endpoints_column(text: Column) -> Column:
-    return F.slice(
-        F.array_distinct(_all_matches(text, _ENDPOINT, 1)), 1, ENDPOINTS_PER_PAGE
-    )
+    return F.array_distinct(_all_matches(text, _ENDPOINT, 1))
 
 
 def comments_column(text: Column) -> Column:
     tidy = F.transform(
         _all_matches(text, _COMMENT, 1, needs=("<!--",)), lambda c: squeeze_spaces(trim_wide(c))
     )
-    return F.slice(
-        F.filter(
-            tidy,
-            lambda c: (c != "")
-            & (utf16_length(c) <= COMMENT_MAX_CHARS)
-            & c.rlike(f"(?i)(?:{COMMENT_KEYWORDS})"),
-        ),
-        1,
-        COMMENTS_PER_PAGE,
-    )
+    return F.filter(tidy, lambda c: (c != "") & c.rlike(f"(?i)(?:{COMMENT_KEYWORDS})"))
 
 
 def socials_column(links: Column) -> Column:
@@ -227,10 +181,8 @@ def findings(
     for social links, an array column named by ``links``.  Secret values are
     masked unless raw ones are asked for.
     """
-    text = pages.withColumn("recon_text", guarded(F.col("html")))
-    found = text.withColumn(
-        "findings",
-        findings_column(F.col("recon_text"), F.col(links) if links else None, extra_secrets),
+    found = pages.withColumn(
+        "findings", findings_column(F.col("html"), F.col(links) if links else None, extra_secrets)
     )
     rows = explode_items(found, ["page_id", "page_url"], "findings").select(
         "page_id", "page_url", "ord", "item.*"
@@ -244,9 +196,7 @@ def findings(
 
 def list_findings(pages: DataFrame, build, item: str) -> DataFrame:
     """One kind of finding: ``page_id, ord, <item>``."""
-    found = pages.withColumn("recon_text", guarded(F.col("html"))).withColumn(
-        "items", build(F.col("recon_text"))
-    )
+    found = pages.withColumn("items", build(F.col("html")))
     return explode_items(found, ["page_id"], "items", item=item)
 
 
@@ -272,42 +222,24 @@ def distinct_findings(rows: DataFrame, order: tuple[str, ...] = ("page_id", "ord
     )
 
 
-def run_findings(
-    rows: DataFrame, stored: bool = False, order: tuple[str, ...] = ("page_id", "ord")
-) -> DataFrame:
-    """Findings a run keeps: distinct kinds, and the caps on the unbounded ones.
+def run_findings(rows: DataFrame, order: tuple[str, ...] = ("page_id", "ord")) -> DataFrame:
+    """All findings of a run: emails, phones, socials and endpoints once, the others each time.
 
-    Every cap is a top list in crawl order: each task keeps at most the cap, so
-    nothing is sorted globally.  Findings are small beside the pages they come
-    from, so they are stored once instead of reading the pages per kind; say
-    ``stored`` when they already are a table.
+    One partial aggregation does both: a finding that counts every time is grouped
+    with its own place in the crawl order.
     """
-    if not stored:
-        rows = durable(rows)
-    first = distinct_findings(rows, order)
-    kept = first.where(F.col("kind") != "endpoint").select(
-        "kind", F.lit(None).cast("string").alias("subtype"), "value", "page_url", "first_seen"
-    )
-    endpoints = (
-        first.where(F.col("kind") == "endpoint").orderBy("first_seen").limit(ENDPOINTS_PER_RUN)
-    ).select("kind", F.lit(None).cast("string").alias("subtype"), "value", "page_url", "first_seen")
-    every = rows.select(
-        "kind", "subtype", "value", "page_url", F.struct(*order).alias("first_seen")
+    place = F.struct(*order)
+    own = F.when(F.col("kind").isin("secret", "comment"), place)
+    return (
+        rows.groupBy("kind", "subtype", "value", own.alias("own"))
+        .agg(F.min_by("page_url", place).alias("page_url"), F.min(place).alias("first_seen"))
+        .drop("own")
     )
-    secrets = every.where(F.col("kind") == "secret").orderBy("first_seen").limit(SECRETS_PER_RUN)
-    comments = every.where(F.col("kind") == "comment").orderBy("first_seen").limit(COMMENTS_PER_RUN)
-    return kept.unionByName(endpoints).unionByName(secrets).unionByName(comments)
 
 
 def live_rows(kept: DataFrame) -> DataFrame:
-    """Rows of :func:`run_findings` shown live: no comments, 200 per page at most.
-
-    The rank runs over one page's findings, never over a run.
-    """
-    rank = F.row_number().over(Window.partitionBy("first_seen.page_id").orderBy("first_seen.ord"))
-    return (
-        kept.where(F.col("kind") != "comment").withColumn("n", rank).where(F.col("n") <= LIVE_ROWS_PER_PAGE)
-    )
+    """Rows of :func:`run_findings` shown live: everything but comments."""
+    return kept.where(F.col("kind") != "comment")
 
 
 def intel_counts(rows: DataFrame) -> DataFrame:
@@ -326,13 +258,12 @@ def intel_counts(rows: DataFrame) -> DataFrame:
 
 def page_intel_counts(pages: DataFrame) -> DataFrame:
     """Emails, secrets and endpoints per page, counted inside the row."""
-    text = pages.withColumn("recon_text", guarded(F.col("html")))
-    t = F.col("recon_text")
+    t = F.col("html")
 
     def count(items: Column) -> Column:
-        return F.coalesce(F.size(items), F.lit(0))
+        return F.when(items.isNotNull(), F.size(items)).otherwise(0)
 
-    return text.select(
+    return pages.select(
         "page_id",
         count(emails_column(t)).alias("emails"),
         count(secrets_column(t)).alias("secrets"),
@@ -415,7 +346,7 @@ def security_audit(pages: DataFrame, extra: tuple[tuple[str, str], ...] = ()) ->
         present_headers_column(headers).alias("present"),
         cookie_issues_column(headers).alias("cookie_issues"),
         tech_column(
-            headers, F.col("generator"), F.coalesce(guarded(F.col("html")), F.lit("")), extra
+            headers, F.col("generator"), F.coalesce(F.col("html"), F.lit("")), extra
         ).alias("tech"),
     )
 

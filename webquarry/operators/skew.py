@@ -5,51 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_HOT_KEYS = 256
 
-
-def hot_keys(rows: DataFrame, key: str, min_rows: int) -> DataFrame:
-    """Keys with at least ``min_rows`` rows, the most frequent ones first.
-
-    At most ``MAX_HOT_KEYS`` come back, so the result is safe to broadcast; a
-    key outside that list holds less than 1/256 of the rows.
-    """
-    return (
-        rows.groupBy(key)
-        .agg(F.count("*").alias("rows"))
-        .where((F.col("rows") >= min_rows) & F.col(key).isNotNull())
-        .orderBy(F.desc("rows"), key)
-        .limit(MAX_HOT_KEYS)
-        .select(key)
-    )
-
-
-def join_one_per_key(
-    rows: DataFrame,
-    lookup: DataFrame,
-    key: str,
-    how: str = "left",
-    salts: int = 32,
-    min_rows: int = 1_000_000,
-    counted: DataFrame | None = None,
-) -> DataFrame:
+def join_one_per_key(rows: DataFrame, lookup: DataFrame, key: str, how: str = "left", salts: int = 1) -> DataFrame:
     """Join big ``rows`` with a ``lookup`` holding at most one row per key.
 
-    Hot keys are spread over ``salts`` tasks: their rows get a salt from their
-    content, their single lookup row is copied once per salt.  Every other key
-    joins as usual.  ``counted`` may name a cheaper table with the same keys to
-    find the hot ones in.  Results equal the plain join.
+    Both sides are evaluated once.  A partition that a hot key makes too large is
+    split when the join runs (``spark.sql.adaptive.skewJoin``), its single lookup
+    row going to every part.  Where that rule cannot apply, ``salts`` above 1
+    spreads every key over so many tasks from the start, at the price of as many
+    copies of the lookup.
     """
-    hot = F.broadcast(
-        hot_keys(rows if counted is None else counted, key, min_rows).withColumn("hot", F.lit(True))
-    )
-    others = [c for c, t in rows.dtypes if c != key and "map<" not in t] or [F.spark_partition_id()]
-    spread = F.when(
-        F.col("hot"), F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int")
-    ).otherwise(0)
-    salted_rows = rows.join(hot, key, "left").withColumn("salt", spread).drop("hot")
-    copies = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted_lookup = (
-        lookup.join(hot, key, "left").withColumn("salt", F.explode(copies)).drop("hot")
-    )
-    return salted_rows.join(salted_lookup, [key, "salt"], how).drop("salt")
+    if salts == 1:
+        return rows.join(lookup, key, how)
+    others = [c for c, t in rows.dtypes if c != key and "map<" not in t]
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int"))
+    copies = lookup.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, [key, "salt"], how).drop("salt")

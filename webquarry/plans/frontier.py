@@ -1,10 +1,12 @@
 """Frontier expansion: a breadth-first crawl over a table of page snapshots.
 
 The driver loops over levels, never over rows.  Snapshots are written once,
-bucketed by URL; so is every level.  Joining a level with the snapshots, and
-removing what earlier levels have seen, then shuffles neither of them: a level
-costs the shuffles of its own new URLs.  Written levels also cut the lineage at
-shared storage, so a lost executor costs a task, not the run.
+bucketed by URL, and so is every level; visited levels are appended to one table
+with a partition per level.  Joining a level with the snapshots, and removing
+what was seen, then shuffles neither: a level costs the shuffles of its own new
+URLs, and plans are as long at the last level as at the first.  Written levels
+also cut the lineage at shared storage, so a lost executor costs a task, not
+the run.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from webquarry.operators.skew import join_one_per_key
 from webquarry.session import UrlTables, durable
 from webquarry.sources.robots import robots_allowed
 
-MAX_SEEN_TABLES = 8
+VISIT = ["url", "depth", "parent", "place", "disposition"]
 
 
 def first_seed_of(seeds: DataFrame) -> str:
@@ -58,6 +60,7 @@ def _expand(
     config: CrawlConfig,
     robots: DataFrame | None,
 ) -> DataFrame:
+    spark = seeds.sparkSession
     first_seed = F.lit(first_seed_of(seeds))
     if robots is not None:
         robots = durable(robots.select("host", "rules"))
@@ -67,48 +70,51 @@ def _expand(
     found = seeds.groupBy("url").agg(
         F.min_by("parent", "place").alias("parent"), F.min("place").alias("place")
     )
-    visits: DataFrame | None = None
-    seen: list[DataFrame] = []
+    visited = tables.new()
     depth = crawled = 0
+    finished = False
     while True:
-        level = tables.write(_dispositions(tables, found, stored, config, robots))
-        last, pages = None, 0
-        if config.max_pages:
+        # The new URLs are stored before anything is joined to them.
+        name = tables.new()
+        tables.append(name, tables.spread(found))
+        fresh = spark.table(name)
+        if depth and fresh.isEmpty():
+            break
+        if finished:
+            level = fresh.withColumn("disposition", F.lit("queued"))
+        else:
+            level = _dispositions(tables, fresh, stored, config, robots)
+        last = None
+        if config.max_pages and not finished:
+            level = tables.write(level)
             of_pages = level.where(F.col("disposition") == "page").select("place")
             pages = of_pages.count()
             if crawled + pages >= config.max_pages:
-                first = of_pages.orderBy("place").limit(config.max_pages - crawled)
-                last = first.agg(F.max("place").alias("place")).first()["place"]
-        visited = level
-        if last is not None:
-            beyond = F.col("place") > F.array(*[F.lit(n) for n in last])
-            visited = level.withColumn(
-                "disposition", F.when(beyond, "queued").otherwise(F.col("disposition"))
-            )
-        crawled += pages
-        visits = _add(visits, visited, depth)
-        seen = _remember(tables, seen, level.select("url"))
-        if level.isEmpty() or (config.max_depth and depth + 1 > config.max_depth):
-            return visits
-        found = _next_level(visited, stored, seen, first_seed, config)
+                last = _nth_place(of_pages, config.max_pages - crawled)
+                beyond = F.col("place") > F.array(*[F.lit(n) for n in last])
+                level = level.withColumn("disposition", F.when(beyond, "queued").otherwise(F.col("disposition")))
+            crawled += pages
+        tables.append(visited, level.withColumn("depth", F.lit(depth)).select(*VISIT), part="depth")
+        if finished or (config.max_depth and depth + 1 > config.max_depth):
+            break
+        seen = spark.table(visited)
+        found = _next_level(seen.where(F.col("depth") == depth), stored, seen.select("url"), first_seed, config)
         depth += 1
-        if last is not None:
-            return _add(visits, found.withColumn("disposition", F.lit("queued")), depth)
+        finished = last is not None
+    path = tables.paths[visited]
+    return spark.read.schema(spark.table(visited).schema).parquet(path).select(*VISIT)
 
 
-def _add(visits: DataFrame | None, level: DataFrame, depth: int) -> DataFrame:
-    rows = level.select("url", F.lit(depth).alias("depth"), "parent", "place", "disposition")
-    return rows if visits is None else visits.unionByName(rows)
-
-
-def _remember(tables: UrlTables, seen: list[DataFrame], level: DataFrame) -> list[DataFrame]:
-    """Seen URLs as a short list of bucketed tables; long lists are merged into one."""
-    if len(seen) < MAX_SEEN_TABLES:
-        return [*seen, level]
-    merged = level
-    for earlier in seen:
-        merged = merged.unionByName(earlier)
-    return [tables.write(tables.spread(merged))]
+def _nth_place(pages: DataFrame, n: int) -> list[int]:
+    """The n-th place in crawl order: a distributed sort, counts per part, and one part of it."""
+    ordered = durable(pages.sort("place").select("place", F.spark_partition_id().alias("part")))
+    before = 0
+    for row in ordered.groupBy("part").count().orderBy("part").collect():
+        if before + row["count"] >= n:
+            part = ordered.where(F.col("part") == row["part"]).orderBy("place")
+            return part.limit(n - before).agg(F.max("place")).first()[0]
+        before += row["count"]
+    raise ValueError(f"fewer than {n} pages")
 
 
 def _dispositions(
@@ -135,14 +141,14 @@ def _dispositions(
 
 
 def _next_level(
-    visited: DataFrame,
+    level: DataFrame,
     stored: DataFrame,
-    seen: list[DataFrame],
+    seen: DataFrame,
     first_seed: Column,
     config: CrawlConfig,
 ) -> DataFrame:
     """Unseen targets of a level's pages with their first parent and place."""
-    pages = visited.where(F.col("disposition") == "page").select("url", "place")
+    pages = level.where(F.col("disposition") == "page").select("url", "place")
     links = explode_items(
         pages.join(stored, "url").withColumnsRenamed({"url": "page", "place": "from"}),
         ["page", "from"],
@@ -156,9 +162,7 @@ def _next_level(
     ).withColumn("place", F.concat("from", F.array("n")))
     # Partial aggregation reduces a target linked from everywhere before it is shuffled.
     new = wanted.groupBy("url").agg(F.min_by("page", "place").alias("parent"), F.min("place").alias("place"))
-    for urls in seen:
-        new = new.join(urls, "url", "left_anti")
-    return new
+    return new.join(seen, "url", "left_anti")
 
 
 def crawl_order(visits: DataFrame) -> DataFrame:
@@ -198,7 +202,7 @@ def known_links(links: DataFrame, seen: DataFrame) -> DataFrame:
     """Links whose target is already in the frontier.
 
     A semi join in effect: seen URLs are unique, and a target linked from
-    everywhere is salted.
+    everywhere is split when the join runs.
     """
     known = seen.select(F.col("url").alias("dst_url")).distinct().withColumn("known", F.lit(True))
     return join_one_per_key(links, known, "dst_url", how="inner").drop("known")

@@ -11,6 +11,7 @@ from webquarry.functions.urls import hostname, in_scope, registrable_domain
 from webquarry.operators import pages as P
 from webquarry.operators import recon as R
 from webquarry.operators.fetchlog import is_hard_failure
+from webquarry.sources.snapshots import is_html
 
 
 def is_nofollow(robots_meta: Column, respect: bool = True) -> Column:
@@ -33,9 +34,23 @@ def followed_links(links: Column, robots_meta: Column, seed: Column, config: Cra
     ).otherwise(kept)
 
 
+def fetched(pages: DataFrame) -> DataFrame:
+    """Snapshots with ``failed`` and ``bytes``; the body of a page that is not HTML is not parsed."""
+    body = F.coalesce(F.col("html"), F.lit(""))
+    status = F.coalesce(F.col("status"), F.lit(200)) if "status" in pages.columns else F.lit(200)
+    parsed = is_html(F.col("content_type")) if "content_type" in pages.columns else F.lit(True)
+    return pages.withColumns(
+        {
+            "failed": is_hard_failure(status, F.col("html")),
+            "bytes": F.octet_length(body).cast("long"),
+            "html": F.when(parsed, body).otherwise(""),
+        }
+    )
+
+
 def crawlable(pages: DataFrame, config: CrawlConfig) -> DataFrame:
     """Snapshots as the frontier reads them: ``url, links`` per requested URL."""
-    parsed = P.parse_pages(pages, ("meta", "links"))
+    parsed = P.parse_pages(fetched(pages), ("meta", "links"))
     return parsed.select(
         "url",
         F.when(
@@ -51,20 +66,19 @@ def page_records(pages: DataFrame, config: CrawlConfig, seed: str | Column | Non
     ``seed`` is what scope is relative to; left out, each page's own URL.
     """
     anchor = F.col("page_url") if seed is None else (F.lit(seed) if isinstance(seed, str) else seed)
-    parsed = P.parse_pages(pages)
-    failed = is_hard_failure(F.coalesce(F.col("status"), F.lit(200)), F.col("html"))
+    parsed = P.parse_pages(fetched(pages))
     rendered = F.concat(
         F.coalesce(F.col("rendered_with"), F.lit("http")),
         F.when(F.coalesce(F.col("escalated"), F.lit(False)), "+esc").otherwise(""),
     )
-    records = parsed.where(~failed).select(
+    records = parsed.where(~F.col("failed")).select(
         "page_id",
         "url",
         F.col("page_url").alias("finalUrl"),
         "status",
         "depth",
         F.col("content_type").alias("contentType"),
-        F.coalesce(F.octet_length("html"), F.lit(0)).cast("long").alias("bytes"),
+        "bytes",
         F.col("took_ms").alias("tookMs"),
         rendered.alias("renderedWith"),
         "meta",
@@ -81,11 +95,10 @@ def page_records(pages: DataFrame, config: CrawlConfig, seed: str | Column | Non
 
 
 def _intel(html: Column) -> Column:
-    text = R.guarded(html)
     return F.struct(
-        F.size(R.emails_column(text)).alias("emails"),
-        F.size(R.secrets_column(text)).alias("secrets"),
-        F.size(R.endpoints_column(text)).alias("endpoints"),
+        F.size(R.emails_column(html)).alias("emails"),
+        F.size(R.secrets_column(html)).alias("secrets"),
+        F.size(R.endpoints_column(html)).alias("endpoints"),
     ).alias("intel")
 
 
@@ -94,7 +107,7 @@ def _security() -> Column:
     return F.struct(
         R.missing_headers_column(headers).alias("missing"),
         R.tech_column(
-            headers, F.col("meta.generator"), F.coalesce(R.guarded(F.col("html")), F.lit(""))
+            headers, F.col("meta.generator"), F.coalesce(F.col("html"), F.lit(""))
         ).alias("tech"),
         R.cookie_issues_column(headers).alias("cookieIssues"),
     ).alias("security")
@@ -147,15 +160,16 @@ def crawl_stats(
     findings: DataFrame,
     visits: DataFrame,
     link_counts: DataFrame,
+    fetches: DataFrame,
 ) -> DataFrame:
     """One row with the run counters.
 
+    ``fetches`` has ``escalated`` of every fetch, failed ones too.
     Each input is reduced to one row by partial aggregation; only those rows meet.
     """
     pages = records.agg(
         F.count("*").alias("crawled"),
         F.coalesce(F.sum("bytes"), F.lit(0)).alias("pageBytes"),
-        F.count_if(F.endswith("renderedWith", F.lit("+esc"))).alias("escalated"),
         F.coalesce(F.sum(F.size("forms")), F.lit(0)).alias("forms"),
     )
     ok = F.col("status") == "ok"
@@ -179,7 +193,8 @@ def crawl_stats(
         F.count_if(F.col("disposition") == "robots").alias("blockedByRobots"),
         F.count_if(F.col("disposition") == "queued").alias("queued"),
     )
-    row = _sum_rows([pages, files, failed, intel, blocked, link_counts])
+    raised = fetches.agg(F.count_if(F.coalesce("escalated", F.lit(False))).alias("escalated"))
+    row = _sum_rows([pages, files, failed, intel, blocked, link_counts, raised])
     return row.select(
         "crawled",
         "queued",
@@ -199,15 +214,21 @@ def crawl_stats(
 
 def _sum_rows(parts: list[DataFrame]) -> DataFrame:
     """One row with every counter of several one-row tables of different columns."""
-    names = [c for part in parts for c in part.columns]
+    names = list(dict.fromkeys(c for part in parts for c in part.columns))
     stacked = parts[0]
     for part in parts[1:]:
         stacked = stacked.unionByName(part, allowMissingColumns=True)
     return stacked.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
 
 
-def run_summary(records: DataFrame, kept_findings: DataFrame) -> DataFrame:
-    """Hosts, bytes and finding counts of a run, one row."""
+def run_summary(
+    records: DataFrame, kept_findings: DataFrame, outcomes: DataFrame | None = None, stats: DataFrame | None = None
+) -> DataFrame:
+    """Hosts, bytes with downloads, finding counts and the run counters, one row.
+
+    The names of hosts and the seeds have no bound, so they are tables of their
+    own: :func:`hosts_seen` and the seeds of the run.
+    """
     by_host = records.groupBy(_requested_host().alias("host")).agg(
         F.count("*").alias("pages"), F.sum("bytes").alias("bytes")
     )
@@ -216,9 +237,16 @@ def run_summary(records: DataFrame, kept_findings: DataFrame) -> DataFrame:
         F.coalesce(F.sum("bytes"), F.lit(0)).alias("totalBytes"),
         F.count("*").alias("hosts"),
     )
+    files = []
+    if outcomes is not None:
+        stored = outcomes.where(F.col("status") == "ok")
+        files = [stored.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("totalBytes"))]
     kinds = ("email", "phone", "social", "endpoint", "secret", "comment")
     counts = kept_findings.agg(*[F.count_if(F.col("kind") == k).alias(f"{k}s") for k in kinds])
-    return _sum_rows([totals, counts])
+    if stats is not None:
+        counters = [c for c in stats.columns if c not in ("crawled", "emails", "secrets")]
+        files.append(stats.select(*counters))
+    return _sum_rows([totals, counts, *files])
 
 
 def host_overview(pages: DataFrame) -> DataFrame:

@@ -12,11 +12,10 @@ from webquarry.functions.expr import explode_items
 from webquarry.operators import assets as A
 from webquarry.operators import pages as P
 from webquarry.operators import recon as R
-from webquarry.operators.fetchlog import is_hard_failure
 from webquarry.plans import frontier as FR
 from webquarry.plans import records as RC
 from webquarry.session import durable
-from webquarry.sinks.exports import page_mirror, write_json, write_results
+from webquarry.sinks.exports import page_mirror, write_json, write_mirror, write_results
 from webquarry.sources import robots as RB
 from webquarry.sources import sitemaps as SM
 
@@ -31,6 +30,8 @@ class CrawlResult:
     assets: DataFrame
     stats: DataFrame
     summary: DataFrame
+    seeds: DataFrame
+    hosts: DataFrame
     mirror: DataFrame | None
 
     def write(self, folder: str) -> None:
@@ -40,24 +41,16 @@ class CrawlResult:
             self.errors, self.findings, self.audits,
         )
         write_json(self.stats, f"{folder}/data/stats")
+        write_json(self.seeds, f"{folder}/data/seeds")
+        write_json(self.hosts, f"{folder}/data/hosts")
         if self.mirror is not None:
-            self.mirror.write.mode("overwrite").parquet(f"{folder}/pages")
+            write_mirror(self.mirror, f"{folder}/pages")
 
 
 def analysed(snapshots: DataFrame, config: CrawlConfig) -> DataFrame:
     """Everything a run needs from each snapshot, read in one pass over the HTML."""
-    ctype = F.coalesce(F.col("content_type"), F.lit(""))
-    is_html = ctype.rlike("(?i)html|xml") | (ctype == "")
-    status = F.coalesce(F.col("status"), F.lit(200))
-    fetched = snapshots.withColumns(
-        {
-            "failed": is_hard_failure(status, F.col("html")),
-            "bytes": F.coalesce(F.octet_length("html"), F.lit(0)).cast("long"),
-            "html": F.when(is_html, F.coalesce(F.col("html"), F.lit(""))).otherwise(""),
-        }
-    )
-    parsed = P.parse_pages(fetched)
-    text = R.guarded(F.col("html"))
+    parsed = P.parse_pages(RC.fetched(snapshots))
+    text = F.col("html")
     found = (
         R.findings_column(text, F.col("links"), config.extra_secret_patterns)
         if config.extract_intel
@@ -70,7 +63,7 @@ def analysed(snapshots: DataFrame, config: CrawlConfig) -> DataFrame:
         R.present_headers_column(headers).alias("present"),
         R.cookie_issues_column(headers).alias("cookie_issues"),
         R.tech_column(
-            headers, F.col("meta.generator"), F.coalesce(text, F.lit("")), config.extra_tech_signatures
+            headers, F.col("meta.generator"), text, config.extra_tech_signatures
         ).alias("tech"),
     )
     audited = F.when(F.lit(config.audit_security) & (F.col("html") != ""), security)
@@ -112,7 +105,7 @@ def run_crawl(
     if config.follow_sitemaps and sitemaps is not None and lines is not None:
         numbered = start.select(F.col("ord").alias("seed_no"), "url")
         listed = SM.sitemap_urls(
-            SM.sitemap_candidates(numbered, RB.robots_sitemaps(lines)), sitemaps, first_seed,
+            SM.sitemap_candidates(SM.first_per_host(numbered), RB.robots_sitemaps(lines)), sitemaps, first_seed,
             config.scope, config.include_patterns, config.exclude_patterns, seeds=start,
         )
         start = durable(SM.seeds_with_sitemaps(start, listed))
@@ -125,7 +118,7 @@ def run_crawl(
     rows = explode_items(
         crawled, ["page_url", "depth", "place"], "findings"
     ).select("page_url", "depth", "place", "ord", "item.*")
-    kept = R.run_findings(rows, stored=True, order=("depth", "place", "ord"))
+    kept = R.run_findings(rows, order=("depth", "place", "ord"))
     findings = kept.withColumn(
         "value", F.when(F.col("kind") == "secret", R.mask_secret(F.col("value"))).otherwise(F.col("value"))
     ).drop("first_seen")
@@ -138,6 +131,9 @@ def run_crawl(
         F.lit(-1).alias("depth"),
         F.lit(None).cast("timestamp").alias("ts"),
     )
+    tried = visits.where(F.col("disposition").isin("page", "error")).select("url")
+    fetches = pages.select("url", "escalated").join(tried, "url", "left_semi")
+    stats = RC.crawl_stats(records, errors, outcomes, kept, visits, counters, fetches)
     return CrawlResult(
         visits=visits,
         records=records,
@@ -145,8 +141,10 @@ def run_crawl(
         findings=findings,
         audits=audits,
         assets=outcomes,
-        stats=RC.crawl_stats(records, errors, outcomes, kept, visits, counters),
-        summary=RC.run_summary(records, kept),
+        stats=stats,
+        summary=RC.run_summary(records, kept, outcomes, stats),
+        seeds=seeds.select("url", "ord"),
+        hosts=RC.hosts_seen(records),
         mirror=_mirror(snapshots, crawled) if config.save_pages else None,
     )
 
@@ -211,7 +209,7 @@ def _asset_outcomes(crawled: DataFrame, config: CrawlConfig, payloads: DataFrame
     plan = A.asset_plan(mentions, config.categories if payloads is not None else (), config.block_trackers)
     if payloads is None:
         payloads = plan.sparkSession.createDataFrame(
-            [], "url string, http_status int, content_type string, declared_bytes long, content binary"
+            [], "url string, http_status int, content_type string, declared_bytes long, content binary, error string"
         )
     rank = F.struct("page_id", "ord").alias("rank")
     outcomes = durable(A.asset_outcomes(plan, payloads, config.max_file_size).select("*", rank))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -41,13 +42,19 @@ def shared_folder(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
-    if not sc.master.startswith("local"):
+    if not re.match(r"local(\[|$)", sc.master):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     folder = tempfile.mkdtemp(prefix="webquarry-checkpoint-")
     sc.setCheckpointDir(folder)
     return folder
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared storage."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
 def new_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
@@ -68,32 +75,43 @@ class UrlTables:
 
     A bucketed table is a durable cut of the lineage that also remembers how it
     is laid out: joins and anti joins between such tables shuffle neither side.
-    Only the catalog entries are temporary; :meth:`forget` removes them.
+    :meth:`drop` removes a table that nothing reads any more, :meth:`forget` only
+    the catalog entries of those whose rows are the result.
     """
 
     def __init__(self, spark: SparkSession, key: str):
         self.spark = spark
         self.key = key
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.names: list[str] = []
+        self.paths: dict[str, str] = {}
+
+    def new(self) -> str:
+        """A name for a table and a folder for its files."""
+        name = f"webquarry_{uuid.uuid4().hex}"
+        self.paths[name] = new_folder(self.spark, "table")
+        return name
+
+    def append(self, name: str, df: DataFrame, part: str | None = None) -> None:
+        """Add rows to a table, which should be partitioned by the key already."""
+        writer = df.write.format("parquet").mode("append").bucketBy(self.buckets, self.key).sortBy(self.key)
+        if part:
+            writer = writer.partitionBy(part)
+        writer.option("path", self.paths[name]).saveAsTable(name)
 
     def write(self, df: DataFrame) -> DataFrame:
         """Store ``df``, which should be partitioned by the key already."""
-        name = f"webquarry_{uuid.uuid4().hex}"
-        (
-            df.write.format("parquet")
-            .bucketBy(self.buckets, self.key)
-            .sortBy(self.key)
-            .option("path", new_folder(self.spark, "table"))
-            .saveAsTable(name)
-        )
-        self.names.append(name)
+        name = self.new()
+        self.append(name, df)
         return self.spark.table(name)
 
+    def drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete_path(self.spark, self.paths.pop(name))
+
     def spread(self, df: DataFrame) -> DataFrame:
         return df.repartition(self.buckets, self.key)
 
     def forget(self) -> None:
-        for name in self.names:
+        for name in self.paths:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        self.names = []
+        self.paths = {}

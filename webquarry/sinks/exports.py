@@ -38,13 +38,12 @@ def page_mirror(pages: DataFrame) -> DataFrame:
     )
 
 
-def write_mirror(pages: DataFrame, path: str, salts: int = 16) -> None:
-    """The mirror as a table partitioned by host.
+def write_mirror(mirror: DataFrame, path: str, salts: int = 16) -> None:
+    """Rows of :func:`page_mirror` as a table partitioned by host.
 
     Rows of one host are spread over ``salts`` tasks, so neither the write of a
     huge host sits in one task nor does every task open every host.
     """
-    mirror = page_mirror(pages)
     spread = F.pmod(F.xxhash64("path"), F.lit(salts))
     mirror.repartition("host", spread).write.mode("overwrite").partitionBy("host").parquet(path)
 
@@ -92,12 +91,16 @@ def write_results(
         write_file_list(assets, f"{folder}/downloaded-files")
 
 
-def export(records: DataFrame, path: str, fmt: str) -> None:
-    """Page records as ``json``, ``ndjson`` (one page per line) or ``csv``.
+def export(records: DataFrame, path: str, fmt: str, others: dict[str, DataFrame] | None = None) -> None:
+    """A run as ``json``, its pages as ``ndjson`` (one per line) or ``csv``.
 
-    Spark's JSON writer is line-delimited, so the first two are the same files.
+    The full export holds the pages and every table of ``others``, such as the
+    summary, errors, findings and assets, each below its name.
     """
-    if fmt in ("json", "ndjson"):
+    if fmt == "json":
+        for name, table in {"pages": records, **(others or {})}.items():
+            write_json(table, f"{path}/{name}")
+    elif fmt == "ndjson":
         write_json(records, path)
     elif fmt == "csv":
         write_csv(records, path)

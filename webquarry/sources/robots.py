@@ -136,7 +136,7 @@ def robots_allowed(urls: DataFrame, groups: DataFrame, respect: bool = True) ->
     """Add ``allowed`` to a table with canonical ``url``.
 
     Rules travel as one row per host, so the join adds one small array to each
-    URL.  A host holding a third of all URLs is salted.
+    URL.  A host holding a third of all URLs is split when the join runs.
     """
     if not respect:
         return urls.withColumn("allowed", F.lit(True))

@@ -1,19 +1,26 @@
-"""Sitemap corpora: index files are followed to a bounded depth by joins."""
+"""Sitemap corpora: index files are followed by joins until none is new."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webquarry.fixed_values import SITEMAP_MAX_DEPTH, SITEMAP_URLS_PER_SEED
 from webquarry.functions.expr import explode_items, keep_if
 from webquarry.functions.urls import canonical_url, host_with_port, in_scope, origin, passes_patterns
-from webquarry.operators.skew import join_one_per_key
 from webquarry.session import durable
 
 _LOC = r"(?i)<loc>\s*([^<\s]+)\s*</loc>"
 
 
+def first_per_host(seeds: DataFrame) -> DataFrame:
+    """The first seed ``seed_no, url`` of every origin; later ones have the same sitemaps."""
+    return (
+        seeds.groupBy(origin(F.col("url")).alias("origin"))
+        .agg(F.min_by(F.struct("seed_no", "url"), "seed_no").alias("first"))
+        .select("first.*")
+    )
+
+
 def sitemap_candidates(seeds: DataFrame, robots_sitemaps: DataFrame) -> DataFrame:
     """Sitemaps to try per seed: those of robots.txt in order, then the default one.
 
@@ -53,39 +60,36 @@ def sitemap_urls(
     exclude: tuple[str, ...] = (),
     seeds: DataFrame | None = None,
 ) -> DataFrame:
-    """URLs the sitemaps add: ``seed_no, candidate_no, url, parent``.
+    """URLs the sitemaps add: ``seed_no, candidate_no, place, url, parent``.
 
-    Index files recurse three levels at most.  A URL counts for the first
-    candidate that lists it.  A seed's later candidates are not read once the
-    earlier ones have added more than the limit.
+    A sitemap is read once however many seeds or index files name it, under the
+    earliest ``seed_no, candidate_no, place`` that leads to it; an index is followed
+    again only when an earlier way to it turns up.  A URL counts for the first
+    place that lists it.
     """
     entries = sitemap_entries(sitemaps)
     indexes = durable(entries.where("is_index").drop("is_index"))
-    level = candidates.select(
-        "seed_no", "candidate_no", "sitemap", F.array().cast("array<int>").alias("place")
-    )
-    # Each level is stored, so the next one and the final union start from a table.
-    level = durable(level)
-    reached = level
-    for _ in range(SITEMAP_MAX_DEPTH):
-        found = explode_items(
-            level.join(indexes, "sitemap"), ["seed_no", "candidate_no", "place"], "locs", "n", "sitemap"
-        )
-        level = durable(found.withColumn("place", F.concat("place", F.array("n"))).drop("n"))
-        if level.isEmpty():
+    way = F.struct("seed_no", "candidate_no", F.array().cast("array<int>").alias("place"))
+    known = durable(candidates.groupBy("sitemap").agg(F.min(way).alias("way")))
+    improved = known
+    while True:
+        found = explode_items(improved.join(indexes, "sitemap").drop("sitemap"), ["way"], "locs", "n", "sitemap")
+        place = F.concat("way.place", F.array("n")).alias("place")
+        ways = found.select("sitemap", F.struct("way.seed_no", "way.candidate_no", place).alias("way"))
+        best = ways.groupBy("sitemap").agg(F.min("way").alias("way"))
+        earlier = known.select("sitemap", F.col("way").alias("before"))
+        better = best.join(earlier, "sitemap", "left").where(F.col("before").isNull() | (F.col("way") < F.col("before")))
+        improved = durable(better.select("sitemap", "way"))
+        if improved.isEmpty():
             break
-        reached = reached.unionByName(level)
-    # Index files are few; the URL lists are joined once, after all levels are known.
+        known = durable(known.unionByName(improved).groupBy("sitemap").agg(F.min("way").alias("way")))
+    # Index files are few; the URL lists are joined once, after all ways are known.
     leaves = explode_items(
-        reached.join(entries.where(~F.col("is_index")), "sitemap"),
-        ["seed_no", "candidate_no", "sitemap", "place"],
-        "locs",
-        "n",
-        "loc",
+        known.join(entries.where(~F.col("is_index")), "sitemap"), ["sitemap", "way"], "locs", "n", "loc"
     ).select(
-        "seed_no",
-        "candidate_no",
-        F.concat("place", F.array("n")).alias("place"),
+        "way.seed_no",
+        "way.candidate_no",
+        F.concat("way.place", F.array("n")).alias("place"),
         "loc",
         F.col("sitemap").alias("parent"),
     )
@@ -97,25 +101,11 @@ def sitemap_urls(
     if seeds is not None:
         wanted = wanted.join(seeds.select("url").distinct(), "url", "left_anti")
     order = F.struct("seed_no", "candidate_no", "place")
-    first = durable(
+    return (
         wanted.groupBy("url")
         .agg(F.min_by(F.struct("seed_no", "candidate_no", "parent", "place"), order).alias("f"))
         .select("url", "f.*")
     )
-    added = first.groupBy("seed_no", "candidate_no").agg(F.count("*").alias("added"))
-    earlier = F.sum("added").over(
-        Window.partitionBy("seed_no")
-        .orderBy("candidate_no")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    read = added.withColumn("earlier", F.coalesce(earlier, F.lit(0))).where(
-        F.col("earlier") <= SITEMAP_URLS_PER_SEED
-    )
-    key = F.concat_ws("/", "seed_no", "candidate_no").alias("candidate")
-    # One sitemap may hold most URLs, so the mark goes back over a salted join.
-    return join_one_per_key(
-        first.select("*", key), read.select(key), "candidate", how="inner"
-    ).drop("candidate")
 
 
 def seeds_with_sitemaps(seeds: DataFrame, listed: DataFrame) -> DataFrame:

@@ -12,20 +12,24 @@ from webquarry.schemas import SNAPSHOT
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A parquet table; a file too small to feed every core is spread out once.
+    """A parquet table as it lies.
 
-    Real corpora have far more splits than cores and are read as they lie.
+    ``spark.webquarry.readPartitions`` spreads every table over so many tasks; it is
+    off unless set, and meant for single files on one machine.
     """
     table = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if table.rdd.getNumPartitions() < cores:
-        return table.repartition(cores)
-    return table
+    spread = int(spark.conf.get("spark.webquarry.readPartitions", "0"))
+    return table.repartition(spread) if spread else table
 
 
 def as_snapshots(pages: DataFrame) -> DataFrame:
-    """Project to the snapshot schema; absent columns become typed nulls."""
+    """Project to the snapshot schema; absent columns become typed nulls, header names lower-case."""
     schema = StructType.fromDDL(SNAPSHOT)
+    if "headers" in pages.columns:
+        pairs = F.transform(
+            F.map_entries("headers"), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))
+        )
+        pages = pages.withColumn("headers", last_of_each(pairs))
     return pages.select(
         *[
             (F.col(f.name) if f.name in pages.columns else F.lit(None)).cast(f.dataType).alias(f.name)
@@ -38,12 +42,25 @@ def scan_pages(spark: SparkSession, path: str) -> DataFrame:
     return as_snapshots(read_table(spark, path))
 
 
+def is_html(content_type: Column) -> Column:
+    """Whether a page of this type is parsed: an HTML-like or missing one."""
+    ctype = F.coalesce(content_type, F.lit(""))
+    return ctype.rlike("(?i)html|xml") | (ctype == "")
+
+
 def html_only(pages: DataFrame) -> DataFrame:
     """Pages worth parsing: an HTML-like or missing type, and a body."""
-    ctype = F.coalesce(F.col("content_type"), F.lit(""))
-    return pages.where(
-        (ctype.rlike("(?i)html|xml") | (ctype == "")) & (F.coalesce(F.col("html"), F.lit("")) != "")
-    )
+    return pages.where(is_html(F.col("content_type")) & (F.coalesce(F.col("html"), F.lit("")) != ""))
+
+
+def last_of_each(pairs: Column) -> Column:
+    """A map of ``key, value`` pairs; of a repeated key the last counts."""
+
+    def keep(p: Column) -> Column:
+        keys = F.transform(p, lambda x: x["key"])
+        return F.filter(p, lambda x, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), x["key"]))
+
+    return F.map_from_entries(let(pairs, keep))
 
 
 def scan_payloads(spark: SparkSession, path: str, max_bytes: int = 0) -> DataFrame:
@@ -56,6 +73,12 @@ def scan_payloads(spark: SparkSession, path: str, max_bytes: int = 0) -> DataFra
     )
 
 
+def payload_rows(stored: DataFrame, url: str, content: str) -> DataFrame:
+    """Downloaded bodies that lie in a table: ``url, declared_bytes, content``."""
+    body = F.col(content).cast("binary")
+    return stored.select(F.col(url).alias("url"), F.octet_length(body).cast("long").alias("declared_bytes"), body.alias("content"))
+
+
 def seeds(lists: DataFrame, column: str = "seed_list") -> DataFrame:
     """Canonical seeds of newline- or comma-separated lists, order kept as ``ord``."""
     return (
@@ -95,9 +118,4 @@ def header_map(block: Column) -> Column:
         ),
         lambda p: (p["key"] != "") & (p["value"] != ""),
     )
-
-    def last_of_each(p: Column) -> Column:
-        keys = F.transform(p, lambda x: x["key"])
-        return F.filter(p, lambda x, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), x["key"]))
-
-    return F.map_from_entries(let(pairs, last_of_each))
+    return last_of_each(pairs)

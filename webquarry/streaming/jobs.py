@@ -9,11 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webquarry.config import CrawlConfig
 from webquarry.functions.expr import keep_if
 from webquarry.functions.urls import canonical_url, hostname
 from webquarry.operators import pages as P
 from webquarry.operators import recon as R
-from webquarry.operators.fetchlog import is_hard_failure
+from webquarry.operators.fetchlog import is_hard_failure, looks_blocked
+from webquarry.plans import records as RC
 from webquarry.session import new_folder
 
 
@@ -43,12 +45,20 @@ def arriving_links(snapshots: DataFrame) -> DataFrame:
     return P.page_links(snapshots)
 
 
+def arriving_assets(snapshots: DataFrame) -> DataFrame:
+    """Assets of arriving pages: the batch job, unchanged and without state."""
+    return P.page_assets(snapshots)
+
+
+def arriving_records(snapshots: DataFrame, config: CrawlConfig) -> DataFrame:
+    """Page records of arriving snapshots: the batch job, unchanged and without state."""
+    return RC.page_records(snapshots, config)
+
+
 def arriving_findings(snapshots: DataFrame, time: str, delay: str = "1 hour") -> DataFrame:
     """Distinct findings as they first appear, ``kind, value`` with their page."""
-    text = snapshots.withColumn("recon_text", R.guarded(F.col("html"))).withColumn(
-        "page_url", canonical_url(F.col("url"))
-    )
-    found = text.withColumn("findings", R.findings_column(F.col("recon_text")))
+    text = snapshots.withColumn("page_url", canonical_url(F.col("url")))
+    found = text.withColumn("findings", R.findings_column(F.col("html")))
     rows = (
         found.withWatermark(time, delay)
         .select(time, "page_url", F.posexplode_outer("findings").alias("ord", "item"))
@@ -63,7 +73,8 @@ def arriving_findings(snapshots: DataFrame, time: str, delay: str = "1 hour") ->
 
 
 def run_counters(log: DataFrame, time: str, window: str = "1 day", delay: str = "1 hour") -> DataFrame:
-    """Counters per time window of a fetch log ``status, html``."""
+    """Counters per time window of a fetch log ``status, html``, and ``escalated`` where it has that."""
+    raised = F.col("escalated") if "escalated" in log.columns else F.lit(False)
     failed = is_hard_failure(F.col("status"), F.col("html"))
     return (
         log.withWatermark(time, delay)
@@ -72,8 +83,11 @@ def run_counters(log: DataFrame, time: str, window: str = "1 day", delay: str =
             F.count_if(~failed).alias("crawled"),
             F.count_if(failed).alias("errors"),
             F.sum(F.when(~failed, F.octet_length("html")).otherwise(0)).alias("page_bytes"),
+            F.count_if(looks_blocked(F.col("status"), F.col("html"))).alias("blocked"),
+            F.count_if(raised).alias("escalated"),
+            F.sum(F.when(~failed, F.size(R.secrets_column(F.col("html")))).otherwise(0)).alias("secrets"),
         )
-        .select(F.col("w.start").alias("window_start"), "crawled", "errors", "page_bytes")
+        .select(F.col("w.start").alias("window_start"), "crawled", "errors", "page_bytes", "blocked", "escalated", "secrets")
     )
 
 
@@ -88,22 +102,26 @@ def host_rate(log: DataFrame, time: str, window: str = "1 day", delay: str = "1
     )
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
+def drain(stream: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Run a stream over everything that has arrived and read its output back.
 
     Output and progress live in the shared folder, so a restarted run goes on
-    where the last one stopped.  ``complete`` rewrites one table per trigger.
+    where the last one stopped.  With ``keys`` the stream runs in update mode: a
+    trigger adds only the rows it changed, the watermark drops finished state, and
+    the latest row of each key is read.
     """
     spark = stream.sparkSession
     out = new_folder(spark, "stream-out")
     progress = new_folder(spark, "stream-progress")
-    if mode == "append":
-        writer = stream.writeStream.format("parquet").option("path", out)
-    else:
-        writer = stream.writeStream.foreachBatch(
-            lambda batch, _: batch.write.mode("overwrite").parquet(out)
+    if keys:
+        writer = stream.writeStream.outputMode("update").foreachBatch(
+            lambda batch, number: batch.withColumn("trigger", F.lit(number)).write.mode("append").parquet(out)
         )
-    writer.outputMode(mode).option("checkpointLocation", progress).trigger(
-        availableNow=True
-    ).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    else:
+        writer = stream.writeStream.outputMode("append").format("parquet").option("path", out)
+    writer.option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+    if not keys:
+        return spark.read.schema(stream.schema).parquet(out)
+    rows = spark.read.schema(stream.schema.add("trigger", "long")).parquet(out)
+    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "trigger").alias("row"))
+    return latest.select("row.*")
