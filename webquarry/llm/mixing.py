@@ -134,8 +134,8 @@ def mix(
     ``size`` counts words; null and empty texts have none and take no copy.  A
     null source is a source of its own, the last.  ``taken`` is ``copies * size``,
     never above ``cap * size``.  Rounding goes through blocks of about
-    ``block_rows`` rows of one source in an order fixed by size and row, so runs
-    over the same files agree; rows stay apart whatever their id.  An empty
+    ``block_rows`` rows of one source in an order fixed by size and id, so runs
+    agree; rows stay apart whatever their id.  An empty
     table gives an empty result, and other columns are not read.
     """
     rows = with_row_id(docs).select(
@@ -161,7 +161,9 @@ def mix(
     )
     pairs = rows.withColumnRenamed("source", "own").join(goals, F.col("own").eqNullSafe(F.col("source"))).drop("own")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("source_rows") / block_rows))
-    placed = pairs.withColumn("rate", rate).withColumn("block", F.pmod(F.xxhash64(*ROW), blocks))
+    # The id decides the block where there is one, so the same documents give the same mix from any folder.
+    spread = F.when(F.col("id").isNull(), F.xxhash64(*ROW)).otherwise(F.xxhash64("id", "size"))
+    placed = pairs.withColumn("rate", F.round(rate, 9)).withColumn("block", F.pmod(spread, blocks))
     keys = ["source_no", "block"]
 
     def rounded(batches):
@@ -171,6 +173,6 @@ def mix(
 
     given = f"id long, size long, {', '.join(f'`{c}` long' for c in ROW)}, source string, source_size long, target double, rate double"
     columns = ["id", "size", *ROW, "source", "source_size", "target", "rate"]
-    ordered = placed.select(*columns, *keys).repartition(*keys).sortWithinPartitions(*keys, F.desc("size"), *ROW)
+    ordered = placed.select(*columns, *keys).repartition(*keys).sortWithinPartitions(*keys, F.desc("size"), "id", *ROW)
     out = ordered.mapInPandas(rounded, f"{given}, copies long")
     return out.withColumn("taken", F.col("copies") * F.col("size"))
