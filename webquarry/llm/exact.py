@@ -40,7 +40,8 @@ def directory(keys: DataFrame, capacity: int) -> DataFrame:
         "prefix", F.expr(f"shiftright(slot, {SLOT_BITS} - d)")
     )
     overfull = levels.groupBy("d", "prefix").agg(F.sum("n").alias("n")).where(F.col("n") > capacity).drop("n")
-    split = levels.join(overfull.withColumn("split", F.lit(1)), ["d", "prefix"], "left")
+    # A table of at most two rows per slot goes to every task.
+    split = levels.join(F.broadcast(overfull.withColumn("split", F.lit(1))), ["d", "prefix"], "left")
     depth = split.groupBy("slot").agg(F.coalesce(F.max(F.when(F.col("split") == 1, F.col("d") + 1)), F.lit(0)).alias("depth"))
     first = F.expr(f"shiftleft(shiftright(slot, {SLOT_BITS} - depth), {SLOT_BITS} - depth)")
     return depth.select("slot", first.alias("first_slot"), "depth")
@@ -62,9 +63,12 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     entries = texts.select("key", F.sha2("body", 256).alias("digest"), F.octet_length("body").alias("n_bytes"), "copies")
     buckets = F.broadcast(durable(directory(rows.select("key").distinct(), capacity)))
     placed = entries.withColumn("slot", slot(F.col("key"))).join(buckets, "slot", "left").drop("slot")
-    owned = placed.repartitionByRange("first_slot", "key")
-    chain = F.row_number().over(Window.partitionBy("first_slot", "key").orderBy("digest"))
-    index = durable(owned.withColumn("chain", chain).sortWithinPartitions("first_slot", "key", "chain"))
+    # Hashes are even, so equal ranges of slots are equal shares; no sampling pass is needed.
+    owners = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    owner = F.floor(slot(F.col("key")) * F.lit(owners) / 2**SLOT_BITS)
+    owned = placed.withColumn("owner", owner).repartition(owners, "owner")
+    chain = F.row_number().over(Window.partitionBy("owner", "first_slot", "key").orderBy("digest"))
+    index = durable(owned.withColumn("chain", chain).sortWithinPartitions("owner", "first_slot", "key", "chain").drop("owner"))
     return rows, index
 
 
