@@ -14,12 +14,12 @@ grows with the number of chunks.
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -75,6 +75,10 @@ def unpacked(packed: bytes, sizes: list[int]) -> list[str]:
     return [text[e - n : e] for e, n in zip(ends, sizes, strict=True)]
 
 
+def listed(batch: pa.RecordBatch, column: str, row: int) -> list[int]:
+    return batch.column(column)[row].values.to_numpy().tolist()
+
+
 def chunked(docs: DataFrame, id_col: str, text_col: str, lang_col: str, order: int, chunk_chars: int) -> DataFrame:
     """Chunks of about ``chunk_chars`` characters with the different n-grams in them."""
     rows = docs.select(
@@ -124,16 +128,16 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, lang_col: str, order: i
 def trained_counts(chunks: DataFrame, trusted: DataFrame, order: int) -> DataFrame:
     """Counts of the highest-order n-grams in the trusted rows; ``trusted`` has ``chunk, places``."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in filled(batches):
-            for row in batch.itertuples(index=False):
-                texts = unpacked(row.packed, row.sizes)
-                for _, grams in gram_steps([texts[p] for p in row.places], order):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                texts = unpacked(batch.column("packed")[i].as_py(), listed(batch, "sizes", i))
+                for _, grams in gram_steps([texts[p] for p in listed(batch, "places", i)], order):
                     codes, names = pd.factorize(grams)
-                    yield pd.DataFrame({"gram": names, "c": np.bincount(codes, minlength=len(names))})
+                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.bincount(codes, minlength=len(names)))], ["gram", "c"])
 
     rows = chunks.select("chunk", "sizes", "packed").join(trusted, "chunk").drop("chunk")
-    return rows.mapInPandas(count, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+    return rows.mapInArrow(count, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
 
 
 class Model:
@@ -200,33 +204,30 @@ def scored(chunks: DataFrame, answers: DataFrame, order: int) -> DataFrame:
     """``id, lang, n_chars, perplexity`` and the row id of every text; ``answers`` has ``chunk, found``."""
     schema = f"id long, lang string, {', '.join(f'`{c}` long' for c in ROW)}, n_chars long, perplexity double"
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in filled(batches):
-            for row in batch.itertuples(index=False):
-                texts = unpacked(row.packed, row.sizes)
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                sizes = listed(batch, "sizes", i)
+                texts = unpacked(batch.column("packed")[i].as_py(), sizes)
                 totals = np.zeros(len(texts))
-                if row.names is not None and len(row.names):
-                    by = np.argsort(row.names)
-                    names, logs = np.asarray(row.names)[by], np.log(np.asarray(row.values, dtype=float)[by])
+                if batch.column("names")[i].is_valid:
+                    names, values = (batch.column(c)[i].values.to_numpy() for c in ("names", "values"))
+                    by = np.argsort(names)
+                    names, logs = names[by], np.log(values[by])
                     for docs, grams in gram_steps(texts, order):
                         codes, found = pd.factorize(grams)
                         totals += np.bincount(docs, weights=logs[np.searchsorted(names, found)][codes], minlength=len(texts))
-                sizes = np.asarray(row.sizes, dtype=float)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    perplexity = np.where(sizes > 0, np.exp(-totals / sizes), np.nan)
-                yield pd.DataFrame(
-                    {
-                        "id": pd.array([None if x is None or x != x else int(x) for x in row.ids], dtype="Int64"),
-                        "lang": row.langs,
-                        **{c: getattr(row, f"row_{i}") for i, c in enumerate(ROW)},
-                        "n_chars": row.sizes,
-                        "perplexity": [None if math.isnan(x) else x for x in perplexity],
-                    }
+                lengths = np.asarray(sizes, dtype=float)
+                empty = lengths == 0
+                perplexity = np.exp(-totals / np.where(empty, 1.0, lengths))
+                columns = [batch.column(c)[i].values for c in ("ids", "langs", *(f"row_{k}" for k in range(len(ROW))), "sizes")]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(perplexity, mask=empty)], ["id", "lang", *ROW, "n_chars", "perplexity"]
                 )
 
     rows = chunks.select("chunk", "ids", "langs", *[F.col(c).alias(f"row_{i}") for i, c in enumerate(ROW)], "sizes", "packed")
     both = rows.join(answers, "chunk", "left").drop("chunk")
-    return both.mapInPandas(score, schema)
+    return both.mapInArrow(score, schema)
 
 
 def perplexities(
