@@ -230,3 +230,26 @@ def test_order_of_rules_changes_no_verdict(spark, monkeypatch):
         monkeypatch.setattr(cascade, "rule_order", lambda *a, names=names: names)
         kept.append(sorted(repr((r["id"], r["kept"])) for r in cascade.quality_cascade(docs).collect()))
     assert kept[0] == kept[1]
+
+
+def test_sampled_classes_keep_their_shares(spark):
+    pick = random.Random(12)
+    rows, labels = [], []
+    for i in range(600):
+        words = prose(pick, 20).split()
+        if i % 10 == 0:
+            words[5] = "ambiguous"
+            words[6] = "slurword" if i % 20 == 0 else words[6]
+        elif pick.random() < 0.15:
+            words[5] = "ambiguous"
+        rows.append((i, " ".join(words), "en"))
+        labels.append((i, 1, int(i % 10 == 0)))
+    schema = "doc_id long, quality int, toxic int"
+    docs = documents(spark, rows)
+    model = toxicity.train(docs, spark.createDataFrame(labels, schema))
+    many = documents(spark, [(1000 * k + i, t, g) for k in range(10) for i, t, g in rows])
+    more = spark.createDataFrame([(1000 * k + i, q, x) for k in range(10) for i, q, x in labels], schema)
+    sampled = toxicity.train(many, more, max_toxic=10_000, max_clean=600)
+    want = {r["id"]: r["predicted"] for r in toxicity.toxicity(docs, model).collect()}
+    assert {r["id"]: r["predicted"] for r in toxicity.toxicity(docs, sampled).collect()} == want
+    assert sum(want.values()) == 30

@@ -165,21 +165,26 @@ def spans(text: str, p: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def sample_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_toxic: int, max_clean: int) -> DataFrame:
-    """``toxic, text`` of labelled rows outside the held-out fifth, about the given numbers at most."""
+    """``id, toxic, weight, text`` of labelled rows outside the held-out fifth, about the given numbers at most.
+
+    The weights give the classes the shares they have among all such rows; their mean is about 1.
+    """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     known = known.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = durable(known.where(F.crc32(F.col("id").cast("string")) % 5 != 0))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     drawn = F.pmod(F.xxhash64("id"), F.lit(1_000_000))
-    share = {k: int(min(1.0, most / max(1, counts.get(k, 0))) * 1_000_000) for k, most in ((1, max_toxic), (0, max_clean))}
+    share = {k: max(1, int(min(1.0, most / max(1, counts.get(k, 0))) * 1_000_000)) for k, most in ((1, max_toxic), (0, max_clean))}
+    mean = sum(counts.get(k, 0) * share[k] for k in share) / max(1, sum(counts.get(k, 0) for k in share))
+    weight = F.when(F.col("toxic") == 1, mean / share[1]).otherwise(mean / share[0])
     few = known.where(drawn < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     # At most about max_toxic + max_clean ids, whatever the input.
-    return durable(rows.join(F.broadcast(few), "id").select("id", "toxic", "text"))
+    return durable(rows.join(F.broadcast(few), "id").select("id", "toxic", weight.alias("weight"), "text"))
 
 
-def evidence(sample: DataFrame, max_features: int, least: float, purity: float) -> list[tuple[str, int, int]]:
-    """Features whose share of toxic documents no chance explains: ``feature, toxic, clean`` documents."""
+def evidence(sample: DataFrame, max_features: int, least: float, purity: float) -> list[tuple[str, float, float]]:
+    """Features whose share of toxic documents no chance explains: ``feature, toxic, clean`` documents by weight."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals = {0: Counter(), 1: Counter()}
@@ -191,8 +196,11 @@ def evidence(sample: DataFrame, max_features: int, least: float, purity: float)
             yield pd.DataFrame({"feature": names, "pos": [totals[1][n] for n in names], "neg": [totals[0][n] for n in names]})
 
     parts = sample.select("toxic", "text").mapInPandas(count, "feature string, pos long, neg long")
+    # All rows of a class have the same weight.
+    of = {r["toxic"]: r["w"] for r in sample.groupBy("toxic").agg(F.max("weight").alias("w")).collect()}
     sums = parts.groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("pos > 2")
-    base = sample.agg(F.avg("toxic")).first()[0] or 0.0
+    sums = sums.select("feature", (F.col("pos") * of.get(1, 1.0)).alias("pos"), (F.col("neg") * of.get(0, 1.0)).alias("neg"))
+    base = sample.agg(F.sum(F.col("toxic") * F.col("weight")) / F.sum("weight")).first()[0] or 0.0
     if not 0 < base < 1:
         return []
     n, share = F.col("pos") + F.col("neg"), F.col("pos") / (F.col("pos") + F.col("neg"))
@@ -202,13 +210,13 @@ def evidence(sample: DataFrame, max_features: int, least: float, purity: float)
     return [(r["feature"], r["pos"], r["neg"]) for r in best.collect()]
 
 
-def windows(sample: DataFrame, marked: set[str], max_windows: int) -> tuple[list[list[str]], list[list[int]]]:
-    """Windows of tokens and their states: around marked tokens of toxic texts, and from clean texts."""
+def windows(sample: DataFrame, marked: set[str], max_windows: int) -> tuple[list[list[str]], list[list[int]], list[float]]:
+    """Windows of tokens, their states and weights: around marked tokens of toxic texts, and from clean texts."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in filled(batches):
             out = []
-            for key, toxic, text in zip(batch["id"], batch["toxic"], batch["text"], strict=True):
+            for key, toxic, weight, text in zip(batch["id"], batch["toxic"], batch["weight"], batch["text"], strict=True):
                 tokens = TOKEN.findall(text)
                 if not tokens:
                     continue
@@ -221,17 +229,18 @@ def windows(sample: DataFrame, marked: set[str], max_windows: int) -> tuple[list
                     continue
                 part = tokens[max(0, middle - WINDOW // 2) : middle + WINDOW // 2]
                 states = [int(bool(toxic) and any(f in marked for f in features(t))) for t in part]
-                out.append((key, part, states))
+                out.append((key, part, states, weight))
             if out:
-                yield pd.DataFrame(out, columns=["key", "tokens", "states"])
+                yield pd.DataFrame(out, columns=["key", "tokens", "states", "weight"])
 
-    rows = sample.mapInPandas(cut, "key long, tokens array<string>, states array<int>")
+    rows = sample.mapInPandas(cut, "key long, tokens array<string>, states array<int>, weight double")
     few = rows.orderBy(F.xxhash64("key"), "key").limit(max_windows).collect()
-    return [list(r["tokens"]) for r in few], [list(r["states"]) for r in few]
+    return [list(r["tokens"]) for r in few], [list(r["states"]) for r in few], [r["weight"] for r in few]
 
 
-def fit(tokens: list[list[str]], states: list[list[int]], names: list[str], steps: int, penalty: float) -> Field:
-    """Maximum likelihood with a quadratic penalty, by Adam steps over all windows."""
+def fit(tokens: list[list[str]], states: list[list[int]], weights: list[float], names: list[str], steps: int, penalty: float) -> Field:
+    """Maximum weighted likelihood with a quadratic penalty, by Adam steps over all windows."""
+    each = np.asarray(weights, float)
     number = {name: i + 1 for i, name in enumerate(names)}
     width = 1 + len(STARTS)
     grid = np.zeros((len(tokens), WINDOW, width), np.int64)
@@ -249,7 +258,7 @@ def fit(tokens: list[list[str]], states: list[list[int]], names: list[str], step
     w[size] = -2.0
     mean, square = np.zeros_like(w), np.zeros_like(w)
     pairs = live[:, 1:] & live[:, :-1]
-    seen = np.array([((want[:, :-1] == a) & (want[:, 1:] == b) & pairs).sum() for a in (0, 1) for b in (0, 1)], float)
+    seen = np.array([((want[:, :-1] == a) & (want[:, 1:] == b) & pairs).sum(axis=1) @ each for a in (0, 1) for b in (0, 1)], float)
     for step in range(1, steps + 1):
         scores = w[grid].sum(axis=2) + w[size]
         psi = np.exp(np.clip(scores, -30, 30))
@@ -274,14 +283,14 @@ def fit(tokens: list[list[str]], states: list[list[int]], names: list[str], step
         joint = forward[:, :-1, :, None] * trans[None, None] * backward[:, 1:, None, :]
         joint[:, :, :, 1] *= psi[:, 1:, None]
         joint /= joint.sum(axis=(2, 3), keepdims=True)
-        expected = np.where(pairs[:, :, None, None], joint, 0.0).sum(axis=(0, 1)).reshape(-1)
-        off = (p - np.where(live, want, 0.0)).reshape(-1)
+        expected = np.tensordot(each, np.where(pairs[:, :, None, None], joint, 0.0).sum(axis=1), 1).reshape(-1)
+        off = ((p - np.where(live, want, 0.0)) * each[:, None]).reshape(-1)
         gradient = np.zeros_like(w)
         for k in range(width):
             gradient[:size] += np.bincount(grid[:, :, k].reshape(-1), weights=off, minlength=size)
         gradient[size] = off.sum()
         gradient[size + 1 :] = expected - seen
-        gradient = gradient / len(tokens) + penalty * w
+        gradient = gradient / each.sum() + penalty * w
         gradient[0] = 0.0
         mean = 0.9 * mean + 0.1 * gradient
         square = 0.99 * square + 0.01 * gradient**2
@@ -297,17 +306,17 @@ def calibrated(model: Field, sample: DataFrame) -> Field:
         for batch in filled(batches):
             ps = list(model.tag(batch["text"].tolist(), memo))
             yield pd.DataFrame(
-                {"toxic": batch["toxic"], "total": [float(p.sum()) for p in ps], "top": [float(p.max()) if len(p) else 0.0 for p in ps]}
+                {"toxic": batch["toxic"], "weight": batch["weight"], "total": [float(p.sum()) for p in ps], "top": [float(p.max()) if len(p) else 0.0 for p in ps]}
             )
 
-    rows = sample.select("toxic", "text").mapInPandas(sums, "toxic int, total double, top double").toPandas()
+    rows = sample.select("toxic", "weight", "text").mapInPandas(sums, "toxic int, weight double, total double, top double").toPandas()
     x = np.stack([np.ones(len(rows)), np.log1p(rows["total"]), rows["top"]], axis=1)
-    y = rows["toxic"].to_numpy(float)
+    y, each = rows["toxic"].to_numpy(float), rows["weight"].to_numpy(float)
     w = np.zeros(3)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + np.diag([1e-3, 1e-2, 1e-2])
-        w -= np.linalg.solve(hessian, x.T @ (p - y) + np.array([1e-3, 1e-2, 1e-2]) * w)
+        hessian = (x * (each * p * (1 - p))[:, None]).T @ x + np.diag([1e-3, 1e-2, 1e-2])
+        w -= np.linalg.solve(hessian, x.T @ (each * (p - y)) + np.array([1e-3, 1e-2, 1e-2]) * w)
     model.calibration = tuple(float(v) for v in w)
     return model
 
@@ -329,8 +338,8 @@ def train(
     names = [f for f, _, _ in evidence(sample, max_features, least=12.0, purity=0.75)]
     if not names:
         return Field()
-    tokens, states = windows(sample, set(names), max_windows)
-    return calibrated(fit(tokens, states, names, steps, penalty), sample)
+    tokens, states, weights = windows(sample, set(names), max_windows)
+    return calibrated(fit(tokens, states, weights, names, steps, penalty), sample)
 
 
 def toxicity(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "text", with_spans: bool = True) -> DataFrame:
