@@ -253,3 +253,16 @@ def test_sampled_classes_keep_their_shares(spark):
     want = {r["id"]: r["predicted"] for r in toxicity.toxicity(docs, model).collect()}
     assert {r["id"]: r["predicted"] for r in toxicity.toxicity(docs, sampled).collect()} == want
     assert sum(want.values()) == 30
+
+
+def test_registered_query_gives_the_offsets(spark, tmp_path):
+    from webquarry.llm import queries
+
+    pick = random.Random(13)
+    texts = {i: prose(pick, 30) + (f" slurword {prose(pick, 5)}" if i % 8 == 0 else "") for i in range(400)}
+    documents(spark, [(i, t, "en") for i, t in texts.items()]).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.createDataFrame([(i, 1, int(i % 8 == 0)) for i in texts], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    got = queries.op8_toxicity(spark, str(tmp_path)).collect()
+    found = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"]] for r in got}
+    assert found == {i: ["slurword"] if i % 8 == 0 else [] for i in texts}

@@ -124,8 +124,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     held_out = F.crc32(F.coalesce(F.col("id").cast("string"), F.lit(""))) % 5 == 0
-    judged = toxicity.toxicity(docs, model, with_spans=False)
-    return judged.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "score", "predicted", "n_toxic")
+    judged = toxicity.toxicity(docs, model)
+    return judged.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "score", "predicted", "n_toxic", "spans")
 
 
 @query
