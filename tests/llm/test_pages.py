@@ -122,3 +122,17 @@ def test_licences_are_found_in_any_spelling(spark):
     assert licences.scan(docs.where("false"), licences.known_licences(spark)).count() == 0
     own = spark.createDataFrame([("X", "my licence"), ("E", "")], "license_id string, text string")
     assert [r["license_id"] for r in licences.scan(spark.createDataFrame([(1, "My License!")], "doc_id long, text string"), own).collect()] == ["X"]
+
+
+def test_layout_classes_do_not_drop_the_page():
+    text = "".join(f"<p>Sentence number {i}, with some words, and a full stop.</p>" for i in range(8))
+    side = '<div class="sidebar"><p>Read also, please.</p></div>'
+    for mark in ('class="content-sidebar-wrap"', 'id="page" class="has-sidebar"', 'class="no-sidebar"', 'class="with-comments"',
+                 'class="search-results"', 'class="header-fixed"'):
+        for page in (f"<body><div {mark}><article>{text}</article>{side}</div></body>", f"<body><div {mark}><div>{text}</div>{side}</div></body>"):
+            lines = html.main_text(page).split("\n")
+            assert len(lines) == 8 and lines[7].startswith("Sentence number 7"), mark
+    # Comments longer than the text, with articles of their own, stay out.
+    answers = "".join(f'<article class="comment"><p>Answer {i}, and a good deal more to read than before.</p></article>' for i in range(30))
+    got = html.main_text(f'<body><div class="post">{text}</div><div id="comments">{answers}</div></body>')
+    assert "Sentence number 7" in got and "Answer" not in got

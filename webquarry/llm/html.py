@@ -5,7 +5,8 @@ Per path, the text length and the punctuation of its nodes are aggregated, per
 node of the path.  The two ratios are smoothed over the nodes in page order,
 fused, and compared with a threshold taken from their spread.  The paths above
 it vote for the element that holds the main text; its nodes, less those inside
-elements that are boilerplate by their tag or class, are the result.
+elements that are boilerplate by their tag or class, are the result.  A class does
+not count where the element holds an article or main element or most of the text on content paths.
 """
 
 from __future__ import annotations
@@ -48,6 +49,10 @@ BOILERPLATE = re.compile(
     r"complementary|contentinfo|skip)(?:$|[\s_-])",
     re.I,
 )
+#: States of a layout, not names of a part: has-sidebar, no-sidebar, with-comments.
+STATE = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without)[_-]\S*", re.I)
+#: What answers a text may be longer than it; most of the text does not make it the main text.
+ANSWERS = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|replies|reply|respond)(?:$|[\s_-])", re.I)
 CLOSED_BY = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 ENDS_P = {
@@ -58,30 +63,37 @@ HOLDERS = ("article", "main")
 
 
 class Node:
-    """A run of text: its path, the block it belongs to, and whether boilerplate is above it."""
+    """A run of text: its path, the block it belongs to, whether a boilerplate tag is above it, and the elements above marked by class."""
 
-    __slots__ = ("path", "block", "dropped", "text")
+    __slots__ = ("path", "block", "dropped", "marked", "text")
 
-    def __init__(self, path: tuple[str, ...], block: int, dropped: bool, text: str):
-        self.path, self.block, self.dropped, self.text = path, block, dropped, text
+    def __init__(self, path: tuple[str, ...], block: int, dropped: bool, marked: tuple[int, ...], text: str):
+        self.path, self.block, self.dropped, self.marked, self.text = path, block, dropped, marked, text
 
 
-def text_nodes(page: str) -> list[Node]:
-    """The text nodes of a page in order.  Time grows with the length of the page and the depth of its tags."""
+def text_nodes(page: str) -> tuple[list[Node], set[int], set[int]]:
+    """The text nodes of a page in order, the marked elements that hold an article or main element, and those that answer a text.
+
+    Time grows with the length of the page and the depth of its tags.
+    """
     nodes: list[Node] = []
+    marked: list[tuple[int, ...]] = [()]
+    holding: set[int] = set()
+    answers: set[int] = set()
+    number = 0
     names: list[str] = []
     paths: list[tuple[str, ...]] = [()]
     drops: list[int] = [0]
     block, at, size = 0, 0, len(page)
 
     def close(down_to: int) -> None:
-        del names[down_to:], paths[down_to + 1 :], drops[down_to + 1 :]
+        del names[down_to:], paths[down_to + 1 :], drops[down_to + 1 :], marked[down_to + 1 :]
 
     def add(text: str) -> None:
         if text and not text.isspace():
-            nodes.append(Node(paths[-1], block, drops[-1] > 0, html.unescape(text) if "&" in text else text))
+            nodes.append(Node(paths[-1], block, drops[-1] > 0, marked[-1], html.unescape(text) if "&" in text else text))
         elif text and nodes:
-            nodes.append(Node(paths[-1], block, drops[-1] > 0, " "))
+            nodes.append(Node(paths[-1], block, drops[-1] > 0, marked[-1], " "))
 
     while at < size:
         found = TOKEN.search(page, at)
@@ -94,7 +106,7 @@ def text_nodes(page: str) -> list[Node]:
             continue
         tag = found[2].lower()
         if tag == "br":
-            nodes.append(Node(paths[-1], block, drops[-1] > 0, " "))
+            nodes.append(Node(paths[-1], block, drops[-1] > 0, marked[-1], " "))
         if tag not in INLINE:
             block += 1
         if found[1]:
@@ -116,12 +128,22 @@ def text_nodes(page: str) -> list[Node]:
             at = end.end() if end else size
             continue
         marks = CLASS.findall(found[3]) if "=" in found[3] else []
-        bad = tag in DROPPED or any(BOILERPLATE.search("".join(m)) for m in marks) and tag not in ("html", "body", *HOLDERS)
+        words = [STATE.sub("", "".join(m)) for m in marks]
+        by_class = any(BOILERPLATE.search(w) for w in words)
+        above = marked[-1]
+        if tag in HOLDERS and not by_class and not drops[-1]:
+            holding.update(above)
+        elif by_class and tag not in ("html", "body", *HOLDERS):
+            number += 1
+            above = (*above, number)
+            if any(ANSWERS.search(w) for w in words):
+                answers.add(number)
+        marked.append(above)
         names.append(tag)
         label = tag if not marks else f"{tag}.{' '.join(''.join(m) for m in marks)}"
         paths.append((*paths[-1], label))
-        drops.append(drops[-1] + bad)
-    return nodes
+        drops.append(drops[-1] + (tag in DROPPED))
+    return nodes, holding, answers
 
 
 def smoothed(values: list[float]) -> list[float]:
@@ -148,17 +170,40 @@ def path_scores(nodes: list[Node]) -> list[float]:
     return [a * (1 + b) for a, b in zip(by_length, by_marks, strict=True)]
 
 
+def content_paths(live: list[Node]) -> set[tuple[str, ...]]:
+    """The paths whose fused ratio reaches the threshold."""
+    scores = path_scores(live)
+    mean = sum(scores) / len(scores)
+    spread = math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))
+    threshold = max(0.0, min(mean, spread))
+    return {n.path for n, s in zip(live, scores, strict=True) if s >= threshold}
+
+
+def boilerplate_dropped(nodes: list[Node], holding: set[int], answers: set[int]) -> None:
+    """Mark the nodes inside elements that are boilerplate by class."""
+    live = [n for n in nodes if not n.dropped and n.text != " "]
+    wide = set(holding)
+    if any(n.marked for n in live):
+        content = content_paths(live)
+        held: Counter = Counter()
+        for n in live:
+            if n.path in content:
+                for element in n.marked:
+                    held[element] += len(n.text)
+        total = sum(len(n.text) for n in live if n.path in content)
+        wide |= {e for e, size in held.items() if 2 * size > total and e not in answers}
+    for n in nodes:
+        n.dropped = n.dropped or any(e not in wide for e in n.marked)
+
+
 def main_text(page: str) -> str:
     """The main text of a page: blocks in page order, one per line; empty if there is none."""
-    nodes = text_nodes(page)
+    nodes, holding, answers = text_nodes(page)
+    boilerplate_dropped(nodes, holding, answers)
     live = [n for n in nodes if not n.dropped and n.text != " "]
     if not live:
         return ""
-    scores = path_scores(live)
-    mean = sum(scores) / len(scores)
-    spread = math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))
-    threshold = max(0.0, min(mean, spread))
-    content = {n.path for n, s in zip(live, scores, strict=True) if s >= threshold}
+    content = content_paths(live)
     # The element that holds most of the text on content paths, an article or main element first.
     held: Counter = Counter()
     for n in live:
