@@ -182,37 +182,22 @@ def test_groups_stay_whole_across_batches():
         assert sum(b["k"].nunique() for b in out) == 4
 
 
-def edited(pick, base, changes):
-    """``base`` with blocks of words replaced: every block of 5 new words takes 9 shingles away."""
-    out = list(base)
-    for at in pick.sample(range(0, len(base) // 20), changes):
-        out[20 * at : 20 * at + 5] = [f"n{pick.randrange(10**9)}" for _ in range(5)]
-    return out
-
-
-@pytest.mark.parametrize("scan_rows", [near.SCAN_ROWS, 40])
-def test_pipeline_similarity_against_brute_force(spark, scan_rows):
-    pick = random.Random(8)
-    rows = []
-    for _ in range(40):
-        base = [f"t{pick.randrange(5000)}" for _ in range(400)]
-        # 396 shingles; 4 blocks leave 0.833 and 5 leave 0.795.
-        rows += [base, edited(pick, base, 4), edited(pick, base, 5)]
-    crowd = [f"t{pick.randrange(5000)}" for _ in range(400)]
-    rows += [edited(pick, crowd, 3) for _ in range(40)]
-    # One shingle many times over outweighs all others in counts, not in sets.
-    rows += [["a"] * 500 + [f"m{pick.randrange(10**9)}" for _ in range(60)] for _ in range(4)]
-    sets = [{" ".join(r[i : i + 5]) for i in range(len(r) - 4)} for r in rows]
-    docs = clashing(spark, [(i, " ".join(r)) for i, r in enumerate(rows)])
-    got = near.near_groups(docs, words_per_shingle=5, lanes=4, radius=55, similarity=0.8, scan_rows=scan_rows).collect()
-    of = {r["id"]: r["component_id"] for r in got}
-    links = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    top = list(range(len(rows)))
-    for _ in rows:
-        for a, b in links:
-            top[a] = top[b] = min(top[a], top[b])
-    assert len(got) == len(rows) and all(top[of[i]] == top[i] for i in of)
-    assert sum(of[a] == of[b] for a, b in links) >= 0.95 * len(links)
+def test_pipeline_stage_keeps_one_of_each_group(spark):
+    """The stage is the operator with three words and two bits, whatever other columns the documents have."""
+    import corpus_pipeline
+
+    rows = [(i, t) for i, t in enumerate([*texts(200), "", None])] + [(None, "lone pair here"), (3, "x y z"), (3, "x y z")]
+    docs = clashing(spark, rows).selectExpr("*", "1 AS copies", "'z' AS component_id", "true AS kept", "'f' AS fingerprint")
+    kept = corpus_pipeline.near_stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    prints = dict(enumerate(slow_print(t, 3) for _, t in rows))
+    want = brute_components(prints, 2)
+    got = kept.collect()
+    assert len(got) == len(set(want.values()))
+    by_print = {}
+    for at, (i, t) in enumerate(rows):
+        by_print.setdefault(want[at], []).append((i is None, i or 0, t))
+    assert sorted(repr((r["doc_id"], r["text"])) for r in got) == sorted(repr((m[1] if not m[0] else None, m[2])) for m in (min(x, key=lambda y: y[:2]) for x in by_print.values()))
 
 
 def test_deeper_levels_keep_the_recall():

@@ -19,13 +19,6 @@ A shard with more than ``tree_rows`` fingerprints is sharded again on further bi
 In every shard a BK-tree is built, children keyed by their distance to the
 parent, and searched along edges within the radius.  The links of a shard leave
 it as one tie per fingerprint, which keeps its components without listing pairs.
-
-With a ``similarity``, a link also needs that Jaccard similarity of the sets of shingles.
-Fingerprints are then those of the sets and only propose pairs, in two rounds: the
-nearest earlier fingerprint of each one, and then every other pair within the
-radius whose ends the verified links of the first round do not connect.  Random fingerprints
-lie so far from a wide radius and from each other that a tree's edges cut nothing off; the shards are
-scanned in blocks instead.
 """
 
 from __future__ import annotations
@@ -40,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webquarry.llm.common import ROW, drop_table, filled, text_of, whole_groups, with_row_id
+from webquarry.llm.common import ROW, filled, text_of, whole_groups, with_row_id
 from webquarry.llm.graph import components
 from webquarry.session import durable
 
@@ -48,8 +41,6 @@ SEED = 42
 LEVELS = 4
 BLOCK = 1 << 15
 SHARD_ROWS = 16
-SCAN_ROWS = 1 << 15
-FEW = 8
 DEEPER_BITS = 8
 
 
@@ -83,28 +74,18 @@ def lanes_of(base: np.ndarray, lanes: int) -> list[int]:
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, words_per_shingle: int, lanes: int, as_set: bool = False) -> DataFrame:
-    """``id, print, n, body`` and the row id; ``print`` holds the lanes as hexadecimal digits.
-
-    ``as_set`` counts repeated shingles once; ``n`` is then their number and ``body`` tells their sets apart.
-    """
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, words_per_shingle: int, lanes: int) -> DataFrame:
+    """``id, print`` and the row id; ``print`` holds the lanes as hexadecimal digits."""
     keep = [c for c in ROW if c in docs.columns]
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"), *keep)
     columns = ["id", *keep]
 
     def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in filled(batches):
-            prints, sizes, bodies = [], [], []
-            for t in batch["text"]:
-                base = shingles(t, words_per_shingle)
-                if as_set:
-                    base = np.unique(base)
-                prints.append("".join(f"{x:016x}" for x in lanes_of(base, lanes)))
-                sizes.append(len(base) if as_set else 0)
-                bodies.append(xxhash.xxh3_128_hexdigest(base.tobytes()) if as_set else "")
-            yield batch[columns].assign(print=prints, n=sizes, body=bodies)
-
-    schema = ", ".join(f"`{c}` long" for c in columns) + ", print string, n long, body string"
+            prints = ["".join(f"{x:016x}" for x in lanes_of(shingles(t, words_per_shingle), lanes)) for t in batch["text"]]
+            yield batch[columns].assign(print=prints)
+
+    schema = ", ".join(f"`{c}` long" for c in columns) + ", print string"
     return rows.mapInPandas(marked, schema)
 
 
@@ -195,7 +176,6 @@ def shard_rows(level: int, bits: int, radius: int, tables: int, sample_bits: int
                             "shard": mixed.view(np.int64),
                             "code": part["code"].to_numpy(),
                             "node": part["node"].to_numpy(),
-                            "n": part["n"].to_numpy(),
                         }
                     )
 
@@ -221,89 +201,6 @@ def tree_links(radius: int):
     return search
 
 
-def scanned(codes: np.ndarray, sizes: np.ndarray, radius: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """``later, earlier, distance`` of all pairs within ``radius`` whose set sizes allow the similarity, in blocks of whole later ones."""
-    step = max(1, (1 << 20) // len(codes))
-    for at in range(0, len(codes), step):
-        end = min(at + step, len(codes))
-        apart = np.bitwise_count(codes[at:end, None, :] ^ codes[None, :end, :]).sum(axis=2, dtype=np.int64)
-        later, earlier = np.nonzero(apart <= radius)
-        low, high = np.minimum(sizes[later + at], sizes[earlier]), np.maximum(sizes[later + at], sizes[earlier])
-        fits = (earlier < later + at) & (low >= similarity * high - 1e-9)
-        later, earlier = later[fits], earlier[fits]
-        if len(later):
-            yield later + at, earlier, apart[later, earlier]
-
-
-def shard_pairs(radius: int, similarity: float, every: bool):
-    """A function of sorted batches that lists pairs ``a, b, d`` of every shard.
-
-    With ``every``, all pairs whose ends have different ``component``.  Without, a fingerprint
-    with more than ``FEW`` earlier ones within the radius lists the nearest only, and a row
-    with null ends names its shard.
-    """
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in whole_groups(batches, ["path", "shard"]):
-            shards = batch[["path", "shard"]].to_numpy()
-            cuts = np.flatnonzero((shards[1:] != shards[:-1]).any(axis=1)) + 1
-            grid = np.frombuffer(b"".join(batch["code"]), np.uint64).reshape(len(batch), -1)
-            nodes, sizes = batch["node"].to_numpy(), batch["n"].to_numpy()
-            groups = batch["component"].to_numpy() if every else None
-            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)], strict=True):
-                if e - s < 2 or every and (groups[s:e] == groups[s]).all():
-                    continue
-                own = nodes[s:e].argsort(kind="stable") + s
-                crowded = False
-                for later, earlier, apart in scanned(grid[own], sizes[own], radius, similarity):
-                    if every:
-                        pick = groups[own[later]] != groups[own[earlier]]
-                    else:
-                        by = np.lexsort((earlier, apart, later))
-                        later, earlier, apart = later[by], earlier[by], apart[by]
-                        first = np.concatenate([[True], later[1:] != later[:-1]])
-                        many = np.bincount(later)[later] > FEW
-                        pick = first | ~many
-                        crowded = crowded or bool(many.any())
-                    if pick.any():
-                        a, b = nodes[own[later[pick]]], nodes[own[earlier[pick]]]
-                        yield pd.DataFrame({"a": a, "b": b, "d": apart[pick], "path": 0, "shard": 0, "crowded": False})
-                if crowded:
-                    yield pd.DataFrame({"a": [-1], "b": [-1], "d": [-1], "path": shards[s : s + 1, 0], "shard": shards[s : s + 1, 1], "crowded": True})
-
-    return search
-
-
-PAIRS = "a long, b long, d long, path long, shard long, crowded boolean"
-
-
-def similar(pairs: DataFrame, texts: DataFrame, words_per_shingle: int, similarity: float) -> DataFrame:
-    """The pairs ``a, b`` whose shingle sets reach the similarity; ``texts`` has ``node, text``."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-
-    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in filled(batches):
-            sets = [np.unique(shingles(t, words_per_shingle)).tobytes() for t in batch["text"]]
-            yield pd.DataFrame({"node": batch["node"], "grams": sets})
-
-    sets = durable(texts.join(ends, "node", "left_semi").mapInPandas(listed, "node long, grams binary"))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
-    both = both.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
-
-    def checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in filled(batches):
-            keep = []
-            for x, y in zip(batch["x"], batch["y"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(same >= similarity * (len(x) + len(y) - same) - 1e-9)
-            yield batch.loc[keep, ["a", "b"]]
-
-    found = durable(both.select("a", "b", "x", "y").mapInPandas(checked, "a long, b long"))
-    drop_table(sets)
-    return found
-
-
 def sampling(count: int, bits: int, radius: int, recall: float) -> tuple[int, int]:
     """Number and width of the bit samples for ``count`` fingerprints."""
     width = max(1, min(bits, math.ceil(math.log2(max(2, count / SHARD_ROWS)))))
@@ -317,15 +214,15 @@ def deeper_tables(bits: int, radius: int, recall: float) -> int:
 
 
 def shard_levels(nodes: DataFrame, bits: int, radius: int, recall: float, tree_rows: int) -> Iterator[DataFrame]:
-    """The shards ``path, shard, code, node, n`` to search, level by level; a pair at the radius meets with ``recall`` over all levels."""
+    """The shards ``path, shard, code, node`` to search, level by level; a pair at the radius meets with ``recall`` over all levels."""
     each = recall ** (1 / LEVELS)
     tables, width = sampling(nodes.count(), bits, radius, each) if radius > 3 else (0, 0)
     deeper = deeper_tables(bits, radius, each) if radius > 3 else 0
-    rows = nodes.select(F.lit(0).cast("long").alias("path"), F.lit(0).cast("long").alias("shard"), F.unhex("print").alias("code"), "node", "n")
+    rows = nodes.select(F.lit(0).cast("long").alias("path"), F.lit(0).cast("long").alias("shard"), F.unhex("print").alias("code"), "node")
     keys = ["path", "shard"]
     for level in range(LEVELS):
         spread = shard_rows(level, bits, radius, tables, width, deeper)
-        placed = rows.mapInPandas(spread, "path long, shard long, code binary, node long, n long")
+        placed = rows.mapInPandas(spread, "path long, shard long, code binary, node long")
         hot = durable(placed.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > tree_rows).select(*keys))
         done = level == LEVELS - 1 or hot.isEmpty()
         yield placed if done else placed.join(hot, keys, "left_anti")
@@ -340,7 +237,7 @@ def searched(shards: DataFrame, search, schema: str) -> DataFrame:
 
 
 def print_links(nodes: DataFrame, bits: int, radius: int, recall: float, tree_rows: int) -> DataFrame:
-    """Ties between the nodes of distinct fingerprints ``print, node, n``."""
+    """Ties between the nodes of distinct fingerprints ``print, node``."""
     found = None
     for shards in shard_levels(nodes, bits, radius, recall, tree_rows):
         ties = searched(shards, tree_links(radius), "a long, b long")
@@ -348,33 +245,6 @@ def print_links(nodes: DataFrame, bits: int, radius: int, recall: float, tree_ro
     return found
 
 
-def similar_links(
-    nodes: DataFrame, texts: DataFrame, bits: int, radius: int, recall: float, scan_rows: int, words_per_shingle: int, similarity: float
-) -> DataFrame:
-    """Links between nodes within the radius whose sets of shingles reach the similarity; see the head of the module."""
-    levels, proposed = [], None
-    for shards in shard_levels(nodes, bits, radius, recall, scan_rows):
-        pairs = searched(shards, shard_pairs(radius, similarity, every=False), PAIRS)
-        levels.append((shards, pairs))
-        proposed = pairs if proposed is None else proposed.union(pairs)
-    proposed = proposed.where("not crowded")
-    nearest = durable(proposed.groupBy("a").agg(F.min(F.struct("d", "b")).alias("near")).select("a", F.col("near.b").alias("b")))
-    links = similar(nearest, texts, words_per_shingle, similarity)
-    tied = nodes.select("node").join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    tied = durable(tied)
-    rest = proposed.select("a", "b")
-    for shards, pairs in levels:
-        crowded = pairs.where("crowded").select("path", "shard")
-        if not crowded.isEmpty():
-            again = shards.join(crowded, ["path", "shard"], "left_semi").join(tied, "node")
-            again = searched(again, shard_pairs(radius, similarity, every=True), PAIRS)
-            rest = rest.union(again.select("a", "b"))
-    sides = [tied.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in ("a", "b")]
-    rest = rest.distinct().join(nearest, ["a", "b"], "left_anti")
-    rest = durable(rest.join(sides[0], "a").join(sides[1], "b").where("of_a <> of_b").select("a", "b"))
-    return links.union(similar(rest, texts, words_per_shingle, similarity))
-
-
 def near_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -384,8 +254,6 @@ def near_groups(
     radius: int = 2,
     recall: float = 0.95,
     tree_rows: int = 2048,
-    similarity: float | None = None,
-    scan_rows: int = SCAN_ROWS,
 ) -> DataFrame:
     """One row per row of ``docs``: ``id, fingerprint, component_id, group_size, kept`` and the row id.
 
@@ -393,30 +261,21 @@ def near_groups(
     part through a number of their own, so their component has a null id only
     if no row of it has one.  One row of each component is kept: the one with
     the smallest id, and of repeated rows the first.  Null and empty texts have
-    the fingerprint zero and link like any other.  An empty table gives an
+    the fingerprint zero and link like any other.  A bit set in exactly half the
+    hashes is 0.  Very long texts are hashed whole, their counts in blocks.  An empty table gives an
     empty result; other columns of ``docs`` are not read.  ``recall`` counts for
     a radius above 3 only, and for pairs at the radius; closer ones meet more often.
-    With ``similarity``, rows are linked that are within the radius and have at least that
-    Jaccard similarity of their sets of shingles, or equal sets; without words the set is empty.
     """
     docs = with_row_id(docs)
-    marked = durable(fingerprints(docs, id_col, text_col, words_per_shingle, lanes, similarity is not None))
+    marked = durable(fingerprints(docs, id_col, text_col, words_per_shingle, lanes))
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), *ROW)
-    # A distinct fingerprint, and set if those are compared, is one node; its number only has to be unique.
-    heads = durable(
-        marked.groupBy("print", "n", "body").agg(F.min(order).alias("head"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id())
-    )
-    nodes = heads.select("print", "node", "n")
-    if similarity is None:
-        ties = print_links(nodes, 64 * lanes, radius, recall, tree_rows)
-    else:
-        at = heads.select("node", *[F.col(f"head.{c}").alias(c) for c in ROW])
-        texts = docs.select(text_of(text_col).alias("text"), *ROW).join(at, list(ROW)).select("node", "text")
-        ties = similar_links(nodes, texts, 64 * lanes, radius, recall, scan_rows, words_per_shingle, similarity)
+    # A distinct fingerprint is one node; its number only has to be unique.
+    heads = durable(marked.groupBy("print").agg(F.min(order).alias("head"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()))
+    ties = print_links(heads.select("print", "node"), 64 * lanes, radius, recall, tree_rows)
     tied = heads.join(components(ties), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = tied.groupBy("component").agg(F.min("head").alias("least"), F.sum("copies").alias("group_size"))
-    named = tied.join(least, "component").select("print", "n", "body", "least", "group_size")
-    return marked.join(named, ["print", "n", "body"]).select(
+    named = tied.join(least, "component").select("print", "least", "group_size")
+    return marked.join(named, "print").select(
         "id",
         F.col("print").alias("fingerprint"),
         F.col("least.id").alias("component_id"),
