@@ -34,25 +34,31 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row of near-duplicates: five-word shingles, similarity 0.8.
+    """Keep one row of near-duplicates: SimHash over three words, two bits.
 
-    At that similarity 39 of 256 bits differ, give or take 6; the radius leaves room for nearly all
-    of that, and the similarity of proposed pairs is computed.
+    Of a group the smallest id stays, a null id only if there is no other; of repeated rows one
+    stays.  Null and empty texts form one group.
     """
     rows = with_row_id(docs)
-    return _keep(rows, near.near_groups(rows, words_per_shingle=5, lanes=4, radius=55, similarity=0.8).where("kept"))
+    return _keep(rows, near.near_groups(rows, words_per_shingle=3, lanes=1, radius=2).where("kept"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of every row as the mix takes."""
+    """As many copies of every row as the mix takes; repeated rows are mixed one by one.
+
+    Empty and null texts have no words, so the mix takes one copy of each or none, as it rounds their rate.
+    """
     rows = with_row_id(docs)
-    taken = mixing.mix(rows).where("copies > 0").select("copies", *ROW)
+    taken = mixing.mix(rows).where("copies > 0").select(F.sequence(F.lit(1), F.col("copies").cast("int")).alias("__taken"), *ROW)
     copies = rows.join(taken, list(ROW))
-    return copies.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies", *ROW)
+    return copies.withColumn("__taken", F.explode("__taken")).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The bin of every piece of every row; copies of a document lie in different bins."""
+    """The bin of every piece of every row; copies of a document lie in different bins.
+
+    Null and empty texts are packed as items of size 0; an empty table gives no bins.
+    """
     packed = packing.pack(docs)
     return packed.select(F.col("id").alias("doc_id"), "size", "piece", "pieces", "piece_size", "bin_id", "bin_place", "bin_used")
 
