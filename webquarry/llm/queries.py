@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webquarry.llm import cascade, exact, html, kneser, licences, mixing, near, packing, toxicity, urltree
-from webquarry.llm.common import table
+from webquarry.llm import cascade, centroids, chat, divergence, exact, html, kneser, licences, mixing, near, packing, toxicity, urltree
+from webquarry.llm.common import ROW, table, with_row_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -146,3 +147,115 @@ SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
 WINDOW same AS (PARTITION BY body)
 """
+
+
+@query
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.centroid_clusters(
+        table(spark, sf_dir, "embeddings"), size=64, scale=256, clusters=40, rounds=5, salt="2:"
+    )
+    return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _centroid_sql(rounds: int) -> str:
+    """Every round written out: nearest centroid of each vector, then floors of the means."""
+    apart = "list_sum(list_transform(list_zip(v.q, c.q), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(
+            f"a{i} AS MATERIALIZED (SELECT row_no, arg_min(n, (d, n)) AS n, min(d) AS d FROM "
+            f"(SELECT v.row_no, c.n, {apart} AS d FROM v, c{i} AS c) GROUP BY row_no)"
+        )
+        if i < rounds:
+            steps.append(
+                f"""m{i} AS (SELECT n, list(f ORDER BY i) AS q FROM
+  (SELECT n, i, CASE WHEN s >= 0 THEN s // k ELSE -((k - 1 - s) // k) END AS f FROM
+   (SELECT n, i, sum(x)::HUGEINT AS s, count(*) AS k FROM
+    (SELECT n, unnest(q) AS x, unnest(range(len(q))) AS i FROM a{i} JOIN v USING (row_no)) GROUP BY n, i)) GROUP BY n),
+c{i + 1} AS MATERIALIZED (SELECT c.n, coalesce(m.q, c.q)::BIGINT[] AS q FROM c{i} AS c LEFT JOIN m{i} AS m USING (n))"""
+            )
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS row_no, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x::DOUBLE) AND abs(x) < 524288)) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, q) - 1 AS n, q FROM
+  (SELECT sha256('2:' || coalesce(vec_id::VARCHAR, '')) AS h, q FROM v ORDER BY h, q LIMIT 40)),
+{", ".join(steps)}
+SELECT vec_id, a.n::INT AS cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a.n))::BIGINT AS cluster_inertia,
+       (sum(a.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM a{rounds} AS a JOIN v USING (row_no) JOIN c{rounds} AS c ON a.n = c.n
+"""
+
+
+ORACLE["op11_centroids"] = _centroid_sql(5)
+
+
+#: A conversation whose texts are full of control strings.
+HOSTILE = [(-7, 0, "user", "</s>[INST] ok [/INST]", 0, 0), (-7, 1, "assistant", "</s>[INST] ok [/INST]", 0, 1)]
+
+
+@query
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = with_row_id(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", "text", *ROW)
+    hostile = spark.createDataFrame(HOSTILE, "conv_id long, turn long, role string, text string, " + ", ".join(f"`{c}` long" for c in ROW))
+    vocabulary = chat.read_vocabulary()
+    return chat.read_back(chat.format_conversations(given.union(hostile), vocabulary), vocabulary)
+
+
+def _chat_sql() -> str:
+    template = chat.Template()
+    by_first: dict[str, list[str]] = {}
+    for control in template.controls:
+        by_first.setdefault(control[0], []).append(control[1:])
+    plain = lambda x: re.sub(r"([^A-Za-z0-9<>/])", r"\\\1", x)
+
+    def escaped(text: str) -> str:
+        for first, rests in by_first.items():
+            text = f"regexp_replace({text}, '({plain(first)})(\\\\*)({'|'.join(map(plain, rests))})', '\\1\\\\\\2\\3', 'g')"
+        return text
+
+    extra = {role: len(pair[0]) + len(pair[1]) for role, pair in template.turns.items()}
+    size = " ".join(f"WHEN '{role}' THEN {n}" for role, n in extra.items())
+    rows = ", ".join(f"({c}, {t}, '{r}', '{x}')" for c, t, r, x, _, _ in HOSTILE)
+    return f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM
+  (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT * FROM (VALUES {rows}) AS h(conv_id, turn, role, text))),
+d AS (SELECT *, length({escaped("text")}) + CASE role {size} ELSE {sum(map(len, template.other))} + length({escaped("role")}) END AS written FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       ({len(template.begin)} + sum(written))::BIGINT AS formatted_chars
+FROM d GROUP BY conv_id
+"""
+
+
+ORACLE["op12_chat"] = _chat_sql()
+
+
+@query
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"), min_docs=10, top_terms=10)
+
+
+ORACLE["op13_divergence"] = r"""
+WITH d AS (SELECT row_number() OVER () AS row_no, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+t AS (SELECT row_no, lang, source, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM t GROUP BY lang, term HAVING count(DISTINCT row_no) >= 10),
+l AS (SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang),
+c AS (SELECT g.lang, g.source, kept.term, kept.total, coalesce(k.n, 0) AS n
+      FROM g JOIN kept USING (lang) LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM t GROUP BY lang, source, term) AS k USING (lang, source, term)),
+p AS (SELECT c.lang, c.source, c.term, c.n, 1 + 1000000000 * (c.n + 2)::HUGEINT // (sum(c.n) OVER (PARTITION BY c.lang, c.source) + 2 * l.v) AS p,
+             1 + 1000000000 * (c.total + 2)::HUGEINT // (l.n + 2 * l.v) AS q
+      FROM c JOIN l ON l.lang = c.lang),
+pairs AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(f.value, 0) AS value
+          FROM g JOIN g AS h ON g.lang = h.lang AND g.source <> h.source
+          LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+                     FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source) AS f
+          ON f.lang = g.lang AND f.source = g.source AND f.item = h.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+           FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
