@@ -115,6 +115,14 @@ SELECT 'h' || cast(s_suppkey AS string) || '.example.com' AS host,
 FROM {supplier}
 """
 
+RULE_ROWS = """
+SELECT 'h' || cast(c_custkey % 3 AS string) || '.example.com' AS host, c_custkey AS line, c_custkey % 4 <> 1 AS allow,
+  CASE c_custkey % 5 WHEN 0 THEN '/p/' || cast(c_custkey % 97 AS string) || '*' || cast(c_custkey % 7 AS string) || '$'
+    WHEN 1 THEN '/private/' || cast(c_custkey % 1000 AS string) WHEN 2 THEN '/p/' || cast(c_custkey * 7 % 1000 AS string) || '$'
+    ELSE '/p/' || cast(c_custkey * 3 % 10000 AS string) END AS path
+FROM {customer}
+"""
+
 SITEMAPS = """
 SELECT 'https://h' || cast(s_suppkey AS string) || '.example.com/sm.xml' AS url,
   CASE WHEN s_suppkey % 3 = 0 THEN '<sitemapindex><sitemap><loc>https://h' || cast(s_suppkey + 1 AS string)

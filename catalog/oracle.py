@@ -413,15 +413,15 @@ ORACLE["tech_fingerprint"] = Q.with_ctes(
 # --- robots and hosts -------------------------------------------------------------------------
 
 
-def allowed_chain(urls: str) -> list[str]:
-    """CTE ``verdict`` (url, allowed) for a CTE with ``url``."""
+def allowed_chain(urls: str, rules: str = "rules JOIN grp USING (host, group_no)") -> list[str]:
+    """CTE ``verdict`` (url, allowed) for a CTE with ``url`` and rules ``host, line, allow, path``."""
     rx = (
         "'^' || replace(regexp_replace(regexp_replace(path, '\\$$', ''), '([.+?^${}()|\\[\\]\\\\])', '\\\\\\1', 'g'), '*', '.*')"
         " || CASE WHEN ends_with(path, '$') THEN '$' ELSE '' END"
     )
     return [
         f"ur AS (SELECT DISTINCT url, regexp_extract(url, '^https?://([^/?]*)', 1) AS host, {Q.path('url')} || {Q.query('url')} AS target FROM {urls})",
-        f"mine AS (SELECT rules.host, line, allow, len(path) AS w, {rx} AS rx FROM rules JOIN grp USING (host, group_no) WHERE path <> '')",
+        f"mine AS (SELECT host, line, allow, len(path) AS w, {rx} AS rx FROM {rules} WHERE path <> '')",
         """verdict AS MATERIALIZED (SELECT url, coalesce(arg_max(allow, (w, -line)), true) AS allowed FROM
             (SELECT ur.url, m.allow, m.w, m.line FROM ur LEFT JOIN mine m ON m.host = ur.host AND regexp_matches(ur.target, m.rx)) GROUP BY url)""",
     ]
@@ -432,6 +432,10 @@ ORACLE["robots_allowed"] = Q.with_ctes(
     [*ROBOTS_LINES, *EDGES, "u AS (SELECT dst AS url FROM edges)", *allowed_chain("u")],
     "SELECT ord, dst AS url, allowed FROM edges JOIN verdict ON verdict.url = edges.dst",
 )
+ORACLE["robots_many_rules"] = Q.with_ctes(
+    [Q.source("many", D.RULE_ROWS), *EDGES, "u AS (SELECT dst AS url FROM edges)", *allowed_chain("u", "many")],
+    "SELECT ord, dst AS url, allowed FROM edges JOIN verdict ON verdict.url = edges.dst",
+)
 ORACLE["host_delay"] = Q.with_ctes(
     [*ROBOTS_LINES, Q.source("log", D.FETCHES)],
     """SELECT h.host, greatest(1000.0::DOUBLE, coalesce(crawl_delay * 1000, 0)::DOUBLE) AS delay_ms FROM (SELECT DISTINCT host FROM log) h

@@ -498,6 +498,15 @@ def robots_allowed(spark, sf):
     return RB.robots_allowed(edges, _groups(spark, sf)).select("ord", "url", "allowed")
 
 
+@query
+def robots_many_rules(spark, sf):
+    """Hosts with a third of a rule per customer: rules are looked up by prefix."""
+    rule = F.struct(F.col("line").cast("int").alias("line"), "allow", "path")
+    groups = derived(spark, sf, D.RULE_ROWS).groupBy("host").agg(F.array_sort(F.collect_list(rule)).alias("rules"))
+    edges = derived(spark, sf, D.EDGES).select("ord", F.col("dst").alias("url"))
+    return RB.robots_allowed(edges, groups).select("ord", "url", "allowed")
+
+
 @query
 def host_delay(spark, sf):
     return RB.host_delay(derived(spark, sf, D.FETCHES).select("host"), _groups(spark, sf), 1000)

@@ -19,7 +19,7 @@ from webquarry.functions.expr import explode_items
 from webquarry.functions.urls import in_scope, passes_patterns
 from webquarry.operators.skew import join_one_per_key
 from webquarry.session import UrlTables, durable
-from webquarry.sources.robots import robots_allowed
+from webquarry.sources.robots import RobotsIndex, robots_allowed, robots_index
 
 VISIT = ["url", "depth", "parent", "place", "disposition"]
 
@@ -62,8 +62,7 @@ def _expand(
 ) -> DataFrame:
     spark = seeds.sparkSession
     first_seed = F.lit(first_seed_of(seeds))
-    if robots is not None:
-        robots = durable(robots.select("host", "rules"))
+    index = robots_index(robots) if robots is not None and config.respect_robots else None
     stored = tables.write(tables.spread(snapshots.select("url", "links")))
     if "place" not in seeds.columns:
         seeds = seeds.withColumn("place", F.array(F.col("ord").cast("int")))
@@ -83,7 +82,7 @@ def _expand(
         if finished:
             level = fresh.withColumn("disposition", F.lit("queued"))
         else:
-            level = _dispositions(tables, fresh, stored, config, robots)
+            level = _dispositions(tables, fresh, stored, index)
         last = None
         if config.max_pages and not finished:
             level = tables.write(level)
@@ -121,13 +120,9 @@ def _dispositions(
     tables: UrlTables,
     found: DataFrame,
     stored: DataFrame,
-    config: CrawlConfig,
-    robots: DataFrame | None,
+    index: RobotsIndex | None,
 ) -> DataFrame:
-    if robots is not None and config.respect_robots:
-        checked = robots_allowed(found, robots)
-    else:
-        checked = found.withColumn("allowed", F.lit(True))
+    checked = found.withColumn("allowed", F.lit(True)) if index is None else robots_allowed(found, index)
     present = stored.select("url", F.lit(True).alias("present"))
     return tables.spread(checked).join(present, "url", "left").select(
         "url",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from webquarry.functions.expr import explode_items, trim_wide
 from webquarry.functions.urls import host_with_port, pathname, search
 from webquarry.operators.skew import join_one_per_key
+from webquarry.session import durable
 
 
 def robots_lines(robots: DataFrame) -> DataFrame:
@@ -102,47 +103,110 @@ def robots_groups(lines: DataFrame, agent: str) -> DataFrame:
     return chosen.join(per_group, ["host", "group_no"])
 
 
-def rule_regex(path: Column) -> Column:
-    """A rule path as an anchored pattern: ``*`` is any run, a final ``$`` the end."""
-    body = F.regexp_replace(path, r"\$\z", "")
-    escaped = F.regexp_replace(body, r"([.+?^${}()|\[\]\\])", r"\\$1")
-    return F.concat(
-        F.lit(r"\A"),
-        F.replace(escaped, F.lit("*"), F.lit(".*")),
-        F.when(path.endswith("$"), F.lit(r"\z")).otherwise(F.lit("")),
-    )
+#: Hosts with more rules than this have them looked up by prefix instead of carried along as an array.
+INLINE_RULES = 64
+RULE = "struct<length:int, line:int, allow:boolean, head:string, middle:array<string>, tail:string, whole:boolean>"
 
 
-def rule_matches(target: Column, path: Column) -> Column:
-    """Plain rules are prefixes; only wildcard rules pay for a pattern."""
-    return F.when(path == "", False).when(
-        path.rlike(r"\*|\$\z"), F.rlike(target, rule_regex(path))
-    ).otherwise(F.startswith(target, path))
+def compiled_rule(rule: Column) -> Column:
+    """A rule ``line, allow, path`` taken apart at its wildcards.
 
+    ``*`` is any run of characters and a final ``$`` the end.  What a URL must begin with is the
+    ``head``; the ``middle`` pieces follow in order, and a rule that ends with ``$`` has a ``tail``, or is the ``whole`` target
+    where it has no wildcard.
+    """
+    path = rule["path"]
+    anchored = F.endswith(path, F.lit("$"))
+    body = F.when(anchored, F.substr(path, F.lit(1), F.length(path) - 1)).otherwise(path)
+    pieces = F.split(body, r"\*")
+    last = F.when(anchored, F.size(pieces) - 1).otherwise(F.size(pieces))
+    middle = F.filter(F.slice(pieces, F.lit(2), F.greatest(last - 1, F.lit(0))), lambda x: x != "")
+    return F.struct(
+        F.length(path).alias("length"),
+        rule["line"].alias("line"),
+        rule["allow"].alias("allow"),
+        F.element_at(pieces, 1).alias("head"),
+        middle.alias("middle"),
+        F.when(anchored & (F.size(pieces) > 1), F.element_at(pieces, -1)).alias("tail"),
+        (anchored & (F.size(pieces) == 1)).alias("whole"),
+    ).cast(RULE)
+
+
+def rule_matches(target: Column, rule: Column) -> Column:
+    """Whether a compiled rule fits; its pieces are located one behind the other, the earliest place first."""
+
+    def behind(at: Column, piece: Column) -> Column:
+        # Null once a piece is missing: nothing is located from an unknown place on.
+        return F.nullif(F.call_function("locate", piece, target, at), F.lit(0)) + F.length(piece)
+
+    end = F.aggregate(rule["middle"], F.length(rule["head"]) + 1, behind)
+    tail = rule["tail"]
+    ends = F.endswith(target, tail) & (F.length(target) - F.length(tail) + 1 >= end)
+    rest = F.when(F.size(rule["middle"]) > 0, end.isNotNull()).otherwise(F.lit(True)) & F.when(tail.isNull(), True).otherwise(F.coalesce(ends, F.lit(False)))
+    return F.startswith(target, rule["head"]) & F.when(rule["whole"], target == rule["head"]).otherwise(rest)
+
+
+def verdict_of(rule: Column) -> Column:
+    """What ranks matching rules: the longest decides, the first of equals."""
+    return F.struct(rule["length"].alias("length"), (-rule["line"]).alias("first"), rule["allow"].alias("allow"))
+
+
+class RobotsIndex:
+    """Rules ready to be matched, written once and used for any number of URL tables.
+
+    ``few`` has a row per host with its rules as an array, for hosts of up to ``inline_rules``.  The rules of larger
+    hosts are rows of ``many``, found by what a URL must begin with; ``lengths`` has the lengths such beginnings have on a host.
+    """
 
-def allowed_column(url: Column, rules: Column) -> Column:
-    """Longest matching rule decides, the first of equals; no match allows."""
-    target = F.concat(pathname(url), search(url))
-    ranked = F.transform(
-        F.filter(rules, lambda r: rule_matches(target, r["path"])),
-        lambda r: F.struct(
-            F.length(r["path"]).alias("len"), (-r["line"]).alias("first"), r["allow"].alias("allow")
-        ),
+    def __init__(self, groups: DataFrame, inline_rules: int = INLINE_RULES):
+        # An empty path is no rule.
+        rules = F.transform(F.filter("rules", lambda r: r["path"] != ""), compiled_rule)
+        hosts = durable(groups.select("host", rules.alias("rules")))
+        self.few = hosts.where(F.size("rules") <= inline_rules)
+        large = hosts.where(F.size("rules") > inline_rules)
+        self.has_many = not large.isEmpty()
+        if self.has_many:
+            self.many = durable(large.select("host", F.explode("rules").alias("rule")).select("host", F.col("rule.head").alias("head"), "rule"))
+            heads = large.select("host", F.array_distinct(F.transform("rules", lambda r: F.length(r["head"]))).alias("lengths"))
+            self.lengths = durable(heads)
+
+
+def robots_index(groups: DataFrame, inline_rules: int = INLINE_RULES) -> RobotsIndex:
+    return RobotsIndex(groups, inline_rules)
+
+
+def _looked_up(hosted: DataFrame, index: RobotsIndex) -> DataFrame:
+    """``url, found`` of the URLs on large hosts that some rule fits.
+
+    A URL meets the rules that begin as it does, through a join by equality on host and beginning; it costs the
+    beginnings that occur as rule lengths, however many rules the host has.
+    """
+    targets = hosted.select("url", "host", "target").distinct()
+    cut = join_one_per_key(targets, index.lengths, "host", how="inner").select(
+        "url", "host", "target", F.explode(F.filter("lengths", lambda n: n <= F.length("target"))).alias("n")
     )
-    return F.coalesce(F.array_max(ranked)["allow"], F.lit(True))
+    beginnings = cut.withColumn("head", F.substr(F.col("target"), F.lit(1), F.col("n"))).drop("n")
+    met = beginnings.join(index.many, ["host", "head"]).where(rule_matches(F.col("target"), F.col("rule")))
+    return met.groupBy("url").agg(F.max(verdict_of(F.col("rule"))).alias("looked_up"))
 
 
-def robots_allowed(urls: DataFrame, groups: DataFrame, respect: bool = True) -> DataFrame:
+def robots_allowed(urls: DataFrame, groups: DataFrame | RobotsIndex, respect: bool = True) -> DataFrame:
     """Add ``allowed`` to a table with canonical ``url``.
 
-    Rules travel as one row per host, so the join adds one small array to each
-    URL.  A host holding a third of all URLs is split when the join runs.
+    Few rules travel as one row per host, so the join adds one small array to each
+    URL; many are looked up by prefix.  A host holding a third of all URLs is split when the joins run.
     """
     if not respect:
         return urls.withColumn("allowed", F.lit(True))
-    hosted = urls.withColumn("host", host_with_port(F.col("url")))
-    joined = join_one_per_key(hosted, groups.select("host", "rules"), "host")
-    return joined.withColumn("allowed", allowed_column(F.col("url"), F.col("rules"))).drop("rules", "host")
+    index = groups if isinstance(groups, RobotsIndex) else robots_index(groups)
+    url = F.col("url")
+    hosted = urls.withColumn("host", host_with_port(url)).withColumn("target", F.concat(pathname(url), search(url)))
+    joined = join_one_per_key(hosted, index.few, "host")
+    fitting = F.filter("rules", lambda r: rule_matches(F.col("target"), r))
+    joined = joined.withColumn("found", F.array_max(F.transform(fitting, verdict_of)))
+    if index.has_many:
+        joined = join_one_per_key(joined, _looked_up(hosted, index), "url").withColumn("found", F.coalesce("found", "looked_up"))
+    return joined.withColumn("allowed", F.coalesce("found.allow", F.lit(True))).select(*urls.columns, "allowed")
 
 
 def host_delay(hosts: DataFrame, groups: DataFrame, base_ms: int) -> DataFrame:
