@@ -649,8 +649,15 @@ ORACLE["asset_payloads"] = (
 # --- streams ----------------------------------------------------------------------------------------------
 
 ORACLE["stream_dedup"] = Q.with_ctes(LOG, "SELECT DISTINCT url AS canonical FROM log")
-ORACLE["stream_assets"] = Q.with_ctes([*GIVEN, *Q.assets_chain()], "SELECT page_id, page_url, ord, url, type, via FROM assets")
-ORACLE["given_assets"] = ORACLE["stream_assets"]
+ORACLE["stream_assets"] = ORACLE["page_assets"]
+ORACLE["given_assets"] = Q.with_ctes([*GIVEN, *Q.assets_chain()], "SELECT page_id, page_url, ord, url, type, via FROM assets")
+ORACLE["stream_first_seen"] = ORACLE["stream_dedup"]
+ORACLE["stream_first_findings"] = Q.with_ctes(
+    INTEL,
+    f"""SELECT DISTINCT 'email' AS kind, value FROM em UNION SELECT 'phone', value FROM ph UNION SELECT 'endpoint', value FROM ep
+    UNION SELECT 'secret', {_mask('value')} FROM se UNION SELECT 'comment', value FROM cm""",
+)
+ORACLE["stream_crawl_stats"] = ORACLE["crawl_stats"]
 ORACLE["given_meta"] = Q.with_ctes([*GIVEN, *Q.meta_chain()], "SELECT * FROM meta")
 ORACLE["given_forms"] = Q.with_ctes([*GIVEN, *Q.forms_chain()], "SELECT page_id, form_no, action, method, inputs FROM forms")
 ORACLE["stream_records"] = Q.with_ctes(

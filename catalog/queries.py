@@ -23,6 +23,7 @@ from webquarry.sinks import exports as X
 from webquarry.sources import robots as RB
 from webquarry.sources import sitemaps as SM
 from webquarry.sources import snapshots as S
+from webquarry.streaming import counters as CT
 from webquarry.streaming import jobs as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -809,7 +810,8 @@ def stream_links(spark, sf):
 
 @query
 def stream_assets(spark, sf):
-    return ST.drain(ST.arriving_assets(ST.read_stream(spark, sf, _PAGE_SCHEMA, "pages.parquet")))
+    """Pages with assets, in three triggers."""
+    return ST.drain(ST.arriving_assets(ST.arrived(derived(spark, sf, D.MARKET_PAGES), files=3)))
 
 
 @query
@@ -847,3 +849,36 @@ def stream_host_rate(spark, sf):
     )
 
 
+
+
+@query
+def stream_first_seen(spark, sf):
+    """URLs of the fetch log over four triggers: each comes once, whatever lies between its repeats."""
+    log = _log(spark, sf).select("event_id", "url")
+    return ST.drain(ST.first_seen_ever(ST.arrived(log, files=4)).select("canonical"))
+
+
+@query
+def stream_first_findings(spark, sf):
+    """Findings of pages that arrive in three triggers, announced once ever."""
+    pages = _intel(spark, sf).select("page_id", F.col("page_url").alias("url"), "html", F.timestamp_seconds("page_id").alias("ts"))
+    return ST.drain(ST.arriving_findings(ST.arrived(pages, files=3), "ts", None).select("kind", "value"))
+
+
+@query
+def stream_crawl_stats(spark, sf):
+    """Every run counter, kept by one stateful aggregate over seven streams of two triggers or more."""
+    site, start = _site(spark, sf), _start(spark, sf)
+    visits = ST.arrived(FR.expand_frontier(start, site, RUN, _groups(spark, sf)).select("url", "depth", "disposition"), files=2)
+    plan, payloads = _planned(spark, sf)
+    snapshots = ST.arrived(_snapshots(spark, sf), files=2)
+    changed = CT.live_counters(
+        ST.arriving_records(snapshots, CrawlConfig(scope="domain")),
+        L.crawl_errors(ST.arrived(_log(spark, sf), files=3)),
+        A.asset_outcomes(ST.arrived(plan, files=2), payloads),
+        R.findings(ST.arrived(_intel(spark, sf), files=3), masked=False),
+        visits,
+        CT.arriving_link_flags(visits, site, start, RUN),
+        snapshots,
+    )
+    return CT.counters_row(ST.drain(changed, keys=("counter", "value")))

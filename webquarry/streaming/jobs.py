@@ -1,7 +1,7 @@
 """Structured Streaming jobs over snapshots and fetch logs that keep arriving.
 
-Watermarks bound the state.  They are an addition: without one, a stream that
-remembers every URL it ever saw grows for ever.
+Where a delay is given, watermarks bound the state.  What must be remembered for ever, such
+as every URL seen, is state on disk: a trigger touches the keys that arrived, not all of them.
 """
 
 from __future__ import annotations
@@ -18,16 +18,26 @@ from webquarry.operators.fetchlog import is_hard_failure, looks_blocked
 from webquarry.plans import records as RC
 from webquarry.session import new_folder
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ON_DISK = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def read_stream(spark: SparkSession, folder: str, schema: str, glob: str = "*.parquet") -> DataFrame:
+
+def read_stream(spark: SparkSession, folder: str, schema: str, glob: str = "*.parquet", files_per_trigger: int = 1000) -> DataFrame:
     return (
         spark.readStream.schema(schema)
         .option("pathGlobFilter", glob)
-        .option("maxFilesPerTrigger", 1000)
+        .option("maxFilesPerTrigger", files_per_trigger)
         .parquet(folder)
     )
 
 
+def arrived(table: DataFrame, files: int, files_per_trigger: int = 1) -> DataFrame:
+    """A table at rest as a stream: written as ``files`` files that arrive ``files_per_trigger`` at a time."""
+    folder = new_folder(table.sparkSession, "arrived")
+    table.repartition(files).write.parquet(folder)
+    return table.sparkSession.readStream.schema(table.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+
+
 def first_seen_urls(snapshots: DataFrame, time: str, delay: str = "1 hour") -> DataFrame:
     """Canonical URLs as they first appear; repeats inside the watermark are dropped."""
     return (
@@ -40,6 +50,15 @@ def first_seen_urls(snapshots: DataFrame, time: str, delay: str = "1 hour") -> D
     )
 
 
+def first_seen_ever(snapshots: DataFrame) -> DataFrame:
+    """Canonical URLs once, however much later they come again.
+
+    The state holds every URL and lies on disk; see :func:`drain`.
+    """
+    rows = snapshots.withColumn("canonical", canonical_url(F.col("url")))
+    return keep_if(rows, F.col("canonical").isNotNull()).dropDuplicates(["canonical"])
+
+
 def arriving_links(snapshots: DataFrame) -> DataFrame:
     """Links of arriving pages: the batch job, unchanged and without state."""
     return P.page_links(snapshots)
@@ -55,12 +74,15 @@ def arriving_records(snapshots: DataFrame, config: CrawlConfig) -> DataFrame:
     return RC.page_records(snapshots, config)
 
 
-def arriving_findings(snapshots: DataFrame, time: str, delay: str = "1 hour") -> DataFrame:
-    """Distinct findings as they first appear, ``kind, value`` with their page."""
+def arriving_findings(snapshots: DataFrame, time: str, delay: str | None = "1 hour") -> DataFrame:
+    """Distinct findings as they first appear, ``kind, value`` with their page.
+
+    Without a ``delay`` a finding is announced once, ever; the state holds every finding and lies on disk.
+    """
     text = snapshots.withColumn("page_url", canonical_url(F.col("url")))
     found = text.withColumn("findings", R.findings_column(F.col("html")))
     rows = (
-        found.withWatermark(time, delay)
+        (found.withWatermark(time, delay) if delay else found)
         .select(time, "page_url", F.posexplode_outer("findings").alias("ord", "item"))
         .where(F.col("ord").isNotNull())
         .select(time, "page_url", "item.kind", "item.value")
@@ -69,7 +91,7 @@ def arriving_findings(snapshots: DataFrame, time: str, delay: str = "1 hour") ->
         "value",
         F.when(F.col("kind") == "secret", R.mask_secret(F.col("value"))).otherwise(F.col("value")),
     )
-    return masked.dropDuplicatesWithinWatermark(["kind", "value"])
+    return masked.dropDuplicatesWithinWatermark(["kind", "value"]) if delay else masked.dropDuplicates(["kind", "value"])
 
 
 def run_counters(log: DataFrame, time: str, window: str = "1 day", delay: str = "1 hour") -> DataFrame:
@@ -102,24 +124,32 @@ def host_rate(log: DataFrame, time: str, window: str = "1 day", delay: str = "1
     )
 
 
-def drain(stream: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+def drain(stream: DataFrame, keys: tuple[str, ...] = (), folder: str | None = None) -> DataFrame:
     """Run a stream over everything that has arrived and read its output back.
 
-    Output and progress live in the shared folder, so a restarted run goes on
-    where the last one stopped.  With ``keys`` the stream runs in update mode: a
-    trigger adds only the rows it changed, the watermark drops finished state, and
-    the latest row of each key is read.
+    Output, progress and state live below ``folder`` on shared storage, so a run that is given the
+    folder of an earlier one goes on where that one stopped; without one it starts anew.  Every trigger's output is
+    written once: files in append mode are committed with the trigger, and with ``keys`` a trigger that is run
+    again after a failure overwrites its own part.  With ``keys`` the stream runs in update mode: a
+    trigger adds only the rows it changed, and the latest row of each key is read.
     """
     spark = stream.sparkSession
-    out = new_folder(spark, "stream-out")
-    progress = new_folder(spark, "stream-progress")
+    folder = (folder or new_folder(spark, "stream")).rstrip("/")
+    out, progress = f"{folder}/out", f"{folder}/progress"
     if keys:
         writer = stream.writeStream.outputMode("update").foreachBatch(
-            lambda batch, number: batch.withColumn("trigger", F.lit(number)).write.mode("append").parquet(out)
+            lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/trigger={number}")
         )
     else:
         writer = stream.writeStream.outputMode("append").format("parquet").option("path", out)
-    writer.option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+    store = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ON_DISK)
+    try:
+        # A query keeps the settings it was started with.
+        running = writer.option("checkpointLocation", progress).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(STATE_STORE, store)
+    running.awaitTermination()
     if not keys:
         return spark.read.schema(stream.schema).parquet(out)
     rows = spark.read.schema(stream.schema.add("trigger", "long")).parquet(out)
