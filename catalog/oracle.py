@@ -591,6 +591,13 @@ ORACLE["latest_rows"] = Q.with_ctes(
     "SELECT host, event_id, status FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY ts DESC, event_id DESC) AS n FROM log) WHERE n <= 20",
 )
 
+ORACLE["frontier_as_of"] = ORACLE["frontier_bfs"]
+ORACLE["pages_as_of"] = Q.with_ctes(
+    LOG,
+    """SELECT url, event_id AS page_id, status FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY ts DESC, event_id DESC) AS n
+    FROM log WHERE ts <= TIMESTAMP '2024-01-15 00:00:00') WHERE n = 1""",
+)
+
 # --- run accounting -----------------------------------------------------------------------------------
 
 

@@ -562,6 +562,26 @@ def frontier_from_sitemaps(spark, sf):
     return visits.select("url", "depth", "parent", "disposition")
 
 
+@query
+def frontier_as_of(spark, sf):
+    """Three snapshots of every page: an older one, the one that counts, and a later one beyond the date."""
+    site = _site(spark, sf)
+    shots = [
+        site.select("url", F.reverse("links").alias("links"), F.lit("2021-01-01").cast("timestamp").alias("fetched_at")),
+        site.select("url", "links", F.lit("2021-06-01").cast("timestamp").alias("fetched_at")),
+        site.select("url", F.slice("links", 1, 1).alias("links"), F.lit("2022-01-01").cast("timestamp").alias("fetched_at")),
+    ]
+    taken = S.as_of(reduce(DataFrame.union, shots), "2021-12-31")
+    return FR.expand_frontier(_start(spark, sf), taken, RUN, _groups(spark, sf)).select("url", "depth", "parent", "disposition")
+
+
+@query
+def pages_as_of(spark, sf):
+    """The latest fetch of every URL by a date inside the log."""
+    log = _log(spark, sf).select("url", F.col("event_id").alias("page_id"), "status", "html", F.col("ts").cast("timestamp").alias("fetched_at"))
+    return S.as_of(log, "2024-01-15 00:00:00").select("url", "page_id", "status")
+
+
 @query
 def known_links(spark, sf):
     seen = _visits(spark, sf).select("url")

@@ -116,3 +116,103 @@ def test_known_links(spark):
     links = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (3, "b", "x")], "ord int, src_url string, dst_url string")
     seen = spark.createDataFrame([("x",), ("x",), ("z",)], "url string")
     assert sorted(r.ord for r in FR.known_links(links, seen).collect()) == [1, 3]
+
+
+class Stop(Exception):
+    """The driver is gone."""
+
+
+def levels(visits):
+    return {r.url: (r.depth, r.parent, r.disposition, tuple(r.place)) for r in visits.collect()}
+
+
+@pytest.mark.parametrize("point, max_pages", [("next", 0), ("note", 30), ("append", 0)])
+def test_a_stopped_run_goes_on(spark, tmp_path, monkeypatch, point, max_pages):
+    graph = site(90, 11)
+    snapshots = spark.createDataFrame(list(graph.items()), "url string, links array<string>")
+    seeds = spark.createDataFrame([("https://h1.example.com/p/1", 0, None)], "url string, ord int, parent string")
+    groups = spark.createDataFrame([("h0.example.com", [(1, False, "/p/3*")])], "host string, rules array<struct<line:int,allow:boolean,path:string>>")
+    config = CrawlConfig(scope="subdomain", max_pages=max_pages)
+    want = levels(FR.expand_frontier(seeds, snapshots, config, groups))
+    run, calls, after = str(tmp_path / "run"), [], 3
+
+    def stopping(real, counts):
+        def call(*args, **kwargs):
+            if counts(*args):
+                calls.append(point)
+                if len(calls) == after:
+                    if point == "append":
+                        real(*args, **kwargs)
+                    raise Stop
+            return real(*args, **kwargs)
+
+        return call
+
+    with monkeypatch.context() as patch:
+        if point == "next":
+            patch.setattr(FR, "_next_level", stopping(FR._next_level, lambda *a: True))
+        elif point == "note":
+            patch.setattr(FR.RunLog, "done", stopping(FR.RunLog.done, lambda *a: True))
+        else:
+            # The visits of a level are written, its note is not.
+            patch.setattr(FR.UrlTables, "append", stopping(FR.UrlTables.append, lambda self, name, *a: self.paths[name].endswith("visited")))
+        with pytest.raises(Stop):
+            FR.expand_frontier(seeds, snapshots, config, groups, run)
+    noted = len(list((tmp_path / "run/notes").glob("level-*")))
+    assert noted == (3 if point == "next" else 2)
+    counted = []
+    real = FR._following
+    monkeypatch.setattr(FR, "_following", lambda *a: counted.append(a[1]) or real(*a))
+    # Only what the first run had not finished is read again: the snapshots lie in the folder.
+    gone = spark.createDataFrame([], "url string, links array<string>")
+    assert levels(FR.expand_frontier(seeds, gone, config, groups, run)) == want
+    assert counted[0] == noted
+    counted.clear()
+    assert levels(FR.expand_frontier(seeds, gone, config, groups, run)) == want and not counted
+    with pytest.raises(ValueError):
+        FR.expand_frontier(seeds, snapshots, CrawlConfig(scope="all"), groups, run)
+
+
+def test_a_run_leaves_its_visits_only(spark, tmp_path):
+    graph = site(40, 3)
+    snapshots = spark.createDataFrame(list(graph.items()), "url string, links array<string>")
+    seeds = spark.createDataFrame([("https://h1.example.com/p/1", 0, None)], "url string, ord int, parent string")
+    before = set(tmp_path.parent.glob("**/table-*"))
+    FR.expand_frontier(seeds, snapshots, CrawlConfig(scope="all", max_pages=5), None, str(tmp_path / "run"))
+    assert {p.name for p in (tmp_path / "run").iterdir()} == {"notes", "visited"}
+    assert set(tmp_path.parent.glob("**/table-*")) == before
+
+
+def test_several_snapshots_of_a_url_are_one_visit(spark):
+    rng = random.Random(5)
+    graph = site(60, 4)
+    rows = []
+    for url, links in graph.items():
+        stale = [(url, rng.sample(sorted(graph), 3), "2020-01-0%d" % rng.randrange(1, 5)) for _ in range(rng.randrange(3))]
+        rows += [*stale, (url, links, "2020-02-01"), *([(url, ["https://h0.example.com/stale"], None)] if rng.random() < 0.5 else [])]
+    rng.shuffle(rows)
+    table = spark.createDataFrame(rows, "url string, links array<string>, t string").withColumn("fetched_at", F.col("t").cast("timestamp"))
+    seeds = spark.createDataFrame([("https://h1.example.com/p/1", 0, None)], "url string, ord int, parent string")
+    once = spark.createDataFrame(list(graph.items()), "url string, links array<string>")
+    config = CrawlConfig(scope="all")
+    assert levels(FR.expand_frontier(seeds, table.drop("t"), config)) == levels(FR.expand_frontier(seeds, once, config))
+
+
+def test_snapshots_as_of_a_date(spark):
+    from webquarry.sources.snapshots import as_of
+
+    rng = random.Random(2)
+    rows = [(i, f"u{rng.randrange(40)}", rng.choice([None, *range(1, 9)]), f"<p>{rng.randrange(5)}") for i in range(300)] + [(7, "u1", 3, "x")] * 2
+    days = {n: f"2021-03-0{n}" for n in range(1, 9)}
+    table = spark.createDataFrame([(i, u, days.get(d), h) for i, u, d, h in rows], "page_id long, url string, t string, html string").select(
+        "page_id", "url", F.col("t").cast("timestamp").alias("fetched_at"), "html", F.create_map(F.lit("a"), "url").alias("headers")
+    )
+    for cut in (None, 1, 4, 8):
+        want = {}
+        for i, u, d, h in rows:
+            if cut is None or d is None or d <= cut:
+                want[u] = max(want.get(u, (-1, -1)), (d or 0, i))
+        got = as_of(table, days.get(cut)).collect()
+        assert {r.url: (r.fetched_at.day if r.fetched_at else 0, r.page_id) for r in got} == want and len(got) == len(want)
+    single = table.dropDuplicates(["url"])
+    assert as_of(single).count() == 40 and "max_by" not in as_of(single)._jdf.queryExecution().optimizedPlan().toString()

@@ -30,5 +30,7 @@ class CrawlConfig:
     save_pages: bool = False
     extract_intel: bool = False
     audit_security: bool = False
+    #: Snapshots taken later than this timestamp are not looked at; empty for the latest.
+    as_of: str = ""
     extra_secret_patterns: tuple[tuple[str, str], ...] = field(default=())
     extra_tech_signatures: tuple[tuple[str, str], ...] = field(default=())

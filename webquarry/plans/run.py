@@ -18,6 +18,7 @@ from webquarry.session import durable
 from webquarry.sinks.exports import page_mirror, write_json, write_mirror, write_results
 from webquarry.sources import robots as RB
 from webquarry.sources import sitemaps as SM
+from webquarry.sources.snapshots import as_of
 
 
 @dataclass(frozen=True)
@@ -82,14 +83,16 @@ def run_crawl(
     robots: DataFrame | None = None,
     sitemaps: DataFrame | None = None,
     payloads: DataFrame | None = None,
+    folder: str | None = None,
 ) -> CrawlResult:
     """Crawl a corpus of snapshots the way a live crawl would have walked it.
 
-    ``seeds`` has canonical ``url, ord``; ``snapshots`` one row per requested
-    canonical ``url`` in the snapshot schema; ``robots`` is ``host, text``,
+    ``seeds`` has canonical ``url, ord``; ``snapshots`` the snapshot schema with canonical ``url``,
+    of which the latest by ``config.as_of`` counts; ``robots`` is ``host, text``,
     ``sitemaps`` is ``url, xml``, ``payloads`` one row per asset URL.  The HTML is
-    read once; what follows works on the stored analysis.
+    read once; what follows works on the stored analysis.  With a ``folder`` a stopped run finds its frontier again.
     """
+    snapshots = as_of(snapshots, config.as_of or None)
     pages = durable(analysed(snapshots, config))
     nofollow = RC.is_nofollow(F.col("meta.robots_meta"), config.respect_robots)
     none = F.array().cast("array<string>")
@@ -109,7 +112,7 @@ def run_crawl(
             config.scope, config.include_patterns, config.exclude_patterns, seeds=start,
         )
         start = durable(SM.seeds_with_sitemaps(start, listed))
-    visits = FR.expand_frontier(start, site, config, groups)
+    visits = FR.expand_frontier(start, site, config, groups, f"{folder.rstrip('/')}/frontier" if folder else None)
 
     fetched = visits.where(F.col("disposition") == "page").join(pages, "url")
     crawled = durable(fetched)

@@ -70,6 +70,38 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_durable(df: DataFrame) -> None:
+    """Delete a table written by :func:`durable` that nothing reads any more."""
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        delete_path(df.sparkSession, folder)
+
+
+def write_note(spark: SparkSession, path: str, text: str) -> None:
+    """A small file on shared storage that is there whole or not at all."""
+    target, draft = spark._jvm.org.apache.hadoop.fs.Path(path), spark._jvm.org.apache.hadoop.fs.Path(f"{path}.draft")
+    files = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    out = files.create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    files.rename(draft, target)
+
+
+def read_notes(spark: SparkSession, folder: str) -> dict[str, str]:
+    """The notes below a folder by name."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not files.exists(place):
+        return {}
+    notes = {}
+    for status in files.listStatus(place):
+        name = status.getPath().getName()
+        if not name.endswith(".draft"):
+            stream = files.open(status.getPath())
+            notes[name] = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            stream.close()
+    return notes
+
+
 class UrlTables:
     """Tables written to the shared folder, bucketed and sorted by one key.
 
@@ -79,16 +111,16 @@ class UrlTables:
     the catalog entries of those whose rows are the result.
     """
 
-    def __init__(self, spark: SparkSession, key: str):
+    def __init__(self, spark: SparkSession, key: str, buckets: int | None = None):
         self.spark = spark
         self.key = key
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.paths: dict[str, str] = {}
 
-    def new(self) -> str:
+    def new(self, path: str | None = None) -> str:
         """A name for a table and a folder for its files."""
         name = f"webquarry_{uuid.uuid4().hex}"
-        self.paths[name] = new_folder(self.spark, "table")
+        self.paths[name] = path or new_folder(self.spark, "table")
         return name
 
     def append(self, name: str, df: DataFrame, part: str | None = None) -> None:
@@ -98,11 +130,27 @@ class UrlTables:
             writer = writer.partitionBy(part)
         writer.option("path", self.paths[name]).saveAsTable(name)
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def attach(self, path: str, schema: str, part: str | None = None) -> str:
+        """The table an earlier run wrote to ``path`` with as many buckets."""
+        name = self.new(path)
+        parts = f"PARTITIONED BY ({part})" if part else ""
+        self.spark.sql(
+            f"CREATE TABLE {name} ({schema}) USING parquet {parts} CLUSTERED BY ({self.key}) SORTED BY ({self.key}) "
+            f"INTO {self.buckets} BUCKETS LOCATION '{path}'"
+        )
+        if part:
+            self.spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
+        return name
+
+    def write(self, df: DataFrame, path: str | None = None) -> DataFrame:
         """Store ``df``, which should be partitioned by the key already."""
-        name = self.new()
+        return self.spark.table(self.stored(df, path))
+
+    def stored(self, df: DataFrame, path: str | None = None) -> str:
+        """The name of a table that holds ``df``."""
+        name = self.new(path)
         self.append(name, df)
-        return self.spark.table(name)
+        return name
 
     def drop(self, name: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")

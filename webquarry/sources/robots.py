@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from webquarry.functions.expr import explode_items, trim_wide
 from webquarry.functions.urls import host_with_port, pathname, search
 from webquarry.operators.skew import join_one_per_key
-from webquarry.session import durable
+from webquarry.session import drop_durable, durable
 
 
 def robots_lines(robots: DataFrame) -> DataFrame:
@@ -161,7 +161,7 @@ class RobotsIndex:
     def __init__(self, groups: DataFrame, inline_rules: int = INLINE_RULES):
         # An empty path is no rule.
         rules = F.transform(F.filter("rules", lambda r: r["path"] != ""), compiled_rule)
-        hosts = durable(groups.select("host", rules.alias("rules")))
+        self.hosts = hosts = durable(groups.select("host", rules.alias("rules")))
         self.few = hosts.where(F.size("rules") <= inline_rules)
         large = hosts.where(F.size("rules") > inline_rules)
         self.has_many = not large.isEmpty()
@@ -170,6 +170,11 @@ class RobotsIndex:
             heads = large.select("host", F.array_distinct(F.transform("rules", lambda r: F.length(r["head"]))).alias("lengths"))
             self.lengths = durable(heads)
 
+    def drop(self) -> None:
+        """Delete the tables; what was decided with them must be stored by then."""
+        for table in [self.hosts, *([self.many, self.lengths] if self.has_many else [])]:
+            drop_durable(table)
+
 
 def robots_index(groups: DataFrame, inline_rules: int = INLINE_RULES) -> RobotsIndex:
     return RobotsIndex(groups, inline_rules)

@@ -42,6 +42,20 @@ def scan_pages(spark: SparkSession, path: str) -> DataFrame:
     return as_snapshots(read_table(spark, path))
 
 
+def as_of(snapshots: DataFrame, at: str | None = None, time: str = "fetched_at") -> DataFrame:
+    """One snapshot per URL: the latest that was taken by ``at``, or the latest of all.
+
+    An unknown time counts as the earliest; of equal times the greatest page id counts, then the
+    greatest hash of the page.  Urls and times alone tell whether any URL has several; only then do pages move.
+    """
+    given = snapshots if at is None else snapshots.where(F.col(time).isNull() | (F.col(time) <= F.lit(at).cast("timestamp")))
+    if given.groupBy("url").count().where("count > 1").isEmpty():
+        return given
+    order = [F.col(time), *[F.col(c) for c in ("page_id",) if c in given.columns], *[F.xxhash64(c) for c in ("html",) if c in given.columns]]
+    whole = F.struct(*[F.col(f"`{c}`") for c in given.columns])
+    return given.groupBy("url").agg(F.max_by(whole, F.struct(*order)).alias("chosen")).select("chosen.*")
+
+
 def is_html(content_type: Column) -> Column:
     """Whether a page of this type is parsed: an HTML-like or missing one."""
     ctype = F.coalesce(content_type, F.lit(""))
