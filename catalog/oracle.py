@@ -637,10 +637,22 @@ ORACLE["sink_assets_index"] = Q.with_ctes([*PLAN, _outcomes(0)], "SELECT url, ty
 ORACLE["sink_intel"] = Q.with_ctes(ALL_FINDINGS, "SELECT kind, value, page_url FROM fi")
 ORACLE["sink_security"] = ORACLE["security_audit"]
 ORACLE["sink_ndjson"] = Q.with_ctes(RECORDS, "SELECT page_id, url, title, nlinks AS links FROM records")
-ORACLE["sink_full_export"] = (
-    f"SELECT 'pages' AS part, count(*) AS n FROM ({ORACLE['page_records']}) UNION ALL SELECT 'errors', count(*) FROM ({ORACLE['crawl_errors']}) "
-    f"UNION ALL SELECT 'findings', count(*) FROM ({ORACLE['run_caps']}) UNION ALL SELECT 'assets', count(*) FROM ({ORACLE['asset_outcomes']})"
+def _exported(part: str, rows: str, *columns: str) -> str:
+    content = " || '|' || ".join(f"coalesce(({c})::VARCHAR, '')" for c in columns)
+    return f"SELECT '{part}' AS part, {content} AS content FROM ({rows})"
+
+
+ORACLE["sink_full_export"] = " UNION ALL ".join(
+    [
+        _exported("pages", Q.with_ctes(RECORDS, "SELECT * FROM records"), "page_id", "url", '"finalUrl"', "status", "depth", "bytes", '"renderedWith"', "title", "nlinks", "nassets", "forms"),
+        _exported("errors", ORACLE["crawl_errors"], "url", "message", "depth"),
+        _exported("findings", ORACLE["run_caps"], "kind", "subtype", "value", "page_url"),
+        _exported("assets", Q.with_ctes([*PLAN, _outcomes(0)], "SELECT * FROM outc"), "url", "type", "status", "reason", "bytes"),
+    ]
 )
+ORACLE["sink_crawl_data"] = ORACLE["page_records"]
+ORACLE["sink_summary"] = ORACLE["run_summary"]
+ORACLE["sink_mirror"] = f"SELECT page_id, host, path, md5(html) AS digest FROM ({ORACLE['page_mirror']}) JOIN (SELECT page_id, html FROM pages) USING (page_id)"
 ORACLE["sink_csv"] = ORACLE["csv_rows"]
 ORACLE["json_text"] = Q.with_ctes(
     RECORDS, """SELECT page_id, '{"url":"' || url || '","depth":' || depth || ',"bytes":' || bytes || '}' AS text FROM records"""

@@ -94,7 +94,7 @@ def sitemap_candidates(spark, sf):
 @query
 def sitemap_urls(spark, sf):
     lines = RB.robots_lines(derived(spark, sf, D.ROBOTS))
-    candidates = SM.sitemap_candidates(derived(spark, sf, D.SEEDS), RB.robots_sitemaps(lines))
+    candidates = SM.sitemap_candidates(SM.first_per_host(derived(spark, sf, D.SEEDS)), RB.robots_sitemaps(lines))
     return SM.sitemap_urls(
         candidates, derived(spark, sf, D.SITEMAPS), first_seed=SEED, scope="subdomain"
     ).select("seed_no", "url", "parent")
@@ -289,7 +289,11 @@ def _records(spark, sf, **options):
 
 @query
 def page_records(spark, sf):
-    return _records(spark, sf, extract_intel=True, audit_security=True).select(
+    return _flat(_records(spark, sf, extract_intel=True, audit_security=True))
+
+
+def _flat(records):
+    return records.select(
         "page_id",
         "url",
         "finalUrl",
@@ -555,7 +559,7 @@ def page_budget(spark, sf):
 @query
 def frontier_from_sitemaps(spark, sf):
     lines = RB.robots_lines(derived(spark, sf, D.ROBOTS))
-    candidates = SM.sitemap_candidates(derived(spark, sf, D.SEEDS), RB.robots_sitemaps(lines))
+    candidates = SM.sitemap_candidates(SM.first_per_host(derived(spark, sf, D.SEEDS)), RB.robots_sitemaps(lines))
     listed = SM.sitemap_urls(candidates, derived(spark, sf, D.SITEMAPS), SEED, "subdomain", seeds=_start(spark, sf))
     start = SM.seeds_with_sitemaps(_start(spark, sf), listed)
     visits = FR.expand_frontier(start, _site(spark, sf), RUN, RB.robots_groups(lines, AGENT))
@@ -786,18 +790,52 @@ def sink_csv(spark, sf):
     return _read_back(spark, rows, X.write_csv, read)
 
 
+#: The parts of a full export, and the columns of each that are read back.
+_EXPORTED = {
+    "pages": ("page_id", "url", "finalUrl", "status", "depth", "bytes", "renderedWith", "meta.title", "size(links)", "size(assets)", "size(forms)"),
+    "errors": ("url", "message", "depth"),
+    "findings": ("kind", "subtype", "value", "page_url"),
+    "assets": ("url", "type", "status", "reason", "bytes"),
+}
+
+
 @query
 def sink_full_export(spark, sf):
+    """What the export wrote, row by row, with every column as text."""
     path = new_folder(spark, "sink")
     plan, payloads = _planned(spark, sf)
-    others = {
+    tables = {
+        "pages": _records(spark, sf),
         "errors": L.crawl_errors(_log(spark, sf)),
         "findings": R.run_findings(_findings(spark, sf)),
         "assets": A.asset_outcomes(plan, payloads),
     }
-    X.export(_records(spark, sf), path, "json", others)
-    counts = [spark.read.text(f"{path}/{part}").agg(F.lit(part).alias("part"), F.count("*").alias("n")) for part in ("pages", *others)]
-    return reduce(DataFrame.unionByName, counts)
+    X.export(tables["pages"], path, "json", {k: v for k, v in tables.items() if k != "pages"})
+    parts = []
+    for part, columns in _EXPORTED.items():
+        rows = spark.read.schema(tables[part].schema).json(f"{path}/{part}")
+        texts = [F.coalesce(F.expr(c).cast("string"), F.lit("")) for c in columns]
+        parts.append(rows.select(F.lit(part).alias("part"), F.concat_ws("|", *texts).alias("content")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def sink_crawl_data(spark, sf):
+    """Page records as nested JSON, read back whole."""
+    return _flat(_read_back(spark, _records(spark, sf, extract_intel=True, audit_security=True), X.write_json))
+
+
+@query
+def sink_summary(spark, sf):
+    return _read_back(spark, run_summary(spark, sf), X.write_json)
+
+
+@query
+def sink_mirror(spark, sf):
+    """The mirror as written: every page under its host and path."""
+    path = new_folder(spark, "sink")
+    X.write_mirror(X.page_mirror(S.scan_pages(spark, f"{sf}/pages.parquet")), path)
+    return X.read_mirror(spark, path).select("page_id", "host", "path", F.md5("html").alias("digest"))
 
 
 @query

@@ -129,6 +129,32 @@ def test_results_are_written(spark, sf, tmp_path):
     assert spark.read.parquet(str(tmp_path / "mirror")).where("host = 'h.com'").count() == 2
 
 
+def test_a_mirror_has_files_by_size_not_by_host(spark, tmp_path):
+    pages = spark.range(3000).selectExpr(
+        "id AS page_id", "CASE WHEN id % 3 = 0 THEN 'hot.com' ELSE concat('h', id, '.com') END AS host", "concat('pages/', id) AS path", "repeat('x', 50) AS html"
+    )
+    path = str(tmp_path / "mirror")
+    X.write_mirror(pages, path)
+    files = list(Path(path).rglob("*.parquet"))
+    assert len(files) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert X.read_mirror(spark, path).exceptAll(pages).count() == 0 and X.read_mirror(spark, path).count() == 3000
+    assert X.read_mirror(spark, path, "hot.com").count() == 1000
+    one = X.read_mirror(spark, path, "h7.com", "pages/7")
+    assert one.first()["html"] == "x" * 50
+    # The ranges of hosts in the files do not overlap but at their ends.
+    spans = sorted((r.low, r.high) for r in spark.read.parquet(path).groupBy(F.input_file_name()).agg(F.min("host").alias("low"), F.max("host").alias("high")).collect())
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_a_failed_mirror_leaves_no_files(spark, tmp_path):
+    pages = spark.range(100).selectExpr("id AS page_id", "'h.com' AS host", "concat('p', id) AS path", "CAST(raise_error(concat('lost ', id)) AS string) AS html")
+    try:
+        X.write_mirror(pages, str(tmp_path / "mirror"))
+    except Exception as error:
+        assert "lost" in str(error)
+    assert not list((tmp_path / "mirror").rglob("*.parquet"))
+
+
 def test_nothing_found_writes_nothing(spark, tmp_path):
     empty = spark.createDataFrame([], "kind string, value string")
     assert not X.write_intel(empty, str(tmp_path / "i")) and not (tmp_path / "i").exists()

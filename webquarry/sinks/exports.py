@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webquarry.functions.files import mirror_path
@@ -38,14 +38,22 @@ def page_mirror(pages: DataFrame) -> DataFrame:
     )
 
 
-def write_mirror(mirror: DataFrame, path: str, salts: int = 16) -> None:
-    """Rows of :func:`page_mirror` as a table partitioned by host.
+def write_mirror(mirror: DataFrame, path: str) -> None:
+    """Rows of :func:`page_mirror` as one table in the order of host and path.
 
-    Rows of one host are spread over ``salts`` tasks, so neither the write of a
-    huge host sits in one task nor does every task open every host.
+    The files are ranges of that order: as many as the data fills partitions of the size Spark is set to, however many
+    hosts there are.  A huge host spans several files, small ones share one, and the ranges in
+    the file footers lead a reader of a host to its files.  A file counts once the write is committed; failed tasks leave none.
     """
-    spread = F.pmod(F.xxhash64("path"), F.lit(salts))
-    mirror.repartition("host", spread).write.mode("overwrite").partitionBy("host").parquet(path)
+    mirror.repartitionByRange("host", "path").sortWithinPartitions("host", "path").write.mode("overwrite").parquet(path)
+
+
+def read_mirror(spark: SparkSession, path: str, host: str | None = None, page: str | None = None) -> DataFrame:
+    """The mirrored pages, of one host or one path if given; other files are skipped by their ranges."""
+    rows = spark.read.parquet(path)
+    if host is not None:
+        rows = rows.where(F.col("host") == host)
+    return rows if page is None else rows.where(F.col("path") == page)
 
 
 def write_intel(findings: DataFrame, path: str) -> bool:
