@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from webquarry.functions.expr import distinct_by_first, let
 
 _ATTR = r"""[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+"""
+#: A name and, where it has one, its value with the quotes.
+_PAIR = r"""[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+"""
 _ATTRS = rf"(?:[\s/]++|{_ATTR})*+"
 _RAW_ELEMENTS = "script|style|title|textarea|iframe|xmp|noembed|noframes"
 _END_OF_NAME = r"(?=[\s/>])"
@@ -66,22 +68,26 @@ def tag_name(token: Column) -> Column:
     return F.lower(F.regexp_extract(token, r"\A<(/?[A-Za-z][^\s/>]*)", 1))
 
 
-def tags_of(found: Column) -> Column:
-    """Tokens as ``array<struct<name,text>>``; raw-text elements lose their text."""
+def tags_of(found: Column, read: tuple[str, ...] = ()) -> Column:
+    """Tokens as ``array<struct<name,text,attrs>>``; raw-text elements lose their text.
+
+    ``attrs`` has the attributes of the tags named by ``read`` and of those that may have a style, decoded once
+    for everything that looks them up.
+    """
 
     def tag(token: Column) -> Column:
-        return let(
-            tag_name(token),
-            lambda name: F.struct(
-                name.alias("name"),
-                F.when(
-                    name.isin(*_RAW_ELEMENTS.split("|")),
-                    F.regexp_extract(token, _START_TAG, 0),
-                )
-                .otherwise(token)
-                .alias("text"),
-            ),
-        )
+        def named(name: Column) -> Column:
+            text = F.when(name.isin(*_RAW_ELEMENTS.split("|")), F.regexp_extract(token, _START_TAG, 0)).otherwise(token)
+
+            def whole(t: Column) -> Column:
+                wanted = F.contains(t, F.lit("=")) & (name.isin(*read) | F.contains(F.lower(t), F.lit("style")))
+                none = F.array().cast("array<struct<name:string,value:string>>")
+                attrs = F.when(wanted, attribute_list(t)).otherwise(none) if read else none
+                return F.struct(name.alias("name"), t.alias("text"), attrs.alias("attrs"))
+
+            return let(text, whole)
+
+        return let(tag_name(token), named)
 
     return F.transform(found, tag)
 
@@ -156,34 +162,28 @@ def _unquote(value: Column) -> Column:
     ).otherwise(value)
 
 
-def attribute(tag: Column, name: str) -> Column:
-    """Value of a tag's first attribute of that name, '' when missing or empty."""
-    pattern = (
-        rf"""(?i)\A<[a-z][^\s/>]*+(?:[\s/]++|(?!{name}(?:[\s/>=]|\z)){_ATTR})*+"""
-        rf"""{name}\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)"""
-    )
-    return let(F.regexp_extract(tag, pattern, 1), lambda v: decode_references(_unquote(v)))
+def attribute_list(tag: Column) -> Column:
+    """All attributes of a start tag in order as ``array<struct<name,value>>``, references decoded."""
+
+    def pairs(body: Column) -> Column:
+        return F.zip_with(
+            F.regexp_extract_all(body, F.lit(_PAIR), F.lit(1)),
+            F.regexp_extract_all(body, F.lit(_PAIR), F.lit(2)),
+            lambda name, value: F.struct(F.lower(name).alias("name"), decode_references(_unquote(value)).alias("value")),
+        )
 
+    return let(F.regexp_extract(tag, r"(?s)\A<[A-Za-z][^\s/>]*(.*)>\z", 1), pairs)
+
+
+def value_of(attrs: Column, name: str) -> Column:
+    """Value of the first attribute of that name, '' when missing or empty."""
+    return F.coalesce(F.get(F.filter(attrs, lambda a: a["name"] == name), F.lit(0))["value"], F.lit(""))
 
-def has_attribute(tag: Column, name: str) -> Column:
-    return tag.rlike(
-        rf"(?i)\A<[a-z][^\s/>]*+(?:[\s/]++|(?!{name}(?:[\s/>=]|\z)){_ATTR})*+{name}(?:[\s/>=])"
-    )
+
+def has_attribute(attrs: Column, name: str) -> Column:
+    return F.exists(attrs, lambda a: a["name"] == name)
 
 
 def attributes(tag: Column) -> Column:
     """All attributes as ``array<struct<name,value>>``, the first of each name."""
-    pairs = F.transform(
-        F.regexp_extract_all(
-            F.regexp_extract(tag, r"(?s)\A<[A-Za-z][^\s/>]*(.*)>\z", 1),
-            F.lit(rf"[\s/]*+({_ATTR})"),
-            F.lit(1),
-        ),
-        lambda token: F.struct(
-            F.lower(F.regexp_extract(token, r"\A[^\s/>][^\s/>=]*", 0)).alias("name"),
-            decode_references(
-                _unquote(F.regexp_extract(token, r"(?s)\A[^\s/>][^\s/>=]*\s*=\s*(.*)\z", 1))
-            ).alias("value"),
-        ),
-    )
-    return distinct_by_first(pairs, "name", ["name", "value"])
+    return distinct_by_first(attribute_list(tag), "name", ["name", "value"])

@@ -16,6 +16,7 @@ from webquarry.functions.expr import distinct_by_first, explode_items, let, trim
 from webquarry.functions.urls import base_parts, canonical_against, canonical_url, category
 
 _CONTROL = r"(?is)<(?:input|select|textarea|button)(?=[\s/>])" + M._ATTRS + ">"
+_FORM_TAG = r"(?is)\A<form(?=[\s/>])" + M._ATTRS + ">"
 _FORM = (
     r"(?is)<form(?=[\s/>])" + M._ATTRS + r">.*?(?:</form(?=[\s/>])[^>]*+>|\z)"
 )
@@ -25,6 +26,8 @@ def _named(tags: Column, *names: str) -> Column:
     return F.filter(tags, lambda t: t["name"].isin(*names))
 
 
+# Start tags whose attributes some part of a page looks up; forms read theirs from the cut-out text.
+_READ = ("a", "iframe", "frame", "base", "img", "source", "video", "audio", "link", "script", "meta", "html")
 # Start tags each part of a page needs; an asset can sit in any tag's style attribute.
 _NEEDED = {
     "links": ("a", "frame"),
@@ -48,16 +51,16 @@ def page_tags(pages: DataFrame, names: tuple[str, ...] = ()) -> DataFrame:
     read = pages.withColumns({"page_url": page_url, "tokens": M.tokens(F.col("html"), names)})
     first_base = F.get(
         F.filter(
-            F.col("tags"), lambda t: (t["name"] == "base") & M.has_attribute(t["text"], "href")
+            F.col("tags"), lambda t: (t["name"] == "base") & M.has_attribute(t["attrs"], "href")
         ),
         F.lit(0),
-    )["text"]
-    return read.withColumn("tags", M.tags_of(F.col("tokens"))).withColumn(
+    )["attrs"]
+    return read.withColumn("tags", M.tags_of(F.col("tokens"), _READ)).withColumn(
         "base",
         F.coalesce(
             F.when(
                 F.exists(F.col("tags"), lambda t: t["name"] == "base"),
-                canonical_url(M.attribute(first_base, "href"), F.col("page_url")),
+                canonical_url(M.value_of(first_base, "href"), F.col("page_url")),
             ),
             F.col("page_url"),
         ),
@@ -76,8 +79,8 @@ def _canonical_all(values: Column, base: Column) -> Column:
 
 def links_column(tags: Column, base: Column) -> Column:
     """Distinct link targets: anchors first, then frames, each in document order."""
-    anchors = F.transform(_named(tags, "a"), lambda t: M.attribute(t["text"], "href"))
-    frames = F.transform(_named(tags, "iframe", "frame"), lambda t: M.attribute(t["text"], "src"))
+    anchors = F.transform(_named(tags, "a"), lambda t: M.value_of(t["attrs"], "href"))
+    frames = F.transform(_named(tags, "iframe", "frame"), lambda t: M.value_of(t["attrs"], "src"))
     return F.array_distinct(_canonical_all(F.concat(anchors, frames), base))
 
 
@@ -114,35 +117,35 @@ def asset_candidates(tags: Column, tokens: Column) -> Column:
     """Raw asset references of a page in rule order, then document order."""
 
     def image(t: Column) -> Column:
-        text = t["text"]
+        attrs = t["attrs"]
         single = [
-            _candidate(M.attribute(text, a), a, "images", None)
+            _candidate(M.value_of(attrs, a), a, "images", None)
             for a in ("src", "data-src", "data-original", "data-lazy-src")
         ]
         sets = [
-            _candidates(srcset_candidates(M.attribute(text, a)), "srcset", "images", None)
+            _candidates(srcset_candidates(M.value_of(attrs, a)), "srcset", "images", None)
             for a in ("srcset", "data-srcset")
         ]
         return F.concat(F.array(*single), *sets)
 
     def source(t: Column) -> Column:
-        text = t["text"]
+        attrs = t["attrs"]
         return F.concat(
-            _candidates(srcset_candidates(M.attribute(text, "srcset")), "srcset", "images", None),
-            F.array(_candidate(M.attribute(text, "src"), "source", None, "media")),
+            _candidates(srcset_candidates(M.value_of(attrs, "srcset")), "srcset", "images", None),
+            F.array(_candidate(M.value_of(attrs, "src"), "source", None, "media")),
         )
 
     def player(t: Column) -> Column:
         return F.array(
-            _candidate(M.attribute(t["text"], "src"), "src", "media", None),
-            _candidate(M.attribute(t["text"], "poster"), "poster", "images", None),
+            _candidate(M.value_of(t["attrs"], "src"), "src", "media", None),
+            _candidate(M.value_of(t["attrs"], "poster"), "poster", "images", None),
         )
 
     def linked(t: Column) -> Column:
         def typed(rel: Column) -> Column:
             early = rel.contains("preload") | rel.contains("prefetch")
             return F.struct(
-                M.attribute(t["text"], "href").alias("raw"),
+                M.value_of(t["attrs"], "href").alias("raw"),
                 F.lit("link").alias("via"),
                 F.when(rel.contains("stylesheet"), "styles")
                 .when(rel.contains("icon"), "images")
@@ -150,14 +153,14 @@ def asset_candidates(tags: Column, tokens: Column) -> Column:
                 F.when(early, "other").alias("fallback"),
             )
 
-        return let(F.lower(M.attribute(t["text"], "rel")), typed)
+        return let(F.lower(M.value_of(t["attrs"], "rel")), typed)
 
     anchors = F.transform(
-        _named(tags, "a"), lambda t: _candidate(M.attribute(t["text"], "href"), "a", None, None)
+        _named(tags, "a"), lambda t: _candidate(M.value_of(t["attrs"], "href"), "a", None, None)
     )
     scripts = F.transform(
         _named(tags, "script"),
-        lambda t: _candidate(M.attribute(t["text"], "src"), "script", "scripts", None),
+        lambda t: _candidate(M.value_of(t["attrs"], "src"), "script", "scripts", None),
     )
     sheets = F.flatten(
         F.transform(M.texts_of(tokens, "style"), css_urls_column)
@@ -165,7 +168,7 @@ def asset_candidates(tags: Column, tokens: Column) -> Column:
     inline = F.flatten(
         F.transform(
             F.filter(tags, lambda t: F.contains(F.lower(t["text"]), F.lit("style"))),
-            lambda t: css_urls_column(M.attribute(t["text"], "style")),
+            lambda t: css_urls_column(M.value_of(t["attrs"], "style")),
         )
     )
     return F.concat(
@@ -207,10 +210,10 @@ def meta_column(tags: Column, tokens: Column, base: Column) -> Column:
     metas = F.transform(
         _named(tags, "meta"),
         lambda t: F.struct(
-            M.attribute(t["text"], "name").alias("name"),
-            M.attribute(t["text"], "property").alias("property"),
-            M.attribute(t["text"], "content").alias("content"),
-            M.attribute(t["text"], "charset").alias("charset"),
+            M.value_of(t["attrs"], "name").alias("name"),
+            M.value_of(t["attrs"], "property").alias("property"),
+            M.value_of(t["attrs"], "content").alias("content"),
+            M.value_of(t["attrs"], "charset").alias("charset"),
         ),
     )
 
@@ -229,18 +232,18 @@ def meta_column(tags: Column, tokens: Column, base: Column) -> Column:
         canonical = F.get(
             F.filter(
                 _named(tags, "link"),
-                lambda t: F.lower(M.attribute(t["text"], "rel")) == "canonical",
+                lambda t: F.lower(M.value_of(t["attrs"], "rel")) == "canonical",
             ),
             F.lit(0),
-        )["text"]
-        root = F.get(_named(tags, "html"), F.lit(0))["text"]
+        )["attrs"]
+        root = F.get(_named(tags, "html"), F.lit(0))["attrs"]
         return F.struct(
             trim_wide(F.coalesce(M.decode_references(title, False), F.lit(""))).alias("title"),
             F.coalesce(
                 F.nullif(named("description"), F.lit("")), prop("og:description")
             ).alias("description"),
-            canonical_url(M.attribute(canonical, "href"), base).alias("canonical"),
-            trim_wide(F.coalesce(M.attribute(root, "lang"), F.lit(""))).alias("lang"),
+            canonical_url(M.value_of(canonical, "href"), base).alias("canonical"),
+            trim_wide(F.coalesce(M.value_of(root, "lang"), F.lit(""))).alias("lang"),
             prop("og:title").alias("og_title"),
             prop("og:type").alias("og_type"),
             prop("og:image").alias("og_image"),
@@ -256,27 +259,26 @@ def forms_column(tags: Column, base: Column) -> Column:
     """Forms with their named controls."""
 
     def control(tag: Column) -> Column:
-        return F.struct(
-            M.attribute(tag, "name").alias("name"),
-            F.lower(
-                F.coalesce(F.nullif(M.attribute(tag, "type"), F.lit("")), M.tag_name(tag))
-            ).alias("type"),
-        )
+        def read(attrs: Column) -> Column:
+            kind = F.coalesce(F.nullif(M.value_of(attrs, "type"), F.lit("")), M.tag_name(tag))
+            return F.struct(M.value_of(attrs, "name").alias("name"), F.lower(kind).alias("type"))
+
+        return let(M.attribute_list(tag), read)
 
     def form(block: Column, parts: Column) -> Column:
-        action = M.attribute(block, "action")
-        return F.struct(
-            F.when(action == "", base)
-            .otherwise(F.coalesce(canonical_against(action, parts), action))
-            .alias("action"),
-            F.lower(
-                F.coalesce(F.nullif(M.attribute(block, "method"), F.lit("")), F.lit("get"))
-            ).alias("method"),
-            F.filter(
-                F.transform(F.regexp_extract_all(block, F.lit(_CONTROL), F.lit(0)), control),
-                lambda c: c["name"] != "",
-            ).alias("inputs"),
-        )
+        controls = F.transform(F.regexp_extract_all(block, F.lit(_CONTROL), F.lit(0)), control)
+
+        def read(attrs: Column) -> Column:
+            def build(action: Column) -> Column:
+                return F.struct(
+                    F.when(action == "", base).otherwise(F.coalesce(canonical_against(action, parts), action)).alias("action"),
+                    F.lower(F.coalesce(F.nullif(M.value_of(attrs, "method"), F.lit("")), F.lit("get"))).alias("method"),
+                    F.filter(controls, lambda c: c["name"] != "").alias("inputs"),
+                )
+
+            return let(M.value_of(attrs, "action"), build)
+
+        return let(M.attribute_list(F.regexp_extract(block, _FORM_TAG, 0)), read)
 
     # Form tags and controls alone, in document order, are a small text to cut up.
     related = _named(tags, "form", "/form", "input", "select", "textarea", "button")
@@ -343,8 +345,8 @@ def srcset_urls(pages: DataFrame) -> DataFrame:
         F.transform(
             _named(F.col("tags"), "img", "source"),
             lambda t: F.concat(
-                srcset_candidates(M.attribute(t["text"], "srcset")),
-                srcset_candidates(M.attribute(t["text"], "data-srcset")),
+                srcset_candidates(M.value_of(t["attrs"], "srcset")),
+                srcset_candidates(M.value_of(t["attrs"], "data-srcset")),
             ),
         )
     )
@@ -358,7 +360,7 @@ def css_urls(pages: DataFrame) -> DataFrame:
     """Resolved CSS ``url()`` references: style blocks, then style attributes."""
     blocks = F.flatten(F.transform(M.texts_of(F.col("tokens"), "style"), css_urls_column))
     inline = F.flatten(
-        F.transform(F.col("tags"), lambda t: css_urls_column(M.attribute(t["text"], "style")))
+        F.transform(F.col("tags"), lambda t: css_urls_column(M.value_of(t["attrs"], "style")))
     )
     found = page_tags(pages).withColumn(
         "urls", _canonical_all(F.concat(blocks, inline), F.col("base"))
