@@ -127,6 +127,40 @@ def test_trackers_and_patterns(spark):
         assert one(spark, U.passes_patterns(F.lit(url), include, exclude)) is want
 
 
+def test_international_hosts(spark):
+    for raw, want in [
+        ("stra\u00dfe.de", "xn--strae-oqa.de"),
+        ("fa\u00df.de", "xn--fa-hia.de"),
+        ("STRA\u00dfE.de", "xn--strae-oqa.de"),
+        ("\uff25\uff58\uff41\uff4d\uff50\uff4c\uff45\uff0e\uff43\uff4f\uff4d", "example.com"),
+        ("\uff11\uff12\uff17.0.0.1", "127.0.0.1"),
+        ("\u65e5\u672c\u8a9e\u3002jp", "xn--wgv71a119e.jp"),
+        ("\U0001f600.com", "xn--e28h.com"),
+        ("\u03b2\u03cc\u03bb\u03bf\u03c2.com", "xn--nxasmm1c.com"),
+        ("\u0dc1\u0dca\u200d\u0dbb\u0dd3.com", "xn--10cl1a0b660p.com"),
+        ("\u0646\u0627\u0645\u0647\u200c\u0627\u06cc.com", "xn--mgba3gch31f060k.com"),
+        ("ex\u00adample.com", "example.com"),
+        ("\ufb01sh.com", "fish.com"),
+        ("u\u0308ber.de", "xn--ber-goa.de"),
+        ("a\u200db.com", None),
+        ("a\u200cb.com", None),
+        ("\ue000.com", None),
+    ]:
+        assert one(spark, U.canonical_url(F.lit(f"http://{raw}/a"))) == (want and f"http://{want}/a"), raw
+
+
+def test_punycode_against_the_standard_codec(spark):
+    import random
+
+    from webquarry.functions.idn import punycode
+
+    rng = random.Random(1)
+    signs = "abc-9\u00fc\u00df\u00e9\u00f1\u65e5\u672c\u8a9e\ud55c\uae00\u0414\u0416\U0001f600\U0001f4a9\u0627\u0628\u03c2\U0010fffd\u0080"
+    labels = ["".join(rng.choice(signs) for _ in range(rng.randrange(1, 60))) for _ in range(500)]
+    rows = spark.createDataFrame([(x,) for x in labels], "label string").select("label", punycode(F.col("label")).alias("code")).collect()
+    assert all(r.code == r.label.encode("punycode").decode() for r in rows)
+
+
 def test_one_spelling_per_host(spark):
     for raw, want in [
         ("http://M\u00fcnchen.example/a", "http://xn--mnchen-3ya.example/a"),

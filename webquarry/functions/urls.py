@@ -19,6 +19,7 @@ from webquarry.fixed_values import (
     TWO_LABEL_SUFFIXES,
 )
 from webquarry.functions.expr import escape_regex, let, trim_wide
+from webquarry.functions.idn import ascii_name
 
 _SEGMENTS = r"(?:/(?:[0-9A-Za-z_~!$&()*+,;=:@-][0-9A-Za-z_.~!$&()*+,;=:@-]*+)?+)"
 _QUERY = r"(?:\?[0-9A-Za-z_.~!$&()*+,;=:@%/?-]*+)?+"
@@ -188,12 +189,8 @@ def _ipv4(host: Column) -> Column:
 
 def _canonical_host(host: Column) -> Column:
     """The one spelling of a lower-case host; empty for a host that is not valid."""
-    ascii_name = F.lower(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), host))
-    return (
-        F.when(host.rlike(r"[^\x00-\x7f]"), F.coalesce(ascii_name, F.lit("")))
-        .when(host.rlike(_IPV4), F.coalesce(_ipv4(host), F.lit("")))
-        .otherwise(host)
-    )
+    name = F.when(host.rlike(r"[^\x00-\x7f]"), F.coalesce(ascii_name(host), F.lit(""))).otherwise(host)
+    return let(name, lambda n: F.when(n.rlike(_IPV4), F.coalesce(_ipv4(n), F.lit(""))).otherwise(n))
 
 
 def _serialize(u: Column) -> Column:
