@@ -136,3 +136,147 @@ def test_layout_classes_do_not_drop_the_page():
     answers = "".join(f'<article class="comment"><p>Answer {i}, and a good deal more to read than before.</p></article>' for i in range(30))
     got = html.main_text(f'<body><div class="post">{text}</div><div id="comments">{answers}</div></body>')
     assert "Sentence number 7" in got and "Answer" not in got
+
+
+def test_deep_pages_are_linear():
+    n = 100_000
+    assert html.main_text("<div>" * n + "text here." + "</div>" * n) == "text here."
+    assert html.main_text("<article>" + "".join(f"<div>t{i}, and." for i in range(n))).count("\n") == n - 1
+    assert html.main_text("<div class='sidebar'>" * n + "lone words") == "lone words"
+    assert html.main_text("<ul><li>" + "<div>" * n + "<li>q</li>" * n).count("q") == n
+    assert html.main_text("</x>" * n + "<i>" * n + "</i>" * n + "end") == "end"
+
+
+def test_a_box_of_articles_beside_the_text_stays_out():
+    text = "".join(f"<p>Sentence number {i}, with some words, and a full stop.</p>" for i in range(8))
+    cards = "".join(f"<article><h3>Card {i}</h3><p>A teaser of a few words.</p></article>" for i in range(4))
+    assert html.main_text('<main><p>Main intro</p><div class="sidebar"><article>Teaser</article></div></main>') == "Main intro"
+    for page in (f"<main>{text}<div class='related'>{cards}</div></main>", f"<div id=post>{text}</div><div class='related'>{cards}</div>",
+                 f"<article>{text}</article><div class='sidebar'>{cards}</div>"):
+        got = html.main_text(page)
+        assert got.count("Sentence") == 8 and "teaser" not in got and "Card" not in got
+
+
+def random_tree(pick, depth=0):
+    """An element as ``(tag, class, children)``; a child is a text or an element."""
+    tag = pick.choice(["div", "section", "p", "b", "i", "nav", "article", "main", "ul", "h2", "pre"] if depth else ["body"])
+    mark = pick.choice(["", "", "", "post", "sidebar", "x y", "related", "comments"]) if depth else ""
+    kids = []
+    for _ in range(pick.randrange(1, 6)):
+        if depth < 5 and pick.random() < 0.5 and tag not in ("p", "h2"):
+            kids.append(random_tree(pick, depth + 1))
+        elif not kids or not isinstance(kids[-1], str):
+            kids.append(" ".join(pick.choice(("word", "a", "long-ish", "end.", "and,")) for _ in range(pick.randrange(1, 30))))
+    return tag, mark, kids
+
+
+def written(tree):
+    tag, mark, kids = tree
+    inner = "".join(k if isinstance(k, str) else written(k) for k in kids)
+    return f"<{tag}{f' class={chr(34)}{mark}{chr(34)}' if mark else ''}>{inner}</{tag}>"
+
+
+def plain_nodes(tree):
+    """``(path, marks, holders, dropped, block, text)`` of every text, by walking the tree."""
+    out, block, number = [], [0], [0]
+
+    def walk(t, path, around, dropped):
+        tag, mark, kids = t
+        inline = tag in html.INLINE
+        block[0] += not inline
+        words = html.BOILERPLATE.search(mark)
+        if (tag in html.HOLDERS and not words) or (words and tag not in html.HOLDERS):
+            number[0] += 1
+            around = (*around, (number[0], bool(words), bool(html.ANSWERS.search(mark))))
+        path = (*path, f"{tag}.{mark}" if mark else tag)
+        dropped = dropped or tag in html.DROPPED
+        for kid in kids:
+            if isinstance(kid, str):
+                out.append([path, around, dropped, block[0], kid])
+            else:
+                walk(kid, path, around, dropped)
+        block[0] += not inline
+
+    walk(tree, (), (), False)
+    return out
+
+
+def plain_content(nodes):
+    """Ratios by definition: per path, smoothed over the neighbours, fused, cut at the threshold."""
+    import math
+
+    of = {p: [n for n in nodes if n[0] == p] for p in {n[0] for n in nodes}}
+    length = [sum(len(m[4]) for m in of[n[0]]) / len(of[n[0]]) for n in nodes]
+    marks = [sum(len(html.PUNCTUATION.findall(m[4])) for m in of[n[0]]) / len(of[n[0]]) for n in nodes]
+
+    def smooth(v, i):
+        near = [(math.exp(-(d * d) / 2), v[i + d]) for d in (-2, -1, 0, 1, 2) if 0 <= i + d < len(v)]
+        return sum(k * x for k, x in near) / sum(k for k, _ in near)
+
+    scores = [smooth(length, i) * (1 + smooth(marks, i)) for i in range(len(nodes))]
+    mean = sum(scores) / len(scores)
+    limit = max(0.0, min(mean, math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))))
+    return {n[0] for n, s in zip(nodes, scores, strict=True) if s >= limit}
+
+
+def plain_main_text(tree):
+    nodes = plain_nodes(tree)
+    live = [n for n in nodes if not n[2]]
+    wide = set()
+    if live and any(marked for n in nodes for _, marked, _ in n[1]):
+        content = plain_content(live)
+        held = [n for n in live if n[0] in content]
+        size = lambda ns: sum(len(n[4]) for n in ns)
+        elements = {e for n in nodes for e in n[1]}
+        wide = {e for e in elements if 2 * size([n for n in held if e in n[1]]) > size(held) and not e[2]}
+        holders = [e for e in elements if not e[1]]
+        if holders:
+            top = max(holders, key=lambda e: (size([n for n in held if e in n[1]]), -e[0]))
+            chain = next(n[1][: n[1].index(top) + 1] for n in nodes if top in n[1])
+            plain = size([n for n in held if not any(m for _, m, _ in n[1])])
+            if any(m for _, m, _ in chain) and size([n for n in held if top in n[1]]) > plain:
+                wide |= set(chain)
+    kept = [n for n in nodes if not n[2] and not any(m and e not in wide for e in n[1] for m in [e[1]])]
+    if not kept:
+        return []
+    content = plain_content(kept)
+    held = defaultdict(int)
+    for n in kept:
+        if n[0] in content:
+            for d in range(len(n[0]) + 1):
+                held[n[0][:d]] += len(n[4])
+    total = held[()]
+    name = lambda p: p[-1].split(".")[0]
+    holders = [p for p in held if p and name(p) in html.HOLDERS]
+    if holders:
+        best = max((held[p], -len(p)) for p in holders)
+        roots = [p for p in holders if (held[p], -len(p)) == best]
+        answers = []
+        for root in roots:
+            apart = [p for p in holders if p[: len(root)] != root and root[: len(p)] != p and name(p) == name(root)]
+            answers.append({n[0] for n in kept if any(n[0][: len(p)] == p for p in [root, *apart])})
+    else:
+        above = {p[:d] for p in content for d in range(len(p))}
+        root = max((p for p in above if 2 * held[p] > total), key=len, default=())
+        inside = lambda p: p[: len(root)] == root
+        heads = {n[0] for n in kept if inside(n[0]) and name(n[0]) == "h2"}
+        answers = [{p for p in content if inside(p)} | heads or content]
+    texts = []
+    for chosen in answers:
+        blocks = defaultdict(str)
+        for n in kept:
+            if n[0] in chosen:
+                blocks[n[3]] += n[4]
+        texts.append("\n".join(b.strip() for b in blocks.values()))
+    return texts
+
+
+def test_random_pages_against_brute_force():
+    pick = random.Random(12)
+    some = 0
+    for _ in range(400):
+        tree = random_tree(pick)
+        got, want = html.main_text(written(tree)), plain_main_text(tree)
+        assert got in want if want else got == "", written(tree)[:500]
+        some += bool(got)
+    assert some > 300
