@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from webquarry.llm import mixing, packing
@@ -148,7 +149,10 @@ def test_pipeline_stages_fit_together(spark, sf, tmp_path):
     odd = spark.createDataFrame(
         [(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (7, "z " * 3000, "xx", None, 6000)], docs.schema
     )
-    docs = docs.union(odd)
+    # The longest texts again with a word more: few shingles differ, so the fingerprints are near.
+    longest = docs.orderBy(F.desc("n_chars")).limit(20)
+    near = longest.select((F.col("doc_id") + 10_000).alias("doc_id"), F.concat("text", F.lit(" more")).alias("text"), "lang", "source", "n_chars")
+    docs = docs.union(odd).union(near)
     columns, counts = docs.columns, [docs.count()]
     for at, (name, stage) in enumerate(corpus_pipeline.STAGES):
         docs.write.parquet(str(tmp_path / name))
