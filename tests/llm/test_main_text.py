@@ -1,6 +1,8 @@
 import random
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from webquarry.llm import html, licences, urltree
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><script>if (a<b) x("</p>")</script></head><body>
@@ -124,6 +126,27 @@ def test_licences_are_found_in_any_spelling(spark):
     assert [r["license_id"] for r in licences.scan(spark.createDataFrame([(1, "My License!")], "doc_id long, text string"), own).collect()] == ["X"]
 
 
+def test_titles_wrappings_and_clauses_of_licences(spark):
+    import textwrap
+
+    holder = "Copyright (c) 2021, A. Person <a@b.example>\nAll rights reserved.\n\n"
+    rows, want = [], {}
+    for name, text in licences.KNOWN:
+        for title in ("", *licences.TITLES[name]):
+            for width in (60, 72, 79, 10_000):
+                body = "\n\n".join(textwrap.fill(" ".join(p.split()), width) for p in text.split("\n\n"))
+                for head in ("", holder, "Copyright 2020 The Authors\n", "© Someone\n(c) 2019 Other\n"):
+                    want[len(rows)] = name
+                    rows.append((len(rows), f"{title}\n\n{head}{body}\n"))
+    # A line that begins with the word and a numbered clause stay, so texts without them are others.
+    for text in ("In addition, the above\ncopyright notice must stay.", "Rules:\n(c) You must keep this."):
+        rows.append((len(rows), text))
+    got = {r["id"]: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string"), licences.known_licences(spark)).collect()}
+    assert {i: got[i]["license_id"] for i in want} == want
+    kept = spark.createDataFrame([(rows[-2][1],), (rows[-1][1],)], "text string").select(licences.canonical(F.col("text")).alias("t")).collect()
+    assert [r["t"] for r in kept] == ["in addition the above copyright notice must stay", "rules c you must keep this"]
+
+
 def test_layout_classes_do_not_drop_the_page():
     text = "".join(f"<p>Sentence number {i}, with some words, and a full stop.</p>" for i in range(8))
     side = '<div class="sidebar"><p>Read also, please.</p></div>'

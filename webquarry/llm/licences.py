@@ -3,7 +3,8 @@
 A text is brought to a canonical form: no copyright lines, lower case, one
 spelling of words that are written in several ways, no punctuation, single
 spaces.  The digest of the whole form is joined with the digests of known
-licences.  Only a text that is a licence as a whole matches.
+licences.  Only a text that is a licence as a whole matches.  Longer licences are read from a
+table of texts: :func:`scan` takes any.
 """
 
 from __future__ import annotations
@@ -13,8 +14,12 @@ from pyspark.sql import functions as F
 
 from webquarry.llm.common import text_of
 
-#: Lines that name a holder or a year of copyright and nothing else that matters.
-COPYRIGHT_LINE = r"(?i)(?:^|\n)[^\n0-9A-Za-z]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: What a line loses: the word copyright or a sign of it before a year, a sign or a holder named by "by", to its end.  A clause that a
+#: line break lets begin with that word, or with (c) as its number, stays.
+COPYRIGHT_LINE = (
+    r"(?i)(?:^|\n)[^\n0-9A-Za-z]*(?:copyright[^\n0-9A-Za-z]*(?:\(c\)|©|[0-9]{4}|by[^\n0-9A-Za-z]|<|\[)[^\n]*"
+    r"|©[^\n]*|\(c\)[^\n0-9A-Za-z]*[0-9]{4}[^\n]*|all rights reserved[^\n0-9A-Za-z]*)"
+)
 NOT_WORD = r"[^\p{L}\p{N}]+"
 #: Spellings that count as equal, each with the one that is kept.
 SPELLINGS = (
@@ -39,6 +44,22 @@ SPELLINGS = (
     ("percent", "per cent"),
     ("https", "http"),
 )
+# The parts that the BSD texts share.
+_BSD_1_2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer
+in the documentation and/or other materials provided with the distribution."""
+_BSD_3 = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission."""
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO
+EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS
+INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR
+OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 #: Known texts, by their public identifiers.
 KNOWN = (
     (
@@ -87,11 +108,56 @@ this software in a product, an acknowledgment in the product documentation would
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution.""",
     ),
-    ("MIT-line", "Released under the MIT License."),
-    ("Apache-2.0-line", "Licensed under the Apache License, Version 2.0."),
-    ("GPL-3.0-line", "This work is licensed under the GNU General Public License, version 3."),
-    ("CC-BY-NC-4.0-line", "Licensed under CC BY-NC 4.0."),
+    ("BSD-2-Clause", f"{_BSD_1_2}\n\n{_BSD_END}"),
+    ("BSD-3-Clause", f"{_BSD_1_2}\n\n{_BSD_3}\n\n{_BSD_END}"),
+    (
+        "MIT-0",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to
+use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the
+Software is furnished to do so.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE
+FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    ),
+    (
+        "Unlicense",
+        """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a
+compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in
+the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs
+and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to
+this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM,
+DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>""",
+    ),
 )
+#: The titles that files put above these texts.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "BSD 0-Clause License"),
+    "Zlib": ("zlib License", "The zlib License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License", "New BSD License"),
+    "MIT-0": ("MIT No Attribution", "MIT No Attribution License"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+}
+
+
+def entitled(known: tuple[tuple[str, str], ...]) -> list[tuple[str, str]]:
+    """The known texts, each as it is and below each of its titles."""
+    return [(name, f"{title}\n\n{text}".lstrip()) for name, text in known for title in ("", *TITLES.get(name, ()))]
 
 
 def canonical(text: Column) -> Column:
@@ -106,8 +172,8 @@ def canonical(text: Column) -> Column:
 
 
 def known_licences(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
-    """``license_id, digest`` of the known texts, one row per digest."""
-    rows = spark.createDataFrame(list(known), "license_id string, text string")
+    """``license_id, digest`` of the known texts, with and without their titles, one row per digest."""
+    rows = spark.createDataFrame(entitled(known), "license_id string, text string")
     marked = rows.select("license_id", F.sha2(canonical(F.col("text")), 256).alias("digest"))
     return marked.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 

@@ -79,7 +79,7 @@ def _licence_sql() -> str:
     for written, kept in licences.SPELLINGS:
         body = f"replace({body}, ' {written.replace(' ', '  ')} ', ' {kept.replace(' ', '  ')} ')"
     form = f"sha256(replace(trim({body}, ' '), '  ', ' '))"
-    rows = ", ".join(f"('{name}', '{quote(text)}')" for name, text in licences.KNOWN)
+    rows = ", ".join(f"('{name}', '{quote(text)}')" for name, text in licences.entitled(licences.KNOWN))
     return f"""
 WITH known AS (SELECT digest, min(license_id) AS license_id
                FROM (SELECT license_id, {form} AS digest FROM (VALUES {rows}) AS k(license_id, text)) GROUP BY digest)
