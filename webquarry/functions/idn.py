@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from webquarry.functions.expr import let
-
 # Characters that a name loses, and signs behind which a joiner may stand.
 _IGNORED = r"[\x{00AD}\x{034F}\x{180B}-\x{180D}\x{180F}\x{200B}\x{2060}\x{2064}\x{FE00}-\x{FE0F}\x{FEFF}\x{E0100}-\x{E01EF}]"
 _VIRAMA = (
@@ -22,22 +20,14 @@ _JOINING = r"[\p{IsArabic}\p{IsSyriac}\p{IsMongolian}\p{IsNko}&&\p{L}]"
 #: A joiner that is not behind a virama and, for the one that parts letters, not between letters that join.
 _LOOSE_JOINER = rf"(?<!{_VIRAMA})\x{{200D}}|(?<!{_VIRAMA})(?<!{_JOINING}\p{{M}}{{0,4}})\x{{200C}}|(?<!{_VIRAMA})\x{{200C}}(?!\p{{M}}*{_JOINING})"
 #: Kept as they are, standing in for them while the rest is folded.
-_KEPT, _STAND_INS = "ßς", ""
+_KEPT, _STAND_INS = "\N{LATIN SMALL LETTER SHARP S}\N{GREEK SMALL LETTER FINAL SIGMA}", chr(0xE000) + chr(0xE001)
 _DIGITS = "abcdefghijklmnopqrstuvwxyz0123456789"
 
 
-def _fold(text: Column) -> Column:
-    """Case folding and compatibility composition."""
-    folded = F.try_reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), text, F.lit(True))
-    return F.try_reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), folded, F.lit(True))
-
-
-def mapped_name(name: Column) -> Column:
-    """The Unicode form of a lower-case name; null where it has private characters or loose joiners."""
-    safe = F.when(~name.rlike(r"\p{Co}"), F.translate(name, _KEPT, _STAND_INS))
-    plain = F.translate(_fold(_fold(safe)), _STAND_INS, _KEPT)
-    dotted = F.translate(F.regexp_replace(plain, _IGNORED, ""), "。", ".")
-    return let(dotted, lambda x: F.when(~x.rlike(_LOOSE_JOINER), x))
+def _fold(text: str) -> str:
+    """Case folding and compatibility composition, in SQL."""
+    folded = f"try_reflect('com.ibm.icu.lang.UCharacter', 'foldCase', {text}, true)"
+    return f"try_reflect('com.ibm.icu.text.Normalizer', 'compose', {folded}, true)"
 
 
 # Punycode as one lambda in SQL text: built call by call, it would double the time it takes to plan a URL.
@@ -69,17 +59,19 @@ def punycode(label: Column) -> Column:
     return F.call_function("transform", F.array(chars), F.expr(_PUNYCODE))[0]
 
 
-def ascii_name(name: Column) -> Column:
-    """A lower-case host name in ASCII; null where it is not a valid name."""
+# The Unicode form of a name, null with private characters; then, unless a joiner stands loose, its labels in ASCII.  The JVM's
+# older rules judge which characters a name may have; what they would replace is left out of the question.
+_SAFE = rf"if(h rlike r'\p{{Co}}', NULL, translate(h, '{_KEPT}', '{_STAND_INS}'))"
+_STOP, _PLAIN = "\u3002", "s\u03c3"
+_MAPPED = f"translate(regexp_replace(translate({_fold(_fold(_SAFE))}, '{_STAND_INS}', '{_KEPT}'), r'{_IGNORED}', ''), '{_STOP}', '.')"
+_JUDGED = f"regexp_replace(translate(m, '{_KEPT}', '{_PLAIN}'), r'[\\x{{200C}}\\x{{200D}}]', '')"
+_LABELS = rf"""transform(split(m, r'\.'), x -> if(x rlike r'[^\x00-\x7f]',
+  concat('xn--', transform(array(regexp_extract_all(x, '(?s).', 0)), {_PUNYCODE})[0]), x))"""
+_ASCII = f"""h -> transform(array({_MAPPED}), m -> CASE
+  WHEN m rlike r'{_LOOSE_JOINER}' THEN NULL
+  WHEN try_reflect('java.net.IDN', 'toASCII', {_JUDGED}, 1) IS NOT NULL THEN array_join({_LABELS}, '.') END)[0]"""
 
-    def written(mapped: Column) -> Column:
-        # The JVM's older rules judge the other characters; what they would replace is left out of the question.
-        judged = F.regexp_replace(F.translate(mapped, _KEPT, "sσ"), r"[\x{200C}\x{200D}]", "")
-        valid = F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), judged, F.lit(1)).isNotNull()
-        labels = F.transform(
-            F.split(mapped, r"\."),
-            lambda x: F.when(x.rlike(r"[^\x00-\x7f]"), F.concat(F.lit("xn--"), punycode(x))).otherwise(x),
-        )
-        return F.when(valid, F.array_join(labels, "."))
 
-    return let(mapped_name(name), written)
+def ascii_name(name: Column) -> Column:
+    """A lower-case host name in ASCII; null where it is not a valid name."""
+    return F.call_function("transform", F.array(name), F.expr(_ASCII))[0]
