@@ -17,12 +17,20 @@ def documents(spark, rows):
     )
 
 
+def slow_symbols(text):
+    """One number for a code point from 1 to 1983, two for any other."""
+    out = []
+    for c in map(ord, text):
+        out += [c] if 0 < c < 1984 else [1984 + c // 1024, 3072 + c % 1024]
+    return out
+
+
 def slow_model(texts, order):
-    """Interpolated modified Kneser-Ney over characters, by plain counting."""
+    """Interpolated modified Kneser-Ney over the symbols of texts, by plain counting."""
     top = Counter()
     for t in texts:
-        padded = [0] * (order - 1) + [min(max(ord(c), 1), 4095) for c in t]
-        top.update(tuple(padded[i : i + order]) for i in range(len(t)))
+        padded = [0] * (order - 1) + slow_symbols(t)
+        top.update(tuple(padded[i : i + order]) for i in range(len(padded) - order + 1))
     counts = {order: top}
     for n in range(order - 1, 0, -1):
         counts[n] = Counter(g[1:] for g in counts[n + 1])
@@ -52,8 +60,8 @@ def slow_model(texts, order):
         return max(c - cut, 0) / total + left / total * below
 
     def perplexity(t):
-        padded = [0] * (order - 1) + [min(max(ord(c), 1), 4095) for c in t]
-        logs = [math.log(p(tuple(padded[i : i + order]))) for i in range(len(t))]
+        padded = [0] * (order - 1) + slow_symbols(t)
+        logs = [math.log(p(tuple(padded[i : i + order]))) for i in range(len(padded) - order + 1)]
         return math.exp(-sum(logs) / len(t))
 
     return perplexity
@@ -69,12 +77,34 @@ def prose(pick, n):
 def test_perplexity_against_brute_force(spark):
     pick = random.Random(1)
     rows = [(i, prose(pick, 30), "en") for i in range(40)] + [(100 + i, "".join(pick.choices("qxz%€汉", k=60)), "en") for i in range(5)]
-    trusted = spark.createDataFrame([(i,) for i in range(30)], "id long")
+    rows += [(200 + i, "".join(pick.choices("山川日月木水火土😀\0ह", k=40)), "ja") for i in range(12)]
+    rows += [(300, "", "ja"), (301, None, "ja")]
+    known = {*range(30), *range(200, 208)}
+    trusted = spark.createDataFrame([(i,) for i in known], "id long")
     for order, chunk in ((4, 8_000_000), (3, 500)):
         got = kneser.perplexities(documents(spark, rows), trusted, "doc_id", "text", "lang", order, chunk).collect()
-        slow = slow_model([t for i, t, _ in rows if i < 30], order)
-        want = {i: slow(t) for i, t, _ in rows}
-        assert {r["id"]: pytest.approx(r["perplexity"], rel=1e-9) for r in got} == want
+        slow = slow_model([t for i, t, _ in rows if i in known], order)
+        want = {i: slow(t) for i, t, _ in rows if t}
+        assert {r["id"]: pytest.approx(r["perplexity"], rel=1e-9) for r in got if r["perplexity"] is not None} == want
+
+
+def test_every_code_point_has_symbols_of_its_own():
+    every = "".join(map(chr, range(0x110000)))
+    codes = kneser.symbols(every)
+    assert codes.min() > 0 and codes.max() == kneser.SYMBOLS - 1 and codes.tolist() == slow_symbols(every)
+    wide = codes >= kneser.LEAD
+    pairs = codes[wide].reshape(-1, 2)
+    assert (pairs[:, 0] < kneser.TRAIL).all() and (pairs[:, 1] >= kneser.TRAIL).all()
+    assert len(np.unique(pairs, axis=0)) == len(pairs) == 0x110000 - 1983
+
+
+def test_languages_beyond_the_alphabets_are_told_apart(spark):
+    pick = random.Random(8)
+    rows = [(i, "".join(pick.choices(["山の上に", "川を渡る", "朝の光が", "窓を開け", "水を飲む"], k=20)), "ja") for i in range(120)]
+    rows += [(1000 + i, "".join(chr(pick.randrange(0x4E00, 0x9F00)) for _ in range(80)), "ja") for i in range(10)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    kept = {r["id"]: r["kept"] for r in kneser.quality_classifier(documents(spark, rows), labels).collect()}
+    assert sum(kept[i] for i in range(120)) >= 115 and not any(kept[1000 + i] for i in range(10))
 
 
 def test_probabilities_sum_to_one(spark):

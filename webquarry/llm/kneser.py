@@ -1,8 +1,9 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over characters: an n-gram is ``order`` code points in 12 bits each,
+The model is over characters: an n-gram is ``order`` symbols in 12 bits each,
 so suffixes and contexts are bit operations and the tables stay small enough to
-be joined in shards.  Code points from 4095 up share one symbol.
+be joined in shards.  A code point below ``LEAD`` is one symbol; any other is
+two, a leading and a trailing one, so no two code points share their symbols.
 
 Texts are packed once into chunks, stored bucketed by chunk on shared storage.
 Training counts the n-grams of the trusted rows of every chunk.  For scoring, a
@@ -29,14 +30,24 @@ from webquarry.session import UrlTables, durable
 
 BITS = 12
 SYMBOLS = 1 << BITS
+#: First leading and first trailing symbol: 1088 leading ones of 10 bits each reach the last code point.
+TRAIL = SYMBOLS - 1024
+LEAD = TRAIL - (0x110000 >> 10)
 STEP = 1 << 20
 PAYLOAD = f"chunk long, ids array<long>, langs array<string>, {', '.join(f'`{c}` array<long>' for c in ROW)}, sizes array<long>, packed binary, grams array<long>"
 
 
 def symbols(text: str) -> np.ndarray:
-    """A text as symbol numbers; 0 is kept for the start."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.clip(codes, 1, SYMBOLS - 1).astype(np.int64)
+    """A text as symbol numbers; 0 is kept for the start, so the null character takes two as well."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    wide = (codes >= LEAD) | (codes == 0)
+    if not wide.any():
+        return codes
+    last = np.cumsum(1 + wide) - 1
+    out = np.zeros(len(codes) + int(wide.sum()), np.int64)
+    out[last] = np.where(wide, TRAIL + (codes & 1023), codes)
+    out[last[wide] - 1] = LEAD + (codes[wide] >> 10)
+    return out
 
 
 def pieces(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -47,7 +58,7 @@ def pieces(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray]]:
 
 
 def gram_steps(texts: list[str], order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """``docs, grams`` of about ``STEP`` positions at a time: one n-gram per character, starts padded."""
+    """``docs, grams`` of about ``STEP`` positions at a time: one n-gram per symbol, starts padded."""
     held_docs: list[np.ndarray] = []
     held: list[np.ndarray] = []
     size, tail = 0, np.zeros(order - 1, np.int64)
@@ -273,6 +284,8 @@ def quality_classifier(
     times the ``quantile`` of their perplexities.  A language without any takes
     the threshold of all languages together; without trusted text at all,
     nothing is rejected but empty texts.  A null language counts as a language.
+    ``perplexity`` is per code point, also where one takes two symbols; a text
+    exactly at the threshold is kept.  Very long texts are read whole, in steps.
     Null and empty texts have no perplexity and are rejected.  A null id is never
     trusted; rows stay apart whatever their id.  An empty table gives an empty
     result, and other columns are not read.
