@@ -231,6 +231,11 @@ CASES = [
     (7, "é€汉 #*$ %&|<> z", "en"), (8, " ".join(f"w{i}" for i in range(80)), "en"), (9, "a " * 100, "en"), (10, "%% " * 30 + " ".join(map(str, range(70))), "en"),
     (11, " ".join(f"CAPS{chr(65 + i % 26)}{i}" for i in range(90)), "en"), (8, " ".join(f"w{i}" for i in range(80)), "en"), (None, "same line here\n" * 3 + " ".join(f"v{i}" for i in range(70)), "en"),
     (12, "y" * 300_000, "en"),
+    (13, "\n".join(f" {'-*•'[i % 3]} item{i} of{i} list{i}" for i in range(40)), "en"),
+    (14, "\n".join(f"more{i} to{i} read{i}{('...', '… ')[i % 2]}" for i in range(40)), "en"),
+    (15, " ".join(f"w{i} and x{i} and" for i in range(40)), "en"),
+    (16, " ".join(f"w{i} {i}.{i} \x01{i}" for i in range(40)), "en"),
+    (17, " ".join(f"слово{i} 山{i} é{i}" for i in range(40)), "en"),
 ]
 
 
@@ -244,13 +249,63 @@ def test_cascade_figures_and_verdicts(spark):
         assert r["base_failed"] == (r["n_words"] < 50 or 2 * r["n_repeat_words"] > r["n_words"])
         assert r["kept"] == (r["rejected_by"] is None)
     assert by[8][0]["kept"] and len(by[8]) == 2 and by[9][0]["base_failed"]
-    assert by[10][0]["rejected_by"] in ("symbols", "short_words") and by[11][0]["rejected_by"] == "capitals" and by[None][0]["rejected_by"] == "dup_lines"
+    assert by[10][0]["rejected_by"] in ("symbols", "short_words", "without_letter", "top_word")
+    assert by[11][0]["rejected_by"] == "capitals" and by[None][0]["rejected_by"] == "dup_lines"
+    assert by[13][0]["rejected_by"] == "bullets" and by[14][0]["rejected_by"] == "ellipses" and by[15][0]["rejected_by"] == "top_word"
+    assert by[16][0]["rejected_by"] == "without_letter" and by[17][0]["kept"]
     assert cascade.quality_cascade(documents(spark, [])).count() == 0
 
 
-def test_rules_run_by_rejections_per_second():
-    measured = [("symbols", 2.0, 10.0), ("dup_lines", 0.1, 5.0), ("capitals", 1.0, 0.0)]
-    assert cascade.rule_order(measured, cascade.RULES)[:3] == ["dup_lines", "symbols", "capitals"]
+def test_rule_figures_against_plain_counting():
+    import re
+
+    pick = random.Random(9)
+    for _ in range(300):
+        text = "".join(pick.choices(["a", "Z", "7", "é", "-", "*", "•", "...", "…", " ", "\n", "\t", "\x01", "\x7f", "the "], k=pick.randrange(60)))
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        lines = [x.strip(" \t\n\x0b\x0c\r") for x in text.split("\n")]
+        t = cascade.Text(text)
+        assert t.n_without_letter == sum(not re.search(r"[A-Za-z\x80-\U0010ffff]", w) for w in words)
+        assert t.n_bullets == sum(x[:1] in ("-", "*", "•") for x in lines if x)
+        assert t.n_ellipses == sum(x.endswith(("...", "…")) for x in lines)
+        assert t.top_word == max(map(words.count, words), default=0)
+
+
+def test_rules_run_by_rejections_per_second_of_what_is_left():
+    rules = dict.fromkeys("abcd")
+    seconds = {"a": 1.0, "b": 0.5, "c": 4.0, "d": 0.1}
+
+    def group(hits, n):
+        return frozenset(hits), n, {k: n * x for k, x in seconds.items()}
+
+    # b rejects most per second; nearly all of what a rejects is then gone, so c comes next although a rejects more by itself.
+    measured = [group("ab", 40), group("b", 10), group("a", 1), group("c", 20), group("", 100)]
+    assert cascade.rule_order(measured, rules) == ["b", "c", "a", "d"]
+    assert cascade.rule_order([], rules) == list("abcd")
+
+
+def test_measured_costs_leave_out_the_base_figures(spark):
+    import time
+
+    def slow(t):
+        time.sleep(0.002)
+        return t.n_words > 100
+
+    rules = {"slow": slow, "free": lambda t: t.n_words > 100, "none": lambda t: False}
+    docs = documents(spark, CASES)
+    measured = cascade.measure(docs, "text", rules)
+    passing = sum(not cascade.Text(t or "").base_failed for _, t, _ in CASES)
+    assert sum(n for _, n, _ in measured) == passing and {h for h, _, _ in measured} <= {frozenset(), frozenset(("slow", "free"))}
+    order = cascade.rule_order(measured, rules)
+    assert order[0] == "free" and order[-1] == "slow"
+    got = cascade.quality_cascade(docs, rules=rules).collect()
+    assert not any(r["rejected_by"] == "slow" for r in got) and any(r["rejected_by"] == "free" for r in got)
+
+
+def test_rules_behind_a_rejection_are_not_evaluated():
+    called = []
+    rules = {name: lambda t, name=name: bool(called.append(name)) or name == "b" for name in "abc"}
+    assert cascade.rejecting(cascade.Text("x"), ["a", "b", "c"], rules) == "b" and called == ["a", "b"]
 
 
 def test_order_of_rules_changes_no_verdict(spark, monkeypatch):
