@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from webquarry.llm import mixing, packing
+from webquarry.llm.common import with_row_id
 
 
 def documents(spark, rows):
@@ -142,6 +143,25 @@ def test_packing_is_whole_and_without_conflicts(spark):
     assert packing.pack(documents(spark, [])).count() == 0
 
 
+def test_near_copies_lie_in_different_bins(spark):
+    pick = random.Random(7)
+    rows = [(i, " ".join(f"w{pick.randrange(10**6)}" for _ in range(60)), "en", pick.choice("abc")) for i in range(60)]
+    body = [f"k{pick.randrange(10**6)}" for _ in range(20_000)]
+    near = [(100 + i, " ".join([*body, *["end"] * (i % 2)]), "en", "abc"[i % 3]) for i in range(12)]
+    # Rows without any id, and one that only its copy's id names.
+    near += [(None, "Same Text here", "en", "a"), (None, "same  text HERE", "en", "b"), (None, " ".join(body), "en", "c")]
+    docs = with_row_id(documents(spark, rows + near))
+    clusters = packing.near_clusters(docs)
+    of = {(r["__row_file"], r["__row_no"]): r["cluster"] for r in clusters.collect()}
+    assert sorted(Counter(of.values()).values()) == [2, 13]
+    got = packing.pack(docs, cluster=clusters, capacity=50_000, per_source=100).collect()
+    assert len(got) == len(rows) + len(near)
+    seen = Counter((r["bin_id"], of.get((r["__row_file"], r["__row_no"]), r["__row_no"])) for r in got)
+    assert max(seen.values()) == 1 and len({r["bin_id"] for r in got}) >= 13
+    empty = with_row_id(documents(spark, []))
+    assert packing.pack(empty, cluster=packing.near_clusters(empty)).count() == 0
+
+
 def test_pipeline_stages_fit_together(spark, sf, tmp_path):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_classifier", "exact_dedup", "near_dedup", "mixing", "packing"]
     docs = spark.read.parquet(f"{sf}/documents.parquet")

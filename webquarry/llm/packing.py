@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webquarry.llm.common import ROW, SPACE, text_of, whole_groups, with_row_id, word_count
+from webquarry.llm.near import near_groups
 from webquarry.session import durable
 
 
@@ -79,12 +80,21 @@ def copies_cluster(text_col: str = "text") -> Column:
     return F.xxhash64(F.lower(F.regexp_replace(text_of(text_col), SPACE, " ")))
 
 
+def near_clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``cluster`` and the row id of the rows that have near copies, by SimHash components.
+
+    ``docs`` has row ids.  A component without any id is named by its fingerprint.
+    """
+    groups = near_groups(docs, id_col, text_col).where("group_size > 1")
+    return groups.select(F.coalesce(F.col("component_id").cast("string"), F.col("fingerprint")).alias("cluster"), *ROW)
+
+
 def pack(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-    cluster: Column | None = None,
+    cluster: Column | DataFrame | None = None,
     capacity: int = 8192,
     per_source: int = 8,
     shard_items: int = 4096,
@@ -95,14 +105,17 @@ def pack(
     of that size and a rest, each packed as an item; nothing is dropped, and
     every document is packed whole.  A bin holds at most one item of a
     duplicate cluster and ``per_source`` items of a source.  ``cluster`` is any
-    hashable column, null for none; by default texts that agree but for case
-    and white space form one.  Pieces of one document count as one cluster, so
+    hashable column, null for none, or a table of ``cluster`` and row ids, at most
+    one row each, such as :func:`near_clusters` gives for ``docs`` with row ids; by
+    default texts that agree but for case and white space form one.  Pieces of one document count as one cluster, so
     they lie in different bins.  A null source is a source of its own.  Null and
     empty texts have size 0 and are packed too.  A bin's number is its shard's
     and its own; rows stay apart whatever their id, an empty table gives an
-    empty result, and other columns are not read.
+    empty result, and other columns are not read.  Very long texts are counted whole;
+    ties of size are packed in the order of row ids.
     """
-    own = copies_cluster(text_col) if cluster is None else cluster.cast("string")
+    apart = isinstance(cluster, DataFrame)
+    own = copies_cluster(text_col) if cluster is None else F.lit(None) if apart else cluster
     n_words = word_count(text_col)
     rows = with_row_id(docs).select(
         F.col(id_col).cast("long").alias("id"),
@@ -111,6 +124,8 @@ def pack(
         own.cast("string").alias("cluster"),
         *ROW,
     )
+    if apart:
+        rows = rows.drop("cluster").join(cluster.select(F.col("cluster").cast("string"), *ROW), list(ROW), "left")
     pieces = F.greatest(F.lit(1), F.ceil(F.col("size") / capacity)).cast("int")
     cut = rows.withColumn("pieces", pieces).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     part = F.least(F.lit(capacity), F.col("size") - F.col("piece") * capacity).cast("long")

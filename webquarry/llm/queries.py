@@ -29,7 +29,8 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack(table(spark, sf_dir, "documents"))
+    docs = with_row_id(table(spark, sf_dir, "documents"))
+    packed = packing.pack(docs, cluster=packing.near_clusters(docs))
     return packed.select(F.col("id").alias("doc_id"), "size", "piece", "pieces", "piece_size", "bin_id", "bin_place", "bin_used")
 
 
