@@ -1,6 +1,9 @@
+import math
 import random
-from collections import defaultdict
+import re
+from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from webquarry.llm import html, licences, urltree
@@ -112,6 +115,114 @@ def test_templates_learn_bad_branches(spark):
     assert {v for v, _ in verdicts[("other.org", "tag")]} == {"allow"}
 
 
+def slow_templates(rows, max_kids, min_share, min_rows, z_limit):
+    """``(host, parts) -> merged template`` by walking every node and level; ``rows`` are ``host, parts, bad``."""
+    template = {}
+
+    def grow(node, at):
+        going = [(key, rest) for key, rest in node if rest]
+        template.update({key: at for key, rest in node if not rest})
+        kids = Counter(rest[0] for _, rest in going)
+        if len(going) < min_rows:
+            template.update({key: (*at, "**") for key, _ in going})
+            return
+        below = defaultdict(list)
+        for key, rest in going:
+            often = len(kids) <= max_kids or kids[rest[0]] >= min_share * len(going)
+            below[rest[0] if often and not re.fullmatch(r"[0-9]+(\.[A-Za-z]+)?", rest[0]) else "*"].append((key, rest[1:]))
+        for step, part in below.items():
+            grow(part, (*at, step))
+
+    for host in {h for h, _, _ in rows}:
+        grow([((h, parts), parts) for h, parts, _ in rows if h == host], ())
+    merged = {(h, t): t for (h, _), t in template.items()}
+    for level in reversed(range(max(map(len, template.values()), default=0))):
+        own = defaultdict(lambda: [0, 0])
+        for h, parts, bad in rows:
+            if bad is not None:
+                held = own[(h, merged[(h, template[(h, parts)])])]
+                held[0] += 1
+                held[1] += bad
+        families = defaultdict(set)
+        for (h, _), t in merged.items():
+            if len(t) > level:
+                families[(h, t[:level], t[level + 1 :])].add(t)
+        for (h, _, _), members in families.items():
+            known = sorted((t for t in members if own[(h, t)][0]), key=lambda t: (own[(h, t)][1] / own[(h, t)][0], t))
+            branch, number = {}, 0
+            for t0, t in zip([None, *known], known):
+                if t0:
+                    (n0, b0), (n, b) = own[(h, t0)], own[(h, t)]
+                    pooled = (b0 + b) / (n0 + n)
+                    error = math.sqrt(pooled * (1 - pooled) * (1 / n + 1 / n0))
+                    number += error > 0 and b / n - b0 / n0 >= z_limit * error
+                branch[t] = number
+            best = branch[min(known, key=lambda t: (-own[(h, t)][0], t))] if known else 0
+            for t in members:
+                branch.setdefault(t, best)
+            for t in members:
+                name = "|".join(sorted({x[level] for x in members if branch[x] == branch[t]}))
+                name = "*" if len(members) > 1 and not any(branch.values()) else name
+                for key, old in list(merged.items()):
+                    if key[0] == h and old == t:
+                        merged[key] = ("new", *t[:level], name, *t[level + 1 :])
+        merged = {key: t[1:] if t[:1] == ("new",) else t for key, t in merged.items()}
+    return {key: merged[(key[0], t)] for key, t in template.items()}
+
+
+def test_tree_merging_and_purity_against_plain_code(spark):
+    pick = random.Random(11)
+    prior, settings = 2.0, {"max_kids": 3, "min_share": 0.2, "min_rows": 6, "z_limit": 1.0}
+    rows = []
+    for i in range(700):
+        host = pick.choice(["a.org", "a.org", "a.org", "b.org", f"h{i}.org"])
+        depth = pick.choice((0, 1, 2, 3, 4, 5))
+        parts = tuple(pick.choice(["p", "q", "r", "s", "t", str(pick.randrange(40)), f"{pick.randrange(9)}.html"][: 7 if k else 4]) for k in range(depth))
+        likely = 0.9 if parts[:1] == ("p",) or parts[1:2] == ("q",) else 0.2
+        rows.append((host, parts, int(pick.random() < likely) if pick.random() < 0.8 else None))
+    want = slow_templates(rows, **settings)
+    table = [(i, f"http://{h}/{'/'.join(parts)}", bad) for i, (h, parts, bad) in enumerate(rows)]
+    urls = spark.createDataFrame(table, "page_id long, url string, bad int")
+    got = {r["id"]: r for r in urltree.judge_urls(urls, prior_rows=prior, **settings).collect()}
+    by_leaf, by_host = defaultdict(list), defaultdict(list)
+    for h, parts, bad in rows:
+        if bad is not None:
+            by_leaf[(h, want[(h, parts)])].append(bad)
+            by_host[h].append(bad)
+    rate = sum(map(sum, by_host.values())) / sum(map(len, by_host.values()))
+    assert len({t for (h, _), t in want.items() if h == "a.org"}) > 8
+    assert {i: r["template"] for i, r in got.items()} == {i: "/" + "/".join(want[(h, parts)]) for i, (h, parts, _) in enumerate(rows)}
+    for i, (h, parts, _) in enumerate(rows):
+        leaf = want[(h, parts)]
+        host_rate = (sum(by_host[h]) + prior * rate) / (len(by_host[h]) + prior)
+        share = (sum(by_leaf[(h, leaf)]) + prior * host_rate) / (len(by_leaf[(h, leaf)]) + prior)
+        assert (got[i]["template"], got[i]["bad_share"]) == ("/" + "/".join(leaf), pytest.approx(share))
+        assert got[i]["verdict"] == ("block" if got[i]["bad_share"] >= 0.5 else "allow")
+    assert {r["verdict"] for r in got.values()} == {"block", "allow"}
+
+
+def test_steps_follow_branchings_and_not_depth(spark, monkeypatch):
+    steps = []
+    plain = urltree.durable
+    monkeypatch.setattr(urltree, "durable", lambda df: steps.append(1) or plain(df))
+    deep = "/".join(f"s{i}" if i % 7 else "5" for i in range(300))
+    rows = [(i, f"http://h.org/{deep}/{'xy'[i % 2]}/{i}", int(i % 2)) for i in range(60)]
+    rows += [(100, "http://h.org/" + "/".join(map(str, range(1000))), None), (101, "http://one.org/" + "/".join("ab" * 500), 1)]
+    got = {r["id"]: r["template"] for r in urltree.judge_urls(spark.createDataFrame(rows, "page_id long, url string, bad int")).collect()}
+    shared = "/" + "/".join(f"s{i}" if i % 7 else "*" for i in range(300))
+    # Numbers vary at once, the one long path of their host among them.
+    assert {got[i] for i in range(60)} == {f"{shared}/x/*", f"{shared}/y/*"}
+    assert got[101] == "/**" and got[100].startswith("/*") and got[100].endswith("/**") and len(steps) < 16
+
+
+def test_given_pages_of_bad_hosts_are_blocked_by_the_method(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    bad = F.when(F.col("page_id") % 3 != 0, F.col("url").rlike("casino|pills|bets").cast("int"))
+    got = urltree.judge_urls(pages.withColumn("bad", bad)).select("verdict", F.col("host").rlike("casino|pills|bets").alias("spam"))
+    counts = {(r["spam"], r["verdict"]): r["count"] for r in got.groupBy("spam", "verdict").count().collect()}
+    assert counts[(True, "block")] > 4 * counts.get((True, "allow"), 0) and (False, "block") not in counts
+
+
 def test_licences_are_found_in_any_spelling(spark):
     mit = dict(licences.KNOWN)["MIT"]
     odd = "Copyright (c) 2020 A. Person\nAll Rights Reserved.\n\n" + mit.replace("sublicense", "SUB-LICENCE").replace(",", " ;").upper()

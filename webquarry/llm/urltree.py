@@ -1,7 +1,7 @@
 """URL filter: explicit rules first, then a path-template tree judged by labels.
 
 Per host, the paths form a tree of segments.  Going down, segments that vary
-become wildcards; going back up, branches whose labels do not differ
+become wildcards, and so does all below a node with few rows; going back up, branches whose labels do not differ
 significantly from their siblings' are merged into one.  A template is rejected
 where its smoothed share of bad labels reaches a threshold.  Everything is
 counted over all rows; equal paths are aggregated first, so a hot host moves as
@@ -15,7 +15,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webquarry.session import durable
+from webquarry.llm.common import drop_table
+from webquarry.session import durable, new_folder
+
+#: A segment that is a number, with or without an extension, is never a fixed one.
+NUMBER = r"^[0-9]+(?:\.[A-Za-z]+)?$"
+TAIL = "**"
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -39,30 +44,59 @@ def matched_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
     return rule, verdict
 
 
-def _grow(paths: DataFrame, max_kids: int, min_share: float) -> DataFrame:
-    """Generalise the segments of every path from the top; ``parts`` become ``template``."""
-    depth = paths.agg(F.max(F.size("parts"))).first()[0] or 0
-    rows = paths.withColumn("template", F.array().cast("array<string>"))
-    for level in range(depth):
-        rows = rows.withColumn("segment", F.get("parts", F.lit(level)))
-        going = rows.where(F.col("segment").isNotNull())
-        kids = going.groupBy("host", "template", "segment").agg(F.sum("n").alias("kid_n"))
+def _common_start(least: Column, most: Column) -> Column:
+    """How many items the least and the greatest of some arrays, and so all of them, begin with alike."""
+    differs = F.array_position(F.zip_with(least, most, lambda x, y: ~x.eqNullSafe(y)), True)
+    return F.when(differs > 0, differs - 1).otherwise(F.size(least)).cast("int")
+
+
+def _grow(paths: DataFrame, max_kids: int, min_share: float, min_rows: int) -> DataFrame:
+    """Generalise the segments of every path from the top; ``parts`` become ``template``.
+
+    A step reads only the paths that have segments left.  What all paths behind a
+    segment have in common is taken along with it, so that steps follow the
+    branchings of the tree and not its depth.
+    """
+    spark, columns = paths.sparkSession, [c for c in paths.columns if c != "parts"]
+    none = F.array().cast("array<string>")
+    ended = new_folder(spark, "templates")
+    rows = durable(paths.select(*columns, none.alias("template"), F.col("parts").alias("rest")))
+    while True:
+        rows.where(F.size("rest") == 0).drop("rest").write.mode("append").parquet(ended)
+        going = rows.where(F.size("rest") > 0)
+        if going.isEmpty():
+            drop_table(rows)
+            return spark.read.schema(rows.drop("rest").schema).parquet(ended)
+        going = going.withColumn("segment", F.get("rest", F.lit(0))).withColumn("rest", F.slice("rest", F.lit(2), F.size("rest")))
+        kids = going.groupBy("host", "template", "segment").agg(
+            F.sum("n").alias("kid_n"), F.min("rest").alias("least"), F.max("rest").alias("most")
+        )
         nodes = kids.groupBy("host", "template").agg(F.count("*").alias("kids"), F.sum("kid_n").alias("node_n"))
-        fixed = (
+        thin = F.col("node_n") < min_rows
+        often = (F.col("kids") <= max_kids) | (F.col("kid_n") >= min_share * F.col("node_n"))
+        fixed = often & ~F.col("segment").rlike(NUMBER)
+        alike = F.when(F.col("kid_n") >= min_rows, _common_start(F.col("least"), F.col("most"))).otherwise(0)
+        shared = F.slice("least", F.lit(1), alike)
+        named = F.transform(shared, lambda x: F.when(x.rlike(NUMBER), F.lit("*")).otherwise(x))
+        steps = (
             kids.join(nodes, ["host", "template"])
-            .where((F.col("kids") <= max_kids) | (F.col("kid_n") >= min_share * F.col("node_n")))
-            .where(~F.col("segment").rlike(r"^[0-9]+(?:\.[A-Za-z]+)?$"))
-            .select("host", "template", "segment", F.lit(True).alias("fixed"))
-        )
-        named = rows.join(fixed, ["host", "template", "segment"], "left")
-        step = F.when(F.col("fixed"), F.col("segment")).otherwise(F.lit("*"))
-        rows = durable(
-            named.withColumn(
+            .where(thin | fixed)
+            .select(
+                "host",
                 "template",
-                F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.array(step))),
-            ).drop("segment", "fixed")
+                "segment",
+                F.when(thin, F.array(F.lit(TAIL))).otherwise(F.concat(F.array("segment"), named)).alias("step"),
+                F.when(~thin, F.size(shared)).alias("taken"),
+            )
+        )
+        alone = F.col("step").isNull()
+        rest = F.when(alone, F.col("rest")).when(F.col("taken").isNull(), none).otherwise(
+            F.slice("rest", F.coalesce("taken", F.lit(0)) + 1, F.size("rest"))
         )
-    return rows
+        template = F.concat("template", F.coalesce("step", F.array(F.lit("*"))))
+        stepped = going.join(steps, ["host", "template", "segment"], "left").select(*columns, template.alias("template"), rest.alias("rest"))
+        before, rows = rows, durable(stepped)
+        drop_table(before)
 
 
 def _with_segment(template: str, level: int, segment: Column) -> Column:
@@ -70,7 +104,17 @@ def _with_segment(template: str, level: int, segment: Column) -> Column:
     return F.transform(template, lambda x, i: F.when(i == level, segment).otherwise(x))
 
 
-def _merge(templates: DataFrame, depth: int, z_limit: float) -> DataFrame:
+def _branching(templates: DataFrame) -> list[int]:
+    """The levels at which some node has two children or more, the deepest first."""
+    places = F.transform(
+        "template", lambda x, i: F.struct(F.xxhash64(F.slice("template", F.lit(1), i)).alias("above"), x.alias("segment"))
+    )
+    kids = templates.select("host", F.posexplode(places).alias("level", "at")).groupBy("host", "level", "at.above")
+    many = kids.agg(F.min("at.segment").alias("least"), F.max("at.segment").alias("most")).where("least <> most")
+    return sorted((r["level"] for r in many.select("level").distinct().collect()), reverse=True)
+
+
+def _merge(templates: DataFrame, z_limit: float) -> DataFrame:
     """Merge sibling branches from the bottom; adds ``merged``, the template that each one ends in.
 
     Siblings are ordered by their share of bad labels; a new branch begins where
@@ -78,11 +122,18 @@ def _merge(templates: DataFrame, depth: int, z_limit: float) -> DataFrame:
     siblings join the branch of the best known one.  One branch for all is a
     wildcard, otherwise it is named by its members.  After generalisation a node
     has at most ``max_kids + 1 / min_share`` children, which bounds the windows.
+    Levels where no node branches have nothing to merge and are passed over; a
+    template enters at the first level above its end.
     """
-    rows = templates.withColumn("merged", F.col("template"))
-    for level in reversed(range(depth)):
+    start = templates.withColumn("merged", F.col("template"))
+    deep = F.size("template")
+    rows, last = None, None
+    for level in _branching(templates):
+        entering = start.where(deep > level if last is None else (deep > level) & (deep <= last))
+        before, rows = rows, entering if rows is None else rows.union(entering)
+        last = level
         own = rows.groupBy("host", "merged").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("bad"))
-        own = own.where(F.size("merged") > level).withColumn("wild", _with_segment("merged", level, F.lit("*")))
+        own = own.withColumn("wild", _with_segment("merged", level, F.lit("*")))
         own = own.withColumn("name", F.get("merged", F.lit(level))).withColumn("share", F.try_divide("bad", "n"))
         siblings = Window.partitionBy("host", "wild")
         ordered = siblings.orderBy(F.col("share").asc_nulls_last(), "merged")
@@ -102,8 +153,10 @@ def _merge(templates: DataFrame, depth: int, z_limit: float) -> DataFrame:
             "host", "merged", _with_segment("merged", level, F.col("segment")).alias("next")
         )
         moved = rows.join(moves, ["host", "merged"], "left").withColumn("merged", F.coalesce("next", "merged"))
-        rows = durable(moved.drop("next"))
-    return rows
+        rows = durable(moved.select(*start.columns))
+        if before is not None:
+            drop_table(before)
+    return start if rows is None else rows.union(start.where(deep <= last))
 
 
 def judge_urls(
@@ -114,6 +167,7 @@ def judge_urls(
     bad_col: str | None = "bad",
     max_kids: int = 32,
     min_share: float = 0.02,
+    min_rows: int = 10,
     z_limit: float = 1.96,
     prior_rows: float = 10.0,
     reject_share: float = 0.5,
@@ -124,9 +178,11 @@ def judge_urls(
     label.  The verdict is that of the longest fitting rule (an action and
     ``host/path``), else ``block`` where the template's share of bad labels,
     smoothed towards its host's and that towards the whole table's by
-    ``prior_rows`` rows each, is at least ``reject_share``, else ``allow``.  URLs
-    that are null or without ``://`` have an empty host and path and form one
-    template.  Rows stay apart whatever their id; an empty table gives an empty
+    ``prior_rows`` rows each, is at least ``reject_share``, else ``allow``.  A node
+    of the tree is divided while ``min_rows`` rows or more go on below it; what is
+    left of fewer becomes one wildcard tail, ``**``.  URLs that are null or without
+    ``://`` have an empty host and path and form one template.  Very long paths
+    are read whole.  Rows stay apart whatever their id; an empty table gives an empty
     result, and other columns are not read.
     """
     host, path = split_url(F.col(url_col).cast("string"))
@@ -136,10 +192,9 @@ def judge_urls(
         F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")
     )
     parts = F.filter(F.split("path", "/"), lambda x: x != "")
-    grown = durable(_grow(paths.withColumn("parts", parts), max_kids, min_share).select("host", "path", "template", "n", "labelled", "bad"))
+    grown = _grow(paths.withColumn("parts", parts), max_kids, min_share, min_rows)
     templates = grown.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    depth = grown.agg(F.max(F.size("template"))).first()[0] or 0
-    merged = _merge(durable(templates), depth, z_limit)
+    merged = _merge(durable(templates), z_limit)
     leaves = merged.groupBy("host", "merged").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     hosts = leaves.groupBy("host").agg(F.sum("labelled").alias("host_n"), F.sum("bad").alias("host_bad"))
     whole = hosts.agg(F.coalesce(F.try_divide(F.sum("host_bad"), F.sum("host_n")), F.lit(0.0)).alias("rate"))
