@@ -21,6 +21,7 @@ from webquarry.session import durable, new_folder
 #: A segment that is a number, with or without an extension, is never a fixed one.
 NUMBER = r"^[0-9]+(?:\.[A-Za-z]+)?$"
 TAIL = "**"
+SALTS = 16
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -204,7 +205,10 @@ def judge_urls(
         "host", "merged", ((F.col("bad") + prior_rows * host_rate) / (F.col("labelled") + prior_rows)).alias("bad_share")
     )
     by_template = merged.select("host", "template", "merged").join(shares, ["host", "merged"])
-    by_path = grown.select("host", "path", "template").join(by_template, ["host", "template"]).drop("template")
+    # A third of all paths may end in one template, so every template is dealt to SALTS tasks.
+    salted = grown.select("host", "path", "template", F.pmod(F.xxhash64("path"), F.lit(SALTS)).alias("salt"))
+    dealt = by_template.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    by_path = salted.join(dealt, ["host", "template", "salt"]).drop("template", "salt")
     rule, action = matched_rule(F.col("host"), F.col("path"), rules)
     by_method = F.when(F.col("bad_share") >= reject_share, F.lit("block")).otherwise(F.lit("allow"))
     return rows.select("id", "host", "path").join(by_path, ["host", "path"], "left").select(
