@@ -206,8 +206,8 @@ def judge_urls(
     )
     by_template = merged.select("host", "template", "merged").join(shares, ["host", "merged"])
     # A third of all paths may end in one template, so every template is dealt to SALTS tasks.
-    salted = grown.select("host", "path", "template", F.pmod(F.xxhash64("path"), F.lit(SALTS)).alias("salt"))
-    dealt = by_template.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    salted = grown.select("host", "path", "template", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int").alias("salt"))
+    dealt = by_template.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     by_path = salted.join(dealt, ["host", "template", "salt"]).drop("template", "salt")
     rule, action = matched_rule(F.col("host"), F.col("path"), rules)
     by_method = F.when(F.col("bad_share") >= reject_share, F.lit("block")).otherwise(F.lit("allow"))
