@@ -1,7 +1,13 @@
 """Work that must not pile up in one task, however small the files it comes from."""
 
+from pyspark.sql import functions as F
+
 from catalog import derived as D
 from catalog.queries import derived
+from webquarry.functions import markup as M
+from webquarry.functions import urls as U
+from webquarry.operators import pages as P
+from webquarry.plans import records as RC
 
 
 def test_pages_made_of_narrow_rows_are_dealt_over_the_tasks(spark, tmp_path):
@@ -10,3 +16,37 @@ def test_pages_made_of_narrow_rows_are_dealt_over_the_tasks(spark, tmp_path):
     pages = derived(spark, str(tmp_path), D.MARKET_PAGES)
     per_task = pages.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
     assert sum(per_task) == 400 and max(per_task) <= 50
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_robots_tag_is_read_without_the_other_fields(spark):
+    pages = spark.createDataFrame([(1, "https://a.com/", '<meta name=robots content="NoFollow">')], "page_id long, url string, html string")
+    found = RC.nofollow_pages(pages)
+    assert "og:title" not in plan_of(found) and found.first()["robots_meta"] == "NoFollow"
+
+
+def test_only_the_attributes_a_part_looks_up_are_decoded(spark):
+    html = '<link rel="stylesheet" href="s.css"><a href="x" style="url(y)">'
+    tags = P.page_tags(spark.createDataFrame([("https://a.com/", html)], "url string, html string"), (), ("a",))
+    assert [(t["name"], len(t["attrs"])) for t in tags.first()["tags"]] == [("link", 0), ("a", 2)]
+
+
+def test_names_are_looked_up_by_their_first_letter(spark):
+    texts = ["&zwj;&Zopf;&zopf;", "&eacute&amp;&lt;", "&NotEqualTilde;", "&nothing;"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(M.decode_references(F.col("t")))
+    assert [r[0] for r in rows.collect()] == ["\u200d\u2124\U0001d56b", "\u00e9&<", "\u2242\u0338", "&nothing;"]
+    # One table per letter in place of a text of all names.
+    assert len(M._NAMED.split(M._NEXT)) == 58
+
+
+def test_references_below_the_folder_resolve_like_written_out_ones(spark):
+    base = "https://a.com/d/e.html?q=1"
+    cases = {
+        "x.png": "https://a.com/d/x.png", "x/y:z?a:b": "https://a.com/d/x/y:z?a:b", "?p=2": "https://a.com/d/e.html?p=2", "?": "https://a.com/d/e.html?",
+        "x:y": None, "./x": "https://a.com/d/x", "x/../y": "https://a.com/d/y", "x y\u00e9": "https://a.com/d/x%20y%C3%A9", "": None, "//": None, "/": "https://a.com/",
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "raw string").select("raw", U.canonical_url(F.col("raw"), F.lit(base)).alias("url"))
+    assert {r.raw: r.url for r in rows.collect()} == cases
