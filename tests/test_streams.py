@@ -149,3 +149,14 @@ def test_a_table_arrives_file_by_file(spark, files):
     rows = spark.range(100).withColumn("k", F.col("id") % 3)
     got = ST.drain(ST.arrived(rows, files))
     assert got.count() == 100 and got.exceptAll(rows).count() == 0
+
+
+def test_a_part_that_arrives_is_written_by_many_tasks(spark, tmp_path):
+    stream = ST.arrived(spark.range(3000), 3)
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    newest = max(folder.glob("arrived-*"), key=lambda f: f.stat().st_mtime)
+    rows = [spark.read.parquet(str(f)).count() for f in newest.glob("*.parquet")]
+    assert sum(rows) == 3000 and max(rows) < 3000 / 6
+    run = tmp_path / "run"
+    assert ST.drain(stream, folder=str(run)).count() == 3000
+    assert len(list((run / "progress/commits").glob("[0-9]*"))) == 3
