@@ -50,3 +50,17 @@ def test_references_below_the_folder_resolve_like_written_out_ones(spark):
     }
     rows = spark.createDataFrame([(k,) for k in cases], "raw string").select("raw", U.canonical_url(F.col("raw"), F.lit(base)).alias("url"))
     assert {r.raw: r.url for r in rows.collect()} == cases
+
+
+def test_attributes_that_nothing_looks_up_are_not_read(spark):
+    html = "<a id=1 title='a > b href=no' HREF = \"x&amp;y\" class=c href=z>t</a><a x href='><a href>"
+    tags = P.page_tags(spark.createDataFrame([("https://a.com/", html)], "url string, html string"), (), ("a",))
+    assert [list(t["attrs"]) for t in tags.first()["tags"]] == [["", "x&y"], ["", ""], []]
+
+
+def test_links_and_assets_share_the_targets_of_anchors(spark):
+    html = '<a href="b.pdf"><a href="c"><iframe src="d.pdf"></iframe><img src="b.pdf">'
+    pages = spark.createDataFrame([(1, "https://a.com/", html)], "page_id long, url string, html string")
+    row = P.parse_pages(pages, ("links", "assets")).first()
+    assert row["targets"] == [f"https://a.com/{x}" for x in ("b.pdf", "c", "d.pdf")] == row["links"]
+    assert [(a.url, a.type, a.via) for a in row["assets"]] == [("https://a.com/b.pdf", "documents", "a")]
