@@ -64,3 +64,12 @@ def test_links_and_assets_share_the_targets_of_anchors(spark):
     row = P.parse_pages(pages, ("links", "assets")).first()
     assert row["targets"] == [f"https://a.com/{x}" for x in ("b.pdf", "c", "d.pdf")] == row["links"]
     assert [(a.url, a.type, a.via) for a in row["assets"]] == [("https://a.com/b.pdf", "documents", "a")]
+
+
+def test_short_lists_are_compared_by_equality_inside_lambdas(spark):
+    rows = spark.createDataFrame([("HTTP://A.com/x/../Y.PNG", '<a href="x"><img src=y><title>t</title>')], "raw string, html string")
+    url = U.canonical_url(F.col("raw"), F.lit("https://a.com/"))
+    tags = M.tags_of(M.tokens(F.col("html")), ("a", "video", "audio"))
+    found = rows.select(url.alias("url"), U.category(url).alias("type"), F.transform(tags, lambda t: t["name"]).alias("names"))
+    assert " IN (" not in plan_of(found)
+    assert tuple(found.first()) == ("http://a.com/Y.PNG", "images", ["a", "img", "title"])
