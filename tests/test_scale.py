@@ -73,3 +73,29 @@ def test_short_lists_are_compared_by_equality_inside_lambdas(spark):
     found = rows.select(url.alias("url"), U.category(url).alias("type"), F.transform(tags, lambda t: t["name"]).alias("names"))
     assert " IN (" not in plan_of(found)
     assert tuple(found.first()) == ("http://a.com/Y.PNG", "images", ["a", "img", "title"])
+
+
+def test_forms_alone_cut_no_attributes_out_of_other_tags(spark):
+    html = '<base href="/b/"><img srcset="s.png 2x"><form action="a?x=1"><input name=u></form><form><button name=b></form>'
+    rows = spark.createDataFrame([("https://a.com/", html)], "url string, html string")
+    parsed = P.parse_pages(rows, ("meta", "robots", "links", "assets", "forms"))
+    alone = parsed.select(F.transform("forms", lambda f: f["action"]).alias("actions"))
+    assert alone.first()["actions"] == ["https://a.com/b/a?x=1", "https://a.com/b/"]
+    # What the attributes of an image are called stands in the plan of the assets only.
+    assert "data-lazy-src" in plan_of(parsed.select("assets")) and "data-lazy-src" not in plan_of(alone)
+
+
+def test_the_first_base_that_has_a_target_counts(spark):
+    pages = ["<base target=x><base href='/b/'><base href='/c/'><a href=x>", "<base target=x><a href=x>", "<base href=''><a href=x>", "<BASE HREF=&#47;d/><a href=x>", "<a href=x>"]
+    rows = spark.createDataFrame([(i, "https://a.com/p/", h) for i, h in enumerate(pages)], "page_id int, url string, html string")
+    got = P.page_tags(rows, (), ("a",)).orderBy("page_id").select("base").collect()
+    assert [r.base for r in got] == ["https://a.com/b/", "https://a.com/p/", "https://a.com/p/", "https://a.com/d/", "https://a.com/p/"]
+
+
+def test_texts_and_payloads_of_one_file_are_dealt_over_the_tasks(spark, tmp_path):
+    spark.range(400).selectExpr("id AS doc_id", "'t' AS text").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.range(400).selectExpr("id AS p_partkey", "5 AS p_size").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    for text in (D.INTEL_PAGES, D.PAYLOADS):
+        rows = derived(spark, str(tmp_path), text)
+        per_task = rows.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+        assert sum(per_task) == 400 and max(per_task) <= 50
