@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from catalog import derived as D
-from catalog.queries import derived
+from catalog.queries import _site, derived
 from webquarry.functions import markup as M
 from webquarry.functions import urls as U
 from webquarry.operators import pages as P
@@ -99,3 +99,25 @@ def test_texts_and_payloads_of_one_file_are_dealt_over_the_tasks(spark, tmp_path
         rows = derived(spark, str(tmp_path), text)
         per_task = rows.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
         assert sum(per_task) == 400 and max(per_task) <= 50
+
+
+def test_orders_of_one_file_are_dealt_before_they_become_links(spark, tmp_path):
+    orders = [(7, 1), (3, 1), (3, 1), (5, 2), (None, 2), (9, None), (4, 0)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(3).selectExpr("id AS c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(2).selectExpr("id AS s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    site = _site(spark, str(tmp_path))
+    # Each page's orders meet by the narrow key, not in the one task that reads the file.
+    assert "RepartitionByExpression [o_custkey" in plan_of(site)
+
+    def url(n):
+        return f"https://h{n % 2}.example.com/{'p' if n % 10 else 'private'}/{n}"
+
+    want = {}
+    for order, customer in sorted(o for o in orders if None not in o):
+        links = want.setdefault(f"https://h{customer % 2}.example.com/p/{customer}", [])
+        target = url((order * 7 + customer) % 4)
+        if target not in links:
+            links.append(target)
+    got = {r.url: [u for u in r.links if u is not None] for r in site.collect() if r.url is not None}
+    assert got == want
